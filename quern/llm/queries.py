@@ -1,11 +1,13 @@
 """Registry of the training-data queries and their SQL oracles."""
 
-from quern.llm import mixing, packing
+from quern.llm import jaccard, mixing, packing
 
 QUERIES = {
     "op2_pack_best_fit": packing.op2_pack_best_fit,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 ORACLES = {
     "op7_mix_sources": mixing.OP7_SQL,
+    "op10_ngram_jaccard_join": jaccard.OP10_SQL,
 }
