@@ -1,9 +1,11 @@
 """Registry of the training-data queries and their SQL oracles."""
 
-from quern.llm import jaccard, mixing, packing
+from quern.llm import jaccard, lines, mixing, packing, quality
 
 QUERIES = {
+    "op1_robust_outliers": quality.op1_robust_outliers,
     "op2_pack_best_fit": packing.op2_pack_best_fit,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
