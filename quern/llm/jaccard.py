@@ -58,8 +58,8 @@ def canonical(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def tokens(words: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word windows; a shorter sequence is one token."""
+def windows(words: bytes, width: int = WIDTH) -> np.ndarray:
+    """64-bit hash of every window of `width` words, in order; a shorter sequence is one window."""
     if not words:
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(words, np.uint8)
@@ -78,7 +78,12 @@ def tokens(words: bytes, width: int = WIDTH) -> np.ndarray:
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
-    return np.unique(h)
+    return h
+
+
+def tokens(words: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the windows."""
+    return np.unique(windows(words, width))
 
 
 def first_tokens(found: np.ndarray, percent: int, moved: np.ndarray | None = None) -> np.ndarray:

@@ -24,8 +24,8 @@ from quern.llm.common import let
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = r"[#*$%&|<>]+"
 FEATURES = ("f0", "f1", "f2", "f3")
-#: Least deviation of each feature that counts as one; texts of a group that have an estimate; share kept by the concentration steps, their number, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-6 quantile of chi-square with four degrees.
-FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.1, 0.08), 200, 0.75, 3, 1.486, 33.38
+#: Least deviation of each feature that counts as one; texts of a group that have an estimate; share kept by the concentration steps, their number, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
+FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 200, 0.75, 3, 1.486, 23.51
 #: Bins a unit of a feature, and of the logarithm of a distance; rows up to which estimates are broadcast.
 FINE, COARSE, SENT = 256, 64, 20_000
 
