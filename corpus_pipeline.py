@@ -1,8 +1,60 @@
-"""Corpus pipeline: quality rules, line deduplication, n-gram Jaccard join, mixing and packing, in this order."""
+"""Corpus pipeline: quality rules, line deduplication, n-gram Jaccard join, mixing and best-fit packing, in this order.
+
+Each stage takes what its predecessor kept, written as Parquet and read again, and all but the last return the columns of
+documents. Documents that the quality rules reject go; lines that match an earlier one go, their documents stay; of each group of
+similar documents the one with the smallest id stays; the mix repeats a document as often as it takes it; the pieces
+of what is left are packed. SQL can't express the robust estimates of the first stage, so there is no oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import common, jaccard, lines, mixing, packing, quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(quality.statistics(docs))
+    return quality.judge(quality.statistics(docs), model).filter("kept").select(docs.columns)
+
+
+def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.dedupe(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without words are similar to none and stay; a null id is in no group and stays."""
+    found = common.stage(jaccard.join(docs), "pipeline-components")
+    gone = common.small(found.filter("component_id <> doc_id").select("doc_id").distinct(), 400_000)
+    out = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").head(1)
+    return (out.dropDuplicates(["doc_id"]) if repeated else out).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = mixing.mix(docs, mixing.words())
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times_taken")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", dedupe_lines),
+    ("n-gram Jaccard join", dedupe_documents),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs
