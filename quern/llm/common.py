@@ -38,6 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written now go when their plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -183,7 +183,8 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     rows = common.stage(sets(docs, percent, width), "sets")
     minima = [f"m{k}" for k in range(HASHES)]
     keys = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rid"))
-    reps = common.stage(rows.join(keys, (rows["key"] == keys["key"]) & (rows["doc_id"] == keys["rid"])).select("rid", "n", *minima, "first").dropDuplicates(["rid", "n", *minima]), "reps")
+    reps = rows.select("key", "doc_id", "n", *minima).join(keys, "key").filter("doc_id = rid").select("rid", "n", *minima).distinct()
+    reps = common.stage(reps, "reps")
 
     # groups of similar representatives
     shared = reps.select("rid", "n", F.posexplode(F.array(*minima)).alias("k", "m"))
@@ -199,23 +200,30 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     same = rows.filter("n > 0").join(keys, "key").filter("doc_id <> rid").groupBy("doc_id").agg(F.min("rid").alias("b"), F.max("rid").alias("c")).filter("b <> c")
     links = common.stage(links.unionByName(same.select(F.col("c").alias("a"), "b")).unionByName(same.select(F.col("doc_id").alias("a"), "b").join(reps.select(F.col("rid").alias("a")).distinct(), "a")), "links-near")
     comps = components(links)
-    groups = reps.select("rid", "n", "first").join(comps, reps["rid"] == comps["id"], "left").select("rid", "n", "first", F.coalesce("comp", "rid").alias("comp"))
+    groups = reps.select("rid", "n").join(comps, reps["rid"] == comps["id"], "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")).distinct()
     members = groups.groupBy("comp").agg(F.count("*").alias("members"))
     group = F.when(F.col("members") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / PART))))
-    groups = common.stage(groups.join(members, "comp").select("rid", "n", "comp", group.alias("part"), "first"), "groups")
+    groups = common.stage(groups.join(members, "comp").select("rid", "n", "comp", group.alias("part")), "groups")
 
     # the matrix; tokens that many representatives begin with are moved to the end of the order
-    moved = np.zeros(0, np.int64)
-    for _ in range(3):
-        matrix = groups.select("rid", "n", "comp", "part", F.explode("first").alias("token"))
+    first = rows.select(F.col("doc_id").alias("rid"), "n", "first")
+    moved, fresh, touched = np.zeros(0, np.int64), None, None
+    for turn in range(3):
+        kept = groups if touched is None else groups.join(common.small(touched, SENT), "rid", "left_anti")
+        matrix = first.join(common.small(kept, SENT), ["rid", "n"])
+        if fresh is not None:
+            matrix = matrix.unionByName(fresh)
+        matrix = matrix.select("rid", "n", "comp", "part", F.explode("first").alias("token"))
         across = matrix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).filter("low <> high")
         across = common.stage(across.select("token", "c"), "across")
-        frequent = across.filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(MOVED - len(moved)).select("token").toPandas()["token"].to_numpy(np.int64)
-        if not len(frequent):
+        frequent = across.filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(MOVED - len(moved)).select("token")
+        found = frequent.toPandas()["token"].to_numpy(np.int64)
+        if not len(found) or turn == 2:
             break
-        moved = np.union1d(moved, frequent)
-        groups = reorder(docs, groups, matrix, frequent, moved, percent, width)
-    matrix = groups.select("rid", "n", "comp", "part", F.explode("first").alias("token"))
+        moved = np.union1d(moved, found)
+        now = matrix.join(F.broadcast(frequent), "token").select("rid")
+        touched = common.stage((now if touched is None else now.unionByName(touched)).distinct(), "touched")
+        fresh = reorder(docs, groups.join(touched, "rid"), moved, percent, width)
     matrix = common.stage(matrix.join(across.select("token"), "token"), "matrix")
     held = matrix.groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q, g = matrix.alias("q"), held.alias("g")
@@ -230,22 +238,9 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     return rows.select("doc_id", "n", "key").join(owner, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", empty)).alias("component_id"))
 
 
-def reorder(docs: DataFrame, groups: DataFrame, matrix: DataFrame, frequent: np.ndarray, moved: np.ndarray, percent: int, width: int) -> DataFrame:
-    """groups with new first tokens where one of them is frequent."""
-    spark = docs.sparkSession
-    late = spark.sparkContext.broadcast(moved.view(np.uint64))
-    hot = spark.sparkContext.broadcast(frequent)
-
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("first"))
-            hit = np.isin(lists.flatten().to_numpy(), hot.value)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            flags = np.zeros(len(lists), bool)
-            flags[row[hit]] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], names=[*batch.schema.names, "again"])
-
-    marked = common.stage(groups.mapInArrow(touched, "rid long, n long, comp long, part long, first array<long>, again boolean"), "marked")
+def reorder(docs: DataFrame, groups: DataFrame, moved: np.ndarray, percent: int, width: int) -> DataFrame:
+    """groups with the first tokens of the order in which the moved ones come last."""
+    late = docs.sparkSession.sparkContext.broadcast(moved.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,9 +250,8 @@ def reorder(docs: DataFrame, groups: DataFrame, matrix: DataFrame, frequent: np.
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["rid", "n", "comp", "part", "first"]).filter(keep)
 
-    again = marked.filter("again").select(F.col("rid").alias("id"), "n", "comp", "part")
-    fresh = texts_of(docs, again).select("id", "n", "comp", "part", "text").mapInArrow(run, "rid long, n long, comp long, part long, first array<long>")
-    return common.stage(marked.filter("not again").drop("again").unionByName(fresh).dropDuplicates(["rid", "n"]), "groups")
+    texts = texts_of(docs, groups.select(F.col("rid").alias("id"), "n", "comp", "part"))
+    return common.stage(texts.select("id", "n", "comp", "part", "text").mapInArrow(run, "rid long, n long, comp long, part long, first array<long>"), "fresh")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
