@@ -3,12 +3,12 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^14 hash buckets, then the hash. A word becomes one long
+1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then the hash. A word becomes one long
    whose high bits are its bucket's rank, a bijection of its 64-bit hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, with the position of the first. Its first n - ceil(0.8 n) + 1 words are its prefix;
    sets that match share a word there.
 3. Prefix words of a single set are dropped; sets that share one are candidates if the length filter and the positional
-   filter (words before and after the shared one can't add up to the overlap needed) allow it.
+   filter allow it (from their first shared word on, each must have as many words left as the overlap needed).
 4. Candidates are verified on their whole sets, and each set learns the earliest position among those it matches.
 
 Lines without words stay. A null text has no lines and stays null. Exactly repeated rows are one document and keep the same
@@ -24,7 +24,7 @@ from quern.llm import common
 
 PERCENT = 80
 #: Bits of a word's hash that choose its bucket; rows up to which a list is broadcast.
-BITS, SENT = 14, 400_000
+BITS, SENT = 16, 400_000
 
 
 def hashes(line: Column) -> Column:
@@ -71,7 +71,7 @@ def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = common.stage(own, "line-prefixes")
     words = own.select("s1", "s2", "n", F.posexplode("prefix").alias("i", "w"))
     common_words = words.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    common_words = common.small(common.stage(common_words, "line-words"), 2_000_000)
+    common_words = common.small(common.stage(common_words, "line-words"), SENT)
     words = common.stage(words.join(common_words, "w"), "line-matrix")
     a, b = words.alias("a"), words.alias("b")
     overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
@@ -79,7 +79,7 @@ def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     filters = (
         (F.struct("a.s1", "a.s2") < F.struct("b.s1", "b.s2"))
         & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-        & (F.least("a.i", "b.i") + after >= overlap)
+        & (after >= overlap)
     )
     pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & filters).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("b.s1").alias("b1"), F.col("b.s2").alias("b2")).distinct()
     pairs = common.stage(pairs, "line-pairs")
@@ -97,7 +97,7 @@ def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2"), F.col("fa").alias("early"))).otherwise(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("fb").alias("early")))
     near = common.stage(links.select(later.alias("x")).select("x.*").groupBy("s1", "s2").agg(F.min("early").alias("early")), "line-near")
     found = sets.join(near, ["s1", "s2"], "left").filter("times > 1 or early is not null").select("s1", "s2", F.least("first", "early").alias("early"))
-    found = common.small(common.stage(found, "line-found"), 2_000_000)
+    found = common.small(common.stage(found, "line-found"), SENT)
     return lines.select("pos", "s1", "s2").join(found, ["s1", "s2"]).filter("early < pos").select("pos", "early")
 
 
