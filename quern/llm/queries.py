@@ -1,6 +1,6 @@
 """Registry of the training-data queries and their SQL oracles."""
 
-from quern.llm import chat, jaccard, language, licences, lines, mixing, packing, quality, topk
+from quern.llm import chat, html, jaccard, language, licences, lines, mixing, packing, quality, topk
 
 QUERIES = {
     "op1_robust_outliers": quality.op1_robust_outliers,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_licence_scan": licences.op6_licence_scan,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_rank_order_language": language.op8_rank_order_language,
+    "op9_html_main_text": html.op9_html_main_text,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 ORACLES = {
