@@ -1,4 +1,7 @@
 """Named queries over the driver tables, each with its DuckDB oracle where SQL can state it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quern.plans import retrieval
+
+_MODULES = (retrieval,)
+QUERIES = {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
