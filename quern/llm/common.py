@@ -42,13 +42,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what stage() wrote for a frame that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        for k, (spark, path) in enumerate(_written):
+            if folder.endswith(path.rsplit("/", 1)[1]):
+                _delete(spark, path)
+                del _written[k]
+                return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release() -> None:
     """Delete what stage() wrote in this process."""
     while _written:
         spark, path = _written.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has gone already
             return
 

@@ -3,8 +3,8 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then the hash. A word becomes one long
-   whose high bits are its bucket's rank, a bijection of its 64-bit hash, so that sorting longs sorts by rarity.
+1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then another hash. A word becomes one long
+   whose high bits are its bucket's rank and whose low ones are that hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, with the position of the first. Its first n - ceil(0.8 n) + 1 words are its prefix;
    sets that match share a word there.
 3. Prefix words of a single set are dropped; sets that share one are candidates if the length filter and the positional
@@ -27,40 +27,44 @@ PERCENT = 80
 BITS, SENT = 16, 400_000
 
 
-def hashes(line: Column) -> Column:
-    """Distinct 64-bit hashes of the words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, common.GAP), ""), lambda w: F.xxhash64(w)))
+def words(text: Column) -> Column:
+    """Words of a text. Other white space becomes spaces first, which Java splits at without a regular expression."""
+    plain = F.when(text.rlike(r"[\x09-\x0D]"), F.translate(text, "\t\n\x0b\f\r", "     ")).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def ranks(docs: DataFrame) -> Column:
     """For each bucket, its rank by corpus count, less half their number: an array of fixed size."""
-    text = F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), common.GAP), "")).alias("w")
-    counts = docs.select(text).groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
     found = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BITS rows at most
     order = sorted(range(1 << BITS), key=lambda b: (found.get(b, 0), b))
     rank = [0] * (1 << BITS)
-    for at, bucket in enumerate(order):
-        rank[bucket] = at - (1 << (BITS - 1))
+    for at, k in enumerate(order):
+        rank[k] = at - (1 << (BITS - 1))
     return F.from_json(F.lit(str(rank)), "array<int>")
 
 
 def keys(line: Column, rank: Column) -> Column:
     """The set of a line as longs, rarest first."""
-    low = (1 << (64 - BITS)) - 1
-    at = lambda h: F.element_at(rank, F.shiftrightunsigned(h, 64 - BITS).cast("int") + 1).cast("long")
-    return F.sort_array(F.transform(hashes(line), lambda h: F.shiftleft(at(h), 64 - BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))))
+    low = F.lit((1 << (64 - BITS)) - 1)
+    key = lambda w: F.shiftleft(F.get(rank, bucket(w)).cast("long"), 64 - BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 
-def exploded(docs: DataFrame, rank: Column) -> DataFrame:
-    """(pos, keys) of every line with a word; pos is (doc_id, text hash, line number)."""
+def exploded(docs: DataFrame) -> DataFrame:
+    """(pos, line) of every line with a word; pos is (doc_id, text hash, line number)."""
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(common.WORD)).select(F.struct("doc_id", "th", "line_no").alias("pos"), keys(F.col("line"), rank).alias("keys"))
+    return rows.filter(F.col("line").rlike(common.WORD)).select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
 
 
 def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(pos, early) of the lines to remove: early is the position of an earlier line that matches."""
     rank = ranks(docs)
-    lines = exploded(docs, rank)
+    lines = exploded(docs).select("pos", keys(F.col("line"), rank).alias("keys"))
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
     lines = lines.select("pos", *ids, size.alias("n"), F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
@@ -69,27 +73,28 @@ def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one row of each set carries the prefix
     own = lines.alias("l").join(sets.alias("s"), (F.col("l.s1") == F.col("s.s1")) & (F.col("l.s2") == F.col("s.s2")) & (F.col("l.pos") == F.col("s.first"))).select("l.s1", "l.s2", "l.n", "prefix").dropDuplicates(["s1", "s2"])
     own = common.stage(own, "line-prefixes")
-    words = own.select("s1", "s2", "n", F.posexplode("prefix").alias("i", "w"))
-    common_words = words.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    common_words = common.small(common.stage(common_words, "line-words"), SENT)
-    words = common.stage(words.join(common_words, "w"), "line-matrix")
-    a, b = words.alias("a"), words.alias("b")
+    held = own.select("s1", "s2", "n", F.posexplode("prefix").alias("i", "w"))
+    # of two sets that match, the smaller shares one of its first n - ceil(2p / (1 + p) n) + 1 words
+    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    shared = held.groupBy("w").agg(F.count("*").alias("c"), F.bool_or(short).alias("short")).filter("c > 1 and short").select("w")
+    shared = common.small(common.stage(shared, "line-words"), SENT)
+    held = common.stage(held.join(shared, "w"), "line-matrix")
+    common.discard(own)
+    a, b = held.alias("a"), held.filter(short).alias("b")
     overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     after = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     filters = (
-        (F.struct("a.s1", "a.s2") < F.struct("b.s1", "b.s2"))
-        & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
+        (F.struct("b.n", "b.s1", "b.s2") < F.struct("a.n", "a.s1", "a.s2")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
         & (after >= overlap)
     )
     pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & filters).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("b.s1").alias("b1"), F.col("b.s2").alias("b2")).distinct()
     pairs = common.stage(pairs, "line-pairs")
+    common.discard(held)
     wanted = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
     wanted = common.stage(sets.join(wanted, ["s1", "s2"]).select("s1", "s2", "first"), "line-wanted")
     # whole sets of the candidates, from the texts again
-    ids_of = common.small(wanted.select(F.col("first.doc_id").alias("_id")).distinct(), SENT)
-    texts = docs.select("doc_id", "text").join(ids_of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    whole = exploded(texts, rank).alias("x").join(wanted.alias("y"), F.col("x.pos") == F.col("y.first")).select("s1", "s2", "first", "keys").dropDuplicates(["s1", "s2"])
-    whole = common.stage(whole, "line-whole")
+    whole = exploded(docs.select("doc_id", "text")).join(common.small(wanted, SENT), F.col("pos") == F.col("first")).select("s1", "s2", "first", keys(F.col("line"), rank).alias("keys"))
+    whole = common.stage(whole, "line-whole").dropDuplicates(["s1", "s2"])
     x = whole.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("first").alias("fa"), F.col("keys").alias("ka"))
     y = whole.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("first").alias("fb"), F.col("keys").alias("kb"))
     both = pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).withColumn("n_both", F.size(F.array_intersect("ka", "kb")))
