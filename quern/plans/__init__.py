@@ -1,7 +1,7 @@
 """Named queries over the driver tables, each with its DuckDB oracle where SQL can state it."""
 
-from quern.plans import content, procurement, retrieval
+from quern.plans import content, decisions, procurement, retrieval
 
-_MODULES = (retrieval, procurement, content)
+_MODULES = (retrieval, procurement, content, decisions)
 QUERIES = {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
