@@ -33,6 +33,8 @@ from quern.llm import common
 WIDTH, PERCENT = 5, 80
 #: Minimum hashes that gather groups; members of a part of a group; queries of one part; representatives from which a token counts as frequent, and how many such tokens at most are moved to the end.
 HASHES, PART, QUERIES, FREQUENT, MOVED = 4, 48, 256, 48, 500_000
+#: Pairs that the matrix may list for each representative before frequent tokens are moved.
+LOAD = 40
 #: Rows up to which a list of ids is broadcast.
 SENT = 400_000
 
@@ -218,7 +220,8 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         across = common.stage(across.select("token", "c"), "across")
         frequent = across.filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(MOVED - len(moved)).select("token")
         found = frequent.toPandas()["token"].to_numpy(np.int64)
-        if not len(found) or turn == 2:
+        load = across.agg(F.sum(F.col("c") * F.col("c"))).head()[0] or 0
+        if not len(found) or turn == 2 or load <= LOAD * reps.count():
             break
         moved = np.union1d(moved, found)
         now = matrix.join(F.broadcast(frequent), "token").select("rid")
@@ -227,8 +230,13 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     matrix = common.stage(matrix.join(across.select("token"), "token"), "matrix")
     held = matrix.groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q, g = matrix.alias("q"), held.alias("g")
-    fits = (F.col("q.comp") > F.col("g.comp")) & (100 * F.col("q.n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("q.n"))
-    met = common.stage(q.join(g, F.col("q.token") == F.col("g.token")).filter(fits).select("g.part", "q.rid").distinct(), "met")
+    low, high = F.greatest(F.col("low"), F.col("q.n") * percent / 100), F.least(F.col("high"), F.col("q.n") * 100 / percent)
+    both = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") > F.col("g.comp")) & (low <= high))
+    # tokens outside the first ones can add at most `percent` of the larger set to those shared inside
+    least = lambda m: percent / (100 + percent) * (F.col("q.n") + m) - percent / 100 * F.greatest(F.col("q.n"), m)
+    both = both.select("g.part", "q.rid", "q.token", F.least(least(low), least(high)).alias("least"))
+    met = both.groupBy("part", "rid").agg(F.count("*").alias("c"), F.min("least").alias("least")).filter("c > least - 0.000001")
+    met = common.stage(met.select("part", "rid"), "met")
     inside = groups.join(met.select("part").distinct(), "part").select("part", F.lit(0).alias("asks"), F.col("rid").alias("id"))
     more = compare(docs, inside.unionByName(met.select("part", F.lit(1).alias("asks"), F.col("rid").alias("id"))), percent, width)
     comps = components(links.unionByName(more))
