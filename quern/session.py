@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions at run time; UTC keeps dates comparable with the SQL oracles.
@@ -29,4 +34,24 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory; Spark alone opens the path, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: where PYTHONPATH doesn't name it, Spark's own file server sends it to every executor."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or any(f.endswith("quern_package.zip") for f in context._python_includes):
+        return
+    file = Path(tempfile.mkdtemp()) / "quern_package.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for p in root.glob("quern/**/*"):
+            if p.suffix in (".py", ".npz"):
+                out.write(p, p.relative_to(root))
+    context.addPyFile(str(file))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one for tests where the cluster names none."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/quern").rstrip("/")
