@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -71,20 +69,6 @@ def release() -> None:
 atexit.register(release)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: where PYTHONPATH doesn't name it, Spark's own file server sends it to every executor."""
-    root = Path(__file__).resolve().parents[2]
-    context = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or any(f.endswith("quern_llm.zip") for f in getattr(context, "_python_includes", [])):
-        return
-    file = Path(tempfile.mkdtemp()) / "quern_llm.zip"
-    with zipfile.ZipFile(file, "w") as out:
-        for p in [*root.glob("quern/*.py"), *root.glob("quern/llm/*")]:
-            if p.is_file():
-                out.write(p, p.relative_to(root))
-    context.addPyFile(str(file))
-
-
 def let(value: Column, body) -> Column:
     """Bind an expensive expression once and use it several times: body gets a lambda variable instead of the expression."""
     return F.transform(F.array(value), body)[0]
