@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 #: Number words of two languages; words of negation.
 NUMBERS = {w: n for n, ws in enumerate("zero|one un une|two deux|three trois|four quatre|five cinq|six|seven sept|eight huit|nine neuf|ten dix|eleven onze|twelve douze|thirteen treize|fourteen quatorze|fifteen quinze|sixteen seize".split("|")) for w in ws.split()}
@@ -129,15 +130,15 @@ def filled(heights: list[int] | None, room: int) -> list[int]:
     return out
 
 
-quote_in_text = F.pandas_udf(lambda q, t: pd.Series([quoted(a, b) for a, b in zip(q, t, strict=True)]), "boolean")
-repair_json = F.pandas_udf(lambda t: t.map(repaired), "string")
-split_list = F.pandas_udf(lambda t: t.map(listed), "array<string>")
-number_words = F.pandas_udf(lambda t: t.map(digits), "string")
+quote_in_text = F.pandas_udf(lambda q, t: pd.Series([quoted(a, b) for a, b in zip(q, t, strict=True)]), BooleanType())
+repair_json = F.pandas_udf(lambda t: t.map(repaired), StringType())
+split_list = F.pandas_udf(lambda t: t.map(listed), ArrayType(StringType()))
+number_words = F.pandas_udf(lambda t: t.map(digits), StringType())
 
 
 def certificate_groups(names: list[str]):
-    return F.pandas_udf(lambda t: t.map(lambda x: grouped(x, names)), "array<array<string>>")
+    return F.pandas_udf(lambda t: t.map(lambda x: grouped(x, names)), ArrayType(ArrayType(StringType())))
 
 
 def fill_pages(room: int):
-    return F.pandas_udf(lambda h: h.map(lambda x: filled(None if x is None else list(x), room)), "array<int>")
+    return F.pandas_udf(lambda h: h.map(lambda x: filled(None if x is None else list(x), room)), ArrayType(IntegerType()))
