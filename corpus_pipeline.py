@@ -15,13 +15,11 @@ from quern.llm import common, jaccard, lines, mixing, packing, quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(quality.statistics(docs))
-    return quality.judge(quality.statistics(docs), model).filter("kept").select(docs.columns)
+    return quality.keep(docs)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedupe(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return lines.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixing.mix(docs, mixing.words())
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times_taken")))).select(docs.columns)
+    return common.back(out.select("*", F.explode(F.array_repeat(F.lit(1), F.col("times_taken"))).alias("_copy")), docs, ["doc_id", "source"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def release() -> None:
 atexit.register(release)
 
 
+def aside(docs: DataFrame, used: list[str]) -> DataFrame:
+    """docs with the used columns and all others in one struct, `_rest`, so that no name of theirs meets an operator's own."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.lit(0)).alias("_rest"))
+
+
+def back(out: DataFrame, docs: DataFrame, used: list[str], *more: str) -> DataFrame:
+    """The columns of docs again, in their order, and those that an operator adds."""
+    return out.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns], *more)
+
+
 def let(value: Column, body) -> Column:
     """Bind an expensive expression once and use it several times: body gets a lambda variable instead of the expression."""
     return F.transform(F.array(value), body)[0]

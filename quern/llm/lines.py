@@ -113,12 +113,15 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the lines that match an earlier one, and `gone`, their numbers (from 0)."""
-    out = common.small(removed(docs, percent).withColumnRenamed("doc_id", "_id"), SENT)
-    docs = docs.withColumn("_th", F.xxhash64("text")).alias("d")
-    docs = docs.join(out, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    """docs without the lines that match an earlier one, with the same columns."""
+    used = ["doc_id", "text"]
+    own = common.aside(docs, used)
+    out = common.small(removed(own.select(used), percent).withColumnRenamed("doc_id", "_id"), SENT)
+    own = own.withColumn("_th", F.xxhash64("text"))
+    own = own.join(out, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return docs.withColumn("text", F.when(F.size("gone") == 0, F.col("text")).otherwise(rest)).drop("_id", "_th", "th")
+    own = own.withColumn("text", F.when(F.size("gone") == 0, F.col("text")).otherwise(rest))
+    return common.back(own, docs, used)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

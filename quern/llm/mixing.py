@@ -81,12 +81,15 @@ def plan(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, times: in
 
 
 def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, times: int = TIMES) -> DataFrame:
-    """docs with source_size, target and `times_taken` (0 to `times`); the documents themselves are never shuffled."""
-    cuts = common.small(plan(docs, size, weights, share, times).withColumnRenamed("source", "_source"), 100_000)
+    """doc_id, source, size, source_size, target, times_taken (0 to `times`) and `_rest` (the other columns) of every document; the documents
+    themselves are never shuffled. size: a column of docs."""
+    used = ["doc_id", "source"]
+    own = common.aside(docs.withColumn("_size", size), used).withColumn("size", F.col("_rest._size"))
+    cuts = common.small(plan(own, F.col("size"), weights, share, times).withColumnRenamed("source", "_source"), 100_000)
     key = F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.col("doc_id"))
     served = F.coalesce(F.size(F.filter("cut", lambda c: key <= c)), F.lit(0))
     served = F.when(F.col("cut").isNull(), 0).otherwise(served)
-    return docs.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times_taken", served).drop("_source", "cut")
+    return own.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times_taken", served).drop("_source", "cut")
 
 
 def words(column: str = "text"):
@@ -94,8 +97,7 @@ def words(column: str = "text"):
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size"))
-    out = mix(docs, F.col("size"))
+    out = mix(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), words())
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times_taken")).alias("taken"))
 
 

@@ -176,6 +176,14 @@ def judge(stats: DataFrame, model: DataFrame, cut: float = CUT) -> DataFrame:
     return out.withColumn("kept", kept).drop("_lang", "_source", *[c for c in model.columns if c[0] in "cl" and c[1:].isdigit()])
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the columns of docs; the texts are read twice rather than written."""
+    used = ["doc_id", "text", "lang", "source"]
+    own = common.aside(docs, used)
+    model = fit(statistics(own.select(used)))
+    return common.back(judge(statistics(own), model).filter("kept"), docs, used)
+
+
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     stats = common.stage(statistics(docs).drop("text"), "quality-statistics")
