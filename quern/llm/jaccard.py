@@ -3,7 +3,7 @@
 Documents are sets of 5-word shingles; two link when their Jaccard similarity is at least 80 %.
 
 1. Identical word sequences become one representative (the smallest id).
-2. Similar representatives are gathered into groups: those that share a minimum hash are compared with the smallest of
+2. Similar representatives are gathered into groups: those that share a minimum hash are compared with one of
    them, and those that link form a group. Groups are cut into parts of about 48 members.
 3. The matrix has a row for each token and group: tokens are ordered with the frequent ones last, and a set of n needs
    only its first n - ceil(0.8 n) + 1 there, since sets that link share one of them. A document (query) meets the groups
@@ -190,7 +190,8 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
 
     # groups of similar representatives
     shared = reps.select("rid", "n", F.posexplode(F.array(*minima)).alias("k", "m"))
-    heads = shared.groupBy("k", "m").agg(F.min("rid").alias("head"), F.count("*").alias("c")).filter("c > 1")
+    chosen = F.min_by("rid", F.xxhash64(F.floor(F.col("k") / 2), F.col("rid")))  # two different ones of a large group
+    heads = shared.groupBy("k", "m").agg(chosen.alias("head"), F.count("*").alias("c")).filter("c > 1")
     pairs = shared.join(heads, ["k", "m"]).filter("rid <> head").groupBy("head", "rid").agg(F.min("n").alias("n"), F.max("c").alias("c"))
     sizes = reps.groupBy(F.col("rid").alias("head")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     pairs = pairs.join(sizes, "head").filter(f"100 * n >= {percent} * low and 100 * high >= {percent} * n")
@@ -224,9 +225,11 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         if not len(found) or turn == 2 or load <= LOAD * reps.count():
             break
         moved = np.union1d(moved, found)
-        now = matrix.join(F.broadcast(frequent), "token").select("rid")
-        touched = common.stage((now if touched is None else now.unionByName(touched)).distinct(), "touched")
-        fresh = reorder(docs, groups.join(touched, "rid"), moved, percent, width)
+        now = common.stage(matrix.join(F.broadcast(frequent), "token").select("rid").distinct(), "touched")
+        again = reorder(docs, groups.join(now, "rid"), moved, percent, width)
+        # the order of the others' first tokens is as before
+        fresh = again if fresh is None else fresh.join(common.small(now, SENT), "rid", "left_anti").unionByName(again)
+        touched = now if touched is None else now.unionByName(touched).distinct()
     matrix = common.stage(matrix.join(across.select("token"), "token"), "matrix")
     held = matrix.groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q, g = matrix.alias("q"), held.alias("g")
