@@ -144,12 +144,14 @@ def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: s
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long")
 
 
-def fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths with pieces left that sum to the gap exactly; the longest first part wins."""
-    if gap <= 0:
+def fill(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """One, two or three (at most `most`) lengths with pieces left that sum to the gap exactly; the longest first part wins."""
+    if gap <= 0 or not most:
         return None
     if left[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
     have = left > 0
 
     def pair(total: int, most: int) -> tuple[int, int] | None:
@@ -163,6 +165,8 @@ def fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
     if found := pair(gap, gap):
         return found
+    if most < 3:
+        return None
     for a in np.nonzero(have[1 : gap - 1])[0][::-1] + 1:
         if 3 * a < gap:
             break
@@ -177,7 +181,12 @@ def fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each; every counted piece has one place."""
+    """Patterns of lengths and how many sequences follow each; every counted piece has one place. Small parts spent early on exact triples
+    can be missed later where pieces are few, so the plans with triples, pairs, singles and best fit alone are made and the shortest is taken."""
+    return min((_plan(counts, room, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(room + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -186,7 +195,7 @@ def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...]
     for top in range(room, 0, -1):
         while left[top] > 0:
             left[top] -= 1
-            found = () if top == room else fill(left, room - top)
+            found = () if top == room else fill(left, room - top, most)
             left[top] += 1
             if found is None:
                 rest[top], left[top] = left[top], 0
