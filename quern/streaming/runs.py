@@ -48,7 +48,8 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 
 def run_states(events: DataFrame, timeout_s: int = TIMEOUT_S) -> DataFrame:
     """State of each run from its progress events (run_id, at, status, step): queued, running, done or failed. Final states don't change; a run
-    without news for `timeout_s` seconds of processing time fails."""
+    without news for `timeout_s` seconds of processing time fails. Timers keep a query alive: start it with a continuous or a single-batch
+    trigger, not with availableNow."""
 
     def step(run: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, steps = state.get if state.exists else ("queued", 0)

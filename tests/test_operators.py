@@ -154,7 +154,7 @@ def test_incremental_run(spark, tmp_path):
     schema = "k long, v double"
     source = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/src")
     work = lambda d: d.withColumn("failed", F.col("v") < 0)
-    run = lambda: runs.incremental(source(), f"{tmp_path}/store", f"{tmp_path}/log", "k", schema, work).awaitTermination()
+    run = lambda: runs.incremental(source(), f"{tmp_path}/store", f"{tmp_path}/log", "k", schema, work).awaitTermination(60)
     spark.createDataFrame([(1, 1.0), (2, -1.0)], schema).write.mode("append").parquet(f"{tmp_path}/src")
     run()
     spark.createDataFrame([(1, 9.0), (2, 2.0), (3, 3.0)], schema).write.mode("append").parquet(f"{tmp_path}/src")
@@ -167,6 +167,6 @@ def test_run_states(spark, tmp_path):
     schema = "run_id string, at long, status string"
     spark.createDataFrame([("a", 1, "running"), ("a", 2, "done"), ("a", 3, "running"), ("b", 1, "running")], schema).write.parquet(f"{tmp_path}/ev")
     states = runs.run_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/ev"))
-    query = states.writeStream.outputMode("update").format("memory").queryName("states").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = states.writeStream.outputMode("update").format("memory").queryName("states").trigger(once=True).start()
+    assert query.awaitTermination(60)
     assert {r["run_id"]: r["status"] for r in spark.sql("SELECT * FROM states").collect()} == {"a": "done", "b": "running"}
