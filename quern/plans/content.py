@@ -235,7 +235,7 @@ QUERIES = {
     "next_page_number": (next_page_number, f"WITH n AS (SELECT page_id, {_NORMAL} AS u, regexp_extract(url, '[?&](?:page|paged|pg|start|offset)=(\\d+)', 1) AS n FROM pages) SELECT page_id, {_without(', '.join(repr(x) for x in ('page', 'paged', 'pg', 'start', 'offset')))} AS view, CAST(n AS INTEGER) AS n FROM n WHERE n <> ''"),
     "soft_errors": (soft_errors, f"SELECT page_id, length({_MARKUP}) < 200 OR regexp_matches(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 'not found|introuvable|404') AS rejected FROM pages"),
     "props_json_extract": (props_json_extract, "WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, CAST(sum(k) AS BIGINT) AS total, max(k) AS most, count(*) FILTER (WHERE k IS NULL) AS missing FROM e GROUP BY 1"),
-    "fnv1a_id": (fnv1a_id, None),
+    "fnv1a_id": (fnv1a_id, "WITH h AS (SELECT c_custkey, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(c_name, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM customer) SELECT c_custkey, 'T' || lower(to_base(h, 36)) AS id FROM h"),
     "luhn_flag": (luhn_flag, "WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + 13 AS VARCHAR), 9, '0') AS s FROM orders), d AS (SELECT o_orderkey, list_transform(list_reverse(string_split(s, '')), lambda c, i: CASE WHEN i % 2 = 0 THEN (CASE WHEN CAST(c AS INTEGER) * 2 > 9 THEN CAST(c AS INTEGER) * 2 - 9 ELSE CAST(c AS INTEGER) * 2 END) ELSE CAST(c AS INTEGER) END) AS d FROM n) SELECT o_orderkey, list_sum(d) % 10 = 0 AS valid FROM d"),
     "record_digest": (record_digest, "SELECT c_custkey, sha256(c_name || '|' || c_nationkey || '|' || c_mktsegment) AS digest FROM customer"),
     "contact_fields": (contact_fields, r"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS m, len(regexp_extract_all(text, '\d{9,14}')) AS n FROM documents) SELECT doc_id, CAST(len(m) AS BIGINT) AS mails, CAST(n AS BIGINT) AS numbers, coalesce(array_to_string(list_sort(m)[1:6], ','), '') AS first_mails FROM d"),
