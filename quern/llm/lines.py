@@ -9,7 +9,7 @@ of doc_id, text hash and line number, has a Jaccard similarity of at least 80 %
    sets that match share a word there.
 3. Prefix words of a single set are dropped; sets that share one are candidates if the length filter and the positional
    filter allow it (from their first shared word on, each must have as many words left as the overlap needed).
-4. Candidates are verified on their whole sets, and each set learns the earliest position among those it matches.
+4. Candidates whose parity maps differ in too many bits are set aside; the rest are verified on their whole sets, and each set learns the earliest position among those it matches.
 
 Lines without words stay. A null text has no lines and stays null. Exactly repeated rows are one document and keep the same
 lines. A document that loses every line keeps its row, with an empty text. An empty table gives an empty result.
@@ -95,6 +95,14 @@ def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # whole sets of the candidates, from the texts again
     whole = exploded(docs.select("doc_id", "text")).join(common.small(wanted, SENT), F.col("pos") == F.col("first")).select("s1", "s2", "first", keys(F.col("line"), rank).alias("keys"))
     whole = common.stage(whole, "line-whole").dropDuplicates(["s1", "s2"])
+    # each bit that differs between two parity maps of 128 slots is a word that only one set has
+    slot = lambda high: F.aggregate("keys", F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.when(k.bitwiseAND(F.lit(64)) == high, F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    maps = common.stage(whole.select("s1", "s2", F.size("keys").alias("n"), slot(0).alias("m0"), slot(64).alias("m1")), "line-maps")
+    sides = [maps.select(*[F.col(c).alias(f"{side}{c[-1] if c[0] == 's' else c}") for c in maps.columns]) for side in "ab"]
+    pairs = pairs.join(sides[0], ["a1", "a2"]).join(sides[1], ["b1", "b2"])
+    differ = F.bit_count(F.col("am0").bitwiseXOR(F.col("bm0"))) + F.bit_count(F.col("am1").bitwiseXOR(F.col("bm1")))
+    pairs = pairs.filter((F.col("an") + F.col("bn") - differ) * (100 + percent) >= 2 * percent * (F.col("an") + F.col("bn"))).select("a1", "a2", "b1", "b2")
+    pairs = common.stage(pairs, "line-likely")
     x = whole.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("first").alias("fa"), F.col("keys").alias("ka"))
     y = whole.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("first").alias("fb"), F.col("keys").alias("kb"))
     both = pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).withColumn("n_both", F.size(F.array_intersect("ka", "kb")))
