@@ -1,11 +1,11 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum-covariance-determinant estimates. DataFrame functions only.
 
 Statistics of each text are turned into four features: log of the mean word length, and the arcsine square roots of the
-shares of symbols, repeated lines and repeated words. Texts that pass the base rules are grouped by language and source
-(groups of fewer than LEAST texts share one of their language, and those of too small languages one group). For
-each group, concentration steps start at medians and absolute deviations and keep the HALF of the texts nearest by
+shares of symbols, repeated lines and repeated words. Texts that pass the base rules are grouped by language and source.
+A pair of fewer than LEAST texts is judged by the estimate of all texts of its language, and one whose language has fewer by that
+of all texts, however few they are. For each group, concentration steps start at medians and absolute deviations and keep the HALF of the texts nearest by
 Mahalanobis distance; their mean and covariance, with the consistency factor and a floor for each feature, are the estimate.
-Texts whose squared distance is over CUT are rejected. A group of fewer than LEAST texts rejects none.
+Texts whose squared distance is over CUT are rejected. Every text that passes the base rules is judged.
 
 Medians and the nearest share come from counts in fine bins, so a group of any size costs a few hundred rows.
 
@@ -24,8 +24,8 @@ from quern.llm.common import let
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = r"[#*$%&|<>]+"
 FEATURES = ("f0", "f1", "f2", "f3")
-#: Least deviation of each feature that counts as one; texts of a group that have an estimate; share kept by the concentration steps, their number, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
-FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 200, 0.75, 3, 1.486, 23.51
+#: Least deviation of each feature that counts as one; texts from which a group has an estimate of its own; share kept by the concentration steps, their number, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
+FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 40, 0.75, 3, 1.486, 23.51
 #: Bins a unit of a feature, and of the logarithm of a distance; rows up to which estimates are broadcast.
 FINE, COARSE, SENT = 256, 64, 20_000
 
@@ -130,22 +130,24 @@ def distance(rows: DataFrame) -> DataFrame:
 
 
 def parts(rows: DataFrame) -> DataFrame:
-    """(lang, source, part, n) for the sources of the rows: the group of each, and its size."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("part", F.when(F.col("n") >= LEAST, F.to_json(F.struct("lang", "source"))))
-    rest = F.sum(F.when(F.col("part").isNull(), F.col("n"))).over(Window.partitionBy("lang"))
-    counts = counts.withColumn("part", F.coalesce("part", F.when(rest >= LEAST, F.to_json(F.struct("lang")))))
-    counts = counts.withColumn("part", F.coalesce("part", F.lit("rest")))
-    return counts.select("lang", "source", "part", F.sum("n").over(Window.partitionBy("part")).alias("n"))
+    """(lang, source, part, fits) for the sources of the rows: the group that judges each, and those whose estimates its texts are part of."""
+    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang")))
+    level = F.when(F.col("n") >= LEAST, 2).when(F.col("of_lang") >= LEAST, 1).otherwise(0)
+    pair, lang, whole = (F.to_json(F.struct(F.lit(k).alias("level"), *names)) for k, names in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])))
+    counts = common.stage(counts.withColumn("level", level), "quality-sizes")
+    pooled = F.max(F.col("level") == 1).over(Window.partitionBy("lang"))
+    any_small = bool(counts.filter("level = 0").head(1))
+    fits = F.array_compact(F.array(F.when(F.col("level") == 2, pair), F.when(pooled, lang), F.when(F.lit(any_small), whole)))
+    return counts.select("lang", "source", F.when(F.col("level") == 2, pair).when(F.col("level") == 1, lang).otherwise(whole).alias("part"), fits.alias("fits"))
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """The estimate (c0.., l00..) for each (lang, source) whose group is large enough."""
+    """The estimate (c0.., l00..) for each (lang, source) that has texts past the base rules."""
     rows = features(stats.filter(~F.col("base_failed"))).select("lang", "source", *FEATURES)
     rows = common.stage(rows, "quality-features")
     groups = common.stage(parts(rows), "quality-groups")
-    known = common.small(groups.filter(F.col("n") >= LEAST), SENT).alias("g")
-    rows = rows.alias("r").join(known, F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source"))).select("part", *FEATURES)
+    known = common.small(groups.drop("part"), SENT).alias("g")
+    rows = rows.alias("r").join(known, F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source"))).select(F.explode("fits").alias("part"), *FEATURES)
     centre = _named(rows, "c", lambda k: F.round(F.col(FEATURES[k]) * FINE))
     centre = common.stage(centre, "quality-centre")
     spread = _named(rows.join(common.small(centre, SENT), "part"), "s", lambda k: F.round(F.abs(F.col(FEATURES[k]) - F.col(f"c{k}")) * FINE))
@@ -164,11 +166,11 @@ def fit(stats: DataFrame) -> DataFrame:
         moments = near.groupBy("part").agg(*means, *covs)
         factor = _lower(lambda i, j: F.col(f"v{i}{j}") * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0))
         model = common.stage(_with(moments, factor).select(columns), "quality-model")
-    return common.stage(groups.filter(F.col("n") >= LEAST).drop("n").join(model, "part"), "quality-estimates")
+    return common.stage(groups.drop("fits").join(model, "part"), "quality-estimates")
 
 
 def judge(stats: DataFrame, model: DataFrame, cut: float = CUT) -> DataFrame:
-    """stats with d2 (null without an estimate) and kept."""
+    """stats with d2 (null where no text of the language and source passes the base rules) and kept."""
     m = common.small(model.drop("part").withColumnsRenamed({"lang": "_lang", "source": "_source"}), SENT)
     out = features(stats).join(m, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     out = distance(out)

@@ -63,6 +63,23 @@ def test_quality_verdicts(spark, odd):
     assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 310))
 
 
+def test_quality_small_groups(spark):
+    r = random.Random(2)
+    text = lambda low, high: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(low, high))) for _ in range(r.randint(60, 200)))
+    junk = " ".join("x%d&&&*** $$$%d" % (k, k) for k in range(40))
+    sizes = {("en", "own"): 60, ("en", "few"): 12, ("en", None): 60, ("xx", "rare"): 6, (None, None): 5}
+    rows = [(lang, source, text(2, 8)) for (lang, source), n in sizes.items() for _ in range(n)]
+    docs = [(k, *x, True) for k, x in enumerate(rows)] + [(1000 + k, *x, junk, False) for k, x in enumerate(sizes)]
+    for part in (docs, [x for x in docs if x[1] == "xx"]):  # the second has 7 texts in all
+        stats = quality.statistics(spark.createDataFrame(part, "doc_id long, lang string, source string, text string, clean boolean"))
+        got = quality.judge(stats, quality.fit(stats)).collect()
+        assert all(x["d2"] is not None for x in got if not x["base_failed"]) and not any(x["base_failed"] for x in got)
+        assert {x["doc_id"] for x in got if not x["kept"]} == {x["doc_id"] for x in got if not x["clean"]}
+    groups = quality.fit(quality.statistics(spark.createDataFrame(docs, "doc_id long, lang string, source string, text string, clean boolean"))).collect()
+    own = {(x["lang"], x["source"]): x["part"] for x in groups}
+    assert len(set(own.values())) == 4 and own["xx", "rare"] == own[None, None]
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
