@@ -8,7 +8,9 @@ of what is left are packed. SQL can't express the robust estimates of the first
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common, jaccard, lines, mixing, packing, quality
@@ -23,12 +25,22 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words are similar to none and stay; a null id is in no group and stays."""
+    """Documents without words are similar to none and stay; a null id is in no group and stays. Rows that share an id are one
+    document, as in the join: they go together, and where they stay, of those with the same words one does, the first by all columns."""
     found = common.stage(jaccard.join(docs), "pipeline-components")
-    gone = common.small(found.filter("component_id <> doc_id").select("doc_id").distinct(), 400_000)
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").head(1)
-    return (out.dropDuplicates(["doc_id"]) if repeated else out).select(docs.columns)
+    gone = common.small(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), 400_000)
+    wordy = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    out = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & wordy, "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_twice"))
+    repeated = common.stage(repeated, "pipeline-repeated")
+    if not repeated.head(1):
+        return out
+    ids = common.small(repeated, 400_000)
+    again = (F.col("doc_id") == F.col("_twice")) & wordy
+    key = F.sha2(F.array_join(quality.words(F.translate("text", string.ascii_uppercase, string.ascii_lowercase)), " "), 256)
+    first = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(*docs.columns))
+    once = out.join(ids, again, "left_anti")
+    return once.unionByName(out.join(ids, again, "left_semi").withColumn("_k", first).filter("_k = 1").drop("_k"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

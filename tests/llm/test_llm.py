@@ -203,6 +203,36 @@ def test_html():
     assert train_html.accuracy(html.labeller().w, 60) > 0.97
 
 
+def test_pipeline_documents(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    a, b, c = (" ".join(f"{x}{r.randint(0, 400)}" for _ in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (3, b), (3, b.upper()), (3, c), (3, None), (2, "  "), (4, None), (4, None), (None, a), (None, a), (None, None), (5, "one"), (6, b + " end")]
+
+    def kept(rows):
+        text = lambda t: tuple((t or "").lower().split())
+        grams = [{w[i : i + 5] for i in range(len(w) - 4)} if len(w) > 4 else {w} if w else set() for w in (text(t) for _, t in rows)]
+        label = {k: k for k, _ in rows if k}
+        for (x, s), (y, t) in itertools.permutations([(k, g) for (k, _), g in zip(rows, grams, strict=True) if k and g], 2):
+            if 100 * len(s & t) >= 80 * len(s | t):
+                label = {k: min(label[x], label[y]) if v in (label[x], label[y]) else v for k, v in label.items()}
+        out, seen = [], set()
+        for k, t in sorted(rows, key=lambda x: (x[0] or 0, x[1] or "")):
+            if k and text(t):
+                if label[k] < k or (k, text(t)) in seen:
+                    continue
+                seen.add((k, text(t)))
+            out.append((k, t))
+        return sorted(out, key=str)
+
+    for own in (rows, [x for x in rows if x[0] not in (2, 3, 4)]):  # the second has no repeated id
+        docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in own], "doc_id long, text string, n_chars int")
+        got = corpus_pipeline.dedupe_documents(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == kept(own)
+
+
 def test_jaccard(spark, odd):
     r = random.Random(9)
     base = [[f"t{r.randint(0, 400)}" for _ in range(r.randint(3, 60))] for _ in range(12)]
