@@ -8,7 +8,8 @@ page order by a space.
 
 The weights are trained by train_html.py on synthetic pages of many layouts and lie beside this module. Scripts, styles,
 comments and markup are never text. A null or empty page gives an empty text; broken markup is read as far as it
-goes: an unclosed tag ends with its parent, a stray closing tag is ignored, an unclosed comment or script runs to the end. Repeated
+goes: an unclosed tag ends with its parent, a stray closing tag is ignored, an unclosed comment, script or style runs to the end. The
+head's own tags are ignored, since both may be left out; so is the tag of any other silent element that is never closed, but a title, which ends at the next tag. Repeated
 rows are read each. Pages are labelled in batches of like length, so that padding is small and memory bounded.
 """
 
@@ -37,10 +38,11 @@ BATCH = 16_384
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Elements that stand inside a line, that have no content, that aren't text, and that an opening element of their kind closes.
+#: Elements that stand inside a line, that have no content, that aren't text, that hold no markup, and that an opening element of their kind closes.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title".split())
+SILENT = frozenset("script style noscript template svg math title".split())
+RAW = frozenset("script style".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -50,6 +52,18 @@ def _path_slot(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATHS
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of this tag starts and ends; an unclosed one doesn't take the end tag of a later one."""
+    found, waiting = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                waiting.append(m.start())
+        elif waiting:
+            found[waiting.pop()] = m.end()
+    return found
+
+
 class Block:
     __slots__ = ("path", "parts", "linked")
 
@@ -64,6 +78,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[Block] = []
     now: Block | None = None
     links = at = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def add(text: str) -> None:
         nonlocal now
@@ -83,7 +98,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or tag == "head":
             continue
         if m[1]:
             if tag in INLINE:
@@ -97,8 +112,16 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             links = 0
             continue
         if tag in SILENT and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            if (end := ends[tag].get(m.start())) is not None:
+                at = end
+            elif tag == "title":
+                at = k if (k := page.find("<", at)) >= 0 else len(page)
             continue
         if tag in INLINE:
             links += tag == "a"

@@ -203,6 +203,13 @@ def test_html():
     assert train_html.accuracy(html.labeller().w, 60) > 0.97
 
 
+def test_html_unclosed():
+    story = '<nav><a href="/">Home</a></nav><article><h1>A &amp; B</h1><p>First   one.<br>Two<p>Last &lt;x&gt; one.</article><footer>&copy; c</footer>'
+    for start in ("<html><head><title>x</title><body>", "<head><title>x<body>", "<svg><path>", "<noscript><img src=x>", "<template>", "<math>"):
+        assert html.texts([start + story, start + story + "<svg><title>t</title></svg><noscript>n</noscript>"]) == ["A & B First one. Two Last <x> one."] * 2
+    assert [b[1] for b in html.blocks("<p>a</p><svg><svg></svg><text>b</text></svg><svg-icon>c</svg-icon><p>d</p>")] == ["a", "c", "d"]
+
+
 def test_pipeline_documents(spark):
     import corpus_pipeline
 
