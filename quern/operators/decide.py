@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb
 
 import pandas as pd
@@ -75,6 +74,29 @@ def risks(rows: DataFrame, tender: str) -> DataFrame:
     return rows.groupBy(tender).agg(F.array_join(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()])), ",").alias("risks"))
 
 
+def _first_team(able: list[list[bool]], need: list[int], size: int) -> list[int] | None:
+    """The first combination of `size` persons, in order, that meets every need; branches that can't are left. Those with most roles come first."""
+    after = [[0] * len(need)]  # able persons from each place on
+    for row in reversed(able):
+        after.append([n + x for n, x in zip(after[-1], row, strict=True)])
+    after.reverse()
+    most = [sum(row) for row in able]
+
+    def search(start: int, size: int, left: list[int]) -> list[int] | None:
+        total = sum(left)
+        if not size:
+            return None if total else []
+        for k in range(start, len(able) - size + 1):
+            if total > size * most[k] or any(n > size or n > m for n, m in zip(left, after[k], strict=True)):
+                return None
+            rest = search(k + 1, size - 1, [n - (n > 0 and x) for n, x in zip(left, able[k], strict=True)])
+            if rest is not None:
+                return [k, *rest]
+        return None
+
+    return search(0, size, need)
+
+
 def smallest_team(slots: DataFrame, tender: str, most: int = 200_000) -> DataFrame:
     """slots: (tender, role, person, rank, needed). The fewest persons that fill every role, exactly while the combinations of a size are
     at most `most`, else greedily by most unfilled needs; the problem is NP-hard and its input is one tender's candidates."""
@@ -84,7 +106,6 @@ def smallest_team(slots: DataFrame, tender: str, most: int = 200_000) -> DataFra
         need = {role: min(int(g["needed"].iloc[0]), len(able[role])) for role, g in pdf.groupby("role")}
         best = pdf.groupby("person")["rank"].min().to_dict()
         people = sorted(best, key=lambda p: (-sum(p in a for a in able.values()), best[p], p))
-        fits = lambda team: all(len(able[r].intersection(team)) >= n for r, n in need.items())
         team, exact = None, True
         for size in range(max(need.values(), default=0), len(people) + 1):
             if comb(len(people), size) > most:
@@ -94,7 +115,8 @@ def smallest_team(slots: DataFrame, tender: str, most: int = 200_000) -> DataFra
                     team.append(pick)
                     left = {r: max(0, n - (pick in able[r])) for r, n in left.items()}
                 break
-            team = next((list(c) for c in combinations(people, size) if fits(c)), None)
+            team = _first_team([[p in a for a in able.values()] for p in people], [need[r] for r in able], size)
+            team = team and [people[k] for k in team]
             if team is not None:
                 break
         return pd.DataFrame({tender: [pdf[tender].iloc[0]], "size": [len(team or [])], "team": [",".join(map(str, sorted(team or [])))], "exact": [exact]})

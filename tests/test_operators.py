@@ -1,7 +1,9 @@
 """Tiny frames with exact rows."""
 
 import datetime as dt
+import itertools
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quern.functions import text as T
 from quern.operators import dates, decide, market, quality, rank, retrieval
 from quern.sources import readers, sinks
 from quern.streaming import runs
+from tests.conftest import SF
 
 
 def one(spark, column):
@@ -106,6 +109,25 @@ def test_smallest_team(spark):
     assert (r["size"], r["team"], r["exact"]) == (2, "1,3", True)
 
 
+def test_first_team_equals_brute_force():
+    r = random.Random(6)
+    for _ in range(300):
+        able = sorted(([r.random() < 0.4 for _ in range(4)] for _ in range(r.randint(1, 9))), key=lambda x: -sum(x))
+        need = [min(2, sum(x[k] for x in able)) for k in range(4)]
+        for size in range(5):
+            whole = (list(c) for c in itertools.combinations(range(len(able)), size) if all(sum(able[p][k] for p in c) >= n for k, n in enumerate(need)))
+            assert decide._first_team(able, need, size) == next(whole, None)
+
+
+def test_team_set_cover_keeps_the_default(spark, monkeypatch):
+    from quern.plans import decisions
+
+    asked = []
+    monkeypatch.setattr(decisions.D, "smallest_team", lambda *a, **k: asked.append((len(a), k)))
+    decisions.team_set_cover(spark, SF)
+    assert asked == [(2, {})]
+
+
 def test_project_score(spark):
     score = rank.project_score(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a")), F.lit(3.5), F.lit("software"), F.lit("saas"))
     assert one(spark, score) == 55.0
