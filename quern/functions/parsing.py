@@ -12,20 +12,26 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-#: Number words of two languages; words of negation.
+#: Number words of two languages; those of them that a quote must hold; words of negation.
 NUMBERS = {w: n for n, ws in enumerate("zero|one un une|two deux|three trois|four quatre|five cinq|six|seven sept|eight huit|nine neuf|ten dix|eleven onze|twelve douze|thirteen treize|fourteen quatorze|fifteen quinze|sixteen seize".split("|")) for w in ws.split()}
 TENS = {"twenty": 20, "vingt": 20, "thirty": 30, "trente": 30, "forty": 40, "quarante": 40, "fifty": 50, "cinquante": 50, "sixty": 60, "soixante": 60, "hundred": 100, "cent": 100}
+ANCHORS = frozenset("deux trois quatre cinq six sept huit neuf dix onze douze quinze vingt trente quarante cinquante cent mille two three four five seven eight nine ten twelve fifteen twenty thirty forty fifty hundred thousand".split())
+DIGITS = frozenset("0123456789")
 NEGATIONS = frozenset("ne n pas non sans aucun aucune jamais ni not no never without nor".split())
 
 
 def quoted(quote: str | None, text: str | None, share: float = 0.85) -> bool:
-    """A folded quote of three words or more is in a folded text: word for word, or so that a window of the text holds at least `share` of
-    its words in order, with every number of the quote and no negation that the quote lacks."""
+    """A folded quote of three words or more is in a folded text: word for word, or without spaces where no number at an end goes on, or so that a
+    window of the text holds at least `share` of its words in order, with every number of the quote, in digits or words, and no negation that the quote lacks."""
     want, have = (quote or "").split(), (text or "").split()
     if len(want) < 3:
         return False
     if f" {' '.join(want)} " in f" {' '.join(have)} ":
         return True
+    glued, whole = "".join(want), "".join(have)
+    before, behind = "(?<![0-9])" if glued[0] in DIGITS else "", "(?![0-9])" if glued[-1] in DIGITS else ""
+    if glued in whole and re.search(before + re.escape(glued) + behind, whole):
+        return True
     places: dict[str, list[int]] = {}
     for k, w in enumerate(have):
         places.setdefault(w, []).append(k)
@@ -42,7 +48,7 @@ def quoted(quote: str | None, text: str | None, share: float = 0.85) -> bool:
                 else:
                     skipped += have[at + 1 : k]
                     at, hits = k, hits + 1
-            if hits >= need and not any(w.isdigit() or w in NEGATIONS for w in lost) and not NEGATIONS.intersection(skipped):
+            if hits >= need and not any(w in ANCHORS or w in NEGATIONS or DIGITS.intersection(w) for w in lost) and not NEGATIONS.intersection(skipped):
                 return True
     return False
 

@@ -128,6 +128,28 @@ def test_team_set_cover_keeps_the_default(spark, monkeypatch):
     assert asked == [(2, {})]
 
 
+def test_quotes_glued_and_number_words():
+    text = "we need three senior engineers who have shipped data platforms before"
+    assert P.quoted("three senior engineers", "the threesenior engin eers here")
+    assert not P.quoted("three senior 5", "we need threesenior 55 of them") and P.quoted("three senior 5", "threesenior 55 threesenior 5")
+    assert not P.quoted(text.replace("three", "trois"), text.replace("three", "deux"))
+
+
+def test_quotes_equal_brute_force(spark):
+    from quern.plans import documents
+
+    r = random.Random(8)
+    base = [[f"w{r.choice('abcdefgh')}{r.choice('abcdefgh')}" for _ in range(n)] for n in (3, 4, 7, 12, 20, 33, 40)]
+    texts = ["x " + " ".join(q) + " y" for q in base] + ["x" + "".join(q) + "y" for q in base] + ["", "one", "a b c"]
+    for q in base:
+        for _ in range(12):
+            texts.append(" ".join(x for w in q for x in ([] if r.random() < 0.05 else ["zz"] if r.random() < 0.06 else [w, "yy"] if r.random() < 0.1 else [w])))
+    quotes = [(k, " ".join(q)) for k, q in enumerate(base)] + [(90, "a b"), (91, "")]
+    got = documents.fuzzy_pairs(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")).filter("quoted").collect()
+    want = {(k, d) for k, q in quotes for d, t in enumerate(texts) if P.quoted(q, t)}
+    assert {(x["item_id"], x["doc_id"]) for x in got} == want and len(want) > 40
+
+
 def test_project_score(spark):
     score = rank.project_score(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a")), F.lit(3.5), F.lit("software"), F.lit("saas"))
     assert one(spark, score) == 55.0
