@@ -8,7 +8,7 @@ one window per query merges.
 
 Queries are broadcast in blocks of at most QUERIES, each with a pass over the candidates, so neither side is ever held
 whole. Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id;
-vectors are only compared with others of their length; repeated rows are candidates each; ties go to the smaller id.
+vectors are only compared with others of their length; repeated rows are candidates each, and the hits of all query rows that share an id are pooled; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = max(1, -(-queries.count() // QUERIES))
     parts = []
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).toPandas()
+        own = queries.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).toPandas()
         if not len(own):
             continue
         asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}

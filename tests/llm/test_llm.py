@@ -148,6 +148,20 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_repeated_queries(spark):
+    import duckdb
+
+    r = random.Random(7)
+    rows = [(k, [r.gauss(0, 1) for _ in range(n)]) for k, n in [(0, 6), (0, 6), (0, 5), (100, 6), *((k, 5 + k % 2) for k in range(1, 90))]]
+    vectors = spark.createDataFrame(rows + rows[3:5], "vec_id long, embedding array<float>")
+    got = topk.top_k(vectors, vectors.filter("vec_id % 100 = 0")).collect()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", [[x["vec_id"], list(x["embedding"])] for x in vectors.collect()])
+    theirs = c.execute(topk.OP4_SQL).fetchall()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == sorted(theirs) and len(theirs) == 20
+
+
 def test_lines(spark, odd):
     r = random.Random(5)
     base = [[r.choice("abcdefghijklmnopqrst") * r.randint(1, 3) for _ in range(r.randint(1, 14))] for _ in range(60)]
