@@ -5,14 +5,20 @@ of doc_id, text hash and line number, has a Jaccard similarity of at least 80 %
 
 1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then another hash. A word becomes one long
    whose high bits are its bucket's rank and whose low ones are that hash, so that sorting longs sorts by rarity.
-2. Lines with the same set are one set, with the position of the first. Its first n - ceil(0.8 n) + 1 words are its prefix;
-   sets that match share a word there.
-3. Prefix words of a single set are dropped; sets that share one are candidates if the length filter and the positional
-   filter allow it (from their first shared word on, each must have as many words left as the overlap needed).
-4. Candidates whose parity maps differ in too many bits are set aside; the rest are verified on their whole sets, and each set learns the earliest position among those it matches.
-
-Lines without words stay. A null text has no lines and stays null. Exactly repeated rows are one document and keep the same
-lines. A document that loses every line keeps its row, with an empty text. An empty table gives an empty result.
+2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
+   n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
+   n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
+3. Words in the prefixes of many sets are hot. Each set with a hot word is compared with the earliest set that has the word. What
+   matches goes, so that of a group of near copies few sets are left to be paired.
+4. Prefixes meet short prefixes by word, and by word and length class where the word is hot. A pair whose later set has
+   gone already, or that fails the length filter, the positional filter (from this word on, both must have as many words as
+   the overlap needed) or the parity filter (bits that differ between maps are words of one set only) is no candidate.
+5. Candidates are verified on their whole sets, read from the texts again.
+
+Lines without words stay. A null text has no lines and stays null. A null doc_id comes first in the order. Exactly repeated
+rows are one document and keep the same lines. A document that loses every line keeps its row, with an empty text. Ties of doc_id
+are ordered by the text's hash. A line of any length is one set; its prefix, a fifth of its words, is one row until it is
+exploded. Columns of any name beside doc_id and text are kept aside. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +29,13 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; rows up to which a list is broadcast.
-BITS, SENT = 16, 400_000
+#: Bits of a word's hash that choose its bucket; sets from whose number on a prefix word is hot; rows up to which a list is broadcast.
+BITS, HOT, SENT = 16, 64, 200_000
 
 
 def words(text: Column) -> Column:
     """Words of a text. Other white space becomes spaces first, which Java splits at without a regular expression."""
-    plain = F.when(text.rlike(r"[\x09-\x0D]"), F.translate(text, "\t\n\x0b\f\r", "     ")).otherwise(text)
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\n\x0b\f\r", "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
     return F.array_remove(F.split(plain, " "), "")
 
 
@@ -55,68 +61,92 @@ def keys(line: Column, rank: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 
+def parity(keys: Column, half: int) -> Column:
+    """One half of a map of 128 bits, with the bit of each word flipped."""
+    mine = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) if half else F.shiftright(F.bitwise_not(k), 6).bitwiseAND(F.lit(1))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", mine(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def exploded(docs: DataFrame) -> DataFrame:
     """(pos, line) of every line with a word; pos is (doc_id, text hash, line number)."""
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.filter(F.col("line").rlike(common.WORD)).select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
 
 
-def earliest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(pos, early) of the lines to remove: early is the position of an earlier line that matches."""
+def needed(a: str, b: str, percent: int) -> Column:
+    """Words that two sets of these sizes must share."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+
+
+def verified(docs: DataFrame, rank: Column, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2) of the later set of each pair (a, b) of s1 that is similar."""
+    asked = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
+    wanted = common.stage(sets.select("s1", "s2", "first").join(asked, "s1"), "line-wanted")
+    whole = exploded(docs).join(common.small(wanted, SENT), F.col("pos") == F.col("first")).select("s1", "s2", "first", keys(F.col("line"), rank).alias("keys"))
+    whole = common.stage(whole, "line-whole").dropDuplicates(["s1", "s2"])
+    x, y = (whole.select(F.col("s1").alias(k), F.struct("s1", "s2").alias(f"{k}s"), F.col("first").alias(f"{k}f"), F.col("keys").alias(f"{k}k")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("n_both", F.size(F.array_intersect("ak", "bk")))
+    links = both.filter(100 * F.col("n_both") >= percent * (F.size("ak") + F.size("bk") - F.col("n_both")))
+    found = links.select(F.when(F.col("af") < F.col("bf"), F.col("bs")).otherwise(F.col("as")).alias("s")).select("s.*").distinct()
+    found = common.stage(found, "line-near")
+    for used in (wanted, whole):
+        common.discard(used)
+    return found
+
+
+def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2) of the sets that an earlier set matches."""
+    sets = sets.withColumn("doc", F.coalesce("first.doc_id", F.lit(-(2**63))))
+    held = sets.select("s1", "doc", "n", "m0", "m1", F.posexplode("prefix").alias("i", "w"))
+    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    differ = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
+    fits = (
+        (F.col("a.s1") != F.col("b.s1")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
+        & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= needed("a.n", "b.n", percent))
+        & (differ <= F.col("a.n") + F.col("b.n") - 2 * needed("a.n", "b.n", percent))
+    )
+    hot = held.groupBy("w").agg(F.count("*").alias("c"), F.min("doc").alias("head")).filter(F.col("c") >= HOT).select("w", "head")
+    hot = common.small(common.stage(hot, "line-hot"), SENT)
+    crowd = common.stage(held.join(hot, "w"), "line-crowd")
+    heads = crowd.filter("doc = head")
+    met = crowd.alias("a").join(heads.alias("b"), (F.col("a.w") == F.col("b.w")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & fits)
+    met = common.stage(met.select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).distinct(), "line-met")
+    gone = verified(docs, rank, met, sets, percent)
+    common.discard(crowd)
+    # those left, as the later of a pair
+    closed = common.small(gone.select("s1").distinct().withColumn("closed", F.lit(True)), SENT)
+    step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+    held = sets.join(closed, "s1", "left").select("s1", "doc", "n", "m0", "m1", F.col("closed").isNull().alias("open"), step.alias("step"), F.posexplode("prefix").alias("i", "w"))
+    hot = hot.select("w", F.lit(True).alias("hot"))
+    a = held.join(hot, "w", "left").withColumn("step", F.when(F.col("hot"), F.col("step")).otherwise(-1)).drop("hot").alias("a")
+    b = held.filter(short).join(hot, "w", "left").withColumn("step", F.explode(F.when(F.col("hot"), F.array("step", F.col("step") + 1)).otherwise(F.array(F.lit(-1))))).drop("hot").alias("b")
+    order = F.struct("b.n", "b.s1") < F.struct("a.n", "a.s1")
+    later = (F.col("a.open") & (F.col("b.doc") <= F.col("a.doc"))) | (F.col("b.open") & (F.col("a.doc") <= F.col("b.doc")))
+    pairs = a.join(b.hint("shuffle_hash"), (F.col("a.w") == F.col("b.w")) & (F.col("a.step") == F.col("b.step")) & order & later & fits)
+    pairs = common.stage(pairs.select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).distinct(), "line-pairs")
+    return gone.unionByName(verified(docs, rank, pairs, sets, percent))
+
+
+def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pos of the lines to remove."""
     rank = ranks(docs)
     lines = exploded(docs).select("pos", keys(F.col("line"), rank).alias("keys"))
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
-    lines = lines.select("pos", *ids, size.alias("n"), F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
+    lines = lines.select("pos", *ids, size.alias("n"), *[parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)], F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
     lines = common.stage(lines, "lines")
-    sets = common.stage(lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), F.min("n").alias("n")), "line-sets")
-    # one row of each set carries the prefix
-    own = lines.alias("l").join(sets.alias("s"), (F.col("l.s1") == F.col("s.s1")) & (F.col("l.s2") == F.col("s.s2")) & (F.col("l.pos") == F.col("s.first"))).select("l.s1", "l.s2", "l.n", "prefix").dropDuplicates(["s1", "s2"])
-    own = common.stage(own, "line-prefixes")
-    held = own.select("s1", "s2", "n", F.posexplode("prefix").alias("i", "w"))
-    # of two sets that match, the smaller shares one of its first n - ceil(2p / (1 + p) n) + 1 words
-    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    shared = held.groupBy("w").agg(F.count("*").alias("c"), F.bool_or(short).alias("short")).filter("c > 1 and short").select("w")
-    shared = common.small(common.stage(shared, "line-words"), SENT)
-    held = common.stage(held.join(shared, "w"), "line-matrix")
-    common.discard(own)
-    a, b = held.alias("a"), held.filter(short).alias("b")
-    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-    after = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    filters = (
-        (F.struct("b.n", "b.s1", "b.s2") < F.struct("a.n", "a.s1", "a.s2")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-        & (after >= overlap)
-    )
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & filters).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("b.s1").alias("b1"), F.col("b.s2").alias("b2")).distinct()
-    pairs = common.stage(pairs, "line-pairs")
-    common.discard(held)
-    wanted = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
-    wanted = common.stage(sets.join(wanted, ["s1", "s2"]).select("s1", "s2", "first"), "line-wanted")
-    # whole sets of the candidates, from the texts again
-    whole = exploded(docs.select("doc_id", "text")).join(common.small(wanted, SENT), F.col("pos") == F.col("first")).select("s1", "s2", "first", keys(F.col("line"), rank).alias("keys"))
-    whole = common.stage(whole, "line-whole").dropDuplicates(["s1", "s2"])
-    # each bit that differs between two parity maps of 128 slots is a word that only one set has
-    slot = lambda high: F.aggregate("keys", F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.when(k.bitwiseAND(F.lit(64)) == high, F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
-    maps = common.stage(whole.select("s1", "s2", F.size("keys").alias("n"), slot(0).alias("m0"), slot(64).alias("m1")), "line-maps")
-    sides = [maps.select(*[F.col(c).alias(f"{side}{c[-1] if c[0] == 's' else c}") for c in maps.columns]) for side in "ab"]
-    pairs = pairs.join(sides[0], ["a1", "a2"]).join(sides[1], ["b1", "b2"])
-    differ = F.bit_count(F.col("am0").bitwiseXOR(F.col("bm0"))) + F.bit_count(F.col("am1").bitwiseXOR(F.col("bm1")))
-    pairs = pairs.filter((F.col("an") + F.col("bn") - differ) * (100 + percent) >= 2 * percent * (F.col("an") + F.col("bn"))).select("a1", "a2", "b1", "b2")
-    pairs = common.stage(pairs, "line-likely")
-    x = whole.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("first").alias("fa"), F.col("keys").alias("ka"))
-    y = whole.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("first").alias("fb"), F.col("keys").alias("kb"))
-    both = pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).withColumn("n_both", F.size(F.array_intersect("ka", "kb")))
-    links = both.filter(100 * F.col("n_both") >= percent * (F.size("ka") + F.size("kb") - F.col("n_both")))
-    later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2"), F.col("fa").alias("early"))).otherwise(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("fb").alias("early")))
-    near = common.stage(links.select(later.alias("x")).select("x.*").groupBy("s1", "s2").agg(F.min("early").alias("early")), "line-near")
-    found = sets.join(near, ["s1", "s2"], "left").filter("times > 1 or early is not null").select("s1", "s2", F.least("first", "early").alias("early"))
+    sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("m1").alias("m1"), F.first("prefix").alias("prefix"))
+    sets = common.stage(sets, "line-sets")
+    gone = near(docs, rank, sets, percent).withColumn("near", F.lit(True))
+    found = sets.select("s1", "s2", "first", "times").join(gone, ["s1", "s2"], "left").filter("times > 1 or near").select("s1", "s2", "first", "near")
     found = common.small(common.stage(found, "line-found"), SENT)
-    return lines.select("pos", "s1", "s2").join(found, ["s1", "s2"]).filter("early < pos").select("pos", "early")
+    common.discard(sets)
+    return lines.select("pos", "s1", "s2").join(found, ["s1", "s2"]).filter("near or first < pos").select("pos")
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, th, gone): numbers of the lines to remove, of each document that has any."""
-    out = earliest(docs, percent).select("pos.*").distinct()
+    out = later(docs, percent).select("pos.*").distinct()
     return common.stage(out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "lines-removed")
 
 
