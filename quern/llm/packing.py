@@ -7,12 +7,15 @@ most `room` counts, whatever the number of documents:
 1. the longest length left takes the single length, pair or triple of lengths that fills its gap exactly, as many
    times as the counts allow (longest parts first), again and again;
 2. what no combination fills is packed best-fit: each length, longest first, goes to the bin with the
-   least sufficient room, equal bins being handled together.
+   least sufficient room, equal bins being handled together. Where few small parts are left for that, the last exact
+   combinations are given back to it.
 
 Each piece then finds its place by its rank among the pieces of its length. Ranks come from counts of (task, length),
 so no task sees all pieces of one length.
 
-Null and empty texts are the end id alone. Repeated rows are packed each. An empty table gives an empty result.
+Null and empty texts are the end id alone. Repeated rows are packed each; a null doc_id stays null. A text of any length is
+tokenised whole and cut into pieces; a worker holds one slice of texts, or one long text, at a time. Equal lengths are
+placed in the order of task and row. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +40,8 @@ ROOM, END_ID = 2048, 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: In a text, this is one special token.
 SPECIAL = "<|endoftext|>"
-#: Entries of each worker's cache of tokenised words.
-CACHE = 250_000
+#: Bytes of each of the two generations of a worker's cache of tokenised words; characters of the texts that it tokenises at a time.
+CACHE, SLICE = 16_000_000, 400_000
 
 #: Runs of white space that would be cut in the middle by cutting the text at spaces and line ends.
 _RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -47,9 +51,10 @@ class Words:
     """Tokenises texts word by word.
 
     The vocabulary never joins what a single space or line end separates, so a text's ids are those of its words,
-    each with the space before it; a batch's words that aren't in the cache are tokenised in one text, a
+    each with the space before it; the words of some texts that aren't in the cache are tokenised in one text, a
     line each, by an encoder of the same vocabulary that is four times faster on unseen words. A text with other
-    white space around a word, or with the special token, is tokenised whole.
+    white space around a word, or with the special token, is tokenised whole. The cache has two generations: when the
+    younger is full it becomes the older, and what is asked for again moves back.
     """
 
     def __init__(self, file: str, ranks: str = RANKS):
@@ -61,8 +66,9 @@ class Words:
             pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.cache: dict[str, bytes] = {"": self.pack(" "), "\n": self.pack("\n")}
-        self.line = self.cache["\n"]
+        self.base: dict[str, bytes] = {"": self.pack(" "), "\n": self.pack("\n")}
+        self.cache, self.older, self.size = dict(self.base), {}, 0
+        self.line = self.base["\n"]
         self.splits = len(self.line) == 4
 
     def pack(self, text: str) -> bytes:
@@ -85,18 +91,16 @@ class Words:
             if words:
                 seen.update(words[1:])
         missing = seen.difference(self.cache)
+        again = {w: self.older[w] for w in missing if w in self.older}
+        missing = missing.difference(again)
         odd = {w for w in missing if w.removeprefix("\n").strip() != w.removeprefix("\n")}
         inner, first = [w for w in missing - odd if w[:1] != "\n"], [w[1:] for w in missing - odd if w[:1] == "\n"]
-        new = (self.learn(inner, " ", b"") if inner else {}) | (self.learn(first, "", self.line) if first else {})
+        new = again | (self.learn(inner, " ", b"") if inner else {}) | (self.learn(first, "", self.line) if first else {})
         known = self.cache
-        if len(known) + len(new) <= CACHE:
-            known |= new
-        elif new:
-            for w, ids in new.items():
-                if len(known) >= CACHE:
-                    break
-                known[w] = ids
-            known = known | new
+        known |= new
+        self.size += sum(4 * len(w) + len(ids) + 200 for w, ids in new.items())
+        if self.size > CACHE:
+            self.older, self.cache, self.size = known, dict(self.base), 0
         out = []
         for text, words in zip(texts, cut, strict=True):
             if words is None or odd and not odd.isdisjoint(words) or words[0].strip() != words[0]:
@@ -124,100 +128,104 @@ def cut(ids: bytes, room: int) -> Iterator[tuple[int, int]]:
         at, size = at + size, room
 
 
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of rows with about `most` bytes; a longer text is a run of its own."""
+    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    runs = np.cumsum(sizes) // most
+    bounds = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]
+    for start, end in zip(bounds, bounds[1:]):
+        if end > start:
+            yield start, texts.slice(start, end - start).to_pylist()
+
+
 def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Pieces of every document, with the task that made them and their rank among its pieces of that length."""
+    """Pieces of every document, with the task that made them and their rank among its pieces of that length. A worker holds the
+    words of one slice of texts at a time, and yields its pieces before it reads the next."""
     end = np.array([end_id], "<u4").tobytes()
+    columns = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "local": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (room + 1)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):
-                ids += end
-                for k, (start, length) in enumerate(cut(ids, room)):
-                    for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]), strict=True):
-                        column.append(value)
-                    seen[length] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"])
+            for at, texts in slices(batch.column(1)):
+                out: list[list] = [[] for _ in columns]
+                encoded = words.encode([t or "" for t in texts])
+                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoded, strict=True):
+                    ids += end
+                    for k, (start, length) in enumerate(cut(ids, room)):
+                        for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]), strict=True):
+                            column.append(value)
+                        seen[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, columns.values(), strict=True)], names=list(columns))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long")
 
 
-def fill(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
-    """One, two or three (at most `most`) lengths with pieces left that sum to the gap exactly; the longest first part wins."""
-    if gap <= 0 or not most:
+def pair(left: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
+    """Two lengths of at most `most` with pieces left that sum to the total; the longest first part wins."""
+    low, high = (total + 1) // 2, min(most, total - 1)
+    if high < low:
+        return None
+    a = np.arange(high, low - 1, -1)
+    ok = (left[a] > 0) & (left[total - a] > (2 * a == total))
+    hit = int(np.argmax(ok))
+    return (int(a[hit]), int(total - a[hit])) if ok[hit] else None
+
+
+def fill(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
+    """One, two or three lengths with pieces left that sum to the gap exactly: the fewest, then the longest first part."""
+    if gap <= 0:
         return None
     if left[gap] > 0:
         return (gap,)
-    if most < 2:
-        return None
-    have = left > 0
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        low, high = (total + 1) // 2, min(most, total - 1)
-        if high < low:
-            return None
-        a = np.arange(high, low - 1, -1)
-        ok = have[a] & have[total - a] & ((2 * a != total) | (left[a] > 1))
-        hit = np.argmax(ok) if ok.any() else -1
-        return (int(a[hit]), int(total - a[hit])) if hit >= 0 else None
-
-    if found := pair(gap, gap):
+    if found := pair(left, gap, gap):
         return found
-    if most < 3:
-        return None
-    for a in np.nonzero(have[1 : gap - 1])[0][::-1] + 1:
+    for a in np.flatnonzero(left[1:gap])[::-1] + 1:
         if 3 * a < gap:
             break
         left[a] -= 1
-        have[a] = left[a] > 0
-        found = pair(gap - int(a), int(a))
+        found = pair(left, gap - int(a), int(a))
         left[a] += 1
-        have[a] = True
         if found:
             return (int(a), *found)
     return None
 
 
-def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each; every counted piece has one place. Small parts spent early on exact triples
-    can be missed later where pieces are few, so the plans with triples, pairs, singles and best fit alone are made and the shortest is taken."""
-    return min((_plan(counts, room, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+Patterns = list[tuple[tuple[int, ...], int]]
 
 
-def _plan(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    left = np.zeros(room + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-    rest = np.zeros(room + 1, np.int64)
+def exact(left: np.ndarray, room: int) -> Patterns:
+    """Patterns that fill a sequence exactly, taken from the counts left, in the order in which they are found."""
+    out: Patterns = []
     for top in range(room, 0, -1):
         while left[top] > 0:
             left[top] -= 1
-            found = () if top == room else fill(left, room - top, most)
+            found = () if top == room else fill(left, room - top)
             left[top] += 1
             if found is None:
-                rest[top], left[top] = left[top], 0
                 break
             parts = (top, *found)
             times = min(int(left[p]) // parts.count(p) for p in set(parts))
             for p in parts:
                 left[p] -= times
             out.append((parts, times))
+    return out
+
+
+def best_fit(left: np.ndarray, room: int) -> Patterns:
+    """Each length, longest first, goes to the sequence with the least sufficient room; equal sequences are handled together."""
     bins: dict[int, list[list]] = {}  # room left: [parts, how many]
     for top in range(room, 0, -1):
-        n = int(rest[top])
+        n = int(left[top])
         while n:
             gap = next((g for g in range(top, room + 1) if bins.get(g)), None)
             if gap is None:
-                fit = room // top  # new bins take as many of this length as they hold
+                fit = room // top  # new ones take as many of this length as they hold
                 whole, part = divmod(n, fit)
                 for parts, times in (((top,) * fit, whole), ((top,) * part, min(part, 1))):
                     if times:
                         bins.setdefault(room - len(parts) * top, []).append([parts, times])
-                n = 0
-                continue
+                break
             parts, times = bins[gap][-1]
             use = min(times, n)
             bins[gap][-1][1] -= use
@@ -225,7 +233,36 @@ def _plan(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int,
                 bins[gap].pop()
             bins.setdefault(gap - top, []).append([(*parts, top), use])
             n -= use
-    return out + [(tuple(parts), times) for same in bins.values() for parts, times in same]
+    return [(tuple(parts), times) for same in bins.values() for parts, times in same]
+
+
+def plan(counts: dict[int, int], room: int = ROOM) -> Patterns:
+    """Patterns of lengths and how many sequences follow each; every counted piece has one place. What no combination fills is packed
+    best-fit. Where that leaves more sequences than the tokens need, the last exact ones, which took the smallest
+    parts, are undone, twice as many each time, and join what is packed best-fit; the shortest plan is taken, and of those the one
+    that undoes least."""
+    left = np.zeros(room + 1, np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    need = -(-int((left * np.arange(room + 1)).sum()) // room)
+    kept = exact(left, room)
+    best, size, undone = None, 0, 0
+    while True:
+        rest = best_fit(left, room)
+        now = sum(times for _, times in kept) + sum(times for _, times in rest)
+        if best is None or now < size:
+            best, size = kept + rest, now
+        if size == need or not kept:
+            return best
+        kept, more = list(kept), max(1, undone)
+        while more and kept:
+            parts, times = kept.pop()
+            use = min(times, more)
+            if use < times:
+                kept.append((parts, times - use))
+            for p in parts:
+                left[p] += use
+            more, undone = more - use, undone + use
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
@@ -254,7 +291,8 @@ def pack(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str
     where = spark.sparkContext.broadcast({k: (v["first"].to_numpy(), v["sequence"].to_numpy(), v["offset"].to_numpy()) for k, v in found.items()})
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shift = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    ranked = cut_up.join(shift, ["task", "length"]).withColumn("rank", F.col("local") + F.col("shift")).drop("task", "local", "shift")
+    # tasks grow with the input, so their counts are joined by a shuffle of the pieces, which are a few numbers each
+    ranked = cut_up.join(shift.hint("shuffle_hash"), ["task", "length"]).withColumn("rank", F.col("local") + F.col("shift")).drop("task", "local", "shift")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lookup = where.value
