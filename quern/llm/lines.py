@@ -3,8 +3,8 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then another hash. A word becomes one long
-   whose high bits are its bucket's rank and whose low ones are that hash, so that sorting longs sorts by rarity.
+1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then the hash. A word becomes one long
+   whose high bits are its bucket's rank and whose low ones are the rest of the hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; sets from whose number on a prefix word is hot; rows up to which a list is broadcast.
-BITS, HOT, SENT = 16, 64, 200_000
+#: Bits of a word's hash that choose its bucket; sets from whose number on a word of short prefixes is hot; words up to which a set has a map of 64 bits, not 128; rows up to which a list is broadcast.
+BITS, HOT, MAP, SENT = 16, 64, 64, 200_000
 
 
 def words(text: Column) -> Column:
@@ -39,32 +39,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit((1 << BITS) - 1))
-
-
 def ranks(docs: DataFrame) -> Column:
-    """For each bucket, its rank by corpus count, less half their number: an array of fixed size."""
-    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    """For each bucket, its rank by corpus count as the high bits of a long: an array of fixed size."""
+    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     found = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BITS rows at most
     order = sorted(range(1 << BITS), key=lambda b: (found.get(b, 0), b))
     rank = [0] * (1 << BITS)
     for at, k in enumerate(order):
-        rank[k] = at - (1 << (BITS - 1))
-    return F.from_json(F.lit(str(rank)), "array<int>")
+        rank[k] = (at - (1 << (BITS - 1))) << (64 - BITS)
+    return F.from_json(F.lit(str(rank)), "array<long>")
 
 
 def keys(line: Column, rank: Column) -> Column:
-    """The set of a line as longs, rarest first."""
-    low = F.lit((1 << (64 - BITS)) - 1)
-    key = lambda w: F.shiftleft(F.get(rank, bucket(w)).cast("long"), 64 - BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
+    """The set of a line as longs, rarest first: the low bits of a word's hash choose the bucket, its others fill up."""
+    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    key = lambda h: F.get(rank, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, BITS))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def parity(keys: Column, half: int) -> Column:
-    """One half of a map of 128 bits, with the bit of each word flipped."""
-    mine = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) if half else F.shiftright(F.bitwise_not(k), 6).bitwiseAND(F.lit(1))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", mine(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+    """One half of a map of 128 bits with the bit of each word flipped; sets of at most 64 words have a map of 64 in the first half."""
+    bit = lambda on, k: F.call_function("shiftleft", on, k.bitwiseAND(F.lit(63)).cast("int"))
+    flipped = lambda on: F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(bit(on(k), k)))
+    long = flipped(lambda k: (F.shiftright(k, 6) if half else F.shiftright(F.bitwise_not(k), 6)).bitwiseAND(F.lit(1)))
+    return F.when(F.size(keys) > MAP, long).otherwise(F.lit(0).cast("long") if half else flipped(lambda k: F.lit(1).cast("long")))
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -73,57 +71,84 @@ def exploded(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("line").rlike(common.WORD)).select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
 
 
-def needed(a: str, b: str, percent: int) -> Column:
-    """Words that two sets of these sizes must share."""
-    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+class Side:
+    """One side of a join of prefix rows: w (32 bits of a word's hash, joined by; a clash only adds a candidate), sid, doc, m0, m1 and `at`,
+    which holds n, i and whether the set is open. These rows are very many and are kept as narrow as can be."""
+
+    columns = ("w", "sid", "doc", "at", "m0", "m1")
+
+    def __init__(self, name: str):
+        self.n = F.shiftrightunsigned(F.col(f"{name}.at"), 32)
+        self.i = F.shiftrightunsigned(F.col(f"{name}.at").bitwiseAND(F.lit(2**32 - 1)), 1)
+        self.open = F.col(f"{name}.at").bitwiseAND(F.lit(1)) == 1
+        self.w, self.sid, self.doc, self.m0, self.m1 = (F.col(f"{name}.{c}") for c in ("w", "sid", "doc", "m0", "m1"))
+
+
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of each set's prefix, with `short` (in the short prefix) and `step` (the length class)."""
+    rows = sets.select("sid", "doc", "n", "open", "m0", "m1", F.posexplode("prefix").alias("i", "key"))
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    return rows.select(F.hash("key").alias("w"), "sid", "doc", at.alias("at"), "m0", "m1", short.alias("short"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("step"))
+
+
+def may_match(a: Side, b: Side, percent: int) -> Column:
+    """Two sets that share this word can have the overlap needed."""
+    needed = F.ceil((a.n + b.n) * percent / (100 + percent))
+    m0, m1, most = a.m0.bitwiseXOR(b.m0), a.m1.bitwiseXOR(b.m1), a.n + b.n - 2 * needed
+    differ = F.bit_count(m0) + F.bit_count(m1)
+    return (
+        (a.w == b.w) & (100 * b.n >= percent * a.n) & (100 * a.n >= percent * b.n)
+        & (F.least(a.n - a.i, b.n - b.i) >= needed)
+        & (F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
+        & ((a.n <= MAP) | (b.n <= MAP) | (differ <= most))
+    )
 
 
 def verified(docs: DataFrame, rank: Column, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(s1, s2) of the later set of each pair (a, b) of s1 that is similar."""
-    asked = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    wanted = common.stage(sets.select("s1", "s2", "first").join(asked, "s1"), "line-wanted")
-    whole = exploded(docs).join(common.small(wanted, SENT), F.col("pos") == F.col("first")).select("s1", "s2", "first", keys(F.col("line"), rank).alias("keys"))
-    whole = common.stage(whole, "line-whole").dropDuplicates(["s1", "s2"])
-    x, y = (whole.select(F.col("s1").alias(k), F.struct("s1", "s2").alias(f"{k}s"), F.col("first").alias(f"{k}f"), F.col("keys").alias(f"{k}k")) for k in "ab")
+    """sid of the later set of each pair (a, b) that is similar."""
+    asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = common.stage(sets.select("sid", "first").join(asked, "sid"), "line-wanted")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+        ids = F.broadcast(wanted.select(F.col("first.doc_id").alias("_id")).distinct())
+        docs = docs.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    whole = exploded(docs).join(wanted, F.col("pos") == F.col("first")).select("sid", "first", keys(F.col("line"), rank).alias("keys"))
+    whole = common.stage(whole.dropDuplicates(["sid"]), "line-whole")  # a repeated row has the same lines
+    x, y = (whole.select(F.col("sid").alias(k), F.col("first").alias(f"{k}f"), F.col("keys").alias(f"{k}k")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("n_both", F.size(F.array_intersect("ak", "bk")))
     links = both.filter(100 * F.col("n_both") >= percent * (F.size("ak") + F.size("bk") - F.col("n_both")))
-    found = links.select(F.when(F.col("af") < F.col("bf"), F.col("bs")).otherwise(F.col("as")).alias("s")).select("s.*").distinct()
-    found = common.stage(found, "line-near")
+    found = common.stage(links.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct(), "line-near")
     for used in (wanted, whole):
         common.discard(used)
     return found
 
 
 def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFrame:
-    """(s1, s2) of the sets that an earlier set matches."""
+    """sid of the sets that an earlier set matches."""
+    a, b = Side("a"), Side("b")
     sets = sets.withColumn("doc", F.coalesce("first.doc_id", F.lit(-(2**63))))
-    held = sets.select("s1", "doc", "n", "m0", "m1", F.posexplode("prefix").alias("i", "w"))
-    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    differ = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
-    fits = (
-        (F.col("a.s1") != F.col("b.s1")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-        & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= needed("a.n", "b.n", percent))
-        & (differ <= F.col("a.n") + F.col("b.n") - 2 * needed("a.n", "b.n", percent))
-    )
-    hot = held.groupBy("w").agg(F.count("*").alias("c"), F.min("doc").alias("head")).filter(F.col("c") >= HOT).select("w", "head")
+    rows = prefix_rows(sets.withColumn("open", F.lit(True)), percent)
+    hot = rows.filter("short").groupBy("w").agg(F.count("*").alias("c"), F.min("doc").alias("head")).filter(F.col("c") >= HOT).select("w", "head")
     hot = common.small(common.stage(hot, "line-hot"), SENT)
-    crowd = common.stage(held.join(hot, "w"), "line-crowd")
-    heads = crowd.filter("doc = head")
-    met = crowd.alias("a").join(heads.alias("b"), (F.col("a.w") == F.col("b.w")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & fits)
-    met = common.stage(met.select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).distinct(), "line-met")
+    crowd = common.stage(rows.join(hot, "w").select(*Side.columns, "short", "head"), "line-crowd")
+    heads = crowd.filter("short and doc = head")
+    met = crowd.alias("a").join(heads.alias("b"), may_match(a, b, percent) & (a.sid != b.sid)).select(a.sid.alias("a"), b.sid.alias("b"))
+    met = common.stage(met.distinct(), "line-met")
     gone = verified(docs, rank, met, sets, percent)
     common.discard(crowd)
-    # those left, as the later of a pair
-    closed = common.small(gone.select("s1").distinct().withColumn("closed", F.lit(True)), SENT)
-    step = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-    held = sets.join(closed, "s1", "left").select("s1", "doc", "n", "m0", "m1", F.col("closed").isNull().alias("open"), step.alias("step"), F.posexplode("prefix").alias("i", "w"))
-    hot = hot.select("w", F.lit(True).alias("hot"))
-    a = held.join(hot, "w", "left").withColumn("step", F.when(F.col("hot"), F.col("step")).otherwise(-1)).drop("hot").alias("a")
-    b = held.filter(short).join(hot, "w", "left").withColumn("step", F.explode(F.when(F.col("hot"), F.array("step", F.col("step") + 1)).otherwise(F.array(F.lit(-1))))).drop("hot").alias("b")
-    order = F.struct("b.n", "b.s1") < F.struct("a.n", "a.s1")
-    later = (F.col("a.open") & (F.col("b.doc") <= F.col("a.doc"))) | (F.col("b.open") & (F.col("a.doc") <= F.col("b.doc")))
-    pairs = a.join(b.hint("shuffle_hash"), (F.col("a.w") == F.col("b.w")) & (F.col("a.step") == F.col("b.step")) & order & later & fits)
-    pairs = common.stage(pairs.select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).distinct(), "line-pairs")
+    # those left, as the later of a pair; the smaller set's short prefix meets the other's prefix
+    closed = common.small(gone.withColumn("closed", F.lit(True)), SENT)
+    rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()), percent)
+    rows = rows.join(hot.select("w", F.lit(True).alias("hot")), "w", "left")
+    of_class = lambda step: F.when(F.col("hot"), F.hash("w", step)).otherwise(F.col("w"))
+    larger = rows.withColumn("w", of_class(F.col("step"))).select(*Side.columns)
+    classes = F.when(F.col("hot"), F.array("step", F.col("step") + 1)).otherwise(F.array("step"))
+    smaller = rows.filter("short").withColumn("step", F.explode(classes)).withColumn("w", of_class(F.col("step"))).select(*Side.columns)
+    order = (b.n < a.n) | ((b.n == a.n) & (b.sid < a.sid))
+    later = (a.open & (b.doc <= a.doc)) | (b.open & (a.doc <= b.doc))
+    pairs = larger.alias("a").join(smaller.alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
+    pairs = common.stage(pairs.select(a.sid.alias("a"), b.sid.alias("b")).distinct(), "line-pairs")
     return gone.unionByName(verified(docs, rank, pairs, sets, percent))
 
 
@@ -133,15 +158,18 @@ def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = exploded(docs).select("pos", keys(F.col("line"), rank).alias("keys"))
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
-    lines = lines.select("pos", *ids, size.alias("n"), *[parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)], F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
+    maps = [parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)]
+    lines = lines.select("pos", *ids, size.alias("n"), *maps, F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
     lines = common.stage(lines, "lines")
-    sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("m1").alias("m1"), F.first("prefix").alias("prefix"))
-    sets = common.stage(sets, "line-sets")
+    sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "prefix")])
+    sets = common.stage(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
+    whole, lines = lines, common.stage(lines.select("pos", "s1", "s2"), "line-ids")
+    common.discard(whole)
     gone = near(docs, rank, sets, percent).withColumn("near", F.lit(True))
-    found = sets.select("s1", "s2", "first", "times").join(gone, ["s1", "s2"], "left").filter("times > 1 or near").select("s1", "s2", "first", "near")
+    found = sets.select("sid", "s1", "s2", "first", "times").join(gone, "sid", "left").filter("times > 1 or near").select("s1", "s2", "first", "near")
     found = common.small(common.stage(found, "line-found"), SENT)
     common.discard(sets)
-    return lines.select("pos", "s1", "s2").join(found, ["s1", "s2"]).filter("near or first < pos").select("pos")
+    return lines.join(found, ["s1", "s2"]).filter("near or first < pos").select("pos")
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
