@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +92,13 @@ def let(value: Column, body) -> Column:
 def small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a frame whose counted rows are at most `most`; a larger one stays for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of rows with about `most` bytes; a longer text is a run of its own. A worker holds one run at a time."""
+    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    runs = np.cumsum(sizes) // most
+    bounds = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]
+    for start, end in zip(bounds, bounds[1:]):
+        if end > start:
+            yield start, texts.slice(start, end - start).to_pylist()

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,16 +127,6 @@ def cut(ids: bytes, room: int) -> Iterator[tuple[int, int]]:
         at, size = at + size, room
 
 
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of runs of rows with about `most` bytes; a longer text is a run of its own."""
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
-    runs = np.cumsum(sizes) // most
-    bounds = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]
-    for start, end in zip(bounds, bounds[1:]):
-        if end > start:
-            yield start, texts.slice(start, end - start).to_pylist()
-
-
 def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
     """Pieces of every document, with the task that made them and their rank among its pieces of that length. A worker holds the
     words of one slice of texts at a time, and yields its pieces before it reads the next."""
@@ -147,7 +136,7 @@ def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (room + 1)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in common.slices(batch.column(1), SLICE):
                 out: list[list] = [[] for _ in columns]
                 encoded = words.encode([t or "" for t in texts])
                 for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoded, strict=True):
