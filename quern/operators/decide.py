@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,52 +72,61 @@ def risks(rows: DataFrame, tender: str) -> DataFrame:
     return rows.groupBy(tender).agg(F.array_join(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()])), ",").alias("risks"))
 
 
-def _first_team(able: list[list[bool]], need: list[int], size: int) -> list[int] | None:
-    """The first combination of `size` persons, in order, that meets every need; branches that can't are left. Those with most roles come first."""
-    after = [[0] * len(need)]  # able persons from each place on
-    for row in reversed(able):
-        after.append([n + x for n, x in zip(after[-1], row, strict=True)])
-    after.reverse()
-    most = [sum(row) for row in able]
-
-    def search(start: int, size: int, left: list[int]) -> list[int] | None:
-        total = sum(left)
-        if not size:
-            return None if total else []
-        for k in range(start, len(able) - size + 1):
-            if total > size * most[k] or any(n > size or n > m for n, m in zip(left, after[k], strict=True)):
-                return None
-            rest = search(k + 1, size - 1, [n - (n > 0 and x) for n, x in zip(left, able[k], strict=True)])
-            if rest is not None:
-                return [k, *rest]
-        return None
-
-    return search(0, size, need)
+def _clusters(roles: dict[str, tuple[int, frozenset]]) -> list[dict[str, tuple[int, frozenset]]]:
+    """Roles split so that no person can serve two of the parts."""
+    parts: list[dict[str, tuple[int, frozenset]]] = []
+    for name, (open_, able) in roles.items():
+        linked = [p for p in parts if any(able & other for _, other in p.values())]
+        parts = [p for p in parts if p not in linked] + [{k: v for p in linked for k, v in p.items()} | {name: (open_, able)}]
+    return parts
+
+
+def _cover(roles: dict[str, tuple[int, frozenset]], order: dict, most: int) -> tuple[list, bool]:
+    """Persons that fill the open places of every role, and whether none fewer do. Persons are taken up one by one; of all choices that
+    leave the same places open the smallest, then the best ranked, is kept, so there are no more states than ways to leave places open. Where these
+    exceed `most`, persons who fill most open places are taken instead."""
+    names = sorted(roles)
+    people = sorted({p for _, able in roles.values() for p in able}, key=order.__getitem__)
+    serves = {p: tuple(p in roles[n][1] for n in names) for p in people}
+    start = tuple(roles[n][0] for n in names)
+    states: dict[tuple, tuple] = {start: ()}
+    better = lambda team: (len(team), sum(order[p][0] for p in team), team)
+    for k, p in enumerate(people):
+        later = [sum(serves[q][r] for q in people[k + 1 :]) for r in range(len(names))]
+        for left, team in list(states.items()):
+            after = tuple(max(0, n - s) for n, s in zip(left, serves[p], strict=True))
+            if after != left and (after not in states or better((*team, p)) < better(states[after])):
+                states[after] = (*team, p)
+        states = {left: team for left, team in states.items() if all(n <= m for n, m in zip(left, later, strict=True))}
+        if len(states) > most:
+            break
+    else:
+        return list(states[tuple(0 for _ in names)]), True
+    team, left = [], list(start)
+    while any(left):
+        pick = min((p for p in people if p not in team), key=lambda p: (-sum(s and n > 0 for s, n in zip(serves[p], left, strict=True)), order[p]))
+        team.append(pick)
+        left = [max(0, n - s) for n, s in zip(left, serves[pick], strict=True)]
+    return team, False
 
 
 def smallest_team(slots: DataFrame, tender: str, most: int = 200_000) -> DataFrame:
-    """slots: (tender, role, person, rank, needed). The fewest persons that fill every role, exactly while the combinations of a size are
-    at most `most`, else greedily by most unfilled needs; the problem is NP-hard and its input is one tender's candidates."""
+    """slots: (tender, role, person, rank, needed). The fewest persons that fill every role, each as far as it has candidates; `exact` is false
+    where a part of the problem exceeds `most` states (it is NP-hard; its input is one tender's candidates). Of equal teams the one with the least sum of
+    best ranks is taken, then the first in order. Roles without a choice fix their persons; the rest falls into parts that share no person."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        able = {role: set(g["person"]) for role, g in pdf.groupby("role")}
-        need = {role: min(int(g["needed"].iloc[0]), len(able[role])) for role, g in pdf.groupby("role")}
         best = pdf.groupby("person")["rank"].min().to_dict()
-        people = sorted(best, key=lambda p: (-sum(p in a for a in able.values()), best[p], p))
-        team, exact = None, True
-        for size in range(max(need.values(), default=0), len(people) + 1):
-            if comb(len(people), size) > most:
-                exact, team, left = False, [], dict(need)
-                while any(left.values()):
-                    pick = max((p for p in people if p not in team), key=lambda p: sum(left[r] > 0 and p in able[r] for r in left))
-                    team.append(pick)
-                    left = {r: max(0, n - (pick in able[r])) for r, n in left.items()}
-                break
-            team = _first_team([[p in a for a in able.values()] for p in people], [need[r] for r in able], size)
-            team = team and [people[k] for k in team]
-            if team is not None:
-                break
-        return pd.DataFrame({tender: [pdf[tender].iloc[0]], "size": [len(team or [])], "team": [",".join(map(str, sorted(team or [])))], "exact": [exact]})
+        order = {p: (r, p) for p, r in best.items()}
+        able = {role: frozenset(g["person"]) for role, g in pdf.groupby("role")}
+        places = {role: min(int(g["needed"].iloc[0]), len(able[role])) for role, g in pdf.groupby("role")}
+        team = {p for role, n in places.items() if n == len(able[role]) for p in able[role]}
+        roles = {role: (n - len(able[role] & team), able[role] - team) for role, n in places.items() if n > len(able[role] & team)}
+        exact = True
+        for part in _clusters(roles):
+            chosen, whole = _cover(part, order, most)
+            team, exact = team | set(chosen), exact and whole
+        return pd.DataFrame({tender: [pdf[tender].iloc[0]], "size": [len(team)], "team": [",".join(map(str, sorted(team)))], "exact": [exact]})
 
     return slots.groupBy(tender).applyInPandas(solve, f"{tender} long, size long, team string, exact boolean")
 

@@ -58,8 +58,19 @@ def ordered(rows: DataFrame, order: DataFrame, key: str) -> DataFrame:
 
 
 def sync(cache: DataFrame, server: DataFrame, key: str) -> DataFrame:
-    """Client rows after a sync: those absent from the server go, the server's win."""
-    return server.unionByName(cache.join(server.select(key), key, "left_semi").join(server.select(key), key, "left_anti"))
+    """What a client must do to hold the server's rows: (action, key and columns), `delete` for its own rows that the server lacks, with
+    null columns, and `upsert` for rows that it lacks or holds otherwise. Rows that are equal don't appear."""
+    rest = [c for c in server.columns if c != key]
+    old, new = cache.select(key, F.struct(*rest).alias("_old")), server.select(key, F.struct(*rest).alias("_new"))
+    both = old.join(new, key, "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    action = F.when(F.col("_new").isNull(), "delete").otherwise("upsert")
+    return both.select(action.alias("action"), key, *[F.col("_new")[c].alias(c) for c in rest])
+
+
+def apply_sync(cache: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The client's rows after the changes of sync."""
+    kept = cache.join(changes.select(key), key, "left_anti")
+    return kept.select(cache.columns).unionByName(changes.filter("action = 'upsert'").select(cache.columns))
 
 
 def delete_with_links(rows: DataFrame, gone: DataFrame, key: str, links: str) -> DataFrame:

@@ -41,8 +41,10 @@ def slide_order(spark, sf_dir):
 
 
 def cache_sync(spark, sf_dir):
+    """A client that holds every second customer, some under another segment, and a server that has every third."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return K.sync(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0"), "c_custkey")
+    held = c.filter("c_custkey % 2 = 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "OTHER").otherwise(F.col("c_mktsegment")))
+    return K.sync(held, c.filter("c_custkey % 3 = 0"), "c_custkey")
 
 
 def delete_referential(spark, sf_dir):
@@ -144,7 +146,8 @@ QUERIES = {
     "asset_merge": (asset_merge, "SELECT conv_id, (list(role ORDER BY turn) FILTER (WHERE role <> 'system'))[1] AS role, string_agg(substring(text, 1, 12), ' / ' ORDER BY turn) AS snippet FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1"),
     "table_chunks": (table_chunks, "SELECT p_brand, p_partkey, k // 10 AS page, k % 10 AS place, CAST(ceil(n / 10.0) AS BIGINT) AS pages FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"),
     "slide_order": (slide_order, "SELECT CAST(i AS INTEGER) AS r_regionkey, coalesce(r_name, 'to be completed') AS title, r_name IS NULL AS placeholder FROM range(7) t(i) LEFT JOIN region ON r_regionkey = i"),
-    "cache_sync": (cache_sync, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0"),
+    "cache_sync": (cache_sync, """SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'delete' ELSE 'upsert' END AS action, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment
+        FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 3 <> 0) OR (c_custkey % 3 = 0 AND (c_custkey % 2 = 1 OR c_custkey % 4 = 0))"""),
     "delete_referential": (delete_referential, "WITH l AS (SELECT DISTINCT o_custkey, o_orderkey % 1500 AS x FROM orders), k AS (SELECT DISTINCT o_custkey AS d FROM orders WHERE o_custkey % 10 = 0), r AS (SELECT * FROM l LEFT JOIN k ON x = d WHERE o_custkey % 10 <> 0) SELECT o_custkey, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE d IS NULL), '') AS links, count(d) AS unlinked FROM r GROUP BY 1"),
     "claim_numbers": (claim_numbers, "WITH t AS (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p, CAST(o_orderkey AS VARCHAR) AS k, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders) SELECT o_orderkey, CASE WHEN p IN (k, y) THEN '' ELSE p END AS unmatched, CASE WHEN p IN (k, y) THEN 'text' ELSE '[removed]' END AS scrubbed FROM t"),
     "contact_union": (contact_union, "WITH a AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS a, list_sort(list(DISTINCT o_orderstatus)) AS b FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_concat(a, b)[1:6], '|') AS contacts FROM a"),

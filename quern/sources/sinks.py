@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,42 +15,39 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header and a byte order mark before it, quotes where needed."""
+    """One CSV file with a header and a byte order mark before it, quotes where needed: an export for a person, so one task writes it."""
     out = flat(rows)
     first, *rest = out.columns
-    out.select(*[F.col(c).alias(("﻿" if c == first else "") + c) for c in [first, *rest]]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.select(*[F.col(c).alias(("﻿" if c == first else "") + c) for c in [first, *rest]]).repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def _pointer(spark: SparkSession, store: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/CURRENT")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+def _store(spark: SparkSession, store: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(store).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def current(spark: SparkSession, store: str) -> int:
-    """Version that the pointer names; 0 where there is none."""
-    path, fs = _pointer(spark, store)
-    if not fs.exists(path):
-        return 0
-    return int(json.loads(spark.read.text(f"{store}/CURRENT", wholetext=True).head()[0])["version"])
+    """The greatest version that a pointer file names; 0 where there is none."""
+    path, fs = _store(spark, store)
+    found = fs.globStatus(path(f"{store}/CURRENT-*")) or []
+    return max((int(f.getPath().getName().rsplit("-", 1)[1]) for f in found), default=0)
 
 
 def replace(rows: DataFrame, store: str) -> int:
-    """Write the next version whole, then swap the pointer by a rename: readers see the old or the new one, never a part."""
+    """Write the next version whole, then its pointer file, whose creation is one step of the file system: readers see the old or the new
+    version, never a part or none, wherever this stops. Older pointers go last; their versions stay for those still reading."""
     spark = rows.sparkSession
-    version = current(spark, store) + 1
-    rows.write.mode("overwrite").parquet(f"{store}/v{version}")
-    path, fs = _pointer(spark, store)
-    temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/.CURRENT-{version}")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    fs.delete(path, False)
-    fs.rename(temporary, path)
-    return version
+    before = current(spark, store)
+    rows.write.mode("overwrite").parquet(f"{store}/v{before + 1}")
+    path, fs = _store(spark, store)
+    fs.create(path(f"{store}/CURRENT-{before + 1}"), False).close()
+    if before:
+        fs.delete(path(f"{store}/CURRENT-{before}"), False)
+    return before + 1
 
 
 def load(spark: SparkSession, store: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import parsing as P
 from quern.functions import text as T
-from quern.operators import dates, decide, market, quality, rank, retrieval
+from quern.operators import dates, decide, deck, market, quality, rank, retrieval
 from quern.sources import readers, sinks
 from quern.streaming import runs
 from tests.conftest import SF
@@ -109,14 +109,28 @@ def test_smallest_team(spark):
     assert (r["size"], r["team"], r["exact"]) == (2, "1,3", True)
 
 
-def test_first_team_equals_brute_force():
+def test_smallest_team_equals_brute_force(spark):
     r = random.Random(6)
-    for _ in range(300):
-        able = sorted(([r.random() < 0.4 for _ in range(4)] for _ in range(r.randint(1, 9))), key=lambda x: -sum(x))
-        need = [min(2, sum(x[k] for x in able)) for k in range(4)]
-        for size in range(5):
-            whole = (list(c) for c in itertools.combinations(range(len(able)), size) if all(sum(able[p][k] for p in c) >= n for k, n in enumerate(need)))
-            assert decide._first_team(able, need, size) == next(whole, None)
+    rows, want = [], {}
+    for tender in range(60):
+        people, places = range(r.randint(1, 8)), {f"r{k}": r.randint(1, 3) for k in range(r.randint(1, 5))}
+        able = {role: [p for p in people if r.random() < 0.45] for role in places}
+        able = {role: ps for role, ps in able.items() if ps}
+        if not able:
+            continue
+        ranks = {p: r.randint(1, 3) for p in people}
+        rows += [(tender, role, p, ranks[p], places[role]) for role, ps in able.items() for p in ps]
+        fits = lambda team, able=able, places=places: all(len(set(team) & set(ps)) >= min(places[role], len(ps)) for role, ps in able.items())
+        want[tender] = min((len(t), sum(ranks[p] for p in t)) for n in range(len(people) + 1) for t in itertools.combinations(people, n) if fits(t))
+        want[tender] = (*want[tender], ranks, fits)
+    slots = spark.createDataFrame(rows, "tender long, role string, person long, rank int, needed int")
+    got = decide.smallest_team(slots, "tender").collect()
+    assert len(got) == len(want)
+    for x in got:
+        size, total, ranks, fits = want[x["tender"]]
+        team = [int(p) for p in x["team"].split(",")]
+        assert x["exact"] and fits(team) and (x["size"], sum(ranks[p] for p in team)) == (size, total)
+    assert all(not x["exact"] or x["size"] <= want[x["tender"]][0] for x in decide.smallest_team(slots, "tender", 1).collect())
 
 
 def test_team_set_cover_keeps_the_default(spark, monkeypatch):
@@ -191,7 +205,44 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, sinks.load(spark, store).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sinks.index_generation(rows, f"{tmp_path}/ix") == sinks.index_generation(rows, f"{tmp_path}/ix") == 1
     sinks.export_csv(rows.withColumn("l", F.array(F.lit("x"), F.lit("y"))), f"{tmp_path}/csv")
-    assert "x; y" in next((tmp_path / "csv").glob("part-*")).read_text()
+    (csv,) = (tmp_path / "csv").glob("part-*")
+    head, *body = csv.read_text().splitlines()
+    assert head == "\ufeffk,v,l" and sorted(body) == ["1,a,x; y", "2,b,x; y"]
+
+
+def test_replace_stopped_half_way(spark, tmp_path, monkeypatch):
+    store, rows = f"{tmp_path}/store", spark.createDataFrame([(1, "a")], "k long, v string")
+    assert sinks.replace(rows, store) == 1
+    real = sinks._store
+
+    class Stopped:
+        def __init__(self, fs, step):
+            self.fs, self.step = fs, step
+
+        def __getattr__(self, name):
+            if name == self.step:
+                raise RuntimeError(name)
+            return getattr(self.fs, name)
+
+    for step, held in (("create", [(1, "a")]), ("delete", [(2, "b")])):  # before and after the new pointer
+        monkeypatch.setattr(sinks, "_store", lambda *a, step=step: (real(*a)[0], Stopped(real(*a)[1], step)))
+        try:
+            sinks.replace(spark.createDataFrame([(2, "b")], "k long, v string"), store)
+            raise AssertionError("it should have stopped")
+        except RuntimeError:
+            monkeypatch.setattr(sinks, "_store", real)
+        assert [tuple(r) for r in sinks.load(spark, store).collect()] == held
+    assert sinks.upsert_store(spark.createDataFrame([(3, "c")], "k long, v string"), store, "k") == 3
+    assert sorted(map(tuple, sinks.load(spark, store).collect())) == [(2, "b"), (3, "c")]
+
+
+def test_sync(spark):
+    cache = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "k long, v string")
+    server = spark.createDataFrame([(2, "b"), (3, "c"), (5, "e")], "k long, v string")
+    changes = deck.sync(cache, server, "k")
+    assert sorted(map(tuple, changes.collect())) == [("delete", 1, None), ("delete", 4, None), ("upsert", 3, "c"), ("upsert", 5, "e")]
+    assert sorted(map(tuple, deck.apply_sync(cache, changes, "k").collect())) == sorted(map(tuple, server.collect()))
+    assert deck.sync(server, server, "k").count() == 0
 
 
 def test_incremental_run(spark, tmp_path):
