@@ -4,7 +4,8 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
 
 1. Identical word sequences become one representative (the smallest id).
 2. Similar representatives are gathered into groups: those that share a minimum hash are compared with one of
-   them, and those that link form a group. Groups are cut into parts of about 48 members.
+   them, and those that link form a group. Groups are cut into parts of about 48 members. In two rounds more, each that shares
+   a minimum hash with a larger group is compared with one part of it. This only saves work for what follows.
 3. The matrix has a row for each token and group. Tokens are ordered with the rare ones first, by the number of all documents'
    tokens in their bucket. Of two sets that link, the smaller shares one of its first n - ceil(8/9 n) + 1 tokens with the
    first n - ceil(0.8 n) + 1 of the larger, so groups are listed by the former and documents (queries) ask with the latter. A
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 WIDTH, PERCENT = 5, 80
-#: Minimum hashes that gather groups; members of a part of a group; queries that one task compares with a part; bits of a token that choose its bucket; bytes of texts that a worker reads at a time.
-HASHES, PART, QUERIES, BITS, SLICE = 4, 48, 256, 16, 250_000
+#: Minimum hashes that gather groups; members of a part of a group; queries that one task compares with a part; bits of a token that choose its bucket; bytes of texts that a worker reads at a time; rounds in which groups take in what is like them.
+HASHES, PART, QUERIES, BITS, SLICE, ROUNDS = 4, 48, 256, 16, 250_000, 2
 #: Rows up to which a list of ids, or of tokens, is broadcast.
 SENT, TOKENS = 400_000, 1_000_000
 
@@ -260,6 +261,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", "comp")
 
 
+def part_of(comp, members):
+    """The part of a component for a row's rid; parts have about PART members."""
+    return F.when(members == 1, F.xxhash64(comp)).otherwise(F.xxhash64(comp, F.pmod(F.xxhash64("rid"), F.ceil(members / PART))))
+
+
+def grouped(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """rid, n, comp, members (of comp) and part of every representative."""
+    groups = reps.select("rid", "n").join(comps, reps["rid"] == comps["id"], "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")).distinct()
+    members = groups.groupBy("comp").agg(F.count("*").alias("members"))
+    return common.stage(groups.join(members, "comp").withColumn("part", part_of(F.col("comp"), F.col("members"))), "groups")
+
+
+def members_of(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    return groups.join(asked.select("part").distinct(), "part").select("part", F.col("rid").alias("id"))
+
+
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
@@ -279,14 +296,20 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     # rows that share an id are one node, whatever their texts
     same = rows.filter("n > 0").join(keys, "key").filter("doc_id <> rid").groupBy("doc_id").agg(F.min("rid").alias("b"), F.max("rid").alias("c")).filter("b <> c")
     links = common.stage(links.unionByName(same.select(F.col("c").alias("a"), "b")).unionByName(same.select(F.col("doc_id").alias("a"), "b").join(reps.select(F.col("rid").alias("a")).distinct(), "a")), "links-near")
-    comps = components(links)
-    groups = reps.select("rid", "n").join(comps, reps["rid"] == comps["id"], "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")).distinct()
-    members = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    group = F.when(F.col("members") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / PART))))
-    groups = common.stage(groups.join(members, "comp").select("rid", "n", "comp", group.alias("part")), "groups")
+    groups = grouped(reps, components(links))
+    # whoever shares a minimum hash with a larger group asks one part of it
+    for _ in range(ROUNDS):
+        likes = shared.select("rid", "k", "m").join(common.small(groups, SENT), "rid").select("rid", "k", "m", "comp", "members")
+        tops = likes.groupBy("k", "m").agg(F.max(F.struct("members", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most")
+        asked = likes.join(common.small(common.stage(tops.select("k", "m", "top"), "tops"), SENT), ["k", "m"]).filter("comp <> top.comp")
+        asked = common.stage(asked.select(part_of(F.col("top.comp"), F.col("top.members")).alias("part"), F.col("rid").alias("id")).distinct(), "asked")
+        if not asked.head(1):
+            break
+        links = common.stage(links.unionByName(compare(docs, members_of(groups, asked), asked, percent, width)), "links-near")
+        groups = grouped(reps, components(links))
 
     # the matrix: the smaller of two similar sets is met by its group's row, the larger asks
-    matrix = rows.select(F.col("doc_id").alias("rid"), "n", "first").join(common.small(groups, SENT), ["rid", "n"])
+    matrix = rows.select(F.col("doc_id").alias("rid"), "n", "first").join(common.small(groups.drop("members"), SENT), ["rid", "n"])
     matrix = matrix.select("rid", "n", "comp", "part", F.posexplode("first").alias("i", "token"))
     is_short = F.col("i") < F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")
     across = matrix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or(is_short).alias("met")).filter("met and low <> high")
@@ -299,8 +322,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     fits = (low <= F.least(F.col("high"), F.col("q.n"))) & (F.least(F.col("q.n") - F.col("q.i"), F.col("after")) >= needed)
     met = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") != F.col("g.comp")) & fits)
     met = common.stage(met.select("g.part", F.col("q.rid").alias("id")).distinct(), "met")
-    inside = groups.join(met.select("part").distinct(), "part").select("part", F.col("rid").alias("id"))
-    more = compare(docs, inside, met, percent, width)
+    more = compare(docs, members_of(groups, met), met, percent, width)
     for used in (matrix, across, met, groups, reps):
         common.discard(used)
     comps = components(links.unionByName(more))

@@ -8,11 +8,13 @@ of doc_id, text hash and line number, has a Jaccard similarity of at least 80 %
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
-3. Words in the prefixes of many sets are hot. Each set with a hot word is compared with the earliest set that has the word. What
-   matches goes, so that of a group of near copies few sets are left to be paired.
-4. Prefixes meet short prefixes by word, and by word and length class where the word is hot. A pair whose later set has
-   gone already, or that fails the length filter, the positional filter (from this word on, both must have as many words as
-   the overlap needed) or the parity filter (bits that differ between maps are words of one set only) is no candidate.
+3. Sets whose words after the prefix, as many as in it, have the same least or greatest hash are alike (words that edits put
+   in are mostly rare, and so in the prefix); where DENSE or more are, they are dealt into HEADS slots
+   and each is compared with two of every slot, the earliest and the one whose rarest word is least rare, which is hardly
+   edited. What matches an earlier one goes, so that of a group of near copies few sets are left to be paired.
+4. Prefixes meet short prefixes by word and length class. A pair whose later set has gone already, or that fails the
+   length filter, the positional filter (from this word on, both must have as many words as the overlap needed) or
+   the parity filter (bits that differ between maps are words of one set only) is no candidate.
 5. Candidates are verified on their whole sets, read from the texts again.
 
 Lines without words stay. A null text has no lines and stays null. A null doc_id comes first in the order. Exactly repeated
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; sets from whose number on a word of short prefixes is hot; words up to which a set has a map of 64 bits, not 128; rows up to which a list is broadcast.
-BITS, HOT, MAP, SENT = 16, 64, 64, 200_000
+#: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; rows up to which a list is broadcast.
+BITS, DENSE, HEADS, CLASS, MAP, SENT = 16, 8, 4, 3, 64, 200_000
 
 
 def words(text: Column) -> Column:
@@ -53,7 +55,8 @@ def ranks(docs: DataFrame) -> Column:
 def keys(line: Column, rank: Column) -> Column:
     """The set of a line as longs, rarest first: the low bits of a word's hash choose the bucket, its others fill up."""
     hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    key = lambda h: F.get(rank, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, BITS))
+    # never null, so that the array is of plain longs
+    key = lambda h: F.coalesce(F.get(rank, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, BITS))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
@@ -72,7 +75,7 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 
 class Side:
-    """One side of a join of prefix rows: w (32 bits of a word's hash, joined by; a clash only adds a candidate), sid, doc, m0, m1 and `at`,
+    """One side of a join of prefix rows: w (32 bits of a hash of word and length class; a clash only adds a candidate), sid, doc, m0, m1 and `at`,
     which holds n, i and whether the set is open. These rows are very many and are kept as narrow as can be."""
 
     columns = ("w", "sid", "doc", "at", "m0", "m1")
@@ -85,26 +88,33 @@ class Side:
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of each set's prefix, with `short` (in the short prefix) and `step` (the length class)."""
+    """The rows of each set's prefix, with n, the word's key and `short` (in the short prefix)."""
     rows = sets.select("sid", "doc", "n", "open", "m0", "m1", F.posexplode("prefix").alias("i", "key"))
     at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
     short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    return rows.select(F.hash("key").alias("w"), "sid", "doc", at.alias("at"), "m0", "m1", short.alias("short"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("step"))
+    return rows.select("key", "sid", "doc", "n", at.alias("at"), "m0", "m1", short.alias("short"))
 
 
-def may_match(a: Side, b: Side, percent: int) -> Column:
-    """Two sets that share this word can have the overlap needed."""
-    needed = F.ceil((a.n + b.n) * percent / (100 + percent))
-    m0, m1, most = a.m0.bitwiseXOR(b.m0), a.m1.bitwiseXOR(b.m1), a.n + b.n - 2 * needed
-    differ = F.bit_count(m0) + F.bit_count(m1)
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """Words that two sets of these sizes must share."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def alike(an: Column, am0: Column, am1: Column, bn: Column, bm0: Column, bm1: Column, percent: int) -> Column:
+    """The length filter and the parity filter let two sets pass."""
+    m0, m1, most = am0.bitwiseXOR(bm0), am1.bitwiseXOR(bm1), an + bn - 2 * needed(an, bn, percent)
     return (
-        (a.w == b.w) & (100 * b.n >= percent * a.n) & (100 * a.n >= percent * b.n)
-        & (F.least(a.n - a.i, b.n - b.i) >= needed)
+        (100 * bn >= percent * an) & (100 * an >= percent * bn)
         & (F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
-        & ((a.n <= MAP) | (b.n <= MAP) | (differ <= most))
+        & ((an <= MAP) | (bn <= MAP) | (F.bit_count(m0) + F.bit_count(m1) <= most))
     )
 
 
+def may_match(a: Side, b: Side, percent: int) -> Column:
+    """Two sets that share this word can have the overlap needed."""
+    return (a.w == b.w) & (F.least(a.n - a.i, b.n - b.i) >= needed(a.n, b.n, percent)) & alike(a.n, a.m0, a.m1, b.n, b.m0, b.m1, percent)
+
+
 def verified(docs: DataFrame, rank: Column, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sid of the later set of each pair (a, b) that is similar."""
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -128,23 +138,22 @@ def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFr
     """sid of the sets that an earlier set matches."""
     a, b = Side("a"), Side("b")
     sets = sets.withColumn("doc", F.coalesce("first.doc_id", F.lit(-(2**63))))
-    rows = prefix_rows(sets.withColumn("open", F.lit(True)), percent)
-    hot = rows.filter("short").groupBy("w").agg(F.count("*").alias("c"), F.min("doc").alias("head")).filter(F.col("c") >= HOT).select("w", "head")
-    hot = common.small(common.stage(hot, "line-hot"), SENT)
-    crowd = common.stage(rows.join(hot, "w").select(*Side.columns, "short", "head"), "line-crowd")
-    heads = crowd.filter("short and doc = head")
-    met = crowd.alias("a").join(heads.alias("b"), may_match(a, b, percent) & (a.sid != b.sid)).select(a.sid.alias("a"), b.sid.alias("b"))
-    met = common.stage(met.distinct(), "line-met")
+    likes = sets.select("sid", "doc", F.get("prefix", F.lit(0)).alias("rarest"), "n", "m0", "m1", F.explode(F.array_distinct(F.array("e0", "e1"))).alias("end")).filter("end is not null")
+    dense = common.stage(likes.groupBy("end").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("end"), "line-dense")
+    likes = common.stage(likes.join(common.small(dense, SENT), "end"), "line-likes")
+    head = F.struct("sid", "n", "m0", "m1")
+    heads = likes.groupBy("end", F.pmod(F.xxhash64("sid"), F.lit(HEADS)).alias("slot")).agg(F.array(F.min_by(head, F.struct("doc", "sid")), F.max_by(head, F.struct("rarest", "sid"))).alias("heads"))
+    met = likes.join(heads.select("end", F.explode("heads").alias("h")), "end").filter((F.col("sid") != F.col("h.sid")) & alike(F.col("n"), F.col("m0"), F.col("m1"), F.col("h.n"), F.col("h.m0"), F.col("h.m1"), percent))
+    met = common.stage(met.select(F.col("sid").alias("a"), F.col("h.sid").alias("b")).distinct(), "line-met")
     gone = verified(docs, rank, met, sets, percent)
-    common.discard(crowd)
+    common.discard(likes)
     # those left, as the later of a pair; the smaller set's short prefix meets the other's prefix
     closed = common.small(gone.withColumn("closed", F.lit(True)), SENT)
     rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()), percent)
-    rows = rows.join(hot.select("w", F.lit(True).alias("hot")), "w", "left")
-    of_class = lambda step: F.when(F.col("hot"), F.hash("w", step)).otherwise(F.col("w"))
-    larger = rows.withColumn("w", of_class(F.col("step"))).select(*Side.columns)
-    classes = F.when(F.col("hot"), F.array("step", F.col("step") + 1)).otherwise(F.array("step"))
-    smaller = rows.filter("short").withColumn("step", F.explode(classes)).withColumn("w", of_class(F.col("step"))).select(*Side.columns)
+    step = lambda more: F.floor((F.log("n") / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
+    own, next_ = step(0), step(1)  # a larger set that may match is in the class of n or of 1.25 n
+    larger = rows.withColumn("w", F.hash("key", own)).select(*Side.columns)
+    smaller = rows.filter("short").withColumn("step", F.explode(F.array_distinct(F.array(own, next_)))).withColumn("w", F.hash("key", "step")).select(*Side.columns)
     order = (b.n < a.n) | ((b.n == a.n) & (b.sid < a.sid))
     later = (a.open & (b.doc <= a.doc)) | (b.open & (a.doc <= b.doc))
     pairs = larger.alias("a").join(smaller.alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
@@ -159,9 +168,12 @@ def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
     maps = [parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)]
-    lines = lines.select("pos", *ids, size.alias("n"), *maps, F.slice("keys", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1).alias("prefix"))
+    most = size - F.ceil(size * percent / 100).cast("int") + 1
+    after = F.transform(F.slice("keys", most + 1, most), lambda k: F.xxhash64(k))
+    ends = [F.array_min(after).alias("e0"), F.array_max(after).alias("e1")]
+    lines = lines.select("pos", *ids, size.alias("n"), *maps, *ends, F.slice("keys", F.lit(1), most).alias("prefix"))
     lines = common.stage(lines, "lines")
-    sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "prefix")])
+    sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "e0", "e1", "prefix")])
     sets = common.stage(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
     whole, lines = lines, common.stage(lines.select("pos", "s1", "s2"), "line-ids")
     common.discard(whole)
