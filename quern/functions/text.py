@@ -32,8 +32,7 @@ def normalize(x) -> Column:
 
 def tokenize(x) -> Column:
     """Runs of a-z and 0-9 of the normalised text without stop words; repeats stay."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(normalize(x), F.lit(r"([a-z0-9]+)"), 1), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(normalize(x), F.lit(r"([a-z0-9]+)"), 1), lambda t: ~t.isin(STOPWORDS))  # a set in the JVM
 
 
 def fold(x) -> Column:

@@ -6,50 +6,74 @@ only. Corpus statistics (N, average length, IDF) come from all chunks: a type fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.session import small, stage
 
 CHUNK, STEP = 200, 150
+#: Rows up to which a list of terms or weights is broadcast.
+SENT = 200_000
+#: Query vectors of a broadcast.
+BLOCK = 4096
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
 def chunk(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Windows of 200 words every 150; the first that reaches the end is the last. Adds chunk_no and chunk, drops the text."""
+    """Windows of 200 words every 150; the first that reaches the end is the last. Adds chunk_no and chunk, drops the text. The windows are cut
+    before they become rows, so that no row carries the whole text."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    n = F.size("_w")
-    count = F.when(n <= CHUNK, 1).otherwise(F.ceil((n - CHUNK) / STEP) + 1).cast("int")
-    out = docs.withColumn("_w", words).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    return out.withColumn("chunk", F.array_join(F.slice("_w", F.col("chunk_no") * STEP + 1, F.lit(CHUNK)), " ")).drop("_w", text)
 
+    def windows(w: Column) -> Column:
+        count = F.when(F.size(w) <= CHUNK, 1).otherwise(F.ceil((F.size(w) - CHUNK) / STEP) + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice(w, k * STEP + 1, F.lit(CHUNK)), " "))
+
+    cut = F.transform(F.array(words), windows)[0]  # the words are split once
+    return docs.select(*[c for c in docs.columns if c != text], F.posexplode(cut).alias("chunk_no", "chunk"))
+
+
+def tokenized(chunks: DataFrame, key: list[str], text: str = "chunk") -> DataFrame:
+    """(key.., toks, len) of every chunk, written once: all corpus statistics and postings read it."""
+    toks = chunks.select(*key, T.tokenize(text).alias("toks"))
+    return stage(toks.withColumn("len", F.size("toks")), "tokens")
 
-def postings(chunks: DataFrame, key: list[str], text: str = "chunk") -> DataFrame:
-    """(key.., term, tf, len) of every chunk with a term."""
-    toks = chunks.select(*key, T.tokenize(text).alias("_t")).filter(F.size("_t") > 0)
-    return toks.select(*key, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
+
+def postings(tokens: DataFrame, key: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(key.., term, tf, len) of every chunk with a term, of those in terms (term) where given."""
+    long = tokens.select(*key, "len", F.explode("toks").alias("term"))
+    if terms is not None:
+        long = long.join(small(terms, SENT), "term")
+    return long.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "chunk", query_text: str = "text", query_id: str = "query_id") -> DataFrame:
-    """(query_id, key.., score) of the chunks that score above 0, rounded to 6 decimals. Repeated query terms count again."""
-    post = postings(chunks, key, text)
-    n = chunks.agg(F.count("*").alias("_n"))
-    lengths = chunks.select(F.avg(F.size(T.tokenize(text))).alias("_avg"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.agg((F.avg("idf") * EPSILON).alias("_eps"))  # one row, like the two above
+    """(query_id, key.., score) of the chunks that score above 0, rounded to 6 decimals. Repeated query terms count again. Document
+    frequencies are summed in each task before they are shuffled, and only postings of asked terms are ever made."""
+    tokens = tokenized(chunks, key, text)
+    corpus = tokens.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
+    df = tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(corpus)).select("term", "_avg", (F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    idf = stage(idf, "idf")
+    floor = idf.agg((F.avg("idf") * EPSILON).alias("_eps"))  # one row, like the corpus
     asked = queries.select(F.col(query_id), F.explode(T.tokenize(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    weights = asked.join(idf, "term").crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(lengths))
+    asked = stage(asked, "asked")
+    weights = asked.join(idf, "term").crossJoin(F.broadcast(floor))
     weights = weights.withColumn("idf", F.when(F.col("idf") < 0, F.col("_eps")).otherwise(F.col("idf")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
-    hits = post.join(weights, "term").groupBy(query_id, *key).agg(F.round(F.sum(part), 6).alias("score"))
+    hits = postings(tokens, key, asked.select("term").distinct()).join(small(weights, SENT), "term").groupBy(query_id, *key).agg(F.round(F.sum(part), 6).alias("score"))
     return hits.filter("score > 0")
 
 
 def best_per_doc(hits: DataFrame, query_id: str = "query_id", tie: str = "chunk_no") -> DataFrame:
     """The best chunk of each document for each query, by score, then position."""
-    w = Window.partitionBy(query_id, "doc_id").orderBy(F.desc("score"), tie)
-    return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    rest = [c for c in hits.columns if c not in (query_id, "doc_id")]
+    best = F.max_by(F.struct(*rest), F.struct(F.col("score"), -F.col(tie))).alias("_best")
+    return hits.groupBy(query_id, "doc_id").agg(best).select(query_id, "doc_id", "_best.*")
 
 
 def top(hits: DataFrame, k: int, by: list[Column], group: str = "query_id") -> DataFrame:
@@ -57,16 +81,50 @@ def top(hits: DataFrame, k: int, by: list[Column], group: str = "query_id") -> D
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("rank") <= k)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def dense(vectors: DataFrame, queries: DataFrame, digits: int = 4) -> DataFrame:
-    """(query_id, vec_id, label, sim) of a stated query set against all other vectors; the query side is the small one."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = vectors.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("query_id"))
-    return pairs.select("query_id", "vec_id", "label", F.round(cosine("_q", "embedding"), digits).alias("sim"))
+def dense(vectors: DataFrame, queries: DataFrame, digits: int = 4, k: int | None = None, within: str | None = None) -> DataFrame:
+    """(query_id, vec_id, label, sim) of a stated query set against all other vectors: cosine similarities as matrix products of normalised
+    blocks. With k, only the k best of each query in each task, ties to the smaller vec_id, so that what is shuffled doesn't
+    grow with the vectors; `within` names a column in which a vector must equal the query. Queries are broadcast in blocks of BLOCK."""
+    spark = vectors.sparkSession
+    columns = ["vec_id", "label", "embedding"]
+    asked = queries.select(*columns).filter("vec_id is not null and embedding is not null")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas()
+        if not len(rows):
+            continue
+        unit = lambda x: (m := np.stack(x).astype(np.float64)) / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        sent = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(np.int64), rows["label"].to_numpy(), unit(rows["embedding"])))
+
+        def run(frames: Iterator[pd.DataFrame], sent=sent, unit=unit) -> Iterator[pd.DataFrame]:
+            ids, labels, asked = sent.value
+            best: list[pd.DataFrame] = []
+
+            def kept(found: list[pd.DataFrame]) -> pd.DataFrame:
+                every = pd.concat(found).sort_values(["query_id", "sim", "vec_id"], ascending=[True, False, True])
+                return every.groupby("query_id").head(k)
+
+            for frame in frames:
+                for at in range(0, len(frame), 1024):
+                    part = frame.iloc[at : at + 1024]
+                    sims = np.round(asked @ unit(part["embedding"]).T, digits)
+                    there = ids[:, None] != part["vec_id"].to_numpy()[None, :]
+                    if within:
+                        there &= labels[:, None] == part["label"].to_numpy()[None, :]
+                    q, v = np.nonzero(there)
+                    found = pd.DataFrame({"query_id": ids[q], "vec_id": part["vec_id"].to_numpy()[v], "label": part["label"].to_numpy()[v], "sim": sims[q, v]})
+                    if k is None:
+                        yield found
+                    else:
+                        best = [kept([*best, found])]
+            if k is not None and best:
+                yield best[0]
+
+        schema = f"query_id long, vec_id long, label {dict(vectors.dtypes)['label']}, sim double"
+        found = vectors.select(*columns).filter("vec_id is not null and embedding is not null").mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"query_id long, vec_id long, label {dict(vectors.dtypes)['label']}, sim double")
 
 
 def fuse(a: DataFrame, b: DataFrame, key: str, query_id: str = "query_id", k: int = RRF_K) -> DataFrame:

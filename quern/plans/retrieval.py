@@ -60,28 +60,26 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
 
-def _dense(spark, sf_dir):
+def _dense(spark, sf_dir, k=None, within=None):
     v = _vectors(spark, sf_dir)
-    return R.dense(v, v.filter("vec_id % 50 = 0"))
+    return R.dense(v, v.filter("vec_id % 50 = 0"), k=k, within=within)
 
 
 def dense_topk(spark, sf_dir):
-    return R.top(_dense(spark, sf_dir), 10, [F.desc("sim"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "sim")
+    return R.top(_dense(spark, sf_dir, 10), 10, [F.desc("sim"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "sim")
 
 
 def dense_prefilter_topk(spark, sf_dir):
     """The type filter stands below the top 50 candidates."""
     v = _vectors(spark, sf_dir)
-    hits = R.dense(v.filter("label < 5"), v.filter("vec_id % 50 = 0"))
+    hits = R.dense(v.filter("label < 5"), v.filter("vec_id % 50 = 0"), k=50)
     return R.top(hits, 50, [F.desc("sim"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "label")
 
 
 def rrf_fusion(spark, sf_dir):
     """Rank by similarity fused with rank among vectors of the query's label."""
-    d = _dense(spark, sf_dir)
-    own = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-    one = R.top(d, 50, [F.desc("sim"), F.col("vec_id")])
-    two = R.top(d.join(own, "query_id").filter("label = q_label"), 50, [F.desc("sim"), F.col("vec_id")])
+    one = R.top(_dense(spark, sf_dir, 50), 50, [F.desc("sim"), F.col("vec_id")])
+    two = R.top(_dense(spark, sf_dir, 50, "label"), 50, [F.desc("sim"), F.col("vec_id")])
     return R.top(R.fuse(one, two, "vec_id"), 10, [F.desc("rrf"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "rrf")
 
 
@@ -107,7 +105,7 @@ ALIASES = {"er": ["ere", "era"], "th": ["the", "thee"], "en": ["ene"], "ble": ["
 
 def term_statistics(spark, sf_dir):
     """Document frequency and total count of every corpus term."""
-    post = R.postings(_chunks(spark, sf_dir), ["doc_id", "chunk_no"])
+    post = R.postings(R.tokenized(_chunks(spark, sf_dir), ["doc_id", "chunk_no"]), ["doc_id", "chunk_no"])
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 

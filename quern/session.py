@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Adaptive execution re-plans joins and splits skewed partitions at run time; UTC keeps dates comparable with the SQL oracles.
 SETTINGS = {
@@ -53,5 +58,62 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one for tests where the cluster names none."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/quern").rstrip("/")
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir. Only where all run in this
+    process, as in tests, a folder of this machine stands in."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="quern-checkpoints-")
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written now go when their plan is collected
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stage() wrote for a frame that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        for k, (spark, path) in enumerate(_written):
+            if folder.endswith(path.rsplit("/", 1)[1]):
+                _delete(spark, path)
+                del _written[k]
+                return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release() -> None:
+    """Delete what stage() wrote in this process."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has gone already
+            return
+
+
+atexit.register(release)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast a frame whose counted rows are at most `most`; a larger one stays for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
