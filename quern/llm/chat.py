@@ -1,11 +1,14 @@
 """Preference formatting: the longest common turn prefix of a chosen and a rejected conversation is the prompt of both.
 
 Turns are in the order of their number, then role and text. The prompt is rendered once; each completion is the rest of
-its conversation, with a mask that trains on assistant turns only: `length:flag` for each turn, in characters of the rendering.
+its conversation, with a mask that trains on what assistants say: two `length:flag` for each turn, in characters of the rendering, one for
+its header, which is never trained on, and one for its text with the line end that closes the turn. In roles and texts `<|` is
+rendered as `<\\|`, so that no text can open a turn.
 
 A null role is rendered as `unknown`, a null text as empty, a null turn number comes first; repeated rows are turns
-each. Rows without a conversation id take no part. A pair that lacks a side has an empty prompt and completion there. A pair
-is one training record, so its turns meet in one row; only the turns of a pair do.
+each, and ties of number, role and text are equal turns. Rows without a conversation id take no part. A pair that lacks a side has
+an empty prompt and completion there. A pair is one training record, so its turns, however long, meet in one row; only the
+turns of a pair do. Columns of other names are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,13 +19,21 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 
+def header(turn: Column) -> Column:
+    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
+
+
 def rendered(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("\n"))
+    return F.concat(header(turn), turn["text"], F.lit("\n"))
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
 def format_pairs(turns: DataFrame) -> DataFrame:
     """turns: (pair_id, side (0 chosen, 1 rejected), conv_id, turn, role, text). One row for each pair."""
-    turns = turns.withColumns({"role": F.coalesce("role", F.lit("unknown")), "text": F.coalesce("text", F.lit(""))})
+    turns = turns.withColumns({"role": escaped(F.coalesce("role", F.lit("unknown"))), "text": escaped(F.coalesce("text", F.lit("")))})
     order = Window.partitionBy("pair_id", "side").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("pos", F.row_number().over(order))
     sides = [F.max(F.when(F.col("side") == k, F.struct("role", "text"))).alias(name) for k, name in enumerate(("c", "r"))]
@@ -34,7 +45,7 @@ def format_pairs(turns: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.filter(part, lambda t: t[side].isNotNull()), lambda t: rendered(t[side])), "")
 
     def mask(side: str, part: Column) -> Column:
-        flag = lambda t: F.concat_ws(":", F.length(rendered(t[side])), F.when(t[side]["role"] == "assistant", 1).otherwise(0))
+        flag = lambda t: F.concat(F.length(header(t[side])), F.lit(":0,"), F.length(t[side]["text"]) + 1, F.when(t[side]["role"] == "assistant", ":1").otherwise(":0"))
         return F.array_join(F.transform(F.filter(part, lambda t: t[side].isNotNull()), flag), ",")
 
     before = F.filter("turns", lambda t: t["pos"] <= F.col("n_prompt_turns"))
@@ -54,9 +65,9 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL),
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 x AS (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) AS s FROM t),
 b AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos, c.s AS c, r.s AS r, c.role AS c_role, r.role AS r_role
@@ -66,7 +77,7 @@ SELECT pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
        coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos <= n AND c IS NOT NULL), '') AS prompt,
        coalesce(string_agg(c, '' ORDER BY pos) FILTER (WHERE pos > n AND c IS NOT NULL), '') AS chosen,
        coalesce(string_agg(r, '' ORDER BY pos) FILTER (WHERE pos > n AND r IS NOT NULL), '') AS rejected,
-       coalesce(string_agg(length(c) || ':' || CASE WHEN c_role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY pos) FILTER (WHERE pos > n AND c IS NOT NULL), '') AS chosen_mask,
-       coalesce(string_agg(length(r) || ':' || CASE WHEN r_role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY pos) FILTER (WHERE pos > n AND r IS NOT NULL), '') AS rejected_mask
+       coalesce(string_agg((length(c_role) + 5) || ':0,' || (length(c) - length(c_role) - 5) || CASE WHEN c_role = 'assistant' THEN ':1' ELSE ':0' END, ',' ORDER BY pos) FILTER (WHERE pos > n AND c IS NOT NULL), '') AS chosen_mask,
+       coalesce(string_agg((length(r_role) + 5) || ':0,' || (length(r) - length(r_role) - 5) || CASE WHEN r_role = 'assistant' THEN ':1' ELSE ':0' END, ',' ORDER BY pos) FILTER (WHERE pos > n AND r IS NOT NULL), '') AS rejected_mask
 FROM b JOIN p USING (pair_id) GROUP BY pair_id
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,71 +10,24 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import discard, ship, small, stage
+
+__all__ = ["GAP", "WORD", "aside", "back", "discard", "let", "slices", "small", "stage", "table"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one for tests where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/quern"
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written now go when their plan is collected
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what stage() wrote for a frame that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        for k, (spark, path) in enumerate(_written):
-            if folder.endswith(path.rsplit("/", 1)[1]):
-                _delete(spark, path)
-                del _written[k]
-                return
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release() -> None:
-    """Delete what stage() wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has gone already
-            return
-
-
-atexit.register(release)
-
-
-def aside(docs: DataFrame, used: list[str]) -> DataFrame:
-    """docs with the used columns and all others in one struct, `_rest`, so that no name of theirs meets an operator's own."""
+def aside(docs: DataFrame, used: list[str], *more: Column) -> DataFrame:
+    """docs with the used columns, more that are made of docs, and all others in one struct, `_rest`, so that no name of theirs meets an operator's own."""
     rest = [c for c in docs.columns if c not in used]
-    return docs.select(*used, (F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.lit(0)).alias("_rest"))
+    return docs.select(*used, *more, (F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.lit(0)).alias("_rest"))
 
 
 def back(out: DataFrame, docs: DataFrame, used: list[str], *more: str) -> DataFrame:
@@ -89,11 +40,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast a frame whose counted rows are at most `most`; a larger one stays for a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of runs of rows with about `most` bytes; a longer text is a run of its own. A worker holds one run at a time."""
     sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)

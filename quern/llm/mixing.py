@@ -9,7 +9,9 @@ spread over many tasks, and the final cut is found from totals of ranges of virt
 one narrow range is ever sorted.
 
 Null text has size 0; null source is a source of its own (last in order); a null id hashes as the empty string; rows
-that share source and id are served together and counted together. An empty table gives an empty result.
+that share source and id are served together and counted together. Equal finish times are ordered by source, hash, id and
+round. A text of any length is one document, taken whole. Columns of any name beside doc_id and source are kept aside. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, times: int
     """doc_id, source, size, source_size, target, times_taken (0 to `times`) and `_rest` (the other columns) of every document; the documents
     themselves are never shuffled. size: a column of docs."""
     used = ["doc_id", "source"]
-    own = common.aside(docs.withColumn("_size", size), used).withColumn("size", F.col("_rest._size"))
+    own = common.aside(docs, used, size.alias("size"))
     cuts = common.small(plan(own, F.col("size"), weights, share, times).withColumnRenamed("source", "_source"), 100_000)
     key = F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.col("doc_id"))
     served = F.coalesce(F.size(F.filter("cut", lambda c: key <= c)), F.lit(0))

@@ -2,15 +2,19 @@
 
 Statistics of each text are turned into four features: log of the mean word length, and the arcsine square roots of the
 shares of symbols, repeated lines and repeated words. Texts that pass the base rules are grouped by language and source.
-A pair of fewer than LEAST texts is judged by the estimate of all texts of its language, and one whose language has fewer by that
-of all texts, however few they are. For each group, concentration steps start at medians and absolute deviations and keep the HALF of the texts nearest by
-Mahalanobis distance; their mean and covariance, with the consistency factor and a floor for each feature, are the estimate.
-Texts whose squared distance is over CUT are rejected. Every text that passes the base rules is judged.
+A pair of fewer than LEAST texts is judged by the estimate of all texts of its language, and one whose language has fewer by
+that of all texts, however few they are; judged_by says so. For each group, concentration steps start at three estimates
+(medians and absolute deviations, all texts, all texts drawn in to their medians) and keep the HALF of the texts nearest by
+Mahalanobis distance, with the mean and covariance of which the next step goes on until nothing changes. The result with
+the least determinant, with the consistency factor and a floor for each feature, is the estimate. Texts whose squared
+distance is over CUT are rejected. Every text that passes the base rules is judged.
 
-Medians and the nearest share come from counts in fine bins, so a group of any size costs a few hundred rows.
+Medians and the nearest share come from counts in fine bins, so a group of any size costs a few hundred rows, and texts
+that tie at the edge of the nearest share are all in it.
 
 A null text has no words and fails the base rules; null languages and sources are groups of their own; rows are judged one by
-one, so repeated rows get the same verdict; an empty table gives an empty result.
+one, so repeated rows, and null ids, get their own verdict; a text of any length is one row, read whole; columns of any name
+beside doc_id, text, lang and source are kept aside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from quern.llm.common import let
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = r"[#*$%&|<>]+"
 FEATURES = ("f0", "f1", "f2", "f3")
-#: Least deviation of each feature that counts as one; texts from which a group has an estimate of its own; share kept by the concentration steps, their number, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
-FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 40, 0.75, 3, 1.486, 23.51
+#: Least deviation of each feature that counts as one; texts from which a group has an estimate of its own; share kept by the concentration steps, after how many those end that still change, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
+FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 40, 0.75, 30, 1.486, 23.51
 #: Bins a unit of a feature, and of the logarithm of a distance; rows up to which estimates are broadcast.
 FINE, COARSE, SENT = 256, 64, 20_000
 
@@ -83,11 +87,12 @@ def features(stats: DataFrame) -> DataFrame:
 
 
 def _middle(rows: DataFrame, value, share: float = 0.5) -> DataFrame:
-    """For each group, the smallest bin with at least `share` of the rows at or below it. value: bin of a row."""
-    counts = rows.groupBy("part", value.alias("bin")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("part").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    all_of = Window.partitionBy("part")
-    return counts.select("part", "bin", F.sum("n").over(up).alias("up"), F.sum("n").over(all_of).alias("n")).filter(F.col("up") >= share * F.col("n")).groupBy("part").agg(F.min("bin").alias("middle"))
+    """For each group and start, the smallest bin with at least `share` of the rows at or below it. value: bin of a row."""
+    key = ["part", "start"]
+    counts = rows.groupBy(*key, value.alias("bin")).agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy(*key)
+    return counts.select(*key, "bin", F.sum("n").over(up).alias("up"), F.sum("n").over(all_of).alias("n")).filter(F.col("up") >= share * F.col("n")).groupBy(*key).agg(F.min("bin").alias("middle"))
 
 
 def _named(rows: DataFrame, prefix: str, value) -> DataFrame:
@@ -130,7 +135,7 @@ def distance(rows: DataFrame) -> DataFrame:
 
 
 def parts(rows: DataFrame) -> DataFrame:
-    """(lang, source, part, fits) for the sources of the rows: the group that judges each, and those whose estimates its texts are part of."""
+    """(lang, source, judged_by, part, fits) for the sources of the rows: the group that judges each, its kind, and those whose estimates its texts are part of."""
     counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang")))
     level = F.when(F.col("n") >= LEAST, 2).when(F.col("of_lang") >= LEAST, 1).otherwise(0)
     pair, lang, whole = (F.to_json(F.struct(F.lit(k).alias("level"), *names)) for k, names in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])))
@@ -138,7 +143,8 @@ def parts(rows: DataFrame) -> DataFrame:
     pooled = F.max(F.col("level") == 1).over(Window.partitionBy("lang"))
     any_small = bool(counts.filter("level = 0").head(1))
     fits = F.array_compact(F.array(F.when(F.col("level") == 2, pair), F.when(pooled, lang), F.when(F.lit(any_small), whole)))
-    return counts.select("lang", "source", F.when(F.col("level") == 2, pair).when(F.col("level") == 1, lang).otherwise(whole).alias("part"), fits.alias("fits"))
+    names = F.element_at(F.array(F.lit("all"), F.lit("language"), F.lit("own")), F.col("level") + 1)
+    return counts.select("lang", "source", names.alias("judged_by"), F.when(F.col("level") == 2, pair).when(F.col("level") == 1, lang).otherwise(whole).alias("part"), fits.alias("fits"))
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -146,32 +152,69 @@ def fit(stats: DataFrame) -> DataFrame:
     rows = features(stats.filter(~F.col("base_failed"))).select("lang", "source", *FEATURES)
     rows = common.stage(rows, "quality-features")
     groups = common.stage(parts(rows), "quality-groups")
-    known = common.small(groups.drop("part"), SENT).alias("g")
+    known = common.small(groups.drop("part", "judged_by"), SENT).alias("g")
     rows = rows.alias("r").join(known, F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source"))).select(F.explode("fits").alias("part"), *FEATURES)
-    centre = _named(rows, "c", lambda k: F.round(F.col(FEATURES[k]) * FINE))
-    centre = common.stage(centre, "quality-centre")
+    centre = common.stage(_named(rows, "c", lambda k: F.round(F.col(FEATURES[k]) * FINE)), "quality-centre")
     spread = _named(rows.join(common.small(centre, SENT), "part"), "s", lambda k: F.round(F.abs(F.col(FEATURES[k]) - F.col(f"c{k}")) * FINE))
-    first = centre.join(spread, "part")
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            first = first.withColumn(f"l{i}{j}", F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS[i])) if i == j else F.lit(0.0))
-    columns = ["part", *[f"c{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]]
-    model = common.stage(first.select(columns), "quality-model")
+    first = common.stage(centre.join(spread, "part"), "quality-spread")
+    model = common.stage(starts(rows, first), "quality-starts")
+    ended = model.limit(0)
     for _ in range(STEPS):
-        near = distance(rows.join(common.small(model, SENT), "part")).select("part", *FEATURES, F.floor(F.log1p("d2") * COARSE).alias("bin"))
-        edge = common.stage(_middle(near, F.col("bin"), HALF), "quality-edge")
-        near = near.join(common.small(edge, SENT), "part").filter("bin <= middle")
-        means = [F.avg(f).alias(f"c{i}") for i, f in enumerate(FEATURES)]
-        covs = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"v{i}{j}") for i in range(len(FEATURES)) for j in range(i + 1)]
-        moments = near.groupBy("part").agg(*means, *covs)
-        factor = _lower(lambda i, j: F.col(f"v{i}{j}") * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0))
-        model = common.stage(_with(moments, factor).select(columns), "quality-model")
+        now = common.stage(concentrated(rows, model), "quality-model")
+        same = F.lit(True)
+        for c in _model_columns():
+            same = same & (F.abs(F.col(f"n.{c}") - F.col(f"w.{c}")) <= 1e-9)
+        both = now.alias("n").join(model.alias("w"), ["part", "start"]).select("part", "start", *[F.col(f"n.{c}").alias(c) for c in _model_columns()], same.alias("same"))
+        both = common.stage(both, "quality-step")
+        ended, model = ended.unionByName(both.filter("same").drop("same")), both.filter("not same").drop("same")
+        if not model.head(1):
+            break
+    size = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(FEATURES))), 2 * F.log(F.col("l00")))
+    best = Window.partitionBy("part").orderBy(F.round(size, 9), "start")
+    model = ended.unionByName(model).withColumns({"log_det": size, "_best": F.row_number().over(best)}).filter("_best = 1").drop("_best")
     return common.stage(groups.drop("fits").join(model, "part"), "quality-estimates")
 
 
+def _model_columns() -> list[str]:
+    return [*[f"c{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]]
+
+
+def _estimate(moments: DataFrame, factor: float) -> DataFrame:
+    """Location and Cholesky factor from means and covariances (c.., v..), with a floor for each feature."""
+    return _with(moments, _lower(lambda i, j: F.col(f"v{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0))).select("part", "start", *_model_columns())
+
+
+def _moments(values) -> list[Column]:
+    pairs = [F.covar_pop(values[i], values[j]).alias(f"v{i}{j}") for i in range(len(FEATURES)) for j in range(i + 1)]
+    return [*[F.avg(v).alias(f"c{i}") for i, v in enumerate(values)], *pairs]
+
+
+def starts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Three estimates of each group to start from: medians and absolute deviations; means and covariances of all its texts; and those of the
+    texts with each feature drawn in to two deviations from its median."""
+    deviation = [F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS[i])) for i in range(len(FEATURES))]
+    columns = {f"l{i}{j}": deviation[i] if i == j else F.lit(0.0) for i in range(len(FEATURES)) for j in range(i + 1)}
+    middle = _with(first.withColumn("start", F.lit(0)), columns).select("part", "start", *_model_columns())
+    whole = _estimate(rows.groupBy("part").agg(*_moments([F.col(f) for f in FEATURES])).withColumn("start", F.lit(1)), 1.0)
+    near = rows.join(common.small(first, SENT), "part")
+    drawn = [F.greatest(F.col(f"c{i}") - 2 * deviation[i], F.least(F.col(f"c{i}") + 2 * deviation[i], F.col(f))) for i, f in enumerate(FEATURES)]
+    near = near.select("part", *[d.alias(f) for d, f in zip(drawn, FEATURES, strict=True)])
+    inner = _estimate(near.groupBy("part").agg(*_moments([F.col(f) for f in FEATURES])).withColumn("start", F.lit(2)), 1.0)
+    return middle.unionByName(whole).unionByName(inner)
+
+
+def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step: the estimate from the HALF of each group's texts that are nearest by the model."""
+    model = common.small(model, SENT)
+    near = distance(rows.join(model, "part")).select("part", "start", *FEATURES, F.floor(F.log1p("d2") * COARSE).alias("bin"))
+    edge = common.stage(_middle(near, F.col("bin"), HALF), "quality-edge")
+    near = near.join(common.small(edge, SENT), ["part", "start"]).filter("bin <= middle")
+    return _estimate(near.groupBy("part", "start").agg(*_moments([F.col(f) for f in FEATURES])), CONSISTENT)
+
+
 def judge(stats: DataFrame, model: DataFrame, cut: float = CUT) -> DataFrame:
-    """stats with d2 (null where no text of the language and source passes the base rules) and kept."""
-    m = common.small(model.drop("part").withColumnsRenamed({"lang": "_lang", "source": "_source"}), SENT)
+    """stats with d2 (null where no text of the language and source passes the base rules), judged_by (own, language or all) and kept."""
+    m = common.small(model.drop("part", "log_det").withColumnsRenamed({"lang": "_lang", "source": "_source"}), SENT)
     out = features(stats).join(m, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     out = distance(out)
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cut))
@@ -190,6 +233,6 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     stats = common.stage(statistics(docs).drop("text"), "quality-statistics")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judge(stats, fit(stats)).select("doc_id", *counts, "base_failed", "kept", "d2")
+    return judge(stats, fit(stats)).select("doc_id", *counts, "base_failed", "kept", "d2", "judged_by")
 
 
