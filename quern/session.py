@@ -101,14 +101,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release() -> None:
-    """Delete what stage() wrote in this process."""
+def release(keep: str | None = None) -> None:
+    """Delete what stage() wrote in this process, but for frames whose names begin with `keep`."""
+    left = []
     while _written:
         spark, path = _written.pop()
+        if keep and path.rsplit("/", 1)[1].startswith(keep):
+            left.append((spark, path))
+            continue
         try:
             _delete(spark, path)
         except Exception:  # the session has gone already
             return
+    _written.extend(left)
 
 
 atexit.register(release)
