@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import discard, ship, small, stage
+from quern.session import discard, release, ship, small, stage
 
-__all__ = ["GAP", "WORD", "aside", "back", "discard", "let", "slices", "small", "stage", "table"]
+__all__ = ["GAP", "WORD", "aside", "back", "discard", "let", "release", "slices", "small", "stage", "sweep", "table"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go what no frame refers to any more: Spark deletes the shuffle files of plans that have been collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def aside(docs: DataFrame, used: list[str], *more: Column) -> DataFrame:
     """docs with the used columns, more that are made of docs, and all others in one struct, `_rest`, so that no name of theirs meets an operator's own."""
     rest = [c for c in docs.columns if c not in used]

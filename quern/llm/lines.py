@@ -3,13 +3,13 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^16 hash buckets, then the hash. A word becomes one long
+1. Words are ordered by rarity: the corpus count of each of 2^14 hash buckets, then the hash. A word becomes one long
    whose high bits are its bucket's rank and whose low ones are the rest of the hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
-3. Sets whose words after the prefix, as many as in it, have the same least or greatest hash are alike (words that edits put
-   in are mostly rare, and so in the prefix); where DENSE or more are, they are dealt into HEADS slots
+3. Sets whose words after the prefix, as many as in it, have the same two least or two greatest hashes are alike (words that
+   edits put in are mostly rare, and so in the prefix); where DENSE or more are, they are dealt into HEADS slots
    and each is compared with two of every slot, the earliest and the one whose rarest word is least rare, which is hardly
    edited. What matches an earlier one goes, so that of a group of near copies few sets are left to be paired.
 4. Prefixes meet short prefixes by word and length class. A pair whose later set has gone already, or that fails the
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; rows up to which a list is broadcast.
-BITS, DENSE, HEADS, CLASS, MAP, SENT = 16, 8, 4, 3, 64, 200_000
+#: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
+BITS, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 14, 8, 4, 3, 64, 2, 200_000
 
 
 def words(text: Column) -> Column:
@@ -152,13 +152,18 @@ def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFr
     rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()), percent)
     step = lambda more: F.floor((F.log("n") / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
     own, next_ = step(0), step(1)  # a larger set that may match is in the class of n or of 1.25 n
-    larger = rows.withColumn("w", F.hash("key", own)).select(*Side.columns)
-    smaller = rows.filter("short").withColumn("step", F.explode(F.array_distinct(F.array(own, next_)))).withColumn("w", F.hash("key", "step")).select(*Side.columns)
+    larger = rows.withColumn("w", F.hash("key", own))
+    smaller = rows.filter("short").withColumn("step", F.explode(F.array_distinct(F.array(own, next_)))).withColumn("w", F.hash("key", "step"))
     order = (b.n < a.n) | ((b.n == a.n) & (b.sid < a.sid))
     later = (a.open & (b.doc <= a.doc)) | (b.open & (a.doc <= b.doc))
-    pairs = larger.alias("a").join(smaller.alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
-    pairs = common.stage(pairs.select(a.sid.alias("a"), b.sid.alias("b")).distinct(), "line-pairs")
-    return gone.unionByName(verified(docs, rank, pairs, sets, percent))
+    found = None
+    for k in range(PASSES):  # a share of the words at a time, so that the shuffled rows take less disk
+        mine = [side.filter(F.pmod("w", F.lit(PASSES)) == k).select(*Side.columns) for side in (larger, smaller)]
+        pairs = mine[0].alias("a").join(mine[1].alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
+        pairs = common.stage(pairs.select(a.sid.alias("a"), b.sid.alias("b")).distinct(), "line-pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        common.sweep(docs.sparkSession)
+    return gone.unionByName(verified(docs, rank, common.stage(found.distinct(), "line-candidates"), sets, percent))
 
 
 def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -169,14 +174,16 @@ def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
     maps = [parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)]
     most = size - F.ceil(size * percent / 100).cast("int") + 1
-    after = F.transform(F.slice("keys", most + 1, most), lambda k: F.xxhash64(k))
-    ends = [F.array_min(after).alias("e0"), F.array_max(after).alias("e1")]
-    lines = lines.select("pos", *ids, size.alias("n"), *maps, *ends, F.slice("keys", F.lit(1), most).alias("prefix"))
+    after = F.sort_array(F.transform(F.slice("keys", most + 1, most), lambda k: F.xxhash64(k)))
+    lines = lines.select("pos", *ids, size.alias("n"), *maps, after.alias("after"), F.slice("keys", F.lit(1), most).alias("prefix"))
+    end = lambda *at: F.when(F.size("after") > 1, F.xxhash64(*[F.try_element_at("after", F.lit(k)) for k in at]))
+    lines = lines.select("pos", "s1", "s2", "n", "m0", "m1", end(1, 2).alias("e0"), end(-1, -2).alias("e1"), "prefix")
     lines = common.stage(lines, "lines")
     sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "e0", "e1", "prefix")])
     sets = common.stage(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
     whole, lines = lines, common.stage(lines.select("pos", "s1", "s2"), "line-ids")
     common.discard(whole)
+    common.sweep(docs.sparkSession)
     gone = near(docs, rank, sets, percent).withColumn("near", F.lit(True))
     found = sets.select("sid", "s1", "s2", "first", "times").join(gone, "sid", "left").filter("times > 1 or near").select("s1", "s2", "first", "near")
     found = common.small(common.stage(found, "line-found"), SENT)
