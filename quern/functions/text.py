@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their base letters; stop words of two languages; name particles; legal forms after and before a firm's name.
-ACCENTS = ("àáâäãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+def _plain_letters() -> dict[str, str]:
+    """Each accented small letter of the Latin blocks with the letter that it decomposes to, from the Unicode tables."""
+    out = {}
+    for code in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFKD", chr(code))
+        if marks and all(unicodedata.combining(m) for m in marks) and chr(code) == chr(code).lower():
+            out[chr(code)] = base
+    return out
+
+
+#: Arabic letters and digits that are written in several ways, and the one that stands for them.
+ARABIC = ("أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "اااايهوي0123456789")
+#: Letters to replace, then combining marks, Arabic vowel signs and invisible characters, which have no replacement and go.
+ACCENTS = (
+    "".join(_plain_letters()) + ARABIC[0] + "".join(map(chr, (*range(0x300, 0x370), *range(0x64B, 0x660), 0x640, 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF))),
+    "".join(_plain_letters().values()) + ARABIC[1],
+)
+#: Stop words of two languages; name particles; legal forms after and before a firm's name.
 STOPWORDS = (
     "a an the of for in on with and or to at by as is are be was from this that it its our your "
     "au aux de des du le la les un une et ou en pour sur avec dans par ce ces cette son sa ses "

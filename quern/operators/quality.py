@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import stage
+
 from quern.functions import text as T
 
 
@@ -46,10 +48,25 @@ def absorb(rows: DataFrame, key: list[str], order: list[Column], keep: str, abso
     return ranked.groupBy(*key).agg(F.min_by(keep, "_r").alias(keep), F.array_sort(F.collect_list(F.when(F.col("_r") > 1, F.col("_a")))).alias("also_seen"))
 
 
-def greedy_two_keys(rows: DataFrame, part: str, schema: str) -> DataFrame:
-    """Ordered deduplication by two keys within a part (a connected set of keys): richer rows first; a row is a duplicate when its
-    canonical_id was seen, or its pair_key with the same deadline; the same pair with another deadline is a relaunch, kept, whose
-    deadline then stands for the pair. The order of decisions matters, so each part is folded in sequence."""
+def connected(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
+    """rows with `part`, the smallest row id that a chain of shared keys leads to. Labels pass over each key in turn until no label falls; null keys connect nothing."""
+    labels = rows.select(row, *keys, F.col(row).alias("part"))
+    total = None
+    while True:
+        for k in keys:
+            least = labels.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("part").alias("_least"))
+            labels = labels.join(least, k, "left").withColumn("part", F.least("part", "_least")).drop("_least")
+        labels = stage(labels.select(row, *keys, "part"), "connected")
+        now = labels.agg(F.sum(F.col("part").cast("decimal(38,0)"))).head()[0]
+        if now == total:
+            return rows.join(labels.select(row, "part"), row)
+        total = now
+
+
+def greedy_two_keys(rows: DataFrame) -> DataFrame:
+    """(row_id, duplicate_of, relaunch_of) of rows (row_id, canonical_id, pair_key, deadline, richness): ordered deduplication by two keys, richer rows first, then the
+    smaller id. A row is a duplicate when its canonical_id was seen, or its pair_key with the same deadline; the same pair with another deadline is a relaunch, kept,
+    whose deadline then stands for the pair. The order of decisions matters, so each set of rows that keys connect is folded in sequence, and no more than that."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, pairs, out = {}, {}, []
@@ -65,7 +82,8 @@ def greedy_two_keys(rows: DataFrame, part: str, schema: str) -> DataFrame:
             out.append((row.row_id, dup, relaunch))
         return pd.DataFrame(out, columns=["row_id", "duplicate_of", "relaunch_of"]).astype("Int64")
 
-    return rows.groupBy(part).applyInPandas(fold, schema)
+    own = connected(rows, "row_id", ["canonical_id", "pair_key"])
+    return own.groupBy("part").applyInPandas(fold, "row_id long, duplicate_of long, relaunch_of long")
 
 
 def anti_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import dates as D
 from quern.plans import sql as S
 from quern.plans.procurement import TODAY
-from quern.session import table
+from quern.session import small, stage, table
 
 
 # similarities
@@ -50,12 +50,17 @@ def firm_keys(spark, sf_dir):
 
 
 def contamination_overlap(spark, sf_dir):
-    """Benchmark passages quoted word for word in documents: passages meet documents by their first eight words, then as a whole."""
+    """Benchmark passages quoted word for word in documents: passages meet documents by a hash of their first eight words, then as a whole. Only
+    hashes are exploded; the texts of the pairs found are fetched once."""
     words = lambda x: F.filter(F.split(T.fold(x), " "), lambda w: w != "")
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.fold("text").alias("passage"), F.array_join(F.slice(words("text"), 1, 8), " ").alias("g"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t"), words("text").alias("w"))
-    grams = d.filter(F.size("w") >= 8).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("g"))
-    hits = grams.join(b, "g").filter(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("passage"), F.lit(" "))))
+    first = F.xxhash64(*[F.get("w", F.lit(k)) for k in range(8)])
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.fold("text").alias("passage"), words("text").alias("w")).filter(F.size("w") >= 8).select("item_id", "passage", first.alias("g"))
+    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).filter(F.size("w") >= 8)
+    window = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)]))
+    pairs = d.select("doc_id", F.explode(window).alias("g")).join(small(b.select("item_id", "g"), 200_000), "g").select("item_id", "doc_id").distinct()
+    pairs = small(stage(pairs, "contamination"), 200_000)
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(pairs, "doc_id").select("item_id", "doc_id", F.concat(F.lit(" "), T.fold("text"), F.lit(" ")).alias("t"))
+    hits = texts.join(small(b.select("item_id", "passage"), 50_000), "item_id").filter(F.col("t").contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
     return hits.select("item_id", "doc_id").distinct()
 
 

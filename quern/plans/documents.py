@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import parsing as P
@@ -25,8 +26,8 @@ def asset_grouping(spark, sf_dir):
 
 def asset_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter("conv_id is not null")
-    rows = rows.select("conv_id", "turn", F.when(F.col("role") != "system", F.col("role")).alias("role"), F.substring("text", 1, 12).alias("snippet"))
-    return K.first_values(rows, "conv_id", "turn", ["role"], "snippet")
+    rows = rows.select("conv_id", "turn", F.when(F.col("role") != "system", F.col("role")).alias("role"), F.col("text").alias("snippet"))
+    return K.first_values(rows, "conv_id", "turn", ["role"], "snippet").withColumn("snippet", F.md5("snippet"))
 
 
 def table_chunks(spark, sf_dir):
@@ -134,16 +135,17 @@ def stream_known_keys(spark, sf_dir):
 
 
 def late_corrections(spark, sf_dir):
-    """Events of a user's last day correct the value stored for the first."""
-    e = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
+    """Events of each user's last day correct the value stored for the first."""
+    day = F.to_date("ts")
+    e = table(spark, sf_dir, "events").withColumn("late", day == F.max(day).over(Window.partitionBy("user_id"))).select("user_id", "value", "event_id", "late")
     stored = e.groupBy("user_id").agg(F.min_by("value", "event_id").alias("value"))
-    return runs.corrections(stored, e.filter("event_id > 5000"), "user_id", "value", "event_id")
+    return runs.corrections(stored, e.filter("late").drop("late"), "user_id", "value", "event_id")
 
 
 QUERIES = {
     "certification_rollup": (certification_rollup, "WITH h AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT p_brand AS item, count(*) AS holders, array_to_string(list_sort(list(l_suppkey))[1:5], ',') AS first_holders FROM h GROUP BY 1"),
     "asset_grouping": (asset_grouping, "SELECT l_partkey, count(*) FILTER (WHERE l_returnflag <> 'R') AS proves, count(*) FILTER (WHERE l_returnflag = 'R') AS weak, min(l_orderkey) AS first_row FROM lineitem GROUP BY 1"),
-    "asset_merge": (asset_merge, "SELECT conv_id, (list(role ORDER BY turn) FILTER (WHERE role <> 'system'))[1] AS role, string_agg(substring(text, 1, 12), ' / ' ORDER BY turn) AS snippet FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1"),
+    "asset_merge": (asset_merge, "SELECT conv_id, (list(role ORDER BY turn) FILTER (WHERE role <> 'system'))[1] AS role, md5(string_agg(text, ' / ' ORDER BY turn)) AS snippet FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1"),
     "table_chunks": (table_chunks, "SELECT p_brand, p_partkey, k // 10 AS page, k % 10 AS place, CAST(ceil(n / 10.0) AS BIGINT) AS pages FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"),
     "slide_order": (slide_order, "SELECT CAST(i AS INTEGER) AS r_regionkey, coalesce(r_name, 'to be completed') AS title, r_name IS NULL AS placeholder FROM range(7) t(i) LEFT JOIN region ON r_regionkey = i"),
     "cache_sync": (cache_sync, """SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'delete' ELSE 'upsert' END AS action, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment
@@ -158,5 +160,5 @@ QUERIES = {
     "run_states_final": (run_states_final, """WITH r AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
         k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k FROM r), c AS (SELECT run_id, coalesce(min(k) FILTER (WHERE status <> 'running'), max(k)) AS c FROM k GROUP BY 1) SELECT run_id, status, c AS steps FROM k JOIN c USING (run_id) WHERE k = c"""),
     "stream_known_keys": (stream_known_keys, "SELECT event_id, user_id, value FROM events WHERE value >= 1"),
-    "late_corrections": (late_corrections, "WITH s AS (SELECT user_id, arg_min(value, event_id) AS v FROM events GROUP BY 1), n AS (SELECT user_id, arg_max(value, event_id) AS w FROM events WHERE event_id > 5000 GROUP BY 1) SELECT user_id, coalesce(w, v) AS value, w IS NOT NULL AND w <> v AS changed FROM s LEFT JOIN n USING (user_id)"),
+    "late_corrections": (late_corrections, "WITH s AS (SELECT user_id, arg_min(value, event_id) AS v FROM events GROUP BY 1), l AS (SELECT *, CAST(ts AS DATE) = max(CAST(ts AS DATE)) OVER (PARTITION BY user_id) AS late FROM events), n AS (SELECT user_id, arg_max(value, event_id) AS w FROM l WHERE late GROUP BY 1) SELECT user_id, coalesce(w, v) AS value, w IS NOT NULL AND w <> v AS changed FROM s LEFT JOIN n USING (user_id)"),
 }

@@ -114,10 +114,10 @@ def greedy_relaunch_dedupe(spark, sf_dir):
     """Ordered two-key deduplication of orders as notices: pair is (customer, status), canonical id (customer, price band)."""
     o = _orders(spark, sf_dir)
     rows = o.select(
-        F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("part"), F.concat_ws(":", "o_custkey", F.floor(F.col("o_totalprice") / 100000)).alias("canonical_id"),
+        F.col("o_orderkey").alias("row_id"), F.concat_ws(":", "o_custkey", F.floor(F.col("o_totalprice") / 100000)).alias("canonical_id"),
         F.concat_ws(":", "o_custkey", "o_orderstatus").alias("pair_key"), F.date_format("day", "yyyy-MM").alias("deadline"), F.col("o_totalprice").alias("richness"),
     )
-    return Q.greedy_two_keys(rows, "part", "row_id long, duplicate_of long, relaunch_of long")
+    return Q.greedy_two_keys(rows)
 
 
 # joins
@@ -127,10 +127,10 @@ def anti_join_known(spark, sf_dir):
 
 
 def left_join_fallback_position(spark, sf_dir):
-    """User turns matched to assistant turns of the same conversation by their first letter, then by position."""
+    """User turns matched to assistant turns of the same conversation by their whole folded text, then by position."""
     c = table(spark, sf_dir, "conversations").filter("conv_id is not null")
     number = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    c = c.withColumn("pos", number).withColumn("key", F.substring(T.fold("text"), 1, 1))
+    c = c.withColumn("pos", number).withColumn("key", T.fold("text"))
     asked = c.filter("role = 'user'").select("conv_id", "pos", "key")
     given = c.filter("role = 'assistant'").select("conv_id", "pos", "key", "turn")
     return Q.join_with_fallback(asked, given, "conv_id", "key", "pos", ["turn"]).withColumn("turn", F.coalesce("turn", F.lit(-1)))
@@ -358,7 +358,7 @@ QUERIES = {
     "identity_duplicates": (identity_duplicates, f"SELECT p_type, {S.fold('p_name')} AS name, p_brand, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1"),
     "greedy_relaunch_dedupe": (greedy_relaunch_dedupe, None),
     "anti_join_known": (anti_join_known, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000)"),
-    "left_join_fallback_position": (left_join_fallback_position, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos, substring({S.fold('text')}, 1, 1) AS key FROM conversations WHERE conv_id IS NOT NULL),
+    "left_join_fallback_position": (left_join_fallback_position, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos, {S.fold('text')} AS key FROM conversations WHERE conv_id IS NOT NULL),
         a AS (SELECT conv_id, pos, key, row_number() OVER (PARTITION BY conv_id, key ORDER BY pos) AS k FROM c WHERE role = 'user'), b AS (SELECT conv_id, pos, key, turn, row_number() OVER (PARTITION BY conv_id, key ORDER BY pos) AS k FROM c WHERE role = 'assistant'),
         e AS (SELECT a.conv_id, a.pos, b.pos AS used, b.turn FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.key = b.key AND a.k = b.k),
         f AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = b.conv_id AND e.used = b.pos))

@@ -4,7 +4,8 @@ from quern.functions import text as T
 
 
 def unaccent(x: str) -> str:
-    return f"translate(lower({x}), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}')"
+    """By the database's own table of accents."""
+    return f"strip_accents(lower({x}))"
 
 
 def normalize(x: str) -> str:

@@ -57,10 +57,28 @@ def test_metrics(spark):
 
 
 def test_greedy_dedupe(spark):
-    rows = [(1, 0, "c1", "p", "d1", 5.0), (2, 0, "c1", "q", "d1", 4.0), (3, 0, "c2", "p", "d1", 3.0), (4, 0, "c3", "p", "d2", 2.0), (5, 0, "c4", "p", "d2", 1.0)]
-    df = spark.createDataFrame(rows, "row_id long, part long, canonical_id string, pair_key string, deadline string, richness double")
-    got = {r["row_id"]: (r["duplicate_of"], r["relaunch_of"]) for r in quality.greedy_two_keys(df, "part", "row_id long, duplicate_of long, relaunch_of long").collect()}
+    schema = "row_id long, canonical_id string, pair_key string, deadline string, richness double"
+    rows = [(1, "c1", "p", "d1", 5.0), (2, "c1", "q", "d1", 4.0), (3, "c2", "p", "d1", 3.0), (4, "c3", "p", "d2", 2.0), (5, "c4", "p", "d2", 1.0)]
+    got = {r["row_id"]: (r["duplicate_of"], r["relaunch_of"]) for r in quality.greedy_two_keys(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: (None, None), 2: (1, None), 3: (1, None), 4: (None, 1), 5: (4, None)}
+    r = random.Random(21)
+    rows = [(k, f"c{r.randint(0, 60)}", f"p{r.randint(0, 60)}", f"d{r.randint(0, 2)}", float(r.randint(0, 9))) for k in range(150)]
+    ids, pairs, want = {}, {}, {}
+    for k, c, p, d, _ in sorted(rows, key=lambda x: (-x[4], x[0])):  # all rows in one sequence
+        if c in ids:
+            want[k] = (ids[c], None)
+        elif p in pairs and pairs[p][0] == d:
+            want[k] = (pairs[p][1], None)
+        else:
+            want[k] = (None, pairs[p][1] if p in pairs else None)
+            ids[c], pairs[p] = k, (d, k)
+    assert {x["row_id"]: (x["duplicate_of"], x["relaunch_of"]) for x in quality.greedy_two_keys(spark.createDataFrame(rows, schema)).collect()} == want
+
+
+def test_fold_of_other_scripts(spark):
+    assert one(spark, T.fold(F.lit("E\u0301te\u0301 Šumava Iaşi"))) == "ete sumava iasi"
+    assert one(spark, T.fold(F.lit("إدارة المدرسة ٢٠٢٤"))) == one(spark, T.fold(F.lit("اداره المدرسه 2024")))
+    assert one(spark, T.normalize(F.lit("  Ǆ L’Œuvre\u200b Ñ "))).endswith("n") and one(spark, T.normalize(F.lit("Straße ł"))) == "straße ł"
 
 
 def test_fallback_join_uses_each_side_once(spark):
