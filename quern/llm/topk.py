@@ -9,6 +9,8 @@ one window per query merges.
 Queries are broadcast in blocks of at most QUERIES, each with a pass over the candidates, so neither side is ever held
 whole. Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id;
 vectors are only compared with others of their length; repeated rows are candidates each, and the hits of all query rows that share an id are pooled; ties go to the smaller id.
+Finite components of any size are summed exactly; a score that no long holds is the nearest one that does, with ties as of any other.
+Columns of other names are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from quern.llm import common
 K, SCALE = 10, 1024
 #: Queries of a broadcast block; candidates of a block with its own lists; first depth to which lists are read.
 QUERIES, BLOCK, DEPTH = 4096, 8192, 32
+#: From this size of a component on, products are not summed as longs. Below it a product has at most 48 bits, which leaves room for 2^15 of them.
+LARGE = 2**24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -33,11 +37,21 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def integers(vectors) -> np.ndarray:
-    return np.floor(np.stack(vectors).astype(np.float64) * SCALE).astype(np.int64)
+    """Longs, or Python's integers where a component is too large for sums of products of longs."""
+    floored = np.floor(np.stack(vectors).astype(np.float64) * SCALE)
+    if floored.size and np.abs(floored).max() >= LARGE:
+        return np.array([[int(x) for x in row] for row in floored], object)
+    return floored.astype(np.int64)
+
+
+def together(block: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as longs or both as Python's integers."""
+    return (block, query) if block.dtype == query.dtype else (block.astype(object), query.astype(object))
 
 
 def search_block(ids: np.ndarray, block: np.ndarray, lists: np.ndarray, query_id: int, query: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
     """best: (-score, id) of the k best so far. The same, with this block's."""
+    block, query = together(block, query)
     dims = np.flatnonzero(query)
     n, depth, start = len(ids), DEPTH, 0
     met = ids == query_id
@@ -51,6 +65,8 @@ def search_block(ids: np.ndarray, block: np.ndarray, lists: np.ndarray, query_id
         met[new] = True
         if len(new):
             scores = block[new] @ query
+            if scores.dtype == object:
+                scores = np.array([max(-(2**63), min(2**63 - 1, s)) for s in scores], object)
             if len(best) == k:
                 keep = scores >= -best[-1][0]
                 new, scores = new[keep], scores[keep]

@@ -409,6 +409,15 @@ def test_top_k_edges(spark):
     assert got == [(0, 1, 1, 0), (0, 2, 1, 0), (0, 3, 2, 0), (0, 4, 100, 0), (100, 1, 1, 524288), (100, 2, 1, 524288), (100, 3, 2, 524288), (100, 4, 0, 0)]
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [0.5, 0.25]), (100, [1.0, 3e9])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(vectors, vectors.filter("vec_id % 100 = 0")).collect()}
+    most = 2**63 - 1
+    assert [got[0, k] for k in (1, 2, 3, 4)] == [(1, most), (3, most), (100, most), (2, -most - 1)]
+    assert [got[100, k][0] for k in (1, 2, 3, 4)] == [0, 1, 3, 2]
+
+
 def test_licences_equal_brute_force(spark, odd):
     r = random.Random(10)
     texts, sets = [], {n: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for n, t in licences.TEMPLATES.items() for w in [licences.words(t).decode().split()]}
