@@ -10,7 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Number words of two languages; those of them that a quote must hold; words of negation.
 NUMBERS = {w: n for n, ws in enumerate("zero|one un une|two deux|three trois|four quatre|five cinq|six|seven sept|eight huit|nine neuf|ten dix|eleven onze|twelve douze|thirteen treize|fourteen quatorze|fifteen quinze|sixteen seize".split("|")) for w in ws.split()}
@@ -136,6 +136,25 @@ def filled(heights: list[int] | None, room: int) -> list[int]:
     return out
 
 
+def walked(text: str | None) -> list[dict]:
+    """path and value of every leaf of a JSON text, in order: keys joined by dots, list places left out, prefixes of names dropped. Broken JSON has none."""
+    try:
+        todo = [("", json.loads(text or ""))]
+    except ValueError:
+        return []
+    out = []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k.rsplit(':', 1)[-1]}".lstrip("."), v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(path, v) for v in reversed(value)]
+        elif value is not None and str(value).strip():
+            out.append({"path": path, "value": str(value).strip()})
+    return out
+
+
+json_leaves = F.pandas_udf(lambda t: t.map(walked), ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
 quote_in_text = F.pandas_udf(lambda q, t: pd.Series([quoted(a, b) for a, b in zip(q, t, strict=True)]), BooleanType())
 repair_json = F.pandas_udf(lambda t: t.map(repaired), StringType())
 split_list = F.pandas_udf(lambda t: t.map(listed), ArrayType(StringType()))

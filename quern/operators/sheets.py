@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import parsing as P
 from quern.functions import text as T
-from quern.operators.dates import MONTHS
+from quern.operators.dates import MONTHS, parse_date
 
 #: Typographic ligatures and their letters.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -167,3 +168,39 @@ def input_form(raw: Column) -> Column:
         F.coalesce(F.nullif(F.trim(parsed["title"]), F.lit("")), F.lit("Untitled")).alias("title"), F.when(parsed["language"] == "en", "en").otherwise("fr").alias("language"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))).alias("score"), F.coalesce(F.aggregate(F.map_values(team), F.lit(0), lambda a, v: a + v), F.lit(0)).alias("people"),
     )
+
+
+def notice(rows: DataFrame, key: str, raw: str, rules: dict[str, str], most: int = 15, without: str | None = None) -> DataFrame:
+    """(key, field, values) of structured notices, whatever their layout: each rule names a field and a pattern of its paths; values are distinct, in order. Paths
+    that match `without` (lots, which are not the notice's own) are left out."""
+    leaves = rows.select(key, F.posexplode(P.json_leaves(raw)).alias("_at", "_leaf")).select(key, "_at", "_leaf.*")
+    if without:
+        leaves = leaves.filter(~F.col("path").rlike(without))
+    named = leaves.select(key, "_at", "value", F.explode(F.array_compact(F.array(*[F.when(F.col("path").rlike(p), F.lit(name)) for name, p in rules.items()]))).alias("field"))
+    first = named.groupBy(key, "field", "value").agg(F.min("_at").alias("_at"))
+    return first.groupBy(key, "field").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), 1, most).alias("values"))
+
+
+def new_deadline(text: str) -> Column:
+    """The first date of a correction whose clause is neither about the old deadline nor about another event."""
+    clauses = F.split(F.coalesce(F.col(text), F.lit("")), r"[;.\n]+\s*")
+    other = r"\b(old|initial|initially|previous|instead of|anciennement|au lieu|visit|visite|opening|ouverture|questions)\b"
+    return F.get(F.array_compact(F.transform(F.filter(clauses, lambda c: ~T.fold(c).rlike(other)), parse_date)), F.lit(0))
+
+
+def date_in(page: Column, day: Column) -> Column:
+    """A page says a date: year, month and day, or day, month by number or name and year, in order with only signs between."""
+    numbers = {name: [k for k in MONTHS if MONTHS[k] == name] for name in range(1, 13)}
+    said = F.create_map(*[x for m, ks in numbers.items() for x in (F.lit(m), F.lit("|".join(ks)))])
+    y, m, d = F.year(day).cast("string"), F.month(day), F.dayofmonth(day).cast("string")
+    month = F.concat(F.lit("(?:0?"), m.cast("string"), F.lit("|"), F.try_element_at(said, m), F.lit(")"))
+    pattern = F.concat(F.lit(r"\b(?:"), y, F.lit(r"\W+"), month, F.lit(r"\W+0?"), d, F.lit(r"|0?"), d, F.lit(r"\W+"), month, F.lit(r"\W+"), y, F.lit(r")\b"))
+    return F.regexp_like(T.fold(page), pattern)
+
+
+def verified_requirements(rows: DataFrame, group: str) -> DataFrame:
+    """rows: (group, no, text, quote, page): requirements whose quote stands in the page and whose own numbers the quote holds, once for each folded text of a group."""
+    numbers = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"), 1))
+    fine = P.quote_in_text(T.fold("quote"), T.fold("page")) & (F.size(F.array_except(numbers("text"), numbers("quote"))) == 0)
+    first = F.row_number().over(Window.partitionBy(group, T.fold("text")).orderBy("no"))
+    return rows.withColumn("_ok", fine).filter("_ok").withColumn("_k", first).filter("_k = 1").select(group, "no")

@@ -164,6 +164,37 @@ def durations(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("text", text).select("p_partkey", F.round(K.months_of("text"), 4).alias("months"))
 
 
+def structured_notices(spark, sf_dir):
+    """Two layouts of notice, read by the same rules; lots are not the notice's own."""
+    k = F.col("s_suppkey")
+    code = F.lpad((k % 90).cast("string"), 8, "7")
+    one = F.to_json(F.struct(F.struct(F.struct(code.alias("cbc:ItemClassificationCode"), F.concat(F.lit("Works "), "s_name").alias("cbc:Description")).alias("cac:ProcurementProject")).alias("ContractNotice"), F.array(F.struct(F.lit("99").alias("cbc:ItemClassificationCode"))).alias("lot")))
+    two = F.to_json(F.struct(F.struct(F.array(code, code, F.lit("45000000")).alias("CPV"), F.col("s_name").alias("OBJET")).alias("FNSimple")))
+    raw = table(spark, sf_dir, "supplier").withColumn("raw", F.when(k % 3 == 0, one).when(k % 3 == 1, two).otherwise("{broken"))
+    out = K.notice(raw, "s_suppkey", "raw", {"cpv": r"(?i)(ItemClassificationCode|CPV)$", "title": r"(?i)(Description|OBJET)$"}, without=r"(?i)^lot")
+    return out.select("s_suppkey", "field", F.array_join("values", "|").alias("values"))
+
+
+def new_deadlines(spark, sf_dir):
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    text = F.concat(F.lit("Instead of 01/02/1999. "), F.when(F.col("o_orderkey") % 3 == 0, "Visit on 03/03/1998; ").otherwise(""), F.lit("New date: "), F.when(F.col("o_orderkey") % 4 == 0, "unknown").otherwise(day), F.lit("."))
+    return table(spark, sf_dir, "orders").withColumn("text", text).select("o_orderkey", K.new_deadline("text").cast("string").alias("deadline"))
+
+
+def date_proofs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("day", "d MMMM yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format(F.date_add("day", 1), "dd.MM.yyyy"))
+    return o.withColumn("page", F.concat(F.lit("Closing: "), shown, F.lit(" noon"))).select("o_orderkey", K.date_in(F.col("page"), F.col("day")).alias("proved"))
+
+
+def requirement_verification(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    text = F.concat("p_name", F.lit(" at least "), F.col("p_size").cast("string"))
+    quote = F.concat(F.lit("of "), "p_name", F.lit(" in size "), F.when(F.col("p_partkey") % 5 == 0, "9").otherwise(F.col("p_size").cast("string")))
+    page = F.concat(F.lit("Supply of "), F.upper("p_name"), F.lit(", in size "), F.when(F.col("p_partkey") % 7 == 0, "0").otherwise(F.col("p_size").cast("string")), F.lit(" or more"))
+    return K.verified_requirements(p.select("p_brand", F.col("p_partkey").alias("no"), text.alias("text"), quote.alias("quote"), page.alias("page")), "p_brand")
+
+
 # deck and inputs
 def role_counts(spark, sf_dir):
     said = F.get(F.array(*[F.lit(x) for x in ("Java developer", "React Developer", "Kubernetes engineer", "Chef de projet", "UX lead", "Quality engineer", "Painter", "Redux expert")]), (F.col("s_suppkey") % 8).cast("int"))
@@ -262,6 +293,11 @@ QUERIES = {
         UNION ALL SELECT s_suppkey, 5, 2019 * 12 + 1, 2024 * 12 + 6 FROM supplier"""),
     "cv_fields": (cv_fields, "SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS ring, 'fine flow office' AS last FROM supplier"),
     "durations": (durations, "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size * 12.0::DOUBLE WHEN 2 THEN round(p_size * 12 / 365.0::DOUBLE, 4) WHEN 3 THEN round((p_size + 0.5::DOUBLE) * 84 / 365, 4) END AS months FROM part"),
+    "structured_notices": (structured_notices, """WITH s AS (SELECT s_suppkey, s_name, lpad(CAST(s_suppkey % 90 AS VARCHAR), 8, '7') AS c, s_suppkey % 3 AS k FROM supplier)
+        SELECT s_suppkey, 'cpv' AS field, CASE k WHEN 0 THEN c ELSE c || '|45000000' END AS values FROM s WHERE k < 2 UNION ALL SELECT s_suppkey, 'title', CASE k WHEN 0 THEN 'Works ' || s_name ELSE s_name END FROM s WHERE k < 2"""),
+    "new_deadlines": (new_deadlines, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS deadline FROM orders"),
+    "date_proofs": (date_proofs, "SELECT o_orderkey, o_orderkey % 3 <> 2 AS proved FROM orders"),
+    "requirement_verification": (requirement_verification, """SELECT p_brand, min(p_partkey) AS no FROM (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 9 ELSE p_size END AS q, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS g FROM part) WHERE q = g AND q = p_size GROUP BY p_brand, p_name, p_size"""),
     "role_counts": (role_counts, """WITH r AS (SELECT s_nationkey, ['Backend', 'Frontend', 'DevOps', 'PM', 'Designer', 'QA'][1 + s_suppkey % 8] AS role, 1 + s_suppkey % 8 AS k FROM supplier WHERE s_suppkey % 8 < 6)
         SELECT s_nationkey, role, count(*) AS n, CAST(CASE role WHEN 'Backend' THEN 1 WHEN 'Frontend' THEN 2 WHEN 'DevOps' THEN 3 WHEN 'PM' THEN 4 WHEN 'Designer' THEN 5 ELSE 6 END AS BIGINT) AS place FROM r GROUP BY 1, 2"""),
     "diagram_facts": (diagram_facts, """WITH r AS (SELECT l_orderkey, l_linenumber AS row, min(p_type) AS a, max(p_brand) AS b, max(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END) AS m FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
