@@ -105,3 +105,24 @@ def first_titles(history: DataFrame, contracts: DataFrame, group: str, most: int
     order = Window.partitionBy(group).orderBy(F.desc("digital"), "_lane", "row")
     out = both.withColumn("_k", F.row_number().over(once)).filter("_k = 1")
     return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("_k", "_lane")
+
+
+def award_search(awards: DataFrame, prefixes: list[str], keyword: str, since: str) -> DataFrame:
+    """One row of each contract uid among awards on or after a day, with a code in one of the prefixes and the keyword in the folded title: its winners, last day and greatest amount."""
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("code").startswith(p)
+    found = awards.filter(wanted & (F.col("day") >= F.lit(since).cast("date")) & T.fold("title").contains(keyword))
+    return found.groupBy("uid").agg(F.array_sort(F.collect_set("winner")).alias("winners"), F.max("day").alias("day"), F.max("amount").alias("amount"))
+
+
+def registry_lookup(asked: DataFrame, registry: DataFrame, most: int = 5) -> DataFrame:
+    """(ask, id, name, band): registry rows of the asked number, or whose folded name begins with the same two words, at most `most`, by number first, then by name and id. Names meet by an equi-join."""
+    key = lambda c: F.array_join(F.slice(F.split(T.fold(c), " "), 1, 2), " ")
+    rows = registry.select("id", "name", "staff", key("name").alias("_key"))
+    by_id = asked.filter("number is not null").join(rows, F.col("number") == F.col("id")).select("ask", "id", "name", "staff", F.lit(0).alias("_way"))
+    by_name = asked.withColumn("_own", key("called")).join(rows, F.col("_own") == F.col("_key")).select("ask", "id", "name", "staff", F.lit(1).alias("_way"))
+    best = by_id.unionByName(by_name).groupBy("ask", "id").agg(F.min("_way").alias("_way"), F.first("name").alias("name"), F.first("staff").alias("staff"))
+    place = F.row_number().over(Window.partitionBy("ask").orderBy("_way", "name", "id"))
+    band = F.when(F.col("staff") < 50, "small").when(F.col("staff") < 1000, "medium").when(F.col("staff").isNotNull(), "large")
+    return best.withColumns({"place": place, "band": band}).filter(F.col("place") <= most).select("ask", "place", "id", "band")

@@ -204,3 +204,24 @@ def verified_requirements(rows: DataFrame, group: str) -> DataFrame:
     fine = P.quote_in_text(T.fold("quote"), T.fold("page")) & (F.size(F.array_except(numbers("text"), numbers("quote"))) == 0)
     first = F.row_number().over(Window.partitionBy(group, T.fold("text")).orderBy("no"))
     return rows.withColumn("_ok", fine).filter("_ok").withColumn("_k", first).filter("_k = 1").select(group, "no")
+
+
+def unwrapped(lines: DataFrame, key: str) -> DataFrame:
+    """Lines (key, no, line) joined to paragraphs: a line goes on where the one before is at least four fifths of the 90th percentile of the text's line lengths and ends no sentence."""
+    width = lines.groupBy(key).agg(F.percentile(F.length("line"), F.lit(0.9)).alias("_width"))
+    order = Window.partitionBy(key).orderBy("no")
+    before = F.lag("line").over(order)
+    wide = lines.join(width, key)
+    new = F.coalesce(before.isNull() | (F.length(before) < 0.8 * F.col("_width")) | before.rlike(r"[.!?:]\s*$"), F.lit(True))
+    numbered = wide.withColumn("_new", new.cast("int")).withColumn("paragraph", F.sum("_new").over(order))
+    return numbered.groupBy(key, "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), " ").alias("text"))
+
+
+def reviewed(slides: DataFrame, needs: DataFrame, prices: DataFrame, deck: str, language: str) -> DataFrame:
+    """(deck, finding, n) of decks: requirements (deck, word) that no slide says, slides in another language, and decks whose priced lines (deck, amount, total) don't add up to a total."""
+    said = slides.select(deck, F.explode(F.array_distinct(F.split(T.fold("text"), " "))).alias("word"))
+    missing = needs.join(said, [deck, "word"], "left_anti").groupBy(deck).agg(F.count("*").alias("n")).select(deck, F.lit("requirement not said").alias("finding"), "n")
+    other = slides.filter(F.col("lang") != language).groupBy(deck).agg(F.count("*").alias("n")).select(deck, F.lit("language").alias("finding"), "n")
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    off = prices.groupBy(deck).agg(F.sum(cents("amount")).alias("_sum"), F.max(cents("total")).alias("_total")).filter("_sum <> _total").select(deck, F.lit("total").alias("finding"), F.lit(1).cast("long").alias("n"))
+    return missing.unionByName(other).unionByName(off)

@@ -195,6 +195,24 @@ def requirement_verification(spark, sf_dir):
     return K.verified_requirements(p.select("p_brand", F.col("p_partkey").alias("no"), text.alias("text"), quote.alias("quote"), page.alias("page")), "p_brand")
 
 
+def unwrapped_lines(spark, sf_dir):
+    """Lines of each document joined to paragraphs."""
+    lines = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    out = K.unwrapped(lines, "doc_id")
+    return out.select("doc_id", "paragraph", F.md5("text").alias("text"))
+
+
+def deck_review(spark, sf_dir):
+    """Orders as decks: lines are slides that say their part's type, in a language by return flag; the order's price is the total."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    li = table(spark, sf_dir, "lineitem").join(p, "l_partkey")
+    slides = li.select("l_orderkey", F.concat(F.lit("The "), "p_type", F.lit(" plan")).alias("text"), F.when(F.col("l_returnflag") == "R", "fr").otherwise("en").alias("lang"))
+    needs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit("promo"), F.lit("plan"))).alias("word"))
+    total = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("total"))
+    prices = li.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("amount")).join(total, "l_orderkey").withColumn("total", F.when(F.col("l_orderkey") % 3 == 0, F.col("amount")).otherwise(F.col("total")))
+    return K.reviewed(slides, needs, prices, "l_orderkey", "en")
+
+
 # deck and inputs
 def role_counts(spark, sf_dir):
     said = F.get(F.array(*[F.lit(x) for x in ("Java developer", "React Developer", "Kubernetes engineer", "Chef de projet", "UX lead", "Quality engineer", "Painter", "Redux expert")]), (F.col("s_suppkey") % 8).cast("int"))
@@ -298,6 +316,14 @@ QUERIES = {
     "new_deadlines": (new_deadlines, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS deadline FROM orders"),
     "date_proofs": (date_proofs, "SELECT o_orderkey, o_orderkey % 3 <> 2 AS proved FROM orders"),
     "requirement_verification": (requirement_verification, """SELECT p_brand, min(p_partkey) AS no FROM (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 9 ELSE p_size END AS q, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS g FROM part) WHERE q = g AND q = p_size GROUP BY p_brand, p_name, p_size"""),
+    "unwrapped_lines": (unwrapped_lines, """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT doc_id, quantile_cont(CAST(length(line) AS DOUBLE), 0.9) AS w FROM l GROUP BY 1), b AS (SELECT l.*, w, lag(line) OVER (PARTITION BY doc_id ORDER BY no) AS prev FROM l JOIN w USING (doc_id)),
+        n AS (SELECT *, sum(CASE WHEN prev IS NULL OR length(prev) < 0.8::DOUBLE * w OR regexp_matches(prev, '[.!?:]\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS paragraph FROM b)
+        SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, md5(string_agg(line, ' ' ORDER BY no)) AS text FROM n GROUP BY 1, 2"""),
+    "deck_review": (deck_review, """WITH s AS (SELECT l_orderkey, lower(p_type) AS t, l_returnflag = 'R' AS fr, l_extendedprice AS x FROM lineitem JOIN part ON p_partkey = l_partkey), g AS (SELECT l_orderkey, bool_or(t = 'promo') AS promo, count(*) FILTER (WHERE fr) AS fr, round(sum(x), 2) AS x FROM s GROUP BY 1)
+        SELECT o_orderkey AS l_orderkey, 'requirement not said' AS finding, CASE WHEN g.l_orderkey IS NULL THEN 2 ELSE 1 END AS n FROM orders LEFT JOIN g ON g.l_orderkey = o_orderkey WHERE g.l_orderkey IS NULL OR NOT promo
+        UNION ALL SELECT l_orderkey, 'language', fr FROM g WHERE fr > 0
+        UNION ALL SELECT l_orderkey, 'total', 1 FROM g JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 <> 0 AND CAST(round(x * 100) AS BIGINT) <> CAST(round(o_totalprice * 100) AS BIGINT)"""),
     "role_counts": (role_counts, """WITH r AS (SELECT s_nationkey, ['Backend', 'Frontend', 'DevOps', 'PM', 'Designer', 'QA'][1 + s_suppkey % 8] AS role, 1 + s_suppkey % 8 AS k FROM supplier WHERE s_suppkey % 8 < 6)
         SELECT s_nationkey, role, count(*) AS n, CAST(CASE role WHEN 'Backend' THEN 1 WHEN 'Frontend' THEN 2 WHEN 'DevOps' THEN 3 WHEN 'PM' THEN 4 WHEN 'Designer' THEN 5 ELSE 6 END AS BIGINT) AS place FROM r GROUP BY 1, 2"""),
     "diagram_facts": (diagram_facts, """WITH r AS (SELECT l_orderkey, l_linenumber AS row, min(p_type) AS a, max(p_brand) AS b, max(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE 0 END) AS m FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),

@@ -195,6 +195,18 @@ def official_domains(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", A.official_domain(site(7, "n"), site(5, "e"), (k % 10) / 10, site(3, "t"), mail).alias("domain"))
 
 
+def award_search(spark, sf_dir):
+    a = _awards(spark, sf_dir).select(F.concat(F.lit("72"), F.lpad((F.col("row") % 50).cast("string"), 2, "0")).alias("code"), "title", "day", "amount", F.col("buyer").alias("uid"), (F.col("row") % 9).alias("winner"))
+    return A.award_search(a, ["720", "7213"], "urgent", "1996-01-01").select("uid", F.array_join(F.col("winners").cast("array<string>"), ",").alias("winners"), F.col("day").cast("string").alias("day"), "amount")
+
+
+def registry_lookup(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    registry = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("House W"), (F.col("s_suppkey") % 20).cast("string"), F.lit(" "), "s_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") * 20).alias("staff"))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ask"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") + 1).cast("long").alias("number"), F.concat(F.lit("HOUSE  w"), F.col("n_nationkey").cast("string")).alias("called"))
+    return A.registry_lookup(asked, registry)
+
+
 _T = "t AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_name) AS text FROM part)"
 _TAGS = f"{_T}, v(alias, name) AS (VALUES {', '.join(f"('{a}', '{n}')" for a, n in _ALIAS)}), g AS (SELECT DISTINCT p_partkey, name FROM t JOIN v ON contains(' ' || lower(text) || ' ', ' ' || alias || ' '))"
 
@@ -232,6 +244,12 @@ QUERIES = {
         f AS (SELECT *, it OR len(list_filter(w, lambda x: length(x) >= 5 AND left(x, 6) IN ('standa', 'econom', 'works'))) > 0 AS alike, p_size BETWEEN 3 AND 44 AS goods FROM (SELECT p_partkey, it, w, CAST(left(lpad(CAST(p_size * 10000 AS VARCHAR), 8, '0'), 2) AS INT) AS p_size FROM r)),
         s AS (SELECT bool_or(alike) AS found, bool_or(alike AND NOT goods) AS bare, bool_or(NOT goods) AS free FROM f)
         SELECT p_partkey FROM f, s WHERE (alike OR NOT found) AND (NOT goods OR NOT CASE WHEN found THEN bare ELSE free END)"""),
+    "award_search": (award_search, f"""WITH {_AW} SELECT buyer AS uid, string_agg(DISTINCT CAST(row % 9 AS VARCHAR), ',' ORDER BY CAST(row % 9 AS VARCHAR)) AS winners, CAST(max(day) AS VARCHAR) AS day, max(amount) AS amount FROM a
+        WHERE (row % 50 < 10 OR row % 50 = 13) AND day >= DATE '1996-01-01' AND contains(title, 'urgent') GROUP BY 1"""),
+    "registry_lookup": (registry_lookup, """WITH r AS (SELECT s_suppkey AS id, s_suppkey % 20 AS w, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey * 20 END AS staff, 'House W' || s_suppkey % 20 || ' ' || s_name AS name FROM supplier),
+        m AS (SELECT n_nationkey AS ask, id, name, staff, CASE WHEN n_nationkey % 2 = 0 AND id = n_nationkey + 1 THEN 0 ELSE 1 END AS way FROM nation JOIN r ON (n_nationkey % 2 = 0 AND id = n_nationkey + 1) OR w = n_nationkey),
+        p AS (SELECT *, CAST(row_number() OVER (PARTITION BY ask ORDER BY way, name, id) AS INTEGER) AS place FROM m)
+        SELECT ask, place, id, CASE WHEN staff < 50 THEN 'small' WHEN staff < 1000 THEN 'medium' WHEN staff IS NOT NULL THEN 'large' END AS band FROM p WHERE place <= 5"""),
     "body_names": (body_names, """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'commune de' WHEN 1 THEN 'communaute agglomeration du' WHEN 2 THEN 'departement' WHEN 3 THEN 'commune' ELSE 'ministere of' END || ' supplier ' || regexp_extract(s_name, '[0-9]+') AS body FROM supplier"""),
     "acronym_match": (acronym_match, """WITH w AS (SELECT p_partkey, string_split(lower(p_type || ' ' || p_name || ' works'), ' ') AS w FROM part), s AS (SELECT p_partkey, list_distinct(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '[sx]$', '') ELSE x END)) AS a FROM w)
         SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 OR i = reverse(i) THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE / (2 + len(a)), 6) END AS match FROM s JOIN (SELECT p_partkey, left(w[1], 1) || left(w[2], 1) || left(w[3], 1) AS i FROM w) USING (p_partkey)"""),
