@@ -5,8 +5,8 @@ shares of symbols, repeated lines and repeated words. Texts that pass the base r
 A pair of fewer than LEAST texts is judged by the estimate of all texts of its language, and one whose language has fewer by
 that of all texts, however few they are; judged_by says so. For each group, concentration steps start at three estimates
 (medians and absolute deviations, all texts, all texts drawn in to their medians) and keep the HALF of the texts nearest by
-Mahalanobis distance, with the mean and covariance of which the next step goes on until nothing changes. The result with
-the least determinant, with the consistency factor and a floor for each feature, is the estimate. Texts whose squared
+Mahalanobis distance, with the mean and covariance of which the next step goes on as long as the determinant falls. The
+result with the least determinant, with the consistency factor and a floor for each feature, is the estimate. Texts whose squared
 distance is over CUT are rejected. Every text that passes the base rules is judged.
 
 Medians and the nearest share come from counts in fine bins, so a group of any size costs a few hundred rows, and texts
@@ -28,8 +28,8 @@ from quern.llm.common import let
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = r"[#*$%&|<>]+"
 FEATURES = ("f0", "f1", "f2", "f3")
-#: Least deviation of each feature that counts as one; texts from which a group has an estimate of its own; share kept by the concentration steps, after how many those end that still change, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
-FLOORS, LEAST, HALF, STEPS, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 40, 0.75, 30, 1.486, 23.51
+#: Least deviation of each feature that counts as one; texts from which a group has an estimate of its own; share kept by the concentration steps, after how many they end in any case, by how much the logarithm of the determinant must fall for another, and the factor that makes that share's covariance consistent for four normal features; squared distance of the 1 - 1e-4 quantile of chi-square with four degrees.
+FLOORS, LEAST, HALF, STEPS, FALL, CONSISTENT, CUT = (0.04, 0.05, 0.2, 0.12), 40, 0.75, 30, 1e-4, 1.486, 23.51
 #: Bins a unit of a feature, and of the logarithm of a distance; rows up to which estimates are broadcast.
 FINE, COARSE, SENT = 256, 64, 20_000
 
@@ -158,20 +158,19 @@ def fit(stats: DataFrame) -> DataFrame:
     spread = _named(rows.join(common.small(centre, SENT), "part"), "s", lambda k: F.round(F.abs(F.col(FEATURES[k]) - F.col(f"c{k}")) * FINE))
     first = common.stage(centre.join(spread, "part"), "quality-spread")
     model = common.stage(starts(rows, first), "quality-starts")
+    model = common.stage(concentrated(rows, model), "quality-model")
     ended = model.limit(0)
     for _ in range(STEPS):
-        now = common.stage(concentrated(rows, model), "quality-model")
-        same = F.lit(True)
-        for c in _model_columns():
-            same = same & (F.abs(F.col(f"n.{c}") - F.col(f"w.{c}")) <= 1e-9)
-        both = now.alias("n").join(model.alias("w"), ["part", "start"]).select("part", "start", *[F.col(f"n.{c}").alias(c) for c in _model_columns()], same.alias("same"))
+        columns = [*_model_columns(), "log_det"]
+        both = concentrated(rows, model).alias("n").join(model.alias("w"), ["part", "start"])
+        falls = F.col("n.log_det") < F.col("w.log_det") - FALL
+        both = both.select("part", "start", *[F.when(falls, F.col(f"n.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in columns], falls.alias("falls"))
         both = common.stage(both, "quality-step")
-        ended, model = ended.unionByName(both.filter("same").drop("same")), both.filter("not same").drop("same")
+        ended, model = ended.unionByName(both.filter("not falls").drop("falls")), both.filter("falls").drop("falls")
         if not model.head(1):
             break
-    size = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(FEATURES))), 2 * F.log(F.col("l00")))
-    best = Window.partitionBy("part").orderBy(F.round(size, 9), "start")
-    model = ended.unionByName(model).withColumns({"log_det": size, "_best": F.row_number().over(best)}).filter("_best = 1").drop("_best")
+    best = Window.partitionBy("part").orderBy(F.round("log_det", 6), "start")
+    model = ended.unionByName(model).withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best")
     return common.stage(groups.drop("fits").join(model, "part"), "quality-estimates")
 
 
@@ -204,12 +203,12 @@ def starts(rows: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: the estimate from the HALF of each group's texts that are nearest by the model."""
-    model = common.small(model, SENT)
-    near = distance(rows.join(model, "part")).select("part", "start", *FEATURES, F.floor(F.log1p("d2") * COARSE).alias("bin"))
+    """One concentration step: the estimate from the HALF of each group's texts that are nearest by the model, with the logarithm of its determinant."""
+    near = distance(rows.join(common.small(model, SENT).drop("log_det"), "part")).select("part", "start", *FEATURES, F.floor(F.log1p("d2") * COARSE).alias("bin"))
     edge = common.stage(_middle(near, F.col("bin"), HALF), "quality-edge")
     near = near.join(common.small(edge, SENT), ["part", "start"]).filter("bin <= middle")
-    return _estimate(near.groupBy("part", "start").agg(*_moments([F.col(f) for f in FEATURES])), CONSISTENT)
+    size = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(FEATURES))), 2 * F.log(F.col("l00")))
+    return _estimate(near.groupBy("part", "start").agg(*_moments([F.col(f) for f in FEATURES])), CONSISTENT).withColumn("log_det", size)
 
 
 def judge(stats: DataFrame, model: DataFrame, cut: float = CUT) -> DataFrame:

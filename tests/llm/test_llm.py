@@ -323,16 +323,17 @@ def brute_estimate(x):
     cov = lambda y: np.cov(y.T, bias=True)
     found = []
     for at, low in ((centre, np.diag(deviation)), factored(cov(x), x.mean(0)), factored(cov(drawn), drawn.mean(0))):
+        last = None
         for _ in range(100):
             d2 = (np.linalg.solve(low, (x - at).T) ** 2).sum(0)
             bins = np.floor(np.log1p(d2) * 64)
             kept = x[bins <= np.sort(bins)[int(np.ceil(0.75 * len(x) - 1e-9)) - 1]]
             new = factored(cov(kept) * quality.CONSISTENT, kept.mean(0))
-            same = np.abs(new[0] - at).max() < 1e-9 and np.abs(new[1] - low).max() < 1e-9
-            at, low = new
-            if same:
+            size = 2 * np.log(np.diag(new[1])).sum()
+            if last is not None and size >= last - quality.FALL:
                 break
-        found.append((round(2 * np.log(np.diag(low)).sum(), 9), len(found), at, low))
+            (at, low), last = new, size
+        found.append((round(last, 6), len(found), at, low))
     return min(found, key=lambda f: f[:2])
 
 
