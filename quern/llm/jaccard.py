@@ -254,11 +254,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("heard"))
         now = labels.join(heard, "id").select("id", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
-        now = common.stage(now, "labels")
-        above = now.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
-        labels = common.stage(now.join(above, "comp").select("id", "was", F.col("above").alias("comp")), "labels")
-        if not labels.filter("comp <> was").head(1):
-            return labels.select("id", "comp")
+        above = labels.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
+        now = common.stage(now.join(above, "comp").select("id", "was", F.least("comp", "above").alias("comp")), "labels")
+        common.discard(labels)
+        labels = now.select("id", "comp")
+        if not now.filter("comp <> was").head(1):
+            common.discard(both)
+            return labels
 
 
 def part_of(comp, members):

@@ -3,7 +3,7 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^14 hash buckets, then the hash. A word becomes one long
+1. Words are ordered by rarity: the corpus count of each of 2^12 hash buckets, then the hash. A word becomes one long
    whose high bits are its bucket's rank and whose low ones are the rest of the hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
@@ -32,7 +32,7 @@ from quern.llm import common
 
 PERCENT = 80
 #: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
-BITS, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 14, 8, 4, 3, 64, 2, 200_000
+BITS, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 12, 8, 4, 3, 64, 2, 200_000
 
 
 def words(text: Column) -> Column:
