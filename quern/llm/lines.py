@@ -210,11 +210,28 @@ def dedupe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines (before), n_removed and the removed lines' numbers of every document."""
+    """doc_id, n_lines (before), n_removed and the removed lines' numbers, between commas, of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = common.small(removed(docs).withColumnRenamed("doc_id", "_id"), SENT)
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
     rows = rows.join(out, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+
+
+#: All pairs of sets of like size that share a word. Ids of documents are taken to be unique.
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM l),
+k AS (SELECT doc_id, line_no, s, dense_rank() OVER (ORDER BY s) AS sid FROM w WHERE len(s) > 0),
+f AS (SELECT sid, any_value(s) AS s, len(any_value(s)) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM k GROUP BY sid),
+x AS (SELECT sid, n, unnest(s) AS word FROM f),
+p AS (SELECT a.sid AS a, b.sid AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS n_both FROM x a JOIN x b ON a.word = b.word AND a.sid < b.sid AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY 1, 2),
+m AS (SELECT a, b FROM p WHERE 100 * n_both >= 80 * (an + bn - n_both)),
+near AS (SELECT DISTINCT CASE WHEN fa.first < fb.first THEN b ELSE a END AS sid FROM m JOIN f fa ON fa.sid = a JOIN f fb ON fb.sid = b),
+g AS (SELECT doc_id, line_no FROM k JOIN f USING (sid) WHERE sid IN (SELECT sid FROM near) OR f.first < {'d': k.doc_id, 'l': k.line_no}),
+r AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

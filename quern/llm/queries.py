@@ -17,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op3_preference_format": chat.OP3_SQL,
     "op4_exact_top_k": topk.OP4_SQL,
+    "op5_line_dedup": lines.OP5_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_ngram_jaccard_join": jaccard.OP10_SQL,
 }
