@@ -145,7 +145,7 @@ def ranks(docs: DataFrame, width: int) -> np.ndarray:
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], names=["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^BITS rows at most
+    found = docs.select("text").mapInArrow(common.lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^BITS rows at most
     counts = np.zeros(1 << BITS, np.int64)
     counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     rank = np.empty(1 << BITS, np.uint64)
@@ -200,7 +200,7 @@ def sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", *(f"m{k}" for k in range(HASHES)), "first"])
 
     minima = "".join(f", m{k} long" for k in range(HASHES))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, key binary, n long{minima}, first array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run), f"doc_id long, key binary, n long{minima}, first array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def compare(docs: DataFrame, members: DataFrame, asked: DataFrame, percent: int,
 
     rows = texts_of(docs, parts).select("part", "deal", "asks", "id", "text")
     rows = rows.repartition("part", "deal").sortWithinPartitions("part", "deal", "asks")
-    links = common.stage(rows.mapInArrow(run, "a long, b long").distinct(), "links-found")
+    links = common.stage(rows.mapInArrow(common.lean(run), "a long, b long").distinct(), "links-found")
     for used in (many, parts):
         common.discard(used)
     return links

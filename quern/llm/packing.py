@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: s
                         seen[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, columns.values(), strict=True)], names=list(columns))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long")
 
 
 def pair(left: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
