@@ -101,19 +101,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(keep: str | None = None) -> None:
-    """Delete what stage() wrote in this process, but for frames whose names begin with `keep`."""
+def staged() -> set[str]:
+    """The folders that stage() has written and nothing has deleted."""
+    return {path for _, path in _written}
+
+
+def release(only: set[str] | None = None) -> None:
+    """Delete what stage() wrote in this process, or only these folders of it."""
     left = []
     while _written:
         spark, path = _written.pop()
-        if keep and path.rsplit("/", 1)[1].startswith(keep):
+        if only is not None and path not in only:
             left.append((spark, path))
             continue
         try:
             _delete(spark, path)
         except Exception:  # the session has gone already
             return
-    _written.extend(left)
+    _written.extend(reversed(left))
 
 
 atexit.register(release)
