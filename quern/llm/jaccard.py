@@ -239,6 +239,7 @@ def compare(docs: DataFrame, members: DataFrame, asked: DataFrame, percent: int,
                         out.append((one, hit))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
+    common.sweep(docs.sparkSession)  # shuffle files of what is staged go before texts are shuffled
     rows = texts_of(docs, parts).select("part", "deal", "asks", "id", "text")
     rows = rows.repartition("part", "deal").sortWithinPartitions("part", "deal", "asks")
     links = common.stage(rows.mapInArrow(common.lean(run), "a long, b long").distinct(), "links-found")
@@ -316,7 +317,9 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     is_short = F.col("i") < F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")
     across = matrix.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or(is_short).alias("met")).filter("met and low <> high")
     across = common.stage(across.select("token"), "across")
+    common.sweep(docs.sparkSession)
     matrix = common.stage(matrix.join(common.small(across, TOKENS), "token"), "matrix")
+    common.sweep(docs.sparkSession)
     held = matrix.filter(is_short).groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("after"))
     q, g = matrix.alias("q"), held.alias("g")
     low = F.greatest(F.col("low"), F.ceil(F.col("q.n") * percent / 100))  # the smallest member that may match
