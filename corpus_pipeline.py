@@ -8,7 +8,7 @@ of what is left are packed. SQL can't express the robust estimates of the first
 A null text is rejected by the first stage, as any text of fewer than fifty words; a null id takes no part in the third and stays, a null source
 is a source; texts of any length go through whole; repeated rows are documents each until the third stage, of which one stays; ties of
 id are ordered by all columns; columns of any name are carried along; an empty table gives an empty result. The frames that a stage has
-staged are deleted when the next one begins, since its result has been written by then.
+staged are deleted when the next but one begins, since its result has been written by then.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ from pyspark.sql import functions as F
 from quern.llm import common, jaccard, lines, mixing, packing, quality
 
 
+#: What was staged when the stage before this one began: nothing reads it any more, since that stage's input has long been written.
+_old: set[str] = set()
+
+
 def begun(stage):
-    """A stage that first deletes what earlier ones have staged."""
+    """A stage that first deletes what stages before the last one have staged."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(keep="pipeline-")
+        common.release({path for path in _old if "/pipeline-" not in path})
+        _old.clear()
+        _old.update(common.staged())
         common.sweep(spark)
         return stage(spark, docs, sf_dir)
 
