@@ -7,8 +7,8 @@ most `room` counts, whatever the number of documents:
 1. the longest length left takes the single length, pair or triple of lengths that fills its gap exactly, as many
    times as the counts allow (longest parts first), again and again;
 2. what no combination fills is packed best-fit: each length, longest first, goes to the bin with the
-   least sufficient room, equal bins being handled together. Where few small parts are left for that, the last exact
-   combinations are given back to it.
+   least sufficient room, equal bins being handled together. The exact stage spares the shortest lengths for it, as many as
+   make the shortest plan.
 
 Each piece then finds its place by its rank among the pieces of its length. Ranks come from counts of (task, length),
 so no task sees all pieces of one length.
@@ -21,6 +21,7 @@ placed in the order of task and row. Other columns are not read. An empty table
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,26 +36,22 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 ROOM, END_ID = 2048, 0
-#: The vocabulary, and the same vocabulary as ranks for a faster encoder of single words.
+#: The vocabulary, and the same vocabulary as ranks for a faster encoder.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: In a text, this is one special token.
 SPECIAL = "<|endoftext|>"
-#: Bytes of each of the two generations of a worker's cache of tokenised words; characters of the texts that it tokenises at a time.
-CACHE, SLICE = 16_000_000, 400_000
+#: Lengths under room / d are spared by the exact stage, for each d that is tried beside sparing none.
+SPARED = (16, 8, 6, 5, 4, 3, 2)
+#: Characters of the texts that a worker tokenises at a time.
+SLICE = 400_000
+#: Texts of these characters alone are split into words alike by the tokenizer file and by the faster encoder of its ranks, whatever release
+#: of Unicode each knows.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
 
-#: Runs of white space that would be cut in the middle by cutting the text at spaces and line ends.
-_RUNS = ("  ", "\n\n", " \n", "\n ")
 
-
-class Words:
-    """Tokenises texts word by word.
-
-    The vocabulary never joins what a single space or line end separates, so a text's ids are those of its words,
-    each with the space before it; the words of some texts that aren't in the cache are tokenised in one text, a
-    line each, by an encoder of the same vocabulary that is four times faster on unseen words. A text with other
-    white space around a word, or with the special token, is tokenised whole. The cache has two generations: when the
-    younger is full it becomes the older, and what is asked for again moves back.
-    """
+class Encoder:
+    """Ids of texts by the tokenizer file. Plain texts go through an encoder of the same ranks, which is several times faster; a text with
+    other characters or with the special token goes through the tokenizer itself."""
 
     def __init__(self, file: str, ranks: str = RANKS):
         import public_tokenizers
@@ -63,59 +60,27 @@ class Words:
 
         with open(public_tokenizers.path(ranks), "rb") as lines:
             pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.base: dict[str, bytes] = {"": self.pack(" "), "\n": self.pack("\n")}
-        self.cache, self.older, self.size = dict(self.base), {}, 0
-        self.line = self.base["\n"]
-        self.splits = len(self.line) == 4
 
-    def pack(self, text: str) -> bytes:
+    def exact(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: list[str], lead: str, front: bytes) -> dict[str, bytes]:
-        """Ids of each word with `lead` before it, after those in `front`; keys are the words as cut."""
-        ids = np.array(self.fast.encode_ordinary("\n".join(lead + w for w in words)), "<u4")
-        ends = np.nonzero(ids == int.from_bytes(self.line, "little"))[0]
-        key = "\n" if front else ""
-        if len(ends) != len(words) - 1:
-            return {key + w: front + self.pack(lead + w) for w in words}
-        packed, bounds = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-        return {key + w: front + packed[4 * bounds[k] + 4 : 4 * bounds[k + 1]] for k, w in enumerate(words)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = [None if not self.splits or any(x in t for x in (*_RUNS, SPECIAL)) else t.replace("\n", " \n").split(" ") for t in texts]
-        seen: set[str] = set()
-        for words in cut:
-            if words:
-                seen.update(words[1:])
-        missing = seen.difference(self.cache)
-        again = {w: self.older[w] for w in missing if w in self.older}
-        missing = missing.difference(again)
-        odd = {w for w in missing if w.removeprefix("\n").strip() != w.removeprefix("\n")}
-        inner, first = [w for w in missing - odd if w[:1] != "\n"], [w[1:] for w in missing - odd if w[:1] == "\n"]
-        new = again | (self.learn(inner, " ", b"") if inner else {}) | (self.learn(first, "", self.line) if first else {})
-        known = self.cache
-        known |= new
-        self.size += sum(4 * len(w) + len(ids) + 200 for w, ids in new.items())
-        if self.size > CACHE:
-            self.older, self.cache, self.size = known, dict(self.base), 0
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None or odd and not odd.isdisjoint(words) or words[0].strip() != words[0]:
-                out.append(self.pack(text))
-            else:
-                out.append((self.pack(words[0]) if words[0] else b"") + b"".join(map(known.__getitem__, words[1:])))
-        return out
-
-
-_words: dict[str, Words] = {}
-
-
-def encoder(file: str = TOKENIZER) -> Words:
-    if file not in _words:
-        _words[file] = Words(file)
-    return _words[file]
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if SPECIAL in text or not _PLAIN.fullmatch(text):
+            return self.exact(text)
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(file: str = TOKENIZER) -> Encoder:
+    """One for each worker."""
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
 
 
 def cut(ids: bytes, room: int) -> Iterator[tuple[int, int]]:
@@ -128,8 +93,8 @@ def cut(ids: bytes, room: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Pieces of every document, with the task that made them and their rank among its pieces of that length. A worker holds the
-    words of one slice of texts at a time, and yields its pieces before it reads the next."""
+    """Pieces of every document, with the task that made them and their rank among its pieces of that length. A worker
+    yields the pieces of one slice of texts before it reads the next."""
     end = np.array([end_id], "<u4").tobytes()
     columns = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "local": pa.int64()}
 
@@ -138,9 +103,8 @@ def pieces(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: s
         for batch in batches:
             for at, texts in common.slices(batch.column(1), SLICE):
                 out: list[list] = [[] for _ in columns]
-                encoded = words.encode([t or "" for t in texts])
-                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoded, strict=True):
-                    ids += end
+                for doc_id, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    ids = words.encode(text or "") + end
                     for k, (start, length) in enumerate(cut(ids, room)):
                         for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]), strict=True):
                             column.append(value)
@@ -225,33 +189,28 @@ def best_fit(left: np.ndarray, room: int) -> Patterns:
     return [(tuple(parts), times) for same in bins.values() for parts, times in same]
 
 
-def plan(counts: dict[int, int], room: int = ROOM) -> Patterns:
-    """Patterns of lengths and how many sequences follow each; every counted piece has one place. What no combination fills is packed
-    best-fit. Where that leaves more sequences than the tokens need, the last exact ones, which took the smallest
-    parts, are undone, twice as many each time, and join what is packed best-fit; the shortest plan is taken, and of those the one
-    that undoes least."""
+def plan(counts: dict[int, int], room: int = ROOM) -> tuple[Patterns, int]:
+    """Patterns of lengths and how many sequences follow each, and how many sequences, from the first on, exact combinations fill; every
+    counted piece has one place. Exact combinations are taken from lengths of at least a limit, and all of them stand; what is
+    left, with the shorter lengths spared for it, is packed best-fit. Of a few limits the one with the shortest plan is taken, and of those
+    the one that fills most sequences exactly; a plan that needs no more sequences than the tokens fill ends the search."""
     left = np.zeros(room + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     need = -(-int((left * np.arange(room + 1)).sum()) // room)
-    kept = exact(left, room)
-    best, size, undone = None, 0, 0
-    while True:
-        rest = best_fit(left, room)
-        now = sum(times for _, times in kept) + sum(times for _, times in rest)
-        if best is None or now < size:
-            best, size = kept + rest, now
-        if size == need or not kept:
-            return best
-        kept, more = list(kept), max(1, undone)
-        while more and kept:
-            parts, times = kept.pop()
-            use = min(times, more)
-            if use < times:
-                kept.append((parts, times - use))
-            for p in parts:
-                left[p] += use
-            more, undone = more - use, undone + use
+    best, score = ([], 0), None
+    for limit in (1, *(max(1, room // d) for d in SPARED)):
+        now = left.copy()
+        now[:limit] = 0
+        filled = exact(now, room)
+        now[:limit] = left[:limit]
+        rest = best_fit(now, room)
+        n, more = (sum(times for _, times in part) for part in (filled, rest))
+        if score is None or (n + more, -n) < score:
+            best, score = (filled + rest, n), (n + more, -n)
+        if n + more == need:
+            break
+    return best
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
@@ -270,12 +229,14 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 
 def pack(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Every piece with its sequence, its offset there, and whether an exact combination made the sequence."""
     spark = docs.sparkSession
     cut_up = common.stage(pieces(docs, room, end_id, tokenizer), "pack-pieces")
     per_task = cut_up.groupBy("task", "length").agg(F.count("*").alias("n"))
     per_task = common.stage(per_task, "pack-counts")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
-    table = places(plan(counts, room))  # its rows are bounded by the lengths, not by the documents
+    patterns, n_exact = plan(counts, room)
+    table = places(patterns)  # its rows are bounded by the lengths, not by the documents
     found = {int(k): v for k, v in table.groupby("length")} if len(table) else {}
     where = spark.sparkContext.broadcast({k: (v["first"].to_numpy(), v["sequence"].to_numpy(), v["offset"].to_numpy()) for k, v in found.items()})
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -293,10 +254,10 @@ def pack(docs: DataFrame, room: int = ROOM, end_id: int = END_ID, tokenizer: str
                 first, start, at = lookup[int(value)]
                 k = np.searchsorted(first, rank[rows], "right") - 1
                 sequence[rows], offset[rows] = start[k] + rank[rows] - first[k], at[k]
-            yield frame.assign(sequence_id=sequence, offset=offset)
+            yield frame.assign(sequence_id=sequence, offset=offset, exact=sequence < n_exact)
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, exact boolean")
 
 
 def op2_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,13 @@ def test_packing_plan():
     r = random.Random(3)
     for _ in range(40):
         counts = collections.Counter(r.randint(1, 64) for _ in range(200))
-        plan = packing.plan(dict(counts), 64)
+        plan, n_exact = packing.plan(dict(counts), 64)
+        assert n_exact > 0
+        for parts, times in plan:  # exact fills stand first in the plan, and nothing else is among them
+            if n_exact > 0:
+                assert sum(parts) == 64 and 1 <= len(parts) <= 4
+                n_exact -= times
+        assert n_exact == 0
         used = collections.Counter()
         for parts, times in plan:
             assert sum(parts) <= 64
@@ -119,7 +125,6 @@ def test_packing_plan():
             else:
                 bins.append(64 - p)
         assert -(-sum(counts.elements()) // 64) <= sum(t for _, t in plan) <= len(bins)
-        assert any(len(parts) in (2, 3) and sum(parts) == 64 for parts, _ in plan)
     left = np.zeros(9, np.int64)
     left[[3, 5]] = 1, 1
     assert packing.fill(left, 8) == (5, 3) and packing.fill(left, 7) is None
@@ -129,20 +134,20 @@ def test_packing_plan():
     assert packing.fill(left, 7) == (5, 1, 1)
 
 
-def test_words_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 20_000)
-    w = packing.Words(packing.TOKENIZER)
-    r = random.Random(8)
-    for _ in range(30):
-        texts = [" ".join(f"{r.choice('abcdef')}{r.randint(0, 300)}" for _ in range(40)) + "\nend" for _ in range(4)]
-        assert w.encode(texts) == [w.pack(t) for t in texts]
-        assert sum(4 * len(k) + len(v) + 200 for k, v in w.cache.items()) <= packing.CACHE + 200_000
-
+def test_encoder_equals_tokenizer():
+    import pyarrow.parquet as pq
 
-def test_words_equal_whole_texts():
-    w = packing.Words(packing.TOKENIZER)
-    texts = ["a\n\nb", " a", "a ", "a  b   c", "\na", "a\n", "a\tb \tc", "", " ", "x \nb c\n d", "it's we're 12ab", "a　b  c", "<|endoftext|> x"]
-    assert w.encode(texts) == [w.pack(t) for t in texts]
+    w = packing.encoder()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    assert len(texts) >= 1000
+    for t in texts:  # real texts of all local languages
+        assert w.encode(t or "") == w.exact(t or "")
+    r = random.Random(8)
+    plain = "".join(map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0x180)])) + "     \n\n'''sstdm"
+    other = plain + "\x0b\x0c\x1c\x85\xa0\u1680\u180e\u2003\u200b\u3000字е\u0301😀"
+    for k in range(4000):
+        t = "".join(r.choice(other if k % 2 else plain) for _ in range(r.randint(0, 40))) + ("<|endoftext|>" if k % 50 == 0 else "")
+        assert w.encode(t) == w.exact(t)
 
 
 def test_chat(spark):
