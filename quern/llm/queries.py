@@ -1,6 +1,6 @@
 """Registry of the training-data queries and their SQL oracles."""
 
-from quern.llm import chat, codes, html, jaccard, language, licences, lines, mixing, packing, quality, topk
+from quern.llm import chat, codes, html, jaccard, language, licences, lines, mixing, packing, quality, tiers, topk
 
 QUERIES = {
     "op1_robust_outliers": quality.op1_robust_outliers,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_rank_order_language": language.op8_rank_order_language,
     "op9_html_main_text": html.op9_html_main_text,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_pack_tiers": tiers.op11_pack_tiers,
     "op12_compress_vectors": codes.op12_compress_vectors,
 }
 ORACLES = {
