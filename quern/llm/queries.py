@@ -1,6 +1,6 @@
 """Registry of the training-data queries and their SQL oracles."""
 
-from quern.llm import chat, codes, html, jaccard, language, licences, lines, mixing, packing, quality, tiers, topk
+from quern.llm import chat, codes, collocations, html, jaccard, language, licences, lines, mixing, packing, quality, tiers, topk
 
 QUERIES = {
     "op1_robust_outliers": quality.op1_robust_outliers,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op11_pack_tiers": tiers.op11_pack_tiers,
     "op12_compress_vectors": codes.op12_compress_vectors,
+    "op13_mine_collocations": collocations.op13_mine_collocations,
 }
 ORACLES = {
     "op3_preference_format": chat.OP3_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_mix_sources": mixing.OP7_SQL,
     "op10_ngram_jaccard_join": jaccard.OP10_SQL,
     "op12_compress_vectors": codes.OP12_SQL,
+    "op13_mine_collocations": collocations.OP13_SQL,
 }
