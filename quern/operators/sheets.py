@@ -14,6 +14,21 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl",
 #: Roles in the order in which they are shown.
 ROLES = ("Backend", "Frontend", "DevOps", "PM", "Designer", "QA")
 
+#: Fixed values, in the order in which roles are asked for: role, its words, and what names it within a word or over several.
+ROLE_WORDS = (
+    ("PM", ("pmp",), ("project manager", "chef de projet", "scrum master")),
+    ("Designer", ("ux", "designer"), ()),
+    ("DevOps", (), ("devops", "sre", "cloud engineer", "kubernetes")),
+    ("QA", ("qa",), ("test engineer", "testeur", "quality")),
+    ("Backend", (), ("backend", "back-end", "java", "spring")),
+    ("Frontend", (), ("front", "react", "angular", "vue", "mobile", "full-stack", "fullstack")),
+)
+#: Words between the years of a span, and for its open end, folded.
+JOINERS = ("-", "–", "—", "to", "a", "au")
+NOW = ("present", "current", "now", "today", "ongoing", "aujourd'hui", "actuel", "en cours")
+#: Results of a test.
+RESULTS = ("PASSED", "FAILED", "ERROR", "SKIPPED")
+
 
 def criteria(text: str) -> Column:
     """(name, weight) of the lines of a text that give a weight of at most 100: in brackets, or after a colon or dash, with a unit."""
@@ -68,15 +83,26 @@ def unligated(text: Column) -> Column:
 
 
 def job_span(line: str, this_month: int) -> Column:
-    """(first, last) month of a span of years, with month names or not, as year times twelve and month; `present` is this month; null where there is none or it runs backwards."""
-    t = T.normalize(line)
+    """(first, last) month of the first span of years in a line, as year times twelve and month; null where there is none or it runs backwards. A span is, token by
+    token, a year, a joiner, and a year or a word for now; a word before a year is its month if it names one. Without months a span has
+    whole years; it ends this month at the latest."""
     months = F.create_map(*[F.lit(v) for kv in MONTHS.items() for v in kv])
-    pattern = r"(?:([a-z]{3,9})\.?\s*)?((?:19|20)\d\d)\s*(?:–|—|-|\bto\b|\ba\b|\bau\b)\s*(?:(present|current|now|today|actuel|en cours)|(?:([a-z]{3,9})\.?\s*)?((?:19|20)\d\d))"
-    part = lambda k: F.regexp_extract(t, pattern, k)
-    month = lambda k, default: F.coalesce(F.try_element_at(months, part(k)), F.lit(default))
-    first = part(2).try_cast("int") * 12 + month(1, 1)
-    last = F.when(part(3) != "", F.lit(this_month)).otherwise(F.least(part(5).try_cast("int") * 12 + month(4, 12), F.lit(this_month)))
-    return F.when((part(2) != "") & (last >= first), F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
+    tokens = F.split(F.regexp_replace(T.normalize(line), r"([\u2013\u2014-])|[\s.]+", " $1 "), " +")
+
+    def spans(t: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(t, k), F.lit(""))
+        year = lambda k: F.when((F.length(at(k)) == 4) & F.substring(at(k), 1, 2).isin("19", "20"), at(k).try_cast("int"))
+        month = lambda k, default: F.coalesce(F.try_element_at(months, at(k)), F.lit(default))
+
+        def span(k: Column) -> Column:
+            now = at(k + 2).isin(*NOW) | F.concat_ws(" ", at(k + 2), at(k + 3)).isin(*NOW)
+            end = F.when(now, this_month).when(year(k + 2).isNotNull(), year(k + 2) * 12 + 12).otherwise(year(k + 3) * 12 + month(k + 2, 12))
+            return F.when(at(k + 1).isin(*JOINERS), F.struct((year(k) * 12 + month(k - 1, 1)).alias("first"), F.least(end, F.when(end.isNotNull(), this_month)).cast("int").alias("last")))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(t) - 1), span), lambda x: x["first"].isNotNull() & x["last"].isNotNull())
+
+    first = F.get(F.transform(F.array(tokens), spans)[0], F.lit(0))  # tokens are bound once
+    return F.when(first["last"] >= first["first"], first)
 
 
 def months_of(text: str) -> Column:
@@ -88,12 +114,17 @@ def months_of(text: str) -> Column:
 
 
 def role(text: Column) -> Column:
-    """The role that a CV's title and text say, by the first rule that holds."""
-    said = lambda pattern, name: (F.lower(text).rlike(pattern), name)
-    rules = [said(r"project manager|chef de projet|\bpmp\b|scrum master", "PM"), said(r"\bux\b|\bdesigner\b", "Designer"), said(r"devops|sre|cloud engineer|kubernetes", "DevOps"), said(r"\bqa\b|test engineer|testeur|quality", "QA"), said(r"backend|back-end|java|spring", "Backend"), said(r"front|react|angular|vue|mobile|full-stack|fullstack", "Frontend")]
-    out = F.when(*rules[0])
-    for rule in rules[1:]:
-        out = out.when(*rule)
+    """The first role of the table of which a text has a word as its own, or a part anywhere."""
+    lower = F.lower(text)
+    tokens = F.split(lower, r"\W+")
+    out = F.lit(None).cast("string")
+    for name, words, inside in reversed(ROLE_WORDS):
+        named = F.lit(False)
+        for part in inside:
+            named = named | F.contains(lower, F.lit(part))
+        if words:
+            named = named | F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+        out = F.when(named, name).otherwise(out)
     return out
 
 
@@ -134,23 +165,27 @@ def slide_of(titles: DataFrame, slides: DataFrame, deck: str, title: str) -> Dat
 
 
 def test_report(output: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, test, result) of the lines of a test run's output."""
+    """(key, test, result) of the lines of a test run's output: a path below tests, two colons and a name, then a status word."""
     lines = output.select(key, F.explode(F.split(text, "\n")).alias("_line"))
-    pattern = r"^\s*tests/\S+?::(\S.*?)\s+(PASSED|FAILED|ERROR|SKIPPED)"
-    return lines.select(key, F.regexp_extract("_line", pattern, 1).alias("test"), F.regexp_extract("_line", pattern, 2).alias("result")).filter("result <> ''")
+    words = lines.withColumn("_words", F.split(F.trim(F.regexp_replace("_line", r"\s+", " ")), " ")).filter(F.startswith(F.get("_words", F.lit(0)), F.lit("tests/")))
+    place = F.filter(F.transform(F.array(*map(F.lit, RESULTS)), lambda r: F.array_position("_words", r)), lambda k: k > 1)
+    found = words.withColumn("_at", F.array_min(place).cast("int")).filter("_at is not null")
+    whole = F.array_join(F.slice("_words", F.lit(1), F.col("_at") - 1), " ")
+    test = F.substring(whole, F.locate("::", whole) + 2, F.length(whole))
+    return found.filter((F.locate("::", whole) > 0) & (test != "")).select(key, test.alias("test"), F.get("_words", F.col("_at") - 1).alias("result"))
 
 
 def section_cut(lines: DataFrame, key: str, unwanted: str) -> DataFrame:
-    """Lines (key, no, line) without those under an unwanted heading, up to a heading of the same or a higher level; levels are leading number signs."""
-    level = F.length(F.regexp_extract("line", r"^(#+)\s", 1))
+    """Lines (key, no, line) without those under an unwanted heading, up to a heading of the same or a higher level; levels are leading number signs, one to six. For each
+    level the last heading of that level or above is found in one ordered pass; a line is cut if for some level that one is of the level and unwanted."""
+    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
     order = Window.partitionBy(key).orderBy("no")
-    marks = lines.withColumn("_level", F.when(level > 0, level)).withColumn("_bad", F.col("_level").isNotNull() & F.lower("line").rlike(unwanted))
-    # a line is cut if some unwanted heading before it has no heading of its level or above in between
-    heads = marks.filter("_bad").select(F.col(key).alias("_k"), F.col("no").alias("_from"), F.col("_level").alias("_l"))
-    tops = marks.filter("_level is not null").select(F.col(key).alias("_k2"), F.col("no").alias("_to"), F.col("_level").alias("_l2"))
-    ends = heads.join(tops, (F.col("_k") == F.col("_k2")) & (F.col("_to") > F.col("_from")) & (F.col("_l2") <= F.col("_l")), "left").groupBy("_k", "_from").agg(F.min("_to").alias("_end"))
-    spans = marks.join(ends, (F.col(key) == F.col("_k")) & (F.col("no") >= F.col("_from")) & (F.col("_end").isNull() | (F.col("no") < F.col("_end"))), "left_anti")
-    return spans.select(key, "no", "line", F.row_number().over(order).alias("place"))
+    marks = lines.withColumn("_level", F.when(level > 0, level)).withColumn("_bad", F.coalesce(F.col("_level").isNotNull() & F.lower("line").rlike(unwanted), F.lit(False)))
+    under = [F.last(F.when(F.col("_level") <= k, F.col("_bad") & (F.col("_level") == k)), ignorenulls=True).over(order) for k in range(1, 7)]
+    cut = F.lit(False)
+    for u in under:
+        cut = cut | F.coalesce(u, F.lit(False))
+    return marks.withColumn("_cut", cut).filter("not _cut").select(key, "no", "line", F.row_number().over(order).alias("place"))
 
 
 def studio_rows(evidence: DataFrame, group: str) -> DataFrame:

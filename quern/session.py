@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -72,7 +74,46 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="quern-checkpoints-")
 
 
-_written: list[tuple[SparkSession, str]] = []
+class Staging:
+    """The frames that one run stages while it is open. release() deletes them and no frame of another run; a frame belongs to
+    the innermost run that was open when it was staged.
+
+        with scratch():
+            query(spark, sf_dir).write.parquet(path)
+    """
+
+    def __init__(self) -> None:
+        self.written: dict[str, SparkSession] = {}
+
+    def __enter__(self) -> Staging:
+        _runs.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _runs.remove(self)
+
+    def release(self) -> None:
+        while self.written:
+            path, spark = self.written.popitem()
+            try:
+                _delete(spark, path)
+            except Exception:  # the session has gone already
+                return
+
+
+#: Runs that are open, the innermost last. The first has what is staged in none: what a lazy frame reads lasts as long as the process.
+_runs: list[Staging] = [Staging()]
+atexit.register(_runs[0].release)
+
+
+@contextmanager
+def scratch() -> Iterator[Staging]:
+    """A run whose frames are deleted at its end: all that is read of them is to be written or collected in it."""
+    with Staging() as run:
+        try:
+            yield run
+        finally:
+            run.release()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -80,7 +121,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _runs[-1].written[path] = spark
     spark.sparkContext._jvm.System.gc()  # the shuffle files of what is written now go when their plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
@@ -89,11 +130,9 @@ def discard(df: DataFrame) -> None:
     """Delete what stage() wrote for a frame that nothing reads any more."""
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
-        for k, (spark, path) in enumerate(_written):
-            if folder.endswith(path.rsplit("/", 1)[1]):
-                _delete(spark, path)
-                del _written[k]
-                return
+        for run in _runs:
+            for path in [p for p in run.written if folder.endswith(p.rsplit("/", 1)[1])]:
+                _delete(run.written.pop(path), path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -101,29 +140,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged() -> set[str]:
-    """The folders that stage() has written and nothing has deleted."""
-    return {path for _, path in _written}
-
-
-def release(only: set[str] | None = None) -> None:
-    """Delete what stage() wrote in this process, or only these folders of it."""
-    left = []
-    while _written:
-        spark, path = _written.pop()
-        if only is not None and path not in only:
-            left.append((spark, path))
-            continue
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has gone already
-            return
-    _written.extend(reversed(left))
-
-
-atexit.register(release)
-
-
 def small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a frame whose counted rows are at most `most`; a larger one stays for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
