@@ -7,8 +7,8 @@ of what is left are packed. SQL can't express the robust estimates of the first
 
 A null text is rejected by the first stage, as any text of fewer than fifty words; a null id takes no part in the third and stays, a null source
 is a source; texts of any length go through whole; repeated rows are documents each until the third stage, of which one stays; ties of
-id are ordered by all columns; columns of any name are carried along; an empty table gives an empty result. The frames that a stage has
-staged are deleted when the next but one begins, since its result has been written by then.
+id are ordered by all columns; columns of any name are carried along; an empty table gives an empty result. A stage's staged frames
+are its own: they are deleted when its result is written, or, where stages are called one by one, when the next but one begins.
 """
 
 from __future__ import annotations
@@ -22,20 +22,23 @@ from pyspark.sql import functions as F
 from quern.llm import common, jaccard, lines, mixing, packing, quality
 
 
-#: What was staged when the stage before this one began: nothing reads it any more, since that stage's input has long been written.
-_old: set[str] = set()
+#: For each pipeline (session and tables) what its last stages have staged. Only frames that stages of that pipeline staged are here.
+_stages: dict[tuple[int, str], list[common.Staging]] = {}
 
 
 def begun(stage):
-    """A stage that first deletes what stages before the last one have staged."""
+    """A stage that owns what it stages, and first deletes what was staged by those before its predecessor."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release({path for path in _old if "/pipeline-" not in path})
-        _old.clear()
-        _old.update(common.staged())
+        before = _stages.setdefault((id(spark), sf_dir), [])
+        while len(before) > 1:
+            before.pop(0).release()
         common.sweep(spark)
-        return stage(spark, docs, sf_dir)
+        with common.Staging() as own:
+            out = stage(spark, docs, sf_dir)
+        before.append(own)
+        return out
 
     return run
 
@@ -94,6 +97,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for k, (name, stage) in enumerate(STAGES):
+        out = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        for own in _stages.pop((id(spark), sf_dir)):  # the result is written
+            own.release()
+        if k:
+            common.discard(docs)
+        docs = out
     return docs

@@ -60,12 +60,12 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
     turns = common.table(spark, sf_dir, "conversations").filter("conv_id is not null")
     side = F.pmod("conv_id", F.lit(2)).cast("int")
-    return format_pairs(turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "conv_id", "turn", "role", "text"))
+    return format_pairs(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "conv_id", "turn", "role", "text"))
 
 
 OP3_SQL = r"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 x AS (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) AS s FROM t),

@@ -12,9 +12,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import discard, release, ship, small, stage, staged
+from quern.session import Staging, discard, scratch, ship, small, stage
 
-__all__ = ["GAP", "WORD", "aside", "back", "discard", "lean", "let", "release", "slices", "small", "stage", "staged", "sweep", "table"]
+__all__ = ["GAP", "WORD", "Staging", "aside", "back", "discard", "lean", "let", "scratch", "slices", "small", "stage", "sweep", "table"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

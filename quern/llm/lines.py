@@ -204,7 +204,8 @@ def dedupe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = common.small(removed(own.select(used), percent).withColumnRenamed("doc_id", "_id"), SENT)
     own = own.withColumn("_th", F.xxhash64("text"))
     own = own.join(out, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = lambda n: F.array_except(F.sequence(F.lit(0), n - 1), "gone")
+    rest = common.let(F.split("text", "\n"), lambda s: F.array_join(F.transform(kept(F.size(s)), lambda i: F.get(s, i)), "\n"))
     own = own.withColumn("text", F.when(F.size("gone") == 0, F.col("text")).otherwise(rest))
     return common.back(own, docs, used)
 
