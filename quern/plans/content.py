@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import dates as D
+from quern.operators import quotes
 from quern.plans import sql as S
 from quern.plans.procurement import TODAY
-from quern.session import small, stage, table
+from quern.session import table
 
 
 # similarities
@@ -50,21 +51,12 @@ def firm_keys(spark, sf_dir):
 
 
 def contamination_overlap(spark, sf_dir):
-    """Benchmark passages quoted word for word in documents: passages meet documents by a hash of their first eight words, then as a whole. Only
-    hashes are exploded; the texts of the pairs found are fetched once."""
-    words = lambda x: F.filter(F.split(T.fold(x), " "), lambda w: w != "")
-    first = F.xxhash64(*[F.get("w", F.lit(k)) for k in range(8)])
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.fold("text").alias("passage"), words("text").alias("w")).filter(F.size("w") >= 8).select("item_id", "passage", first.alias("g"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).filter(F.size("w") >= 8)
-    window = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)]))
-    pairs = d.select("doc_id", F.explode(window).alias("g")).join(small(b.select("item_id", "g"), 200_000), "g").select("item_id", "doc_id").distinct()
-    pairs = small(stage(pairs, "contamination"), 200_000)
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(pairs, "doc_id").select("item_id", "doc_id", F.concat(F.lit(" "), T.fold("text"), F.lit(" ")).alias("t"))
-    hits = texts.join(small(b.select("item_id", "passage"), 50_000), "item_id").filter(F.col("t").contains(F.concat(F.lit(" "), "passage", F.lit(" "))))
-    return hits.select("item_id", "doc_id").distinct()
-
-
-# URLs and pages
+    """Benchmark passages quoted word for word in documents: passages of any length meet documents by a hash of their first eight words (of all, where
+    fewer), within a task, and are then compared whole."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.fold("text").alias("quote"))
+    return quotes.found(table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t")), b, "doc_id", "item_id", quotes.Whole)
+
+
 def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.normal_url("url").alias("canonical"))
 
@@ -98,9 +90,9 @@ def page_links(spark, sf_dir):
 
 
 def repeated_link_labels(spark, sf_dir):
-    """Short labels on three or more links to two or more targets."""
+    """Short labels on three or more links of a page to two or more targets."""
     rows = _links(spark, sf_dir).filter(F.length("label") < 40)
-    return rows.groupBy("label").agg(F.count("*").alias("links"), F.count_distinct("target").alias("targets")).filter("links >= 3 and targets >= 2")
+    return rows.groupBy("page_id", "label").agg(F.count("*").alias("links"), F.count_distinct("target").alias("targets")).filter("links >= 3 and targets >= 2")
 
 
 def next_page_number(spark, sf_dir):
@@ -166,8 +158,7 @@ def inject_scan(spark, sf_dir):
 
 def language_pick(spark, sf_dir):
     """Preferred language of a source's documents, else the first in order: the smallest id of that language."""
-    docs = table(spark, sf_dir, "documents").filter("lang in ('fr', 'en')")
-    by = docs.groupBy("source").agg(F.min(F.when(F.col("lang") == "fr", F.col("doc_id"))).alias("fr"), F.min("doc_id").alias("any"))
+    by = table(spark, sf_dir, "documents").groupBy("source").agg(F.min(F.when(F.col("lang") == "fr", F.col("doc_id"))).alias("fr"), F.min("doc_id").alias("any"))
     return by.select("source", F.coalesce("fr", "any").alias("doc_id"))
 
 
@@ -229,14 +220,14 @@ QUERIES = {
     "name_containment": (name_containment, f"WITH {_PAIRS}, {_TOKS}, s AS (SELECT p_partkey, list_transform(list_filter(a, lambda x: NOT list_contains([{', '.join(repr(x) for x in T.PARTICLES)}], x)), lambda t: {S.stem('t')}) AS a, list_transform(b, lambda t: {S.stem('t')}) AS b FROM t) SELECT p_partkey, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE) ELSE 0 END, 6) AS containment FROM s"),
     "normalize_text": (normalize_text, f"SELECT doc_id, md5({S.normalize('text')}) AS normal_md5, CAST(len({S.tokens('text')}) AS BIGINT) AS n_tokens FROM documents"),
     "firm_keys": (firm_keys, "SELECT s_suppkey, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS firm FROM supplier"),
-    "contamination_overlap": (contamination_overlap, f"WITH b AS (SELECT item_id, {S.fold('text')} AS p FROM benchmark WHERE len({_FOLDED}) >= 8), d AS (SELECT doc_id, {S.fold('text')} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || t || ' ', ' ' || p || ' ')"),
+    "contamination_overlap": (contamination_overlap, f"WITH b AS (SELECT item_id, {S.fold('text')} AS p FROM benchmark WHERE len({_FOLDED}) >= 1), d AS (SELECT doc_id, {S.fold('text')} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || t || ' ', ' ' || p || ' ')"),
     "canonical_url": (canonical_url, f"SELECT page_id, {_NORMAL} AS canonical FROM pages"),
     "url_host": (url_host, "SELECT regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1), ':(80|443)$', ''), '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY 1"),
     "tracking_param_strip": (tracking_param_strip, f"WITH n AS (SELECT page_id, {_NORMAL} AS u FROM pages) SELECT page_id, {_without(chr(39) + 'ref' + chr(39) + ', ' + chr(39) + 'utm_source' + chr(39))} AS url FROM n"),
     "url_keys": (url_keys, f"WITH n AS (SELECT page_id, regexp_replace({_NORMAL}, '://www\\.', '://') AS u FROM pages), k AS (SELECT page_id, regexp_replace(regexp_replace(u, '\\?.*$', ''), '/$', '') AS p, array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '')), '&') AS q FROM n) SELECT p || CASE WHEN q = '' THEN '' ELSE '?' || q END AS key, count(*) AS n, min(page_id) AS first FROM k GROUP BY 1"),
     "html_to_text": (html_to_text, f"SELECT page_id, md5({_MARKUP}) AS text_md5 FROM pages"),
     "page_links": (page_links, f"WITH {_LINKS} SELECT page_id, target, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY length(label) DESC, label DESC) AS r FROM l) WHERE r = 1"),
-    "repeated_link_labels": (repeated_link_labels, f"WITH {_LINKS} SELECT label, count(*) AS links, count(DISTINCT target) AS targets FROM l WHERE length(label) < 40 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT target) >= 2"),
+    "repeated_link_labels": (repeated_link_labels, f"WITH {_LINKS} SELECT page_id, label, count(*) AS links, count(DISTINCT target) AS targets FROM l WHERE length(label) < 40 GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT target) >= 2"),
     "next_page_number": (next_page_number, f"WITH n AS (SELECT page_id, {_NORMAL} AS u, regexp_extract(url, '[?&](?:page|paged|pg|start|offset)=(\\d+)', 1) AS n FROM pages) SELECT page_id, {_without(', '.join(repr(x) for x in ('page', 'paged', 'pg', 'start', 'offset')))} AS view, CAST(n AS INTEGER) AS n FROM n WHERE n <> ''"),
     "soft_errors": (soft_errors, f"SELECT page_id, length({_MARKUP}) < 200 OR regexp_matches(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 'not found|introuvable|404') AS rejected FROM pages"),
     "props_json_extract": (props_json_extract, "WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, CAST(sum(k) AS BIGINT) AS total, max(k) AS most, count(*) FILTER (WHERE k IS NULL) AS missing FROM e GROUP BY 1"),
@@ -247,7 +238,7 @@ QUERIES = {
     "money_parse": (money_parse, "SELECT o_orderkey, round(o_totalprice, 2) AS amount FROM orders"),
     "kv_rows": (kv_rows, "SELECT o_orderkey AS id, o_custkey AS buyer, o_orderstatus AS status FROM orders"),
     "inject_scan": (inject_scan, r"SELECT doc_id, regexp_matches(text, '(?i)(token|password|api[_-]?key)\s*=') AS secret, regexp_matches(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}') AS address, regexp_matches(text, '[A-Z]{4,}!!') AS shout FROM documents"),
-    "language_pick": (language_pick, "SELECT source, coalesce(min(doc_id) FILTER (WHERE lang = 'fr'), min(doc_id)) AS doc_id FROM documents WHERE lang IN ('fr', 'en') GROUP BY 1"),
+    "language_pick": (language_pick, "SELECT source, coalesce(min(doc_id) FILTER (WHERE lang = 'fr'), min(doc_id)) AS doc_id FROM documents GROUP BY 1"),
     "line_profile": (line_profile, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE length(line) < 40 AND NOT ends_with(line, '.')) AS headings, max(length(line)) AS widest FROM l GROUP BY 1"),
     "island_months": (island_months, "WITH s AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS s FROM orders), m AS (SELECT DISTINCT o_custkey, unnest([s, s + 1, s + 2]) AS m FROM s), g AS (SELECT o_custkey, m, m - row_number() OVER (PARTITION BY o_custkey ORDER BY m) AS i FROM m) SELECT o_custkey, count(*) AS months, count(*) // 12 AS years, count(DISTINCT i) AS islands FROM g GROUP BY 1"),
     "session_gaps": (session_gaps, "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 14400000000 THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM g) SELECT user_id, session, count(*) AS events, round(sum(value), 2) AS value FROM s GROUP BY 1, 2"),

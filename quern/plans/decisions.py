@@ -49,8 +49,8 @@ def rule_match_matrix(spark, sf_dir):
     types = F.array(*[F.lit(x) for x in ("ECONOMY", "SMALL", "STANDARD", "MEDIUM", "LARGE", "PROMO")])
     k = F.col("n_nationkey")
     needs = table(spark, sf_dir, "nation").select("n_nationkey", (k % 2 == 0).alias("all_of"), F.explode(F.array(F.get(types, k % 6), F.get(types, (k + 2) % 6))).alias("item"))
-    few = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_partkey", "l_suppkey")
-    held = few.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("item")), "l_partkey").groupBy("l_suppkey", "item").agg(F.count("*").alias("c")).filter("c > 2")
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    held = sold.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("item")), "l_partkey").select("l_suppkey", "item").distinct()
     return D.rule_match(needs, held, "n_nationkey", "l_suppkey", "item", "all_of").select("n_nationkey", "l_suppkey", "matched", "qualified")
 
 
@@ -93,7 +93,7 @@ QUERIES = {
     "gap_report": (gap_report, f"WITH {_MATRIX} SELECT l_orderkey, CASE WHEN category = 'team' THEN 'people' WHEN category = 'experience' THEN 'project' WHEN certs THEN 'certification' WHEN found = 0 THEN 'technology' ELSE 'evidence' END AS cause, count(*) AS n FROM m WHERE status <> 'covered' GROUP BY 1, 2"),
     "risk_list": (risk_list, f"WITH {_MATRIX}, r AS (SELECT l_orderkey, bool_or(status = 'missing' AND mandatory) AS a, count(*) FILTER (WHERE status = 'partial') > 2 AS b, count(*) FILTER (WHERE category = 'team') = 0 AS c FROM m GROUP BY 1) SELECT l_orderkey, array_to_string(list_filter([CASE WHEN a THEN 'mandatory_gap' END, CASE WHEN b THEN 'many_partials' END, CASE WHEN c THEN 'no_team' END], lambda x: x IS NOT NULL), ',') AS risks FROM r"),
     "rule_match_matrix": (rule_match_matrix, """WITH t AS (SELECT ['ECONOMY', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO'] AS t), n AS (SELECT n_nationkey, n_nationkey % 2 = 0 AS all_of, unnest([t[1 + n_nationkey % 6], t[1 + (n_nationkey + 2) % 6]]) AS item FROM nation, t),
-        h AS (SELECT l_suppkey, p_type AS item FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY ALL HAVING count(*) > 2)
+        h AS (SELECT l_suppkey, p_type AS item FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
         SELECT n_nationkey, l_suppkey, count(*) AS matched, CASE WHEN any_value(all_of) THEN count(*) = 2 ELSE true END AS qualified FROM n JOIN h USING (item) GROUP BY 1, 2"""),
     "certificate_groups": (certificate_groups, "SELECT s_suppkey, (s_suppkey & 2) > 0 AND (s_suppkey & 8) > 0 AS qualified, (s_suppkey & 6) > 0 AND (s_suppkey & 24) > 0 AS equivalent FROM supplier"),
     "rerank_percent": (rerank_percent, "SELECT event_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 * (value / 10 - 9 + 8) / 8)), 6) AS percent FROM events"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import parsing as P
 from quern.functions import text as T
 from quern.operators import deck as K
+from quern.operators import quotes
 from quern.plans import sql as S
 from quern.session import shared_dir, table
 from quern.streaming import runs
@@ -86,34 +87,13 @@ def deck_fill(spark, sf_dir):
     return rows.select("conv_id", F.array_join(F.transform("page", lambda x: x.cast("string")), ",").alias("pages"))
 
 
-def fuzzy_pairs(quotes, texts):
-    """(item_id, doc_id, quoted) of folded quotes and the folded texts t that can hold them: texts that hold the quote without spaces, or
-    as many of its neighbouring words, each at most three places on, as a quote has that misses 15 % of its words (each is in two such pairs)."""
-    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    pair = lambda w, i, step: F.concat_ws(" ", F.get(w, i), F.get(w, i + step))
-    q = quotes.select("item_id", "quote", words("quote").alias("w")).filter(F.size("w") >= 3).distinct()
-    least = F.size("w") - 1 - 2 * F.floor(F.size("w") * 15 / 100)
-    q = q.withColumns({"least": least, "glued": F.array_join("w", "")})
-    d = texts.select("doc_id", "t").distinct()
-    steps = F.array(*[F.lit(k) for k in (1, 2, 3)])
-    near = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.transform(F.filter(steps, lambda k: i + k < F.size("w")), lambda k: pair(F.col("w"), i, k))))
-    held = d.withColumn("w", words("t")).filter(F.size("w") >= 2).select("doc_id", F.md5("t").alias("h"), F.explode(F.array_distinct(near)).alias("g"))
-    asked = q.select("item_id", "quote", "least", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: pair(F.col("w"), i, 1))).alias("g"))
-    asked = asked.groupBy("item_id", "quote", "least", "g").agg(F.count("*").alias("times"))
-    found = held.join(F.broadcast(asked), "g").groupBy("item_id", "quote", "least", "doc_id", "h").agg(F.sum("times").alias("n")).filter("n >= least")
-    glued = d.join(F.broadcast(q), F.contains(F.replace("t", F.lit(" "), F.lit("")), F.col("glued"))).select("item_id", "quote", "doc_id", F.md5("t").alias("h"))
-    pairs = found.select(glued.columns).unionByName(glued).distinct().alias("p")
-    d = d.withColumn("h", F.md5("t")).alias("d")
-    pairs = pairs.join(d, (F.col("p.h") == F.col("d.h")) & F.col("p.doc_id").eqNullSafe(F.col("d.doc_id"))).select("item_id", "p.doc_id", "quote", "t")
-    return pairs.select("item_id", "doc_id", P.quote_in_text("quote", "t").alias("quoted")).distinct()
-
-
 def quote_fuzzy(spark, sf_dir):
-    """Benchmark passages with their third word left out, checked against every document that can hold them."""
+    """Documents that hold benchmark passages with their third word left out."""
     w = F.filter(F.split(T.fold("text"), " "), lambda w: w != "")
     b = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w"))
     b = b.select("item_id", F.array_join(F.concat(F.slice("w", 1, 2), F.slice("w", F.lit(4), F.greatest(F.size("w"), F.lit(1)))), " ").alias("quote"))
-    return fuzzy_pairs(b, table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t"))
+    return quotes.found(texts, b, "doc_id", "item_id", quotes.Fuzzy)
 
 
 def run_states_final(spark, sf_dir):

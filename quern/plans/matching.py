@@ -80,12 +80,15 @@ def study_selection(spark, sf_dir):
 def run_listing(spark, sf_dir):
     """Runs of a user, newest first."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase' or event_type = 'error'").withColumn("place", F.row_number().over(w)).filter("place <= 5").select("user_id", "place", "event_id")
+    return table(spark, sf_dir, "events").withColumn("place", F.row_number().over(w)).filter("place <= 5").select("user_id", "place", "event_id")
 
 
 def heuristic_coverage(spark, sf_dir):
-    needs = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    evidence = spark.createDataFrame([(1, "small ring of steel"), (2, "Economy gear"), (3, "the large promo")], "item int, text string")
+    """Parts as needs; evidence is what each supplier's first sold part is called, and its brand."""
+    p = table(spark, sf_dir, "part")
+    needs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    first = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("p_partkey"))
+    evidence = first.join(p, "p_partkey").select(F.col("l_suppkey").alias("item"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
     return M.word_coverage(needs, evidence, "p_partkey", "text", "item")
 
 
@@ -97,12 +100,13 @@ def coverage_column(spark, sf_dir):
 
 
 def uncovered_obligations(spark, sf_dir):
-    """Obliging sentences on a customer's orders that no need of the customer says."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    """Obliging sentences on a customer's orders that no need of the customer's orders says."""
+    o = table(spark, sf_dir, "orders")
     verb = F.when(F.col("o_orderkey") % 2 == 0, "must deliver").when(F.col("o_orderkey") % 3 == 0, "may deliver").otherwise("shall be signed before")
-    words = F.concat_ws(" ", F.lit("supplier"), verb, F.lit("lot"), F.concat(F.lit("l"), (F.col("o_orderkey") % 7).cast("string")), F.lit("within weeks"))
-    needs = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("grp"), F.lit("supplier must deliver lot l0 within weeks").alias("text"))
-    return M.uncovered(o.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("no"), words.alias("text")), needs, "grp")
+    marks = lambda k: [F.concat(F.lit(x), (k % n).cast("string")) for x, n in zip("abcde", (5, 7, 11, 13, 17), strict=True)]
+    sentence = F.concat_ws(" ", F.lit("supplier"), verb, *marks(F.col("o_orderkey")))
+    needs = o.select(F.col("o_custkey").alias("grp"), F.concat_ws(" ", F.lit("supplier must deliver"), *marks(F.col("o_orderkey") * 7 + 1)).alias("text"))
+    return M.uncovered(o.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("no"), sentence.alias("text")), needs, "grp")
 
 
 # notices and CVs
@@ -295,11 +299,15 @@ QUERIES = {
     "row_scoring": (row_scoring, f"WITH {_C}, x AS (SELECT o_orderpriority, CASE status WHEN 'missing' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END AS g, CASE WHEN o_totalprice > 200000 THEN 3 WHEN o_totalprice > 100000 THEN 2 ELSE 1 END AS w FROM jd JOIN orders ON o_orderkey = need) SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE g > w) AS over, count(*) FILTER (WHERE g < w) AS under, count(*) FILTER (WHERE g = w) AS \"right\" FROM x GROUP BY 1"),
     "relevance_score": (relevance_score, "SELECT o_orderkey, CAST(floor(CASE o_orderstatus WHEN 'F' THEN 70 WHEN 'O' THEN 50 ELSE 30 END + 30 * least(1.0::DOUBLE, o_totalprice / 400000) + 0.5::DOUBLE) AS BIGINT) AS relevance FROM orders"),
     "study_selection": (study_selection, "SELECT o_custkey, place, o_orderkey FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 = 0, o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders) WHERE place <= 3"),
-    "run_listing": (run_listing, "SELECT user_id, place, event_id FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events WHERE event_type IN ('purchase', 'error')) WHERE place <= 5"),
-    "heuristic_coverage": (heuristic_coverage, "WITH w AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part), h AS (SELECT p_partkey, greatest(len(list_intersect(w, ['small', 'ring', 'steel'])), len(list_intersect(w, ['economy', 'gear'])), len(list_intersect(w, ['large', 'promo']))) AS h FROM w) SELECT p_partkey, CASE WHEN h >= 2 THEN 'covered' WHEN h = 1 THEN 'partial' ELSE 'to_clarify' END AS status FROM h"),
+    "run_listing": (run_listing, "SELECT user_id, place, event_id FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM events) WHERE place <= 5"),
+    "heuristic_coverage": (heuristic_coverage, f"""WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split({S.fold("p_name || ' ' || p_type || ' ' || p_brand")}, ' '), lambda x: length(x) >= 3)) AS w, list_distinct(list_filter(string_split({S.fold("p_name || ' ' || p_brand")}, ' '), lambda x: length(x) >= 3)) AS e FROM part),
+        f AS (SELECT DISTINCT e FROM (SELECT min(l_partkey) AS p_partkey FROM lineitem GROUP BY l_suppkey) JOIN w USING (p_partkey)),
+        h AS (SELECT w.p_partkey, max(len(list_intersect(w.w, f.e))) AS h FROM w, f GROUP BY 1)
+        SELECT p_partkey, CASE WHEN h >= 2 THEN 'covered' WHEN h = 1 THEN 'partial' ELSE 'to_clarify' END AS status FROM h"""),
     "coverage_column": (coverage_column, "WITH m AS (SELECT p_type, avg(p_size) / 33 AS m FROM part WHERE p_type <> 'PROMO' GROUP BY 1) SELECT p_partkey, CASE WHEN m >= 0.75::DOUBLE THEN 'covered' WHEN m >= 0.4::DOUBLE THEN 'partial' ELSE 'to_clarify' END AS status FROM part LEFT JOIN m USING (p_type)"),
-    "uncovered_obligations": (uncovered_obligations, """WITH s AS (SELECT o_custkey AS grp, o_orderkey AS no FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS grp FROM orders WHERE o_orderkey % 7 = 0),
-        u AS (SELECT s.grp, no FROM s LEFT JOIN n USING (grp) WHERE n.grp IS NULL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY no) AS INTEGER) AS place FROM u) SELECT * FROM p WHERE place <= 10"""),
+    "uncovered_obligations": (uncovered_obligations, """WITH m AS (SELECT o_custkey AS grp, o_orderkey AS no, o_orderkey % 2 = 0 AS must, list_transform([1, 2, 3, 4, 5], lambda i: o_orderkey % [5, 7, 11, 13, 17][i] || 'x' || i) AS s, list_transform([1, 2, 3, 4, 5], lambda i: (o_orderkey * 7 + 1) % [5, 7, 11, 13, 17][i] || 'x' || i) AS n FROM orders),
+        c AS (SELECT DISTINCT a.grp, a.no FROM m a JOIN m b ON a.grp = b.grp WHERE 3 + len(list_intersect(a.s, b.n)) >= 0.6::DOUBLE * 8),
+        u AS (SELECT m.grp, m.no FROM m LEFT JOIN c USING (grp, no) WHERE m.must AND c.no IS NULL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY no) AS INTEGER) AS place FROM u) SELECT * FROM p WHERE place <= 10"""),
     "award_criteria": (award_criteria, """WITH c AS (SELECT s_suppkey, 0 AS k, 'Price' AS name, CAST(s_suppkey % 120 AS DOUBLE) AS weight FROM supplier WHERE s_suppkey % 120 <= 100 UNION ALL SELECT s_suppkey, 1, 'Quality', CAST(s_suppkey % 90 AS DOUBLE) FROM supplier)
         SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY k) - 1 AS INTEGER) AS place, name, weight FROM c"""),
     "contact_block": (contact_block, """WITH b AS (SELECT s_nationkey, s_suppkey AS row, CASE WHEN s_suppkey % 11 = s_nationkey % 13 THEN 0.5::DOUBLE ELSE 0 END AS s FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s DESC, row) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM b)

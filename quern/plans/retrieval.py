@@ -119,7 +119,7 @@ def label_prefix_join(spark, sf_dir):
 
 
 def evidence_lines(spark, sf_dir):
-    """For each document, the line that holds most of the terms `the and of to`, longer lines first, then the earlier one."""
+    """For each document, the line that holds most of the terms `la le der die the that`, longer lines first, then the earlier one."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     hits = F.size(F.filter(F.split(T.fold("text"), " "), lambda t: t.isin("la", "le", "der", "die", "the", "that")))
     lines = lines.select("doc_id", "line", hits.cast("long").alias("hits"), F.length("text").cast("long").alias("size"))

@@ -168,7 +168,7 @@ def test_quotes_glued_and_number_words():
 
 
 def test_quotes_equal_brute_force(spark):
-    from quern.plans import documents
+    from quern.operators import quotes as lookup
 
     r = random.Random(8)
     base = [[f"w{r.choice('abcdefgh')}{r.choice('abcdefgh')}" for _ in range(n)] for n in (3, 4, 7, 12, 20, 33, 40)]
@@ -177,9 +177,11 @@ def test_quotes_equal_brute_force(spark):
         for _ in range(12):
             texts.append(" ".join(x for w in q for x in ([] if r.random() < 0.05 else ["zz"] if r.random() < 0.06 else [w, "yy"] if r.random() < 0.1 else [w])))
     quotes = [(k, " ".join(q)) for k, q in enumerate(base)] + [(90, "a b"), (91, "")]
-    got = documents.fuzzy_pairs(spark.createDataFrame(quotes, "item_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")).filter("quoted").collect()
-    want = {(k, d) for k, q in quotes for d, t in enumerate(texts) if P.quoted(q, t)}
-    assert {(x["item_id"], x["doc_id"]) for x in got} == want and len(want) > 40
+    rows, asked = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (500, None)], "doc_id long, t string"), spark.createDataFrame([*quotes, (92, None)], "item_id long, quote string")
+    pairs = lambda how: {(x["item_id"], x["doc_id"]) for x in lookup.found(rows, asked, "doc_id", "item_id", how).collect()}
+    want = {(k, d) for k, q in quotes for d, t in [*enumerate(texts), (None, texts[0])] if P.quoted(q, t)}
+    assert pairs(lookup.Fuzzy) == want and len(want) > 40
+    assert pairs(lookup.Whole) == {(k, d) for k, q in quotes for d, t in [*enumerate(texts), (None, texts[0])] if q and f" {q} " in f" {t} "}
 
 
 def test_project_score(spark):
