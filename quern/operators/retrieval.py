@@ -51,10 +51,9 @@ def postings(tokens: DataFrame, key: list[str], terms: DataFrame | None = None)
     return long.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "chunk", query_text: str = "text", query_id: str = "query_id") -> DataFrame:
-    """(query_id, key.., score) of the chunks that score above 0, rounded to 6 decimals. Repeated query terms count again. Document
+def bm25(tokens: DataFrame, queries: DataFrame, key: list[str], query_text: str = "text", query_id: str = "query_id") -> DataFrame:
+    """(query_id, key.., score) of the chunks, as tokenized() wrote them, that score above 0, rounded to 6 decimals. Repeated query terms count again. Document
     frequencies are summed in each task before they are shuffled, and only postings of asked terms are ever made."""
-    tokens = tokenized(chunks, key, text)
     corpus = tokens.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
     df = tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(corpus)).select("term", "_avg", (F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import lexical as L
 from quern.operators import retrieval as R
 from quern.plans import sql as S
-from quern.session import table
+from quern.session import own, shared_dir, small, table
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +26,12 @@ def chunk_documents(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.length("chunk").cast("long").alias("n_chars"))
 
 
-def _bm25(spark, sf_dir):
-    return R.bm25(_chunks(spark, sf_dir).select("doc_id", "lang", "chunk_no", "chunk"), _asked(spark, sf_dir), ["doc_id", "lang", "chunk_no"])
+def _tokens(spark, sf_dir):
+    return R.tokenized(_chunks(spark, sf_dir).select("doc_id", "lang", "chunk_no", "chunk"), ["doc_id", "lang", "chunk_no"])
+
+
+def _bm25(spark, sf_dir, tokens=None):
+    return R.bm25(tokens or _tokens(spark, sf_dir), _asked(spark, sf_dir), ["doc_id", "lang", "chunk_no"])
 
 
 def bm25_search(spark, sf_dir):
@@ -32,6 +39,14 @@ def bm25_search(spark, sf_dir):
     return hits.select("query_id", "rank", "doc_id", "chunk_no", F.round("score", 3).alias("score"))
 
 
+def bm25_index_search(spark, sf_dir):
+    """The same search by a stored index, written as a generation of its own."""
+    store = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
+    own(spark, store)
+    L.write(_chunks(spark, sf_dir).select("doc_id", "chunk_no", "chunk"), store)
+    return L.search(spark, store, _asked(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "chunk_no", F.round("score", 3).alias("score"))
+
+
 def bm25_type_filter_post_idf(spark, sf_dir):
     """The type filter stands above the corpus statistics."""
     hits = R.top(R.best_per_doc(_bm25(spark, sf_dir).filter("lang = 'fr'")), 10, [F.desc("score"), F.col("doc_id")])
@@ -42,17 +57,18 @@ def best_chunk_per_doc(spark, sf_dir):
     return R.best_per_doc(_bm25(spark, sf_dir)).select("query_id", "doc_id", "chunk_no")
 
 
-def _matched(spark, sf_dir):
-    """Documents by number of distinct query terms they hold."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize("text"))).alias("term"))
-    asked = _asked(spark, sf_dir).select("query_id", F.explode(F.array_distinct(T.tokenize("text"))).alias("term"))
+def _matched(spark, sf_dir, tokens):
+    """Documents by number of distinct query terms they hold, in any of their chunks."""
+    asked = small(_asked(spark, sf_dir).select("query_id", F.explode(F.array_distinct(T.tokenize("text"))).alias("term")), R.SENT)
+    terms = tokens.select("doc_id", F.explode(F.array_distinct("toks")).alias("term")).join(small(asked.select("term").distinct(), R.SENT), "term").distinct()
     hits = terms.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
     return R.top(hits, 50, [F.desc("score"), F.col("doc_id")])
 
 
 def hybrid_search_rrf(spark, sf_dir):
-    lexical = R.top(R.best_per_doc(_bm25(spark, sf_dir)), 50, [F.desc("score"), F.col("doc_id")])
-    fused = R.top(R.fuse(lexical, _matched(spark, sf_dir), "doc_id"), 10, [F.desc("rrf"), F.col("doc_id")])
+    tokens = _tokens(spark, sf_dir)
+    found = R.top(R.best_per_doc(_bm25(spark, sf_dir, tokens)), 50, [F.desc("score"), F.col("doc_id")])
+    fused = R.top(R.fuse(found, _matched(spark, sf_dir, tokens), "doc_id"), 10, [F.desc("rrf"), F.col("doc_id")])
     return fused.select("query_id", "rank", "doc_id", "rrf")
 
 
@@ -144,6 +160,7 @@ _ALIAS = "map {" + ", ".join(f"'{k}': '{' '.join(v)}'" for k, v in ALIASES.items
 QUERIES = {
     "chunk_documents": (chunk_documents, f"WITH {S.CHUNKS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, md5(chunk) AS chunk_md5, length(chunk) AS n_chars FROM chunks"),
     "bm25_search": (bm25_search, f"WITH {Q}, {S.BM25}, r AS ({_TOP.format(by='score DESC, doc_id', of='best')}) SELECT query_id, rank, doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, round(score, 3) AS score FROM r WHERE rank <= 10"),
+    "bm25_index_search": (bm25_index_search, f"WITH {Q}, {S.BM25}, r AS ({_TOP.format(by='score DESC, doc_id', of='best')}) SELECT query_id, rank, doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, round(score, 3) AS score FROM r WHERE rank <= 10"),
     "bm25_type_filter_post_idf": (bm25_type_filter_post_idf, f"WITH {Q}, {S.BM25}, f AS (SELECT * FROM best WHERE lang = 'fr'), r AS ({_TOP.format(by='score DESC, doc_id', of='f')}) SELECT query_id, rank, doc_id, round(score, 3) AS score FROM r WHERE rank <= 10"),
     "best_chunk_per_doc": (best_chunk_per_doc, f"WITH {Q}, {S.BM25} SELECT query_id, doc_id, CAST(chunk_no AS INTEGER) AS chunk_no FROM best"),
     "hybrid_search_rrf": (hybrid_search_rrf, f"WITH {Q}, {S.BM25}, {_MATCHED}, br AS (SELECT * FROM ({_TOP.format(by='score DESC, doc_id', of='best')}) WHERE rank <= 50), u AS (SELECT query_id, doc_id, rank FROM br UNION ALL SELECT query_id, doc_id, rank FROM mr), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM u GROUP BY ALL), r AS ({_TOP.format(by='rrf DESC, doc_id', of='f')}) SELECT query_id, rank, doc_id, rrf FROM r WHERE rank <= 10"),

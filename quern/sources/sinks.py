@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +39,31 @@ def current(spark: SparkSession, store: str) -> int:
     return max((int(f.getPath().getName().rsplit("-", 1)[1]) for f in found), default=0)
 
 
-def replace(rows: DataFrame, store: str) -> int:
-    """Write the next version whole, then its pointer file, whose creation is one step of the file system: readers see the old or the new
-    version, never a part or none, wherever this stops. Older pointers go last; their versions stay for those still reading."""
-    spark = rows.sparkSession
+def generation(spark: SparkSession, store: str, save: Callable[[str], None]) -> int:
+    """Let `save` write the next version whole in a new folder, then write its pointer file, whose creation is one step of the file system:
+    readers see the old or the new version, never a part or none, wherever this stops. Older pointers go last; their versions stay for
+    those still reading."""
     before = current(spark, store)
-    rows.write.mode("overwrite").parquet(f"{store}/v{before + 1}")
     path, fs = _store(spark, store)
+    fs.delete(path(f"{store}/v{before + 1}"), True)  # what a stopped run has left
+    save(f"{store}/v{before + 1}")
     fs.create(path(f"{store}/CURRENT-{before + 1}"), False).close()
     if before:
         fs.delete(path(f"{store}/CURRENT-{before}"), False)
     return before + 1
 
 
+def replace(rows: DataFrame, store: str) -> int:
+    """The rows as the next version of a store of one table."""
+    return generation(rows.sparkSession, store, lambda folder: rows.write.parquet(folder))
+
+
+def folder(spark: SparkSession, store: str) -> str:
+    return f"{store}/v{current(spark, store)}"
+
+
 def load(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/v{current(spark, store)}")
+    return spark.read.parquet(folder(spark, store))
 
 
 def upsert_store(rows: DataFrame, store: str, key: str) -> int:

@@ -45,7 +45,7 @@ def test_chunks(spark):
 def test_bm25_negative_idf_has_a_floor(spark):
     chunks = spark.createDataFrame([(1, 0, "alpha beta"), (2, 0, "alpha gamma"), (3, 0, "alpha delta")], "doc_id long, chunk_no int, chunk string")
     asked = spark.createDataFrame([(7, "alpha beta")], "query_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in retrieval.bm25(chunks, asked, ["doc_id", "chunk_no"]).collect()}
+    got = {r["doc_id"]: r["score"] for r in retrieval.bm25(retrieval.tokenized(chunks, ["doc_id", "chunk_no"]), asked, ["doc_id", "chunk_no"]).collect()}
     assert max(got, key=got.get) == 1
 
 
