@@ -71,3 +71,59 @@ def test_links_of_pages(spark):
     assert nexts(found.filter("target <> '/t/2'")) == {1: "http://www.x.org/l?page=4"}  # a title with the word in it is no later page
     more = spark.createDataFrame([(p, "http://x.org/l", "".join(f"[Read  more](/t/{k if p == 1 else 0}) [tag](/same)" for k in range(4))) for p in (1, 2)], "page long, base string, md string")
     assert [tuple(r) for r in links.silent_labels(links.links(more, "md"), "page", "base").collect()] == [(1, "read more")]
+
+
+def observed(mark, url, title, shown, following=None, note=None):
+    lines = [f"PAGE [{mark}] | {url} | {title}", "TEXT: " + "x" * 400, "REPEATED LABELS: " + ("read more | see" if note else "none")]
+    lines += [f"NEXT PAGE: [n1] | {following}"] if following else []
+    lines += [f"NOTE: {note}"] if note else []
+    return "\n".join(lines + [f"[{i}] {t} | {u}" for i, t, u in shown])
+
+
+def step(url, text, tool="open_page", wrapped=0):
+    given = {"url": url} if wrapped == 0 else json.dumps({"url": url}) if wrapped == 1 else url
+    return {"action": {"tool": tool, "toolInput": given}, "observation": text if wrapped == 0 else json.dumps({"result": text}) if wrapped == 1 else json.dumps([{"response": text}])}
+
+
+def traced(spark, *traces):
+    return spark.createDataFrame([(k, t if isinstance(t, str) else json.dumps(t)) for k, t in enumerate(traces)], "trace long, raw string")
+
+
+L1, L2 = "https://www.x.org/list?q=a&page=1", "https://x.org/list?page=2&q=a"
+FIRST = observed("p1", L1, "List | one", [("a1", "Tender A — due soon | late", "https://x.org/t/1"), ("a2", "(no text)", "https://x.org/t/2"), ("n2", "2", L2)], following=L2, note="moved")
+SECOND = observed("p2", L2, "List", [("b1", "Tender B", "https://x.org/t/3"), ("back", "1", L1)])
+
+
+def test_trace_pages_and_links(spark):
+    from quern.operators import traces
+
+    t = traced(spark, {"output": "{}", "intermediateSteps": [step(L1, FIRST), step("u", "", tool="other"), step(L2, SECOND, wrapped=1), step("https://z.org", "PAGE ERROR | https://z.org | refused | twice", wrapped=2), step("https://y.org", "junk")]}, "no json", {"output": "x"})
+    read = traces.steps(t, "trace", "raw")
+    got = [tuple(r) for r in traces.pages(read, "trace").orderBy("step").collect()]
+    assert got == [
+        (0, 0, "p1", L1, "List | one", None, "x" * 300, ["read more", "see"], L2, "moved", L1), (0, 2, "p2", L2, "List", None, "x" * 300, [], None, None, L2),
+        (0, 3, None, "https://z.org", "", "refused | twice", "", [], None, None, "https://z.org"), (0, 4, None, "https://y.org", "", "unreadable tool result", "", [], None, None, "https://y.org"),
+    ]
+    got = {(r["step"], r["id"]): (r["url"], r["text"], r["context"]) for r in traces.links(read, "trace").collect()}
+    assert got == {(0, "a1"): ("https://x.org/t/1", "Tender A", "due soon | late"), (0, "a2"): ("https://x.org/t/2", "", ""), (0, "n2"): (L2, "2", ""), (2, "b1"): ("https://x.org/t/3", "Tender B", ""), (2, "back"): (L1, "1", "")}
+
+
+def test_trace_picks(spark):
+    from quern.operators import traces
+
+    notice = observed("t1", "https://x.org/t/1", "Tender A", [("l1", "list", L1), ("r1", "Corrected", "https://x.org/t/1b")])
+    answer = lambda *tokens, **more: "Here: " + json.dumps({"tender_links": tokens, **more})
+    both = [step(L1, FIRST), step(L2, SECOND)]
+    t = traced(
+        spark,
+        {"output": answer("a1", "[b1]", "https://www.x.org/t/2/", "zz", "n2", "https://x.org/list?page=9&q=a", "a1"), "intermediateSteps": both},
+        {"output": answer("a1", "r1", "t1"), "intermediateSteps": [step(L1, FIRST), step("https://x.org/t/1", notice)]},  # a notice that was opened to check it stays
+        {"output": answer("t1"), "intermediateSteps": [step("https://x.org/t/1", notice)]},  # the first page is the one notice
+        {"output": answer("t1", "r1"), "intermediateSteps": [step("https://x.org/t/1", notice)]},  # a page whose links are picked is a list
+        {"output": "cut {\"tender_links\":", "intermediateSteps": both},
+    )
+    got = [(r["trace"], r["token"], r["kind"]) for r in traces.picks(t, "trace", "raw").orderBy("trace", "place").collect()]
+    assert got == [
+        (0, "a1", "pick"), (0, "b1", "pick"), (0, "https://www.x.org/t/2/", "pick"), (0, "zz", "invalid"), (0, "n2", "navigation"), (0, "https://x.org/list?page=9&q=a", "invalid"), (0, "a1", "again"),
+        (1, "a1", "pick"), (1, "r1", "pick"), (1, "t1", "invalid"), (2, "t1", "pick"), (3, "t1", "navigation"), (3, "r1", "pick"),
+    ]
