@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.quality import connected
 
+#: Legal forms of public bodies.
+PUBLIC_FORMS = "gip gie epa epic epst epscp sem spl".split()
 #: Words that say the same kind of public body.
 BODIES = {"ville": "commune", "mairie": "commune", "municipalite": "commune", "municipality": "commune", "city": "commune", "town": "commune", "cc": "communaute communes", "ca": "communaute agglomeration", "cu": "communaute urbaine", "agglo": "agglomeration", "ministry": "ministere"}
 #: Divisions of goods in the procurement vocabulary.
@@ -71,7 +77,7 @@ def body_of(name: str) -> Column:
     plain = F.regexp_replace(plain, r"\bconseil (departement|region)al\b", "$1")
     kinds = F.create_map(*[F.lit(x) for kv in BODIES.items() for x in kv])
     words = F.flatten(F.transform(F.split(plain, " "), lambda w: F.split(F.coalesce(F.try_element_at(kinds, w), w), " ")))
-    return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(T.FIRM_TAIL + T.FIRM_HEAD)), " ")
+    return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(T.FIRM_TAIL + T.FIRM_HEAD + PUBLIC_FORMS)), " ")
 
 
 def expanded(name: Column, other: Column) -> Column:
@@ -126,3 +132,54 @@ def registry_lookup(asked: DataFrame, registry: DataFrame, most: int = 5) -> Dat
     place = F.row_number().over(Window.partitionBy("ask").orderBy("_way", "name", "id"))
     band = F.when(F.col("staff") < 50, "small").when(F.col("staff") < 1000, "medium").when(F.col("staff").isNotNull(), "large")
     return best.withColumns({"place": place, "band": band}).filter(F.col("place") <= most).select("ask", "place", "id", "band")
+
+
+def without_copies(awards: DataFrame, share: float = 0.02, days: int = 90) -> DataFrame:
+    """(row, copy_of) of every award (row, source, winners, amount, day, buyer, bids, framework, others), copy_of null where it stays. Awards of the same winners, legal forms aside, are
+    copies across sources when their amounts differ by at most `share` and their days by at most `days`; within one source when buyer, day and amount are equal. From the last award
+    to the first, each that is still there meets the first other one it copies, and the one that says less goes; where both say as much, the other. What is dropped may have
+    been dropped in favour of an award that goes later, so copies of copies are settled in order.
+
+    Decisions depend on order only among awards that may copy each other. Two values at most w apart share a cell of one of two grids of width 2 w, so awards that may be copies share
+    winners and a cell of day and amount in one of four; those that cells connect are folded in sequence, and no others. No pairs are made."""
+    keys = F.array_join(F.array_sort(F.filter(F.transform("winners", lambda w: T.firm_key(w)), lambda w: w != "")), "|")
+    own = awards.withColumns({
+        "_win": F.nullif(keys, F.lit("")), "_buyer": T.fold("buyer"), "_amount": F.when(F.col("amount") > 0, F.col("amount").cast("double")),
+        "_info": F.when(F.col("amount") > 0, 2).otherwise(0) + F.when(F.col("bids") > 0, 1).otherwise(0) + F.coalesce(F.col("framework"), F.lit(False)).cast("int") + F.coalesce(F.size("others"), F.lit(0)),
+    })
+    wide = -math.log(1 - share)
+    grids = {}
+    for a in (0, 1):
+        for d in (0, 1):
+            level = F.when(F.col("_amount").isNotNull(), F.floor(F.log("_amount") / (2.002 * wide) + a / 2))
+            cell = F.xxhash64(F.lit(2 * a + d), F.col("_win"), F.coalesce(level, F.lit(-(2**40))), F.floor((F.unix_date("day") + d * days) / (2 * days)))
+            grids[f"_g{a}{d}"] = F.when(F.col("_win").isNotNull() & F.col("day").isNotNull(), cell)
+    rows = own.withColumns(grids).select("row", "source", "_win", "_buyer", "_amount", F.unix_date("day").alias("_day"), "_info", *grids)
+    schema = f"row {dict(awards.dtypes)['row']}, copy_of {dict(awards.dtypes)['row']}"
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row", ignore_index=True)
+        source, amount, day, buyer, info = (frame[c].tolist() for c in ("source", "_amount", "_day", "_buyer", "_info"))
+        alike = {w: list(k) for w, k in frame.groupby("_win").indices.items()}
+        known = [x is not None and x == x for x in amount]
+
+        def copies(x: int, y: int) -> bool:
+            if source[x] == source[y]:
+                return known[x] and amount[x] == amount[y] and day[x] == day[y] and buyer[x] == buyer[y]
+            close = known[x] and known[y] and abs(amount[x] - amount[y]) <= share * max(amount[x], amount[y])
+            return (close or not known[x] and not known[y]) and abs(day[x] - day[y]) <= days
+
+        copy_of: dict[int, int] = {}
+        for x, w in reversed(list(enumerate(frame["_win"].tolist()))):
+            if x in copy_of:
+                continue
+            y = next((y for y in alike[w] if y != x and y not in copy_of and copies(x, y)), None)
+            if y is not None:
+                copy_of.update({y: x} if info[x] >= info[y] else {x: y})
+        ids = frame["row"].tolist()
+        return pd.DataFrame({"row": ids, "copy_of": pd.array([ids[copy_of[k]] if k in copy_of else None for k in range(len(ids))], dtype=object)})
+
+    asked = connected(rows.filter("_g00 is not null"), "row", list(grids))
+    shared = asked.withColumn("_n", F.count("*").over(Window.partitionBy("part"))).filter("_n > 1")
+    found = shared.groupBy("part").applyInPandas(fold, schema).filter("copy_of is not null")
+    return awards.select("row").join(found, "row", "left")

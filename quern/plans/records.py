@@ -154,6 +154,13 @@ def award_dedupe(spark, sf_dir):
     return A.unique_awards(_awards(spark, sf_dir).withColumn("amount", F.round("amount", -4))).select("row", "id", "source")
 
 
+def award_copies(spark, sf_dir):
+    """Awards counted once across sources and within one: each order is an award, listed again by another source where its key is even, a little later and dearer."""
+    a = _awards(spark, sf_dir).withColumns({"winners": F.array(F.concat(F.lit("Firm "), (F.col("buyer") % 40).cast("string"), F.lit(" S.A."))), "framework": F.col("row") % 11 == 0, "others": F.array().cast("array<string>")})
+    again = a.filter("row % 2 = 0").withColumns({"source": F.lit("T"), "day": F.date_add("day", (F.col("row") % 120).cast("int")), "amount": F.when(F.col("row") % 10 > 0, F.col("amount") * (1 + (F.col("row") % 5) / 100)), "row": F.col("row") + 10**12, "winners": F.array(F.concat(F.lit("Ste FIRM "), (F.col("buyer") % 40).cast("string")))})
+    return A.without_copies(a.unionByName(again).withColumn("buyer", F.col("buyer").cast("string")))
+
+
 def award_richest(spark, sf_dir):
     return A.richest(_awards(spark, sf_dir).withColumn("day", F.when(F.col("row") % 2 == 0, F.col("day"))), ["buyer", "source"], ["bids", "day"]).select("row", "buyer", "source")
 
@@ -238,6 +245,7 @@ QUERIES = {
     "award_dedupe": (award_dedupe, f"""WITH {_AW}, o AS (SELECT row, id, source, left({S.fold('title')}, 80) AS t, round(amount, -4) AS m FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY row) = 1),
         k AS (SELECT *, CASE WHEN m > 0 THEN round(m / pow(10, floor(log10(m)) - 1)) * pow(10, floor(log10(m)) - 1) END AS k FROM o)
         SELECT row, id, source FROM k QUALIFY k IS NULL OR source = first_value(source) OVER (PARTITION BY t, k ORDER BY row)"""),
+    "award_copies": (award_copies, None),
     "award_richest": (award_richest, f"WITH {_AW} SELECT row, buyer, source FROM a QUALIFY row_number() OVER (PARTITION BY buyer, source ORDER BY CAST(bids IS NOT NULL AS INT) + CAST(row % 2 = 0 AS INT) DESC, row) = 1"),
     "median_bids": (median_bids, f"WITH {_AW} SELECT buyer, quantile_cont(CAST(bids AS DOUBLE), 0.5) AS median_bids, count(*) AS n FROM a WHERE bids > 0 GROUP BY 1"),
     "comparable_awards": (comparable_awards, """WITH r AS (SELECT p_partkey, p_size, p_partkey % 3 = 0 AS it, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part),
