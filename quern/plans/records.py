@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import awards as A
+from quern.operators import names as N
 from quern.operators import records as R
 from quern.plans import sql as S
 from quern.session import table
@@ -195,6 +196,15 @@ def past_projects(spark, sf_dir):
     return out.select("buyer", "place", "row")
 
 
+def fuzzy_names(spark, sf_dir):
+    """The best customer for each supplier's name of four words; a third of the customers are public bodies, and each has a place."""
+    name = lambda k, step: F.concat_ws(" ", *[F.concat(F.lit(w), ((F.col(k) * step) % n).cast("string")) for w, n in zip(("alpha", "beta", "gamma", "delta"), (3, 5, 7, 11), strict=True)])
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ask"), name("s_suppkey", 1).alias("name"))
+    place = F.concat(F.lit("town gamma"), ((F.col("c_custkey") + 1) % 7).cast("string"), F.lit(" delta"), (F.col("c_custkey") % 4).cast("string"))
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name("c_custkey", 3).alias("name"), (F.col("c_custkey") % 3 == 0).alias("public"), place.alias("place"))
+    return N.best_match(asked, registry)
+
+
 def official_domains(spark, sf_dir):
     k = F.col("s_suppkey")
     site = lambda m, name: F.when(k % m == 0, F.concat(F.lit(f"{name}"), k.cast("string"), F.lit(".org")))
@@ -264,5 +274,9 @@ QUERIES = {
     "past_projects": (past_projects, """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row, l_suppkey AS buyer, l_partkey % 50 AS t, l_returnflag = 'R' AS d FROM lineitem),
         o AS (SELECT *, row % 2 AS lane FROM r QUALIFY row_number() OVER (PARTITION BY buyer, t ORDER BY row % 2, row) = 1)
         SELECT buyer, CAST(place AS INTEGER) AS place, row FROM (SELECT *, row_number() OVER (PARTITION BY buyer ORDER BY d DESC, lane, row) AS place FROM o) WHERE place <= 10"""),
+    "fuzzy_names": (fuzzy_names, """WITH a AS (SELECT s_suppkey AS ask, ['alpha' || s_suppkey % 3, 'beta' || s_suppkey % 5, 'gamma' || s_suppkey % 7, 'delta' || s_suppkey % 11] AS a FROM supplier),
+        b AS (SELECT c_custkey AS id, ['alpha' || c_custkey * 3 % 3, 'beta' || c_custkey * 3 % 5, 'gamma' || c_custkey * 3 % 7, 'delta' || c_custkey * 3 % 11] AS b, c_custkey % 3 = 0 AS public, ['gamma' || (c_custkey + 1) % 7, 'delta' || c_custkey % 4] AS w FROM customer),
+        p AS (SELECT *, round(2.0::DOUBLE * len(list_intersect(a, b)) / 8, 6) AS similarity FROM a, b WHERE len(list_filter(a, lambda x: NOT list_contains(b, x) AND NOT list_contains(w, x))) = 0)
+        SELECT ask, id, similarity FROM p WHERE similarity >= CASE WHEN public THEN 0.6::DOUBLE ELSE 0.85::DOUBLE END QUALIFY row_number() OVER (PARTITION BY ask ORDER BY similarity + CASE WHEN public THEN 0.05::DOUBLE ELSE 0 END DESC, id) = 1"""),
     "official_domains": (official_domains, """SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'n' || s_suppkey || '.org' WHEN s_suppkey % 5 = 0 THEN 'e' || s_suppkey || '.org' WHEN s_suppkey % 10 = 9 AND s_suppkey % 3 = 0 THEN 't' || s_suppkey || '.org' WHEN s_suppkey % 2 = 0 THEN 'm' || s_suppkey || '.fr' END AS domain FROM supplier"""),
 }

@@ -78,3 +78,27 @@ def test_copies_equal_the_sequence(spark):
     want = sequential(rows)
     assert got == want and 100 < sum(v is not None for v in got.values()) < 600
     assert awards.without_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_meet_as_all_pairs_do(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import names
+
+    r = random.Random(7)
+    vocabulary = "centre communal action sociale bourgoin jallieu agence technique hospitalier service ville lyon paris nord sud regional departement".split()
+    def one():
+        w = r.sample(vocabulary, r.randint(1, 6))
+        return " ".join([r.choice(["", "", "de "]) + x + r.choice(["", "", "s"]) for x in w] + ([r.choice(["ccas", "CCAS", "at", "sv"])] if r.random() < 0.3 else []))
+    asked = spark.createDataFrame([(k, one()) for k in range(90)] + [(900, "CCAS de Bourgoin-Jallieu"), (901, None), (902, ""), (903, "A1")], "ask long, name string")
+    rows = [(k, one(), k % 3 == 0, r.choice(["Lyon", "12 rue X Paris", None])) for k in range(300)]
+    rows += [(900, "Centre communal d'action sociale de Bourgoin Jallieu", True, "x"), (901, None, True, None)]
+    registry = spark.createDataFrame(rows, "id long, name string, public boolean, place string")
+    every = asked.crossJoin(registry.withColumnRenamed("name", "other")).withColumn("s", names.A.name_match(names.words("name"), names.words("other")))
+    want = {(x["ask"], x["id"]) for x in every.filter("s >= 0.6").collect()}
+    got = {(x["ask"], x["id"]) for x in names.pairs(asked, registry).collect()}
+    assert want <= got and len(want) > 100 and len(got) < 0.5 * 90 * 300
+    best = {x["ask"]: (x["id"], x["similarity"]) for x in names.best_match(asked, registry).collect()}
+    assert best[900] == (900, 1.0) and all(s >= 0.6 for _, s in best.values())
+    public = {x[0] for x in rows if x[2]}
+    assert all(k in public or s >= 0.85 for k, s in best.values())
