@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import lexical as L
 from quern.operators import retrieval as R
+from quern.operators import vectors as I
 from quern.plans import sql as S
 from quern.session import own, shared_dir, small, table
 
@@ -85,6 +86,15 @@ def dense_topk(spark, sf_dir):
     return R.top(_dense(spark, sf_dir, 10), 10, [F.desc("sim"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "sim")
 
 
+def vector_index_topk(spark, sf_dir):
+    """The same search by a stored index of inverted lists: approximate, with its recall in the tests."""
+    store = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    own(spark, store)
+    v = _vectors(spark, sf_dir)
+    I.write(v, store)
+    return I.search(spark, store, v.filter("vec_id % 50 = 0"), 10)
+
+
 def dense_prefilter_topk(spark, sf_dir):
     """The type filter stands below the top 50 candidates."""
     v = _vectors(spark, sf_dir)
@@ -165,6 +175,7 @@ QUERIES = {
     "best_chunk_per_doc": (best_chunk_per_doc, f"WITH {Q}, {S.BM25} SELECT query_id, doc_id, CAST(chunk_no AS INTEGER) AS chunk_no FROM best"),
     "hybrid_search_rrf": (hybrid_search_rrf, f"WITH {Q}, {S.BM25}, {_MATCHED}, br AS (SELECT * FROM ({_TOP.format(by='score DESC, doc_id', of='best')}) WHERE rank <= 50), u AS (SELECT query_id, doc_id, rank FROM br UNION ALL SELECT query_id, doc_id, rank FROM mr), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM u GROUP BY ALL), r AS ({_TOP.format(by='rrf DESC, doc_id', of='f')}) SELECT query_id, rank, doc_id, rrf FROM r WHERE rank <= 10"),
     "dense_topk": (dense_topk, f"WITH {_V}, r AS ({_TOP.format(by='sim DESC, vec_id', of='d')}) SELECT query_id, rank, vec_id, sim FROM r WHERE rank <= 10"),
+    "vector_index_topk": (vector_index_topk, None),
     "dense_prefilter_topk": (dense_prefilter_topk, f"WITH {_V}, f AS (SELECT * FROM d WHERE label < 5), r AS ({_TOP.format(by='sim DESC, vec_id', of='f')}) SELECT query_id, rank, vec_id, label FROM r WHERE rank <= 50"),
     "rrf_fusion": (rrf_fusion, f"WITH {_V}, a AS ({_TOP.format(by='sim DESC, vec_id', of='d')}), s AS (SELECT * FROM d WHERE label = q_label), b AS ({_TOP.format(by='sim DESC, vec_id', of='s')}), u AS (SELECT query_id, vec_id, rank FROM a WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank FROM b WHERE rank <= 50), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM u GROUP BY ALL), r AS ({_TOP.format(by='rrf DESC, vec_id', of='f')}) SELECT query_id, rank, vec_id, rrf FROM r WHERE rank <= 10"),
     "ir_metrics": (ir_metrics, f"""WITH {_V}, r AS (SELECT * FROM ({_TOP.format(by='sim DESC, vec_id', of='d')}) WHERE rank <= 10),

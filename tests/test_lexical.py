@@ -87,3 +87,23 @@ def test_runs_release_their_own_frames_only(spark):
             theirs.collect()
         session.discard(mine)
         assert not outer.written
+
+
+def test_vector_index_recall(spark, tmp_path):
+    from quern.operators import vectors
+
+    store, sf = str(tmp_path / "vectors"), SF.replace("0.001", "0.01")
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").cache()
+    odd = v.limit(1).select(F.lit(None).cast("long").alias("vec_id"), "embedding", "label").unionByName(v.limit(1).select(F.lit(10**9).alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"), "label"))
+    assert vectors.write(v.unionByName(odd), store) == 1
+    stored = spark.read.parquet(f"{sinks.folder(spark, store)}/lists")
+    assert stored.count() == v.count() and stored.select("vec_id").distinct().count() == v.count()  # every row is in it
+    exact = plans.QUERIES["dense_topk"](spark, sf)
+    asked = v.filter("vec_id % 50 = 0")
+    found = vectors.search(spark, store, asked, 10)
+    assert all(f"{store}/v1/" in f for f in found.inputFiles())
+    assert vectors.recall(found, exact) >= 0.9
+    whole = vectors.search(spark, store, asked, 10, probed=10**6)  # all lists: the exact result
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.select("query_id", "rank", "vec_id", "sim").collect()))
+    vectors.write(v.limit(0), store)
+    assert vectors.search(spark, store, asked, 10).count() == 0
