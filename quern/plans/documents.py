@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import parsing as P
 from quern.functions import text as T
+from quern.operators import claims as C
 from quern.operators import deck as K
 from quern.operators import quotes
 from quern.plans import sql as S
@@ -63,6 +64,18 @@ def claim_numbers(spark, sf_dir):
     return o.select("o_orderkey", F.array_join(bad, ",").alias("unmatched"), K.scrub(F.lit("text"), F.size(bad) > 0).alias("scrubbed"))
 
 
+def claim_checks(spark, sf_dir):
+    """A sentence for each order with a name, a price and a superlative, against facts of which some orders lack one."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    name = F.get(F.array(F.lit("Blue Harbour"), F.lit("Red Mill"), F.lit("Green Valley")), (k % 3).cast("int"))
+    price = F.replace(F.format_string("%.2f", "o_totalprice"), F.lit("."), F.lit(","))
+    text = F.concat(F.lit("Offer to "), name, F.lit(" for "), price, F.when(k % 2 == 0, " EUR with guaranteed delivery").otherwise(" EUR with the best team"))
+    texts = o.select(k.alias("tender"), F.lit("slide/1").alias("path"), F.lit("en").alias("language"), text.alias("text"))
+    facts = o.select(k.alias("tender"), F.when(k % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("number"), F.when(k % 4 == 0, "Red Mill").otherwise(name).alias("name"), F.when(k % 3 == 0, "Best in class").alias("claim"))
+    out = C.violations(texts, facts, "tender")
+    return out.withColumn("found", F.when(F.col("kind") == "number", F.format_string("%.2f", F.col("found").try_cast("double"))).otherwise(F.col("found")))
+
+
 def contact_union(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"), F.array_sort(F.collect_set("o_orderstatus")).alias("b"))
     return o.select("o_custkey", F.array_join(K.contacts(["a", "b"], 6), "|").alias("contacts"))
@@ -132,6 +145,9 @@ QUERIES = {
         FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 3 <> 0) OR (c_custkey % 3 = 0 AND (c_custkey % 2 = 1 OR c_custkey % 4 = 0))"""),
     "delete_referential": (delete_referential, "WITH l AS (SELECT DISTINCT o_custkey, o_orderkey % 1500 AS x FROM orders), k AS (SELECT DISTINCT o_custkey AS d FROM orders WHERE o_custkey % 10 = 0), r AS (SELECT * FROM l LEFT JOIN k ON x = d WHERE o_custkey % 10 <> 0) SELECT o_custkey, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FILTER (WHERE d IS NULL), '') AS links, count(d) AS unlinked FROM r GROUP BY 1"),
     "claim_numbers": (claim_numbers, "WITH t AS (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p, CAST(o_orderkey AS VARCHAR) AS k, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders) SELECT o_orderkey, CASE WHEN p IN (k, y) THEN '' ELSE p END AS unmatched, CASE WHEN p IN (k, y) THEN 'text' ELSE '[removed]' END AS scrubbed FROM t"),
+    "claim_checks": (claim_checks, """WITH o AS (SELECT o_orderkey AS tender, o_totalprice AS p, ['Blue Harbour', 'Red Mill', 'Green Valley'][1 + o_orderkey % 3] AS n FROM orders)
+        SELECT tender, 'slide/1' AS path, 'number' AS kind, printf('%.2f', p) AS found FROM o WHERE tender % 5 = 0 UNION ALL SELECT tender, 'slide/1', 'name', n FROM o WHERE tender % 4 = 0 AND n <> 'Red Mill'
+        UNION ALL SELECT tender, 'slide/1', 'claim', CASE WHEN tender % 2 = 0 THEN 'guaranteed' ELSE 'best' END FROM o WHERE tender % 2 = 0 OR tender % 3 <> 0"""),
     "contact_union": (contact_union, "WITH a AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS a, list_sort(list(DISTINCT o_orderstatus)) AS b FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_concat(a, b)[1:6], '|') AS contacts FROM a"),
     "legal_types": (legal_types, "SELECT s_suppkey, CASE WHEN s_suppkey < 5 THEN 'public' WHEN s_suppkey < 30 THEN 'association' ELSE 'company' END AS kind, CASE WHEN s_suppkey < 50 THEN 'small' WHEN s_suppkey < 1000 THEN 'medium' ELSE 'large' END AS size FROM supplier"),
     "card_summary": (card_summary, "SELECT l_orderkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, round(max(l_discount) * 10, 4) AS score FROM lineitem GROUP BY 1"),

@@ -102,3 +102,22 @@ def test_names_meet_as_all_pairs_do(spark):
     assert best[900] == (900, 1.0) and all(s >= 0.6 for _, s in best.values())
     public = {x[0] for x in rows if x[2]}
     assert all(k in public or s >= 0.85 for k, s in best.values())
+
+
+def test_claims_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import claims
+
+    cases = {"for 1 234,50 EUR": [1234.5], "1.234,5 and 12.5": [1234.5, 12.5], "3 k€ or 2,5 MEUR": [3000.0, 2500000.0], "1.234.567": [1234567.0], "v2.0 x3 none": [], "": [], "10 000 à 12": [10000.0, 12.0]}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", claims.numbers(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == cases
+    assert claims.superlatives("our best and bestest, garantir, a leader's top-5", "en") == {"best", "leader", "top"}
+    assert claims.superlatives("solution garantie, garantir, meilleurs; n°1", "fr") == {"garanti", "meilleur", "n°1"}
+    assert claims.named("Our Team met Anna Berg. Paris is near Lyon, not in UK. Project Plan") == ["Anna Berg", "Lyon"]
+    own = claims.Facts(("Acme Leader Group", "Berg"), ("Rated best by all",))
+    assert own.unsupported("Acme Leader Group is the best, leading top firm", "en") == ["leading", "top"]
+    assert own.unknown("We met Anna Berg and Carl Meyer of Acme Leader [TO FILL: Some Name]") == ["Carl Meyer"]
+    texts = spark.createDataFrame([(1, "a", "en", "We know Carl Meyer for 12,50 EUR"), (2, "b", "fr", "garanti"), (3, "c", "xx", None), (None, "d", "en", "top 7")], "tender long, path string, language string, text string")
+    facts = spark.createDataFrame([(1, 12.504, None, None), (1, None, "Carl Meyer", None), (None, 7.0, None, "top")], "tender long, number double, name string, claim string")
+    assert sorted((r["tender"] or 0, r["kind"], r["found"]) for r in claims.violations(texts, facts, "tender").collect()) == [(0, "claim", "top"), (0, "number", "7.0"), (2, "claim", "garanti")]
