@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import contracts as C
 from quern.functions import urls as U
 from quern.operators import links as L
 from quern.operators import traces as R
@@ -61,6 +62,27 @@ def trace_picks(spark, sf_dir):
     return R.picks(_traces(spark, sf_dir), "trace", "raw").select("trace", "place", "token", "url", "kind")
 
 
+_CONTRACT = C.Record((("kind", C.String(enum=("software build", "audit"))), ("score", C.Number(whole=True)), ("ids", C.List(C.Number(whole=True))), ("note", C.String(nullable=True))), ("kind", "score"))
+
+
+def _answers(spark, sf_dir):
+    """An answer about each part, as models give them: with a kind in another spelling or none of the known ones, a score in words or none, and a bad item in a list."""
+    k = F.col("p_partkey")
+    kind = F.get(F.array(F.lit("Software-Build"), F.lit("AUDIT"), F.lit("other")), (k % 3).cast("int"))
+    score = F.when(k % 4 == 3, "").otherwise(F.concat(F.lit('"score": "'), F.col("p_size").cast("string"), F.lit(' points", ')))
+    text = F.concat(F.lit('Sure: ```json\n{"kind": "'), kind, F.lit('", '), score, F.lit('"ids": ['), F.col("p_size").cast("string"), F.lit(', "x", 7], "note": "n/a",}\n```'))
+    return table(spark, sf_dir, "part").select("p_partkey", C.answer(text).alias("v"))
+
+
+def coerced_answers(spark, sf_dir):
+    c = C.coerced(_CONTRACT, F.col("v"))
+    return _answers(spark, sf_dir).select("p_partkey", c.alias("c")).select("p_partkey", F.col("c.kind").alias("kind"), F.col("c.score").alias("score"), F.array_join(F.col("c.ids").cast("array<string>"), ",").alias("ids"))
+
+
+def contract_violations(spark, sf_dir):
+    return _answers(spark, sf_dir).select("p_partkey", F.explode(C.violations(_CONTRACT, F.col("v"))).alias("f")).select("p_partkey", "f.*")
+
+
 _SITE = r"regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 #: Anchors of the pages, all of one form with absolute paths.
 _GRAPH = rf"""a AS (
@@ -76,6 +98,10 @@ QUERIES = {
     "resolved_urls": (resolved_urls, f"""WITH s AS (SELECT page_id, url, {_SITE} AS site, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(\\?[^#]*)', 1) AS query FROM pages)
         SELECT page_id, CASE page_id % 8 WHEN 0 THEN site || regexp_replace(path, '[^/]*/[^/]*$', '') || 'x/y' WHEN 1 THEN site || regexp_replace(path, '[^/]*$', '') || 'a/b' WHEN 2 THEN site || '/s' WHEN 3 THEN site || path || '?k=1' WHEN 4 THEN site || path || query
         WHEN 5 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//h.org/p' WHEN 6 THEN site || regexp_replace(path, '[^/]*$', '') || 'a%20b' ELSE site || '/z/' END AS resolved FROM s"""),
+    "coerced_answers": (coerced_answers, """WITH a AS (SELECT p_partkey, p_size, p_partkey % 3 < 2 AND p_partkey % 4 < 3 AS fine FROM part)
+        SELECT p_partkey, CASE WHEN fine THEN CASE p_partkey % 3 WHEN 0 THEN 'software build' ELSE 'audit' END END AS kind, CASE WHEN fine THEN CAST(p_size AS BIGINT) END AS score, CASE WHEN fine THEN p_size || ',7' END AS ids FROM a"""),
+    "contract_violations": (contract_violations, """SELECT p_partkey, '$.kind' AS path, 'not one of software build|audit' AS fault, 'error' AS level FROM part WHERE p_partkey % 3 = 2
+        UNION ALL SELECT p_partkey, '$.score', 'missing', 'error' FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT p_partkey, '$.ids[1]', 'not a number', 'warning' FROM part"""),
     "link_graph": (link_graph, f"WITH {_GRAPH} SELECT page_id, url, text FROM g"),
     "next_pages": (next_pages, """WITH s AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b, regexp_replace(url, '[?#].*$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q, page_id % 5 AS n FROM pages),
         c AS (SELECT *, path || '?page=' || n || '&ref=x' AS url, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'page='))), '&') = 'ref=x' AS same, coalesce(try_cast(regexp_extract(q, '(?:^|&)page=([0-9]+)', 1) AS INT), 0) AS here FROM s)
