@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 
 MAX_BYTES, MIN_WORDS = 1_000_000, 20
 
@@ -26,34 +27,95 @@ def pages(template: str, limit: int, most: int) -> list[str]:
 
 class RestSource(DataSource):
     """spark.read.format("paged_rest") with options url (a template), limit, max and records (path of the list in a reply): one partition a page,
-    one JSON text a record."""
+    one JSON text a record. With the option `filters`, names between commas, each of them is a column too, read from the record, and an equality or bound on it
+    that a query asks for goes into the request as the parameter name, name_min or name_max; Spark applies it again. As a stream, each trigger reads on
+    from the offset that the last one has reached, until a page comes that is not full."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_rest"
 
     def schema(self) -> str:
-        return "page string, record string"
+        return ", ".join(["page string, record string", *(f"{n} string" for n in filtered(self.options))])
 
     def reader(self, schema) -> DataSourceReader:
-        return RestReader(dict(self.options))
+        return (FilteredRestReader if filtered(self.options) else RestReader)(dict(self.options))
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return RestStream(dict(self.options))
+
+
+def filtered(options) -> list[str]:
+    return [n.strip() for n in (options.get("filters") or "").split(",") if n.strip()]
+
+
+def fetched(url: str, options: dict[str, str]) -> list[tuple]:
+    """Rows of one page."""
+    with urllib.request.urlopen(url, timeout=60) as reply:
+        found = json.load(reply)
+    for part in filter(None, options.get("records", "").split(".")):
+        found = found[part]
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return [(url, json.dumps(r, ensure_ascii=False), *(text(r.get(n)) for n in filtered(options))) for r in found]
 
 
 class RestReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options, self.asked = options, {}
 
     def partitions(self) -> list[InputPartition]:
         o = self.options
-        return [Page(u) for u in pages(o["url"], int(o.get("limit", 50)), int(o.get("max", 200)))]
-
-    def read(self, partition: Page) -> Iterator[tuple[str, str]]:
-        with urllib.request.urlopen(partition.url, timeout=60) as reply:
-            found = json.load(reply)
-        for part in filter(None, self.options.get("records", "").split(".")):
-            found = found[part]
-        for record in found:
-            yield partition.url, json.dumps(record, ensure_ascii=False)
+        more = urllib.parse.urlencode(self.asked)
+        add = lambda u: u + ("&" if "?" in u else "?") + more if more else u
+        return [Page(add(u)) for u in pages(o["url"], int(o.get("limit", 50)), int(o.get("max", 200)))]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        yield from fetched(partition.url, self.options)
+
+
+class FilteredRestReader(RestReader):
+    """Needs spark.sql.python.filterPushdown.enabled."""
+
+    #: What a filter adds to the name of its column in a request.
+    SUFFIX = {EqualTo: "", GreaterThanOrEqual: "_min", LessThanOrEqual: "_max"}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what the service knows into the request, and leaves every filter to Spark too, since a service may ignore parameters."""
+        for f in filters:
+            if type(f) in self.SUFFIX and len(f.attribute) == 1 and f.attribute[0] in filtered(self.options):
+                self.asked[f.attribute[0] + self.SUFFIX[type(f)]] = str(f.value)
+            yield f
+
+
+class RestStream(SimpleDataSourceStreamReader):
+    """Offsets are numbers of records; a batch is read again from its bounds alone."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.limit = options, int(options.get("limit", 50))
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def _page(self, at: int, limit: int) -> list[tuple]:
+        return fetched(self.options["url"].format(limit=limit, offset=at, page=at // self.limit + 1), self.options)
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start["at"]
+        for _ in range(-(-int(self.options.get("max", 200)) // self.limit)):
+            found = self._page(at, self.limit)
+            rows, at = rows + found, at + len(found)
+            if len(found) < self.limit:
+                break
+        return iter(rows), {"at": at}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        at = start["at"]
+        while at < end["at"]:
+            found = self._page(at, min(self.limit, end["at"] - at))
+            if not found:
+                return
+            yield from found
+            at += len(found)
 
 
 def map_records(raw: DataFrame, fields: dict[str, list[str]], record: str = "record") -> DataFrame:

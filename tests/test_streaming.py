@@ -52,3 +52,64 @@ def test_orphans_after_the_timer(rocks, tmp_path):
     finally:
         query.stop()
     assert got == {"d": "orphan", "e": "new"}
+
+
+@pytest.fixture
+def service():
+    """Records 0.. of two countries; requests are kept."""
+    seen, records = [], [{"id": k, "country": "FR" if k % 2 else "DE", "day": f"2026-01-{k + 1:02d}"} for k in range(7)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            seen.append(q)
+            found = [r for r in records if q.get("country", r["country"]) == r["country"] and q.get("day_min", "") <= r["day"]]
+            at = int(q.get("offset", 0))
+            body = json.dumps({"data": {"rows": found[at : at + int(q.get("limit", 50))]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/api", seen, records
+    server.shutdown()
+
+
+def rest(reader, url):
+    return reader.format("paged_rest").option("url", url + "?limit={limit}&offset={offset}").option("limit", 3).option("max", 9).option("records", "data.rows").option("filters", "country,day").load()
+
+
+def test_filters_reach_the_service(spark, service):
+    from quern.sources import readers
+
+    url, seen, _ = service
+    spark.dataSource.register(readers.RestSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = rest(spark.read, url).filter("country = 'FR' and day >= '2026-01-04' and page is not null").select("record").collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    assert [json.loads(r["record"])["id"] for r in rows] == [3, 5]
+    assert seen and all(q["country"] == "FR" and q["day_min"] == "2026-01-04" for q in seen)
+
+
+def test_rest_stream_reads_on(spark, service, tmp_path):
+    from quern.sources import readers
+
+    url, seen, records = service
+    spark.dataSource.register(readers.RestSource)
+
+    def run():
+        query = rest(spark.readStream, url).select("record").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/log").option("path", f"{tmp_path}/out").trigger(once=True).start()
+        assert query.awaitTermination(60)
+        return sorted(json.loads(r["record"])["id"] for r in spark.read.schema("record string").parquet(f"{tmp_path}/out").collect())
+
+    assert run() == list(range(7))
+    records += [{"id": 7, "country": "FR", "day": "2026-02-01"}, {"id": 8, "country": "DE", "day": "2026-02-02"}]
+    seen.clear()
+    assert run() == list(range(9)) and min(int(q["offset"]) for q in seen) == 7  # nothing that was read is asked for again
