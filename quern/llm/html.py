@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-PATHS, WORDS, MEASURES, HIDDEN = 48, 16, 8, 16
-INPUTS = PATHS + WORDS + MEASURES
+PATHS, NEAR, WORDS, MEASURES, HIDDEN = 96, 48, 24, 15, 24
+INPUTS = PATHS + NEAR + WORDS + MEASURES
 #: Blocks of a batch of pages, padding included.
 BATCH = 16_384
+#: Bytes of pages that a worker reads at a time; a longer page is read alone.
+SLICE = 4_000_000
 
 #: What stands in a tag after its name, up to `>`: a quote opens a value only after `=`, so that an apostrophe in an unquoted value is plain.
 _ATTRIBUTES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>][^\s>]*|[^>])*+"""
@@ -52,8 +54,8 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 
 
 @cache
-def _path_slot(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATHS
+def _slot(token: str, slots: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % slots
 
 
 def _ends(page: str, tag: str) -> dict[int, int]:
@@ -145,7 +147,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             names = [tag]
             if m[3]:
                 for a in _NAMED.finditer(m[3]):
-                    names += re.split(r"[\s_-]+", (a[1] or a[2] or a[3] or "").lower().strip())
+                    names += re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a[1] or a[2] or a[3] or "").lower().strip())
             stack.append((tag, tuple(names)))
     add(page[at:])
     found = []
@@ -158,14 +160,28 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
 
 def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+    """Of each block the hashed names on its path, those of its last elements once more, its hashed words, and measures: lengths, also against the longest
+    block and the whole page, what share of the page's text stands in elements of its kind, linked share, place from both ends, last sign, signs and digits within, depth, and whether it has its element to itself."""
     x = np.zeros((len(found), INPUTS), np.float32)
+    sizes = [len(text) for _, text, _ in found]
+    longest, total = max(sizes, default=1), max(1, sum(sizes))
+    alike: dict[tuple[str, ...], int] = {}
+    for (path, _, _), n in zip(found, sizes, strict=True):
+        alike[path] = alike.get(path, 0) + n
+    at = PATHS + NEAR
     for k, (path, text, linked) in enumerate(found):
-        for depth, token in enumerate(path):
-            x[k, _path_slot(token)] += 1.0 if depth >= len(path) - 4 else 0.7
+        for token in path:
+            x[k, _slot(token, PATHS)] += 0.8
+        for token in path[-3:]:
+            x[k, PATHS + _slot("near " + token, NEAR)] += 1.0
         words = text.split(" ")
-        counts = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in words], minlength=WORDS)
-        x[k, PATHS : PATHS + WORDS] = counts / len(words)
-        x[k, PATHS + WORDS :] = (math.log1p(len(words)) / 5, math.log1p(len(text)) / 7, linked, k / len(found), 1 / (1 + k), 1 / (len(found) - k), text[-1] in ".!?…:;", len(path) / 10)
+        counts = np.bincount([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS for w in words], minlength=WORDS)
+        x[k, at : at + WORDS] = counts / len(words)
+        n = len(text)
+        x[k, at + WORDS :] = (
+            math.log1p(len(words)) / 5, math.log1p(n) / 7, linked, k / len(found), 1 / (1 + k), 1 / (len(found) - k), text[-1] in ".!?…:;", len(path) / 10, n / longest, n / total,
+            min(1.0, sum(map(text.count, ".,;!?")) / len(words)), min(1.0, 10 * sum(map(text.count, "0123456789")) / n), k > 0 and found[k - 1][0] == path, math.log1p(len(found)) / 5, alike[path] / total,
+        )
     return x
 
 
@@ -231,11 +247,11 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[str] = []
-            for at in range(0, batch.num_rows, 500):
-                found += texts(batch.column(2).slice(at, 500).to_pylist())
+            for _, pages in common.slices(batch.column(2), SLICE):
+                found += texts(pages)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(common.lean(run), "page_id long, url string, text string")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
