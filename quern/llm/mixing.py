@@ -8,8 +8,8 @@ Cumulative sums are built from (source, hash bucket) totals, so that a source wi
 spread over many tasks, and the final cut is found from totals of ranges of virtual time, so that only
 one narrow range is ever sorted.
 
-Null text has size 0; null source is a source of its own (last in order); a null id hashes as the empty string; rows
-that share source and id are served together and counted together. Equal finish times are ordered by source, hash, id and
+Null text has size 0; null source is a source of its own (last in order); a null id hashes as its text; rows
+that share source and id (or, without an id, their text) are served together and counted together. Equal finish times are ordered by source, hash, id and
 round. A text of any length is one document, taken whole. Columns of any name beside doc_id and source are kept aside. An empty
 table gives an empty result.
 """
@@ -44,9 +44,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, times: int
 
 
 def plan(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, times: int = TIMES) -> DataFrame:
-    """For each source: source_size, target, and per round the last (hash, id) that is taken, as `cut` (array of structs, null where none)."""
+    """docs: source, doc_id, h (a hash of the id). For each source: source_size, target, and per round the last (hash, id) that is taken, as `cut` (array of structs, null where none)."""
     spark = docs.sparkSession
-    item = docs.select("source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), "doc_id", size.cast("long").alias("size"))
+    item = docs.select("source", "h", "doc_id", size.cast("long").alias("size"))
     item = common.stage(item.groupBy("source", "h", "doc_id").agg(F.sum("size").alias("size")), "mix-items")
     sources = common.stage(targets(item.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, times), "mix-targets")
     n = item.count()
@@ -86,12 +86,13 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, times: int
     """doc_id, source, size, source_size, target, times_taken (0 to `times`) and `_rest` (the other columns) of every document; the documents
     themselves are never shuffled. size: a column of docs."""
     used = ["doc_id", "source"]
-    own = common.aside(docs, used, size.alias("size"))
+    text = F.md5(F.coalesce("text", F.lit(""))) if "text" in docs.columns else F.lit("")
+    own = common.aside(docs, used, size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), text)).alias("h"))
     cuts = common.small(plan(own, F.col("size"), weights, share, times).withColumnRenamed("source", "_source"), 100_000)
-    key = F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.col("doc_id"))
+    key = F.struct("h", "doc_id")
     served = F.coalesce(F.size(F.filter("cut", lambda c: key <= c)), F.lit(0))
     served = F.when(F.col("cut").isNull(), 0).otherwise(served)
-    return own.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times_taken", served).drop("_source", "cut")
+    return own.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times_taken", served).drop("_source", "cut", "h")
 
 
 def words(column: str = "text"):
@@ -105,7 +106,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 w AS (
@@ -134,5 +135,5 @@ s AS (
 k AS (SELECT source, h, doc_id, count(*) AS times FROM s WHERE total <= budget AND target > 0 GROUP BY ALL)
 SELECT d.doc_id, d.size, t.source_size, t.target, CAST(d.size * coalesce(k.times, 0) AS BIGINT) AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.doc_id IS NOT DISTINCT FROM k.doc_id
+LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.h = k.h
 """
