@@ -7,7 +7,8 @@ far as the profile is long. The score is one less the distance as a share of the
 
 Training counts are summed in each task before they are shuffled. A text that is null or has no letter is `und` with
 score 0. Ties go to the smaller n-gram code and to the first language in code point order. Without training texts
-every text is `und`.
+every text is `und`, an empty table gives an empty result. A null id counts as training (its CRC is that of no text) and stays null; repeated rows are
+learned and predicted each; a text of any length is read whole. Columns beside doc_id, text and lang are not read, and a prediction reads text alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quern.llm import common
 
 #: N-grams of a language's profile and of a text's.
 PROFILE, OWN = 400, 300
+#: Bytes of texts that a worker reads at a time; a longer text is read alone.
+SLICE = 1_000_000
 
 
 @cache
@@ -60,16 +63,17 @@ def learn(rows: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
             return codes, np.bincount(where, np.concatenate([x[1] for x in found])).astype(np.int64)
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = kept.setdefault(lang, [])
-                mine.append(grams(text))
-                if len(mine) >= 500:
-                    kept[lang] = [merged(mine)]
+            for at, texts in common.slices(batch.column(1), SLICE):
+                for lang, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    mine = kept.setdefault(lang, [])
+                    mine.append(grams(text))
+                    if len(mine) >= 500:
+                        kept[lang] = [merged(mine)]
         for lang, found in kept.items():
             codes, counts = merged(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
 
-    counts = rows.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "text").mapInArrow(common.lean(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= size).orderBy("lang", "rank").toPandas()  # `size` rows a language
     return {lang: same["code"].to_numpy(np.int64).view(np.uint64) for lang, same in top.groupby("lang")}
@@ -88,7 +92,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
         names, known, place = sent.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(2).to_pylist():
+            for text in (t for _, texts in common.slices(batch.column(2), SLICE) for t in texts):
                 first = most(*grams(text), own)
                 if not len(first) or not names:
                     langs.append("und")
@@ -104,7 +108,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
                 scores.append(max(0.0, 1.0 - float(far[best]) / (size * len(first))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(common.lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:

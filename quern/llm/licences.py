@@ -27,6 +27,8 @@ from quern.llm.jaccard import WIDTH, windows
 
 #: Share of a template that must be there; chance of missing it by its bands.
 PERCENT, MISS = 80, 0.001
+#: Bytes of texts that a worker reads at a time; a longer text is read alone.
+SLICE = 1_000_000
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -42,7 +44,8 @@ def _gnu(kind: str, version: str) -> str:
     )
 
 
-#: Licence texts, and notices that name a licence, as their publishers word them. A text that holds one licence whole may hold 80 % of a like one.
+#: Short licences whole (BSL-1.0 and Unlicense by their first paragraphs), and for long ones (Apache, MPL, the GNU family, CC) the notices by
+#: which files name them, as their publishers word them; whole long texts can be given to scan() beside them. A text that holds one licence whole may hold 80 % of a like one.
 TEMPLATES = {
     "MIT": f"{_GRANT} {_AS_IS}",
     "MIT-notice": "Released under the MIT License.",
@@ -130,11 +133,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)
         for batch in batches:
-            rows = [(one, *hit) for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.scan(text)]
-            columns = [[r[k] for r in rows] for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "licence", "containment", "word"])
+            for at, texts in common.slices(batch.column(1), SLICE):
+                rows = [(one, *hit) for one, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True) for hit in index.scan(text)]
+                columns = [[r[k] for r in rows] for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "licence", "containment", "word"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, licence string, containment double, word long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run), "doc_id long, licence string, containment double, word long")
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

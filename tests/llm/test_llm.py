@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import chat, html, jaccard, language, licences, lines, mixing, packing, quality, queries, topk
 from tests.conftest import SF
+from tests.llm import pages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, th string, target double, kept string"
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
@@ -222,6 +223,13 @@ def test_mixing(odd):
     assert mixing.mix(odd.limit(0), mixing.words()).count() == 0
 
 
+def test_mixing_of_null_ids(spark):
+    """Rows without an id are dealt by their texts, not taken or left together."""
+    rows = [(None if k % 3 else k, " ".join(f"w{k}x{j}" for j in range(10)), f"s{k % 2}") for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.words()).groupBy("source").agg(F.sum(F.col("size") * F.col("times_taken")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.op8_rank_order_language(spark, SF).join(docs, "doc_id").filter("held_out").collect()
@@ -491,6 +499,18 @@ def test_language_equals_brute_force(spark, odd):
     assert language.predict(docs.limit(0), language.learn(trained.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(pages.PAGES))
+def test_html_of_hand_labelled_pages(name):
+    """Each page by itself: nothing where there is no article, never empty where there is one, and nearly all words right."""
+    raw = pages.PAGES[name]
+    want = re.findall("⟦(.*?)⟧", raw, re.S)
+    want = re.sub(r"<[^>]*>", " ", " ".join(want)).split()
+    got = html.texts([raw.replace("⟦", "").replace("⟧", "")])[0].split()
+    both = sum((collections.Counter(got) & collections.Counter(want)).values())
+    assert bool(got) == bool(want)
+    assert not want or 2 * both / (len(got) + len(want)) >= 0.9
+
+
 def test_html_table(spark):
     page = '<nav><a href="/">Home</a></nav><article><h1>A &amp; B</h1><p title=don\'t>First   one.<p>Last one.</article><footer>&copy; c</footer>'
     long = "<article>" + "".join(f"<p>Sentence number {k} of a long story, told in full.</p>" for k in range(20_000)) + "</article>"
