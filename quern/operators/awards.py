@@ -21,12 +21,15 @@ GOODS = (3, 44)
 
 def same_award(partner: DataFrame, awards: DataFrame, days: int = 7, size: int = 40) -> DataFrame:
     """(partner_row, award_row) by the same id, or by another source with the same first `size` characters of the folded title and dates at most `days` apart.
-    Titles meet by an equi-join on the key, with the date range as its residual."""
+    Titles meet by the key and a date band, so that a common title does not pair all its rows."""
     key = lambda c: F.substring(T.fold(c), 1, size)
     p = partner.select(F.col("row").alias("partner_row"), F.col("id").alias("_pid"), F.col("source").alias("_ps"), F.col("day").alias("_pd"), key("title").alias("_pk"))
     a = awards.select(F.col("row").alias("award_row"), F.col("id").alias("_aid"), F.col("source").alias("_as"), F.col("day").alias("_ad"), key("title").alias("_ak"))
     by_id = p.join(a, F.col("_pid") == F.col("_aid"))
-    by_title = p.join(a, (F.col("_pk") == F.col("_ak")) & (F.col("_ps") != F.col("_as")) & (F.abs(F.datediff("_pd", "_ad")) <= days))
+    band = lambda c: F.floor(F.unix_date(c) / max(1, days))
+    p = p.withColumn("_pb", F.explode(F.array(band("_pd") - 1, band("_pd"), band("_pd") + 1)))
+    a = a.withColumn("_ab", band("_ad"))
+    by_title = p.join(a, (F.col("_pk") == F.col("_ak")) & (F.col("_pb") == F.col("_ab")) & (F.col("_ps") != F.col("_as")) & (F.abs(F.datediff("_pd", "_ad")) <= days))
     return by_id.select("partner_row", "award_row").unionByName(by_title.select("partner_row", "award_row")).distinct()
 
 

@@ -24,11 +24,6 @@ def budget(rows: DataFrame, group: list[str], amount: str) -> DataFrame:
     return found.join(stats, group).select(*group, *[half_up(F.col("_p")[k]).cast("long").alias(n) for k, n in enumerate(("low", "median", "high"))], "n_used", "n_outliers", confidence.alias("confidence"))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at half the length of the sorted values, rounded down."""
-    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
-
-
 def dominant(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
     """Most frequent value of each group, ties to the one seen first."""
     counts = rows.groupBy(*group, value).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
@@ -72,4 +67,10 @@ def near_amounts(a: DataFrame, b: DataFrame, keys: list[str], amount: str, date:
 
 
 def buyer_signals(rows: DataFrame, group: str, amount: str) -> DataFrame:
-    return rows.groupBy(group).agg(F.count(amount).alias("n"), F.min(amount).alias("low"), upper_median(F.collect_list(amount)).alias("middle"), F.max(amount).alias("high"))
+    counts = rows.filter(F.col(amount).isNotNull()).groupBy(group, amount).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(group).orderBy(amount).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"_up": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy(group))})
+    middle = F.min(F.when(F.col("_up") > F.floor(F.col("_all") / 2), F.col(amount)))  # the element at half the number, rounded down, from 0
+    out = counts.groupBy(group).agg(F.sum("_n").alias("n"), F.min(amount).alias("low"), middle.alias("middle"), F.max(amount).alias("high"))
+    none = rows.groupBy(group).agg(F.count(amount).alias("_any")).filter("_any = 0")
+    return out.unionByName(none.select(group, F.lit(0).cast("long").alias("n"), *[F.lit(None).cast(dict(rows.dtypes)[amount]).alias(c) for c in ("low", "middle", "high")]))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import stage
+from quern.session import discard, stage
 
 from quern.functions import text as T
 
@@ -51,12 +51,15 @@ def absorb(rows: DataFrame, key: list[str], order: list[Column], keep: str, abso
 def connected(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """rows with `part`, the smallest row id that a chain of shared keys leads to. Labels pass over each key in turn until no label falls; null keys connect nothing."""
     labels = rows.select(row, *keys, F.col(row).alias("part"))
-    total = None
+    total = written = None
     while True:
         for k in keys:
             least = labels.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("part").alias("_least"))
             labels = labels.join(least, k, "left").withColumn("part", F.least("part", "_least")).drop("_least")
         labels = stage(labels.select(row, *keys, "part"), "connected")
+        if written is not None:
+            discard(written)
+        written = labels
         now = labels.agg(F.sum(F.col("part").cast("decimal(38,0)"))).head()[0]
         if now == total:
             return rows.join(labels.select(row, "part"), row)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.session import small
 
 
 def visible(records: DataFrame, index: DataFrame, mode: str) -> DataFrame:
@@ -54,7 +55,7 @@ def tagged(texts: DataFrame, aliases: DataFrame, key: str, text: str, longest: i
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
     long = texts.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
     names = aliases.select(F.trim(F.regexp_replace(T.normalize("alias"), r"[^a-z0-9+#]+", " ")).alias("_run"), "name").distinct()
-    return long.join(names, "_run").select(key, "name").distinct()
+    return long.join(small(names, 200_000), "_run").select(key, "name").distinct()
 
 
 def closure(implies: DataFrame, most: int = 16) -> DataFrame:

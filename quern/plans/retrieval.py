@@ -113,7 +113,7 @@ def ir_metrics(spark, sf_dir):
     """Dense ranking judged by labels: same label grade 2, the next label grade 1."""
     d = _dense(spark, sf_dir)
     own = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-    ranked = R.top(d, 10, [F.desc("sim"), F.col("vec_id")]).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    ranked = R.top(_dense(spark, sf_dir, 10), 10, [F.desc("sim"), F.col("vec_id")]).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     graded = d.join(own, "query_id").withColumn("grade", F.when(F.col("label") == F.col("q_label"), 2).when(F.col("label") == F.col("q_label") + 1, 1)).filter("grade > 0")
     return R.metrics(ranked, graded.select("query_id", F.col("vec_id").alias("doc_id"), "grade"))
 
