@@ -100,6 +100,7 @@ def uncovered(sentences: DataFrame, needs: DataFrame, group: str, least: float =
     must = T.fold("text").rlike(r"\b(must|shall|required|mandatory|doit|doivent|devra|devront|obligatoire|souhaite|souhaitee|preferred|should)\b")
     own = sentences.filter(must & ~T.fold("text").rlike(r"\b(attestation|candidature|signed|signature|insurance|date limite)\b")).select(group, "no", T.toks("text").alias("_s"))
     asked = needs.select(group, T.toks("text").alias("_n"))
-    near = own.join(asked, group).filter((T.coverage(F.col("_s"), F.col("_n")) >= least) | (T.coverage(F.col("_n"), F.col("_s")) >= least)).select(group, "no")
-    left = own.join(near, [group, "no"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("no")))
+    sets = own.select(group, "_s").distinct().join(asked.distinct(), group)  # what is said twice meets the needs once
+    near = sets.filter((T.coverage(F.col("_s"), F.col("_n")) >= least) | (T.coverage(F.col("_n"), F.col("_s")) >= least)).select(group, "_s").distinct()
+    left = own.join(near, [group, "_s"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("no")))
     return left.filter(F.col("place") <= most).select(group, "no", "place")
