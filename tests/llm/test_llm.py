@@ -683,3 +683,17 @@ def test_pipeline_stages_on_odd_rows(spark, odd, k):
     if k < 4:
         assert out.columns == docs.columns
     assert out.count() > 0 or k == 0  # none of these texts passes the base rules
+
+
+def test_pipeline_deletes_its_own_frames_only(spark):
+    import corpus_pipeline
+    from quern import plans
+    from quern.llm import common
+
+    with common.scratch() as run:
+        lazy = plans.QUERIES["bm25_search"](spark, SF)
+        before = set(run.written)
+        out = corpus_pipeline.run(spark, SF)
+        assert lazy.count() > 0 and out.count() > 0
+        left = set(run.written) - before
+        assert len(left) == 1 and "pipeline-best-fit-packing" in left.pop()  # nothing but the result is left of the pipeline
