@@ -122,8 +122,11 @@ def greedy_relaunch_dedupe(spark, sf_dir):
 
 # joins
 def anti_join_known(spark, sf_dir):
-    """Customers without any order: every order makes its customer known."""
-    return Q.anti_known(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_custkey").alias("k")), _orders(spark, sf_dir).select(F.col("o_custkey").alias("k")), ["k"]).select("c_custkey", "c_name")
+    """Priorities in which a customer has never ordered: every order makes its customer and priority known."""
+    key = F.concat_ws("|", "o_custkey", "o_orderpriority").alias("k")
+    priorities = F.explode(F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])).alias("priority")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", priorities).withColumn("k", F.concat_ws("|", "c_custkey", "priority"))
+    return Q.anti_known(rows, _orders(spark, sf_dir).select(key), ["k"]).select("c_custkey", "priority")
 
 
 def left_join_fallback_position(spark, sf_dir):
@@ -357,7 +360,7 @@ QUERIES = {
     "occurrence_index_titles": (occurrence_index_titles, "SELECT p_partkey, CASE WHEN r > 1 THEN p_name || ' (' || r || ')' ELSE p_name END AS title FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)"),
     "identity_duplicates": (identity_duplicates, f"SELECT p_type, {S.fold('p_name')} AS name, p_brand, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1"),
     "greedy_relaunch_dedupe": (greedy_relaunch_dedupe, None),
-    "anti_join_known": (anti_join_known, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "anti_join_known": (anti_join_known, "SELECT c_custkey, priority FROM customer, (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS priority) WHERE (c_custkey, priority) NOT IN (SELECT o_custkey, o_orderpriority FROM orders)"),
     "left_join_fallback_position": (left_join_fallback_position, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos, {S.fold('text')} AS key FROM conversations WHERE conv_id IS NOT NULL),
         a AS (SELECT conv_id, pos, key, row_number() OVER (PARTITION BY conv_id, key ORDER BY pos) AS k FROM c WHERE role = 'user'), b AS (SELECT conv_id, pos, key, turn, row_number() OVER (PARTITION BY conv_id, key ORDER BY pos) AS k FROM c WHERE role = 'assistant'),
         e AS (SELECT a.conv_id, a.pos, b.pos AS used, b.turn FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.key = b.key AND a.k = b.k),

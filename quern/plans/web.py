@@ -28,6 +28,12 @@ def link_graph(spark, sf_dir):
     return L.graph(_scanned(spark, sf_dir), "page_id", "base").select("page_id", "url", "text")
 
 
+def silent_labels(spark, sf_dir):
+    """Labels that say nothing on a page, to which four links are added, with one label, to as many addresses as page_id leaves when divided by three."""
+    more = " ".join(f"""'<a href="/t', page_id % 3 * {k}, '"> Lire  la suite </a>',""" for k in range(4))
+    return L.silent_labels(_scanned(spark, sf_dir, f"concat({more} html)"), "page_id", "base")
+
+
 def next_pages(spark, sf_dir):
     """The next page of each page, to which a link is added whose label says next, holds such a word, or is a number."""
     label = "element_at(array('Next page', 'les suivants', '2'), cast(page_id % 3 + 1 as int))"
@@ -103,6 +109,9 @@ QUERIES = {
     "contract_violations": (contract_violations, """SELECT p_partkey, '$.kind' AS path, 'not one of software build|audit' AS fault, 'error' AS level FROM part WHERE p_partkey % 3 = 2
         UNION ALL SELECT p_partkey, '$.score', 'missing', 'error' FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT p_partkey, '$.ids[1]', 'not a number', 'warning' FROM part"""),
     "link_graph": (link_graph, f"WITH {_GRAPH} SELECT page_id, url, text FROM g"),
+    "silent_labels": (silent_labels, rf"""WITH x AS (SELECT page_id, url, repeat('<a href="/t0">lire la suite</a>', CASE page_id % 3 WHEN 0 THEN 4 ELSE 1 END) || CASE WHEN page_id % 3 > 0 THEN '<a href="/t1">lire la suite</a><a href="/t2">lire la suite</a><a href="/t3">lire la suite</a>' ELSE '' END || html AS html FROM pages),
+        {_GRAPH.split("u AS (")[0].replace("FROM pages", "FROM x").rstrip().rstrip(",")}, r AS (SELECT page_id, lower(trim(regexp_replace(regexp_replace(label, '[*_`#>]+', ' ', 'g'), '\s+', ' ', 'g'))) AS label, site || target AS url FROM a)
+        SELECT page_id, label FROM r WHERE label <> '' AND length(label) < 40 GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT url) >= 2"""),
     "next_pages": (next_pages, """WITH s AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b, regexp_replace(url, '[?#].*$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q, page_id % 5 AS n FROM pages),
         c AS (SELECT *, path || '?page=' || n || '&ref=x' AS url, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'page='))), '&') = 'ref=x' AS same, coalesce(try_cast(regexp_extract(q, '(?:^|&)page=([0-9]+)', 1) AS INT), 0) AS here FROM s)
         SELECT page_id, url FROM c WHERE url <> b AND (page_id % 3 = 0 OR page_id % 3 = 1 AND same AND n > here)"""),
