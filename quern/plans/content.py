@@ -10,7 +10,7 @@ from quern.operators import dates as D
 from quern.operators import quotes
 from quern.plans import sql as S
 from quern.plans.procurement import TODAY
-from quern.session import table
+from quern.session import spread, table
 
 
 # similarities
@@ -54,7 +54,7 @@ def contamination_overlap(spark, sf_dir):
     """Benchmark passages quoted word for word in documents: passages of any length meet documents by a hash of their first eight words (of all, where
     fewer), within a task, and are then compared whole."""
     b = table(spark, sf_dir, "benchmark").select("item_id", T.fold("text").alias("quote"))
-    return quotes.found(table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t")), b, "doc_id", "item_id", quotes.Whole)
+    return quotes.found(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.fold("text").alias("t")), b, "doc_id", "item_id", quotes.Whole)
 
 
 def canonical_url(spark, sf_dir):

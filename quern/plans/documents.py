@@ -13,7 +13,7 @@ from quern.operators import claims as C
 from quern.operators import deck as K
 from quern.operators import quotes
 from quern.plans import sql as S
-from quern.session import shared_dir, table
+from quern.session import shared_dir, spread, table
 from quern.streaming import runs
 
 
@@ -105,7 +105,7 @@ def quote_fuzzy(spark, sf_dir):
     w = F.filter(F.split(T.fold("text"), " "), lambda w: w != "")
     b = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w"))
     b = b.select("item_id", F.array_join(F.concat(F.slice("w", 1, 2), F.slice("w", F.lit(4), F.greatest(F.size("w"), F.lit(1)))), " ").alias("quote"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", T.fold("text").alias("t"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.fold("text").alias("t"))
     return quotes.found(texts, b, "doc_id", "item_id", quotes.Fuzzy)
 
 

@@ -12,7 +12,7 @@ from quern.operators import lexical as L
 from quern.operators import retrieval as R
 from quern.operators import vectors as I
 from quern.plans import sql as S
-from quern.session import own, shared_dir, small, table
+from quern.session import own, shared_dir, small, spread, table
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.chunk(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return R.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
 
 
 def chunk_documents(spark, sf_dir):

@@ -146,6 +146,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan that has fewer partitions than the session has cores, before costly work on each row; a larger scan is never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a frame whose counted rows are at most `most`; a larger one stays for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
