@@ -40,11 +40,11 @@ def write(chunks: DataFrame, store: str, key: tuple[str, str] = ("doc_id", "chun
     blocks = placed.groupBy("term", "shard", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(*key, "impact")).alias("postings"))
 
     def save(folder: str) -> None:
-        blocks.write.parquet(f"{folder}/blocks")
+        blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
         df = spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
-        df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).write.parquet(f"{folder}/terms")
+        df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{folder}/terms")
         floor = spark.read.parquet(f"{folder}/terms").agg((F.avg("idf") * R.EPSILON).alias("floor"))
-        floor.select(F.lit(n).alias("chunks"), F.lit(mean).alias("mean"), "floor").write.parquet(f"{folder}/corpus")
+        floor.select(F.lit(n).alias("chunks"), F.lit(mean).alias("mean"), "floor").write.mode("overwrite").parquet(f"{folder}/corpus")
 
     return sinks.generation(spark, store, save)
 

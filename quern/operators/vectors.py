@@ -77,8 +77,8 @@ def write(vectors: DataFrame, store: str) -> int:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", list int"
 
     def save(folder: str) -> None:
-        spark.createDataFrame([(k, c.tolist(), take) for k, c in enumerate(centres)], "list int, centre array<double>, probes int").write.parquet(f"{folder}/centroids")
-        rows.mapInPandas(assign, schema).repartition("list").sortWithinPartitions("list", "vec_id").write.parquet(f"{folder}/lists")
+        spark.createDataFrame([(k, c.tolist(), take) for k, c in enumerate(centres)], "list int, centre array<double>, probes int").write.mode("overwrite").parquet(f"{folder}/centroids")
+        rows.mapInPandas(assign, schema).repartition("list").sortWithinPartitions("list", "vec_id").write.mode("overwrite").parquet(f"{folder}/lists")
 
     return sinks.generation(spark, store, save)
 

@@ -40,12 +40,11 @@ def current(spark: SparkSession, store: str) -> int:
 
 
 def generation(spark: SparkSession, store: str, save: Callable[[str], None]) -> int:
-    """Let `save` write the next version whole in a new folder, then write its pointer file, whose creation is one step of the file system:
+    """Let `save` write the next version whole, over what a stopped run has left, then write its pointer file, whose creation is one step of the file system:
     readers see the old or the new version, never a part or none, wherever this stops. Older pointers go last; their versions stay for
     those still reading."""
     before = current(spark, store)
     path, fs = _store(spark, store)
-    fs.delete(path(f"{store}/v{before + 1}"), True)  # what a stopped run has left
     save(f"{store}/v{before + 1}")
     fs.create(path(f"{store}/CURRENT-{before + 1}"), False).close()
     if before:
@@ -55,7 +54,7 @@ def generation(spark: SparkSession, store: str, save: Callable[[str], None]) ->
 
 def replace(rows: DataFrame, store: str) -> int:
     """The rows as the next version of a store of one table."""
-    return generation(rows.sparkSession, store, lambda folder: rows.write.parquet(folder))
+    return generation(rows.sparkSession, store, lambda folder: rows.write.mode("overwrite").parquet(folder))
 
 
 def folder(spark: SparkSession, store: str) -> str:
