@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.quality import connected
 
 #: Legal forms of public bodies.
 PUBLIC_FORMS = "gip gie epa epic epst epscp sem spl".split()
@@ -143,46 +144,68 @@ def without_copies(awards: DataFrame, share: float = 0.02, days: int = 90) -> Da
     to the first, each that is still there meets the first other one it copies, and the one that says less goes; where both say as much, the other. What is dropped may have
     been dropped in favour of an award that goes later, so copies of copies are settled in order.
 
-    Decisions depend on order only among awards that may copy each other. Two values at most w apart share a cell of one of two grids of width 2 w, so awards that may be copies share
-    winners and a cell of day and amount in one of four; those that cells connect are folded in sequence, and no others. No pairs are made."""
+    Decisions depend on order only among awards of the same winners without a gap in their days, and then in their amounts, that no copy spans: these are folded in sequence,
+    and no others. There, an award meets only those of its cell of day and amount and of the cells around it, and stops at the first copy. No pairs are made."""
     keys = F.array_join(F.array_sort(F.filter(F.transform("winners", lambda w: T.firm_key(w)), lambda w: w != "")), "|")
     own = awards.withColumns({
         "_win": F.nullif(keys, F.lit("")), "_buyer": T.fold("buyer"), "_amount": F.when(F.col("amount") > 0, F.col("amount").cast("double")),
         "_info": F.when(F.col("amount") > 0, 2).otherwise(0) + F.when(F.col("bids") > 0, 1).otherwise(0) + F.coalesce(F.col("framework"), F.lit(False)).cast("int") + F.coalesce(F.size("others"), F.lit(0)),
     })
-    wide = -math.log(1 - share)
-    grids = {}
-    for a in (0, 1):
-        for d in (0, 1):
-            level = F.when(F.col("_amount").isNotNull(), F.floor(F.log("_amount") / (2.002 * wide) + a / 2))
-            cell = F.xxhash64(F.lit(2 * a + d), F.col("_win"), F.coalesce(level, F.lit(-(2**40))), F.floor((F.unix_date("day") + d * days) / (2 * days)))
-            grids[f"_g{a}{d}"] = F.when(F.col("_win").isNotNull() & F.col("day").isNotNull(), cell)
-    rows = own.withColumns(grids).select("row", "source", "_win", "_buyer", "_amount", F.unix_date("day").alias("_day"), "_info", *grids)
-    schema = f"row {dict(awards.dtypes)['row']}, copy_of {dict(awards.dtypes)['row']}"
+    wide = -1.001 * math.log(1 - share) + 1e-9
+    rows = own.select("row", "source", "_win", "_buyer", F.nanvl("_amount", F.lit(None).cast("double")).alias("_amount"), F.unix_date("day").alias("_day"), "_info")
+    rows = rows.filter("_win is not null and _day is not null")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row", ignore_index=True)
-        source, amount, day, buyer, info = (frame[c].tolist() for c in ("source", "_amount", "_day", "_buyer", "_info"))
-        alike = {w: list(k) for w, k in frame.groupby("_win").indices.items()}
-        known = [x is not None and x == x for x in amount]
+    def parted(rows: DataFrame, by: list[str], value: Column, gap: float, name: str) -> DataFrame:
+        """rows with the number of the run of values, without a greater gap, that they are in."""
+        w = Window.partitionBy(*by).orderBy(value)
+        new = rows.withColumn("_new", F.coalesce((value - F.lag(value).over(w) > gap).cast("long"), F.lit(0)))
+        return new.withColumn(name, F.sum("_new").over(w)).drop("_new")
 
-        def copies(x: int, y: int) -> bool:
-            if source[x] == source[y]:
-                return known[x] and amount[x] == amount[y] and day[x] == day[y] and buyer[x] == buyer[y]
-            close = known[x] and known[y] and abs(amount[x] - amount[y]) <= share * max(amount[x], amount[y])
-            return (close or not known[x] and not known[y]) and abs(day[x] - day[y]) <= days
+    rows = parted(rows, ["_win"], F.col("_day"), days, "_p1")
+    rows = parted(rows, ["_win", "_p1"], F.log("_amount"), wide, "_p2").withColumn("_p2", F.when(F.col("_amount").isNotNull(), F.col("_p2")).otherwise(-1))
+    kind = dict(awards.dtypes)["row"]
 
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row", ignore_index=True)
+        n = len(frame)
+        amount, day, info = (frame[c].to_numpy() for c in ("_amount", "_day", "_info"))
+        sources = pd.factorize(frame["source"])[0].tolist()
+        same = frame.groupby(["source", "_buyer", "_amount", "_day"], sort=False, dropna=False).ngroup().to_numpy()
+        known = bool(n) and not np.isnan(amount[0])
+        levels = np.floor(np.log(amount) / wide).tolist() if known else [0] * n
+        spans = (day // max(1, days)).tolist()
+        amount, day, info, same = amount.tolist(), day.tolist(), info.tolist(), same.tolist()
+        there: dict[tuple, dict[int, list[int]]] = {}  # by cell and source, in order
+        equal: dict[int, list[int]] = {}
+        for k in range(n):
+            there.setdefault((levels[k], spans[k]), {}).setdefault(sources[k], []).append(k)
+            equal.setdefault(same[k], []).append(k)
+        around = [(a, d) for a in ((0, -1, 1) if known else (0,)) for d in (0, -1, 1)]
         copy_of: dict[int, int] = {}
-        for x, w in reversed(list(enumerate(frame["_win"].tolist()))):
+        for x in range(n - 1, -1, -1):
             if x in copy_of:
                 continue
-            y = next((y for y in alike[w] if y != x and y not in copy_of and copies(x, y)), None)
-            if y is not None:
-                copy_of.update({y: x} if info[x] >= info[y] else {x: y})
-        ids = frame["row"].tolist()
-        return pd.DataFrame({"row": ids, "copy_of": pd.array([ids[copy_of[k]] if k in copy_of else None for k in range(len(ids))], dtype=object)})
-
-    asked = connected(rows.filter("_g00 is not null"), "row", list(grids))
-    shared = asked.withColumn("_n", F.count("*").over(Window.partitionBy("part"))).filter("_n > 1")
-    found = shared.groupBy("part").applyInPandas(fold, schema).filter("copy_of is not null")
+            first, mine, ax, dx = n, sources[x], amount[x], day[x]
+            if known:
+                first = next((y for y in equal[same[x]] if y != x), n)
+            for a, d in around:
+                for source, ids in there.get((levels[x] + a, spans[x] + d), {}).items():
+                    if source == mine:
+                        continue
+                    for y in ids:
+                        if y >= first:
+                            break
+                        if abs(dx - day[y]) <= days and (not known or abs(ax - amount[y]) <= share * max(ax, amount[y])):
+                            first = y
+                            break
+            if first < n:
+                out, stays = (first, x) if info[x] >= info[first] else (x, first)
+                copy_of[out] = stays
+                for ids in (there[levels[out], spans[out]][sources[out]], equal[same[out]]):
+                    del ids[bisect_left(ids, out)]
+        ids = frame["row"]
+        return pd.DataFrame({"row": ids.iloc[list(copy_of)].to_numpy(), "copy_of": ids.iloc[list(copy_of.values())].to_numpy()})
+
+    shared = rows.withColumn("_n", F.count("*").over(Window.partitionBy("_win", "_p1", "_p2"))).filter("_n > 1").drop("_n")
+    found = shared.groupBy("_win", "_p1", "_p2").applyInPandas(fold, f"row {kind}, copy_of {kind}")
     return awards.select("row").join(found, "row", "left")

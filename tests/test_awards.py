@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pytest
 
@@ -80,6 +81,19 @@ def test_copies_equal_the_sequence(spark):
     assert awards.without_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_copies_of_one_firm_in_seconds(spark):
+    """40,000 awards of one firm that all days and amounts connect: every award met with every other takes minutes."""
+    r = random.Random(8)
+    rows = [award(k, "TD"[k % 2], ["Firm"], r.choice([None, 100.0 * 1.01 ** r.randint(0, 300)]) if k % 9 else 200.0, r.randint(0, 900), str(r.randint(0, 50)), r.randint(0, 2)) for k in range(40_000)]
+    frame = spark.createDataFrame(rows, SCHEMA).cache()
+    frame.count()
+    start = time.monotonic()
+    got = {x["row"]: x["copy_of"] for x in awards.without_copies(frame).collect()}
+    assert time.monotonic() - start < 60 and len(got) == 40_000
+    few = [x for x in rows if x[0] < 3000]
+    assert found(spark, few) == sequential(few)
+
+
 def test_names_meet_as_all_pairs_do(spark):
     from pyspark.sql import functions as F
 
