@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.decide import logit_percent
+from quern.session import small, stage
 
 #: Scores from which a document counts, alone and with half of the words found; how much lower a real document may score and still come first.
 STRONG, FLOOR, ABOUT_SAME = 0.0, -6.0, 1.0
+#: Rows up to which a list of words is broadcast.
+SENT = 200_000
 
 
 def good_documents(candidates: DataFrame, need: str) -> DataFrame:
@@ -76,12 +79,28 @@ def row_scores(rows: DataFrame, group: str) -> DataFrame:
 
 
 def word_coverage(needs: DataFrame, evidence: DataFrame, need: str, text: str, item: str) -> DataFrame:
-    """Status of each need by the most distinct words that it shares with one item of evidence: two covered, one partial, none to_clarify. Needs and items meet
-    by word, so no pair without a shared word is made."""
-    words = lambda frame, key, c: frame.select(key, F.explode(F.array_distinct(F.filter(F.split(T.fold(c), " "), lambda w: (F.length(w) >= 3) & ~w.isin(T.STOPWORDS)))).alias("_word"))
-    hits = words(needs, need, text).join(words(evidence, item, text), "_word").groupBy(need, item).agg(F.count("*").alias("_hits"))
-    best = needs.select(need).join(hits.groupBy(need).agg(F.max("_hits").alias("hits")), need, "left")
-    return best.select(need, F.when(F.col("hits") >= 2, "covered").when(F.col("hits") == 1, "partial").otherwise("to_clarify").alias("status"))
+    """Status of each need by the most distinct words that it shares with one item of evidence: two covered, one partial, none to_clarify. What counts is whether
+    one item has some word of the need, and some two; so needs meet the distinct words and pairs of words of all items, each of which is there once, and never the items. Texts with
+    the same words count once, and only words of both sides make pairs."""
+    words = F.filter(F.split(T.fold(text), " "), lambda w: (F.length(w) >= 3) & ~w.isin(T.STOPWORDS))
+    sets = lambda frame, key: frame.select(key, F.explode(F.array_distinct(words)).alias("_word")).groupBy(key).agg(F.array_sort(F.collect_set("_word")).alias("_w"))
+    own = sets(needs, need)
+    asked, told = own.select("_w").distinct(), sets(evidence, item).select("_w").distinct()
+    long = lambda frame: frame.select("_w", F.explode("_w").alias("_word"))
+    shared = stage(long(asked).select("_word").distinct().intersect(long(told).select("_word").distinct()), "shared-words")
+
+    def pairs(frame: DataFrame) -> DataFrame:
+        """The texts' shared words, and every two of them, in order."""
+        kept = long(frame).join(small(shared, SENT), "_word").groupBy("_w").agg(F.array_sort(F.collect_list("_word")).alias("_s"))
+        two = F.flatten(F.transform("_s", lambda x, i: F.transform(F.slice("_s", i + 2, F.size("_s")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        return kept.withColumn("_two", two)
+
+    known = pairs(told).select(F.explode("_two").alias("_pair")).distinct()
+    mine = stage(pairs(asked), "shared-pairs")
+    two = mine.select("_w", F.explode("_two").alias("_pair")).join(known, "_pair", "left_semi").select("_w").distinct().withColumn("_hits", F.lit(2))
+    best = mine.select("_w").join(two, "_w", "left").select("_w", F.coalesce("_hits", F.lit(1)).alias("hits"))
+    status = F.when(F.col("hits") >= 2, "covered").when(F.col("hits") == 1, "partial").otherwise("to_clarify")
+    return needs.select(need).join(own.join(best, "_w"), need, "left").select(need, status.alias("status"))
 
 
 def from_score(score: Column) -> Column:
