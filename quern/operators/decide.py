@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import sorted_groups
+
 
 def rule_match(needs: DataFrame, held: DataFrame, need_id: str, doc_id: str, item: str, all_of: str) -> DataFrame:
     """(need_id, doc_id, matched, wanted, qualified): documents that hold any, or where `all_of` is true all, of a need's items.
@@ -115,20 +118,28 @@ def smallest_team(slots: DataFrame, tender: str, most: int = 200_000) -> DataFra
     where a part of the problem exceeds `most` states (it is NP-hard; its input is one tender's candidates). Of equal teams the one with the least sum of
     best ranks is taken, then the first in order. Roles without a choice fix their persons; the rest falls into parts that share no person."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.groupby("person")["rank"].min().to_dict()
-        order = {p: (r, p) for p, r in best.items()}
-        able = {role: frozenset(g["person"]) for role, g in pdf.groupby("role")}
-        places = {role: min(int(g["needed"].iloc[0]), len(able[role])) for role, g in pdf.groupby("role")}
+    def solve(key: int, rows: list[tuple]) -> list[tuple]:
+        order: dict = {}
+        able: dict[str, set] = {}
+        needed: dict[str, int] = {}
+        for role, person, rank, n in rows:
+            if role is None or person is None:
+                continue
+            rank = math.inf if rank is None else rank
+            order[person] = (min(rank, order.get(person, (rank,))[0]), person)
+            able.setdefault(role, set()).add(person)
+            needed.setdefault(role, n)
+        places = {role: min(int(needed[role]), len(able[role])) for role in sorted(able)}
         team = {p for role, n in places.items() if n == len(able[role]) for p in able[role]}
-        roles = {role: (n - len(able[role] & team), able[role] - team) for role, n in places.items() if n > len(able[role] & team)}
+        roles = {role: (n - len(able[role] & team), frozenset(able[role] - team)) for role, n in places.items() if n > len(able[role] & team)}
         exact = True
         for part in _clusters(roles):
             chosen, whole = _cover(part, order, most)
             team, exact = team | set(chosen), exact and whole
-        return pd.DataFrame({tender: [pdf[tender].iloc[0]], "size": [len(team)], "team": [",".join(map(str, sorted(team)))], "exact": [exact]})
+        return [(key, len(team), ",".join(map(str, sorted(team))), exact)]
 
-    return slots.groupBy(tender).applyInPandas(solve, f"{tender} long, size long, team string, exact boolean")
+    rows = slots.select(tender, "role", "person", "rank", "needed")
+    return sorted_groups(rows, tender, [F.col("role"), F.col("person")], solve, f"{tender} long, size long, team string, exact boolean")
 
 
 def proof(evidence: DataFrame, need: str, most: Column) -> DataFrame:

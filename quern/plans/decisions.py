@@ -80,7 +80,7 @@ def team_set_cover(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     roles = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     slots = roles.groupBy(F.col("o_custkey").alias("tender"), F.col("p_type").alias("role"), F.col("l_suppkey").alias("person")).agg(F.min("l_linenumber").alias("rank")).withColumn("needed", F.lit(2))
-    return D.smallest_team(slots.repartition("tender"), "tender")
+    return D.smallest_team(slots, "tender")
 
 
 QUERIES = {
