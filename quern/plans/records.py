@@ -10,7 +10,7 @@ from quern.operators import awards as A
 from quern.operators import names as N
 from quern.operators import records as R
 from quern.plans import sql as S
-from quern.session import table
+from quern.session import spread, table
 
 
 def visible_records(spark, sf_dir):
@@ -187,7 +187,7 @@ def acronym_match(spark, sf_dir):
     full = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name", F.lit("works"))), " ")
     first = F.array_join(F.transform(F.slice(full, 1, 3), lambda w: F.substring(w, 1, 1)), "")
     short = F.array(F.when(F.col("p_partkey") % 2 == 0, first).otherwise(F.reverse(first)), F.lit("works"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(A.name_match(short, full), 6).alias("match"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")).select("p_partkey", F.round(A.name_match(short, full), 6).alias("match"))
 
 
 def past_projects(spark, sf_dir):

@@ -9,7 +9,7 @@ from quern.functions import contracts as C
 from quern.functions import urls as U
 from quern.operators import links as L
 from quern.operators import traces as R
-from quern.session import table
+from quern.session import spread, table
 
 
 def _scanned(spark, sf_dir, html="html"):
@@ -77,7 +77,7 @@ def _answers(spark, sf_dir):
     kind = F.get(F.array(F.lit("Software-Build"), F.lit("AUDIT"), F.lit("other")), (k % 3).cast("int"))
     score = F.when(k % 4 == 3, "").otherwise(F.concat(F.lit('"score": "'), F.col("p_size").cast("string"), F.lit(' points", ')))
     text = F.concat(F.lit('Sure: ```json\n{"kind": "'), kind, F.lit('", '), score, F.lit('"ids": ['), F.col("p_size").cast("string"), F.lit(', "x", 7], "note": "n/a",}\n```'))
-    return table(spark, sf_dir, "part").select("p_partkey", C.answer(text).alias("v"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", C.answer(text).alias("v"))
 
 
 def coerced_answers(spark, sf_dir):
