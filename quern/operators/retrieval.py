@@ -19,6 +19,8 @@ from quern.session import small, stage
 CHUNK, STEP = 200, 150
 #: Rows up to which a list of terms or weights is broadcast.
 SENT = 200_000
+#: Scores that a task groups at once, about; the least chunks of a partition.
+SCORES, CHUNKS = 2_000_000, 1000
 #: Query vectors of a broadcast; similarities that a task holds at once.
 BLOCK, PAIRS = 4096, 1 << 18
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -64,10 +66,19 @@ def bm25(tokens: DataFrame, queries: DataFrame, key: list[str], query_text: str
     weights = asked.join(idf, "term").crossJoin(F.broadcast(floor))
     weights = weights.withColumn("idf", F.when(F.col("idf") < 0, F.col("_eps")).otherwise(F.col("idf")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("_avg")))
+    tokens = placed(tokens, key[0], asked.select(query_id).distinct().count())
     hits = postings(tokens, key, asked.select("term").distinct()).join(small(weights, SENT), "term").groupBy(query_id, *key).agg(F.round(F.sum(part), 6).alias("score"))
     return hits.filter("score > 0")
 
 
+def placed(tokens: DataFrame, doc: str, queries: int) -> DataFrame:
+    """tokens with the chunks of each document in one partition, so that postings, scores of chunks and the best of a document are all grouped where they are; the chunks are shuffled
+    once, and not each of their hits. Partitions are as many as keep the scores of one, of all queries at most, in memory."""
+    rows = tokens.count()
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    return tokens.repartition(int(max(min(2 * cores, rows // CHUNKS + 1), min(-(-rows * queries // SCORES), rows // CHUNKS + 1))), doc)
+
+
 def best_per_doc(hits: DataFrame, query_id: str = "query_id", tie: str = "chunk_no") -> DataFrame:
     """The best chunk of each document for each query, by score, then position."""
     rest = [c for c in hits.columns if c not in (query_id, "doc_id")]
