@@ -3,8 +3,9 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: the corpus count of each of 2^12 hash buckets, then the hash. A word becomes one long
-   whose high bits are its bucket's rank and whose low ones are the rest of the hash, so that sorting longs sorts by rarity.
+1. Words are ordered by rarity: common words last, by the corpus counts of 2^16 hash buckets in four levels, and within a level long
+   words first, since those are rarer than counts of buckets can tell; then by hash. A word becomes one long whose high bits are
+   level and length and whose low ones are its hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
-BITS, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 12, 8, 4, 3, 64, 2, 200_000
+#: Bits of a word's hash that choose its bucket; how much more common each level is; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
+BITS, LEVEL, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 16, 4, 8, 4, 3, 64, 2, 200_000
 
 
 def words(text: Column) -> Column:
@@ -42,22 +43,31 @@ def words(text: Column) -> Column:
 
 
 def ranks(docs: DataFrame) -> Column:
-    """For each bucket, its rank by corpus count as the high bits of a long: an array of fixed size."""
-    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    """The level of each bucket, 2 bits: 32 in each long of an array of fixed size. The first level is of all counts below LEVEL times that of the lower quartile."""
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 5).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")
+    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
     found = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BITS rows at most
-    order = sorted(range(1 << BITS), key=lambda b: (found.get(b, 0), b))
-    rank = [0] * (1 << BITS)
-    for at, k in enumerate(order):
-        rank[k] = (at - (1 << (BITS - 1))) << (64 - BITS)
-    return F.from_json(F.lit(str(rank)), "array<long>")
+    usual = max(1, sorted(found.values())[len(found) // 4] if found else 1)
+    packed = [0] * (1 << (BITS - 5))
+    for k, n in found.items():
+        level = sum(n >= usual * LEVEL**x for x in (1, 2, 3))
+        packed[k % len(packed)] |= level << (2 * (k // len(packed)))
+    return F.from_json(F.lit(str([x - (1 << 64) if x >> 63 else x for x in packed])), "array<long>")
 
 
 def keys(line: Column, rank: Column) -> Column:
-    """The set of a line as longs, rarest first: the low bits of a word's hash choose the bucket, its others fill up."""
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    # never null, so that the array is of plain longs
-    key = lambda h: F.coalesce(F.get(rank, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, BITS))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    """The set of a line as longs, rarest first."""
+    right, few = lambda x, n: F.call_function("shiftright", x, n), lambda x, most: x.bitwiseAND(F.lit(most))
+    # the low 5 bits of a hash give way to the length
+    hashes = F.transform(words(line), lambda w: few(F.xxhash64(w), -32).bitwiseOR((F.lit(31) - F.least(F.length(w), F.lit(31))).cast("long")))
+
+    def key(h: Column) -> Column:
+        # never null, so that the array is of plain longs
+        group = F.coalesce(F.get(rank, few(F.shiftright(h, 5), (1 << (BITS - 5)) - 1).cast("int")), F.lit(0).cast("long"))
+        level = few(right(group, (few(F.shiftright(h, BITS), 31) * 2).cast("int")), 3)
+        return F.shiftleft(level * 32 + few(h, 31) - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    return F.sort_array(F.transform(F.array_distinct(hashes), key))
 
 
 def parity(keys: Column, half: int) -> Column:
