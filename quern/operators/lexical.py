@@ -20,8 +20,8 @@ from quern.operators import retrieval as R
 from quern.session import small
 from quern.sources import sinks
 
-#: Postings of a block; chunks of a shard, about.
-BLOCK, SHARD = 128, 200_000
+#: Postings of a block; chunks of a shard, about; different terms of a chunk, about.
+BLOCK, SHARD, TERMS = 128, 200_000, 128
 #: Scores that are rounded alike may differ by so much.
 SLACK = 1e-6
 
@@ -32,8 +32,8 @@ def write(chunks: DataFrame, store: str, key: tuple[str, str] = ("doc_id", "chun
     tokens = R.tokenized(chunks, list(key), text)
     n, mean = tokens.agg(F.count("*"), F.avg("len")).head()
     shards = max(1, -(-n // shard))
-    long = tokens.select(*key, "len", F.pmod(F.xxhash64(key[0]), F.lit(shards)).cast("int").alias("shard"), F.explode("toks").alias("term"))
-    counted = long.repartition("term", "shard").groupBy("term", "shard", *key, "len").agg(F.count("*").alias("tf"))
+    # terms are counted where their chunk lies, so that one row of each is shuffled and sorted, not one of each occurrence
+    counted = R.postings(R.placed(tokens, key[0], TERMS), list(key)).withColumn("shard", F.pmod(F.xxhash64(key[0]), F.lit(shards)).cast("int"))
     impact = F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("len") / F.lit(mean)))
     order = Window.partitionBy("term", "shard").orderBy(F.desc("impact"), *key)
     placed = counted.withColumn("impact", impact).withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int"))
@@ -89,9 +89,11 @@ def search(spark: SparkSession, store: str, queries: DataFrame, k: int, query_id
     """(query_id, document and chunk, score, rank) of each query's k best documents by their best chunk, with the scores of retrieval.bm25()."""
     blocks, weights = lists(spark, store, queries, query_id, text)
     doc, tie = _keys(blocks)
-    picked = chosen(blocks, weights, k, query_id, doc).filter("read").drop("read")
-    hits = blocks.select("term", "shard", "block", "postings").join(small(picked, R.SENT), ["term", "shard", "block"])
-    hits = hits.select(query_id, "weight", F.explode("postings").alias("p")).groupBy(query_id, F.col(f"p.{doc}").alias(doc), F.col(f"p.{tie}").alias(tie))
-    hits = hits.agg(F.round(F.sum(F.col("weight") * F.col("p.impact")), 6).alias("score")).filter("score > 0")
+    picked = chosen(blocks, weights, k, query_id, doc).filter("read").drop("read")  # not counted first, which would choose twice
+    hits = blocks.select("term", "shard", "block", "postings").join(picked, ["term", "shard", "block"])
+    hits = hits.select(query_id, F.explode("postings").alias("p"), "weight")
+    hits = hits.select(query_id, F.col(f"p.{doc}").alias(doc), F.col(f"p.{tie}").alias(tie), (F.col("weight") * F.col("p.impact")).alias("part"))
+    # shuffled once, by document: its chunks are summed and the best of them found in the same place
+    hits = hits.repartition(query_id, doc).groupBy(query_id, doc, tie).agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
     best = hits.groupBy(query_id, doc).agg(F.max_by(F.struct(tie, "score"), F.struct(F.col("score"), -F.col(tie))).alias("b")).select(query_id, doc, "b.*")
     return R.top(best, k, [F.desc("score"), F.col(doc)], query_id)

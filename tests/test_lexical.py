@@ -107,3 +107,13 @@ def test_vector_index_recall(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.select("query_id", "rank", "vec_id", "sim").collect()))
     vectors.write(v.limit(0), store)
     assert vectors.search(spark, store, asked, 10).count() == 0
+
+
+def test_hits_are_shuffled_once_by_document(spark, corpus, tmp_path):
+    """Chunks are summed and the best of a document is found where its hits have come together."""
+    store = str(tmp_path / "once")
+    lexical.write(spark.createDataFrame([(k, c, f"w{k % 7} w{c} w1") for k in range(50) for c in range(3)], "doc_id long, chunk_no int, chunk string"), store)
+    found = lexical.search(spark, store, spark.createDataFrame([(1, "w1 w2"), (2, "w5")], "query_id long, text string"), 3)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert any("query_id" in line and "doc_id" in line for line in dealt) and not any("chunk_no" in line for line in dealt)
+    assert found.filter("query_id = 2").count() == 3
