@@ -3,9 +3,9 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: common words last, by the corpus counts of 2^16 hash buckets in four levels, and within a level long
-   words first, since those are rarer than counts of buckets can tell; then by hash. A word becomes one long whose high bits are
-   level and length and whose low ones are its hash, so that sorting longs sorts by rarity.
+1. Words are ordered by rarity: common words last, by the corpus counts of 2^18 hash buckets in four levels, which begin at shares of
+   all words, so that those of prefixes differ; within a level long words first, then by hash. A word becomes one long whose high bits
+   are level and length and whose low ones are its hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
@@ -32,56 +32,73 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; how much more common each level is; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
-BITS, LEVEL, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 16, 4, 8, 4, 3, 64, 2, 200_000
+#: Bits of a word's hash that choose its bucket; shares of all words in rarer buckets where levels begin; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
+BITS, SHARES, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 18, (1 / 16, 1 / 8, 1 / 4), 8, 4, 2, 64, 2, 200_000
+
+
+def spaced(text: Column, breaks: bool) -> Column:
+    """A text with spaces for other white space, and for line feeds if breaks."""
+    odd = text.contains("\t") | text.contains("\x0b") | text.contains("\f") | text.contains("\r")
+    plain = F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
+    return F.replace(plain, F.lit("\n"), F.lit(" ")) if breaks else plain
 
 
 def words(text: Column) -> Column:
-    """Words of a text. Other white space becomes spaces first, which Java splits at without a regular expression."""
-    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\n\x0b\f\r", "     ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
-    return F.array_remove(F.split(plain, " "), "")
+    """Words of a text with spaces only, which Java splits at without a regular expression."""
+    return F.array_remove(F.split(text, " "), "")
+
+
+def rough(word: Column) -> Column:
+    """A word's key without its level: 31 less its length, in 5 bits, and 57 bits of its hash, the last BITS of which choose its bucket."""
+    short = F.lit(31) - F.least(F.length(word), F.lit(31))
+    return F.shiftleft(short.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 7))
 
 
 def ranks(docs: DataFrame) -> Column:
-    """The level of each bucket, 2 bits: 32 in each long of an array of fixed size. The first level is of all counts below LEVEL times that of the lower quartile."""
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 5).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")
-    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    found = {r["bucket"]: r["n"] for r in counts.collect()}  # 2^BITS rows at most
-    usual = max(1, sorted(found.values())[len(found) // 4] if found else 1)
-    packed = [0] * (1 << (BITS - 5))
-    for k, n in found.items():
-        level = sum(n >= usual * LEVEL**x for x in (1, 2, 3))
-        packed[k % len(packed)] |= level << (2 * (k // len(packed)))
-    return F.from_json(F.lit(str([x - (1 << 64) if x >> 63 else x for x in packed])), "array<long>")
-
-
-def keys(line: Column, rank: Column) -> Column:
-    """The set of a line as longs, rarest first."""
-    right, few = lambda x, n: F.call_function("shiftright", x, n), lambda x, most: x.bitwiseAND(F.lit(most))
-    # the low 5 bits of a hash give way to the length
-    hashes = F.transform(words(line), lambda w: few(F.xxhash64(w), -32).bitwiseOR((F.lit(31) - F.least(F.length(w), F.lit(31))).cast("long")))
-
-    def key(h: Column) -> Column:
+    """The level of each bucket, 2 bits: 32 in each long of an array of fixed size. Levels begin where the words of all rarer buckets, by powers of 2
+    of their counts, pass the SHARES of all words: the rarest words of a line are chosen from the first of these."""
+    bucket = rough(F.col("w")).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")
+    counts = docs.select(F.explode(words(spaced(F.coalesce("text", F.lit("")), True))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
+    counts = common.stage(counts.withColumn("power", F.floor(F.log2("n")).cast("int")), "line-counts")
+    below, total, starts = 0, 0, {}
+    powers = sorted((r["power"], r["n"]) for r in counts.groupBy("power").agg(F.sum("n").alias("n")).collect())  # 64 rows at most
+    total = sum(n for _, n in powers)
+    for power, n in powers:
+        starts[power] = sum(below >= share * total for share in SHARES)
+        below += n
+    # as the sign bit is one of the two, levels 2 and 3 are written as 0 and 1
+    level = F.coalesce(*[F.when(F.col("power") == power, F.lit(k ^ 2)) for power, k in starts.items()], F.lit(2)).cast("long")
+    longs = 1 << (BITS - 5)
+    packed = counts.select((F.col("bucket") % longs).alias("at"), F.call_function("shiftleft", level, (F.floor(F.col("bucket") / longs) * 2).cast("int")).alias("bits"))
+    found = {r["at"]: r["bits"] for r in packed.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()}  # 2^(BITS - 5) rows at most
+    common.discard(counts)
+    return F.from_json(F.lit(str([found.get(k, 0) for k in range(longs)])), "array<long>")
+
+
+def keys(line: Column, rank: Column, plain: bool = False) -> Column:
+    """The set of a line as longs, rarest first. plain: it has spaces only."""
+
+    def key(g: Column) -> Column:
+        bits = F.get(rank, g.bitwiseAND(F.lit((1 << (BITS - 5)) - 1)).cast("int"))
+        level = F.call_function("shiftright", bits, F.shiftrightunsigned(g, BITS - 6).bitwiseAND(F.lit(62)).cast("int"))
         # never null, so that the array is of plain longs
-        group = F.coalesce(F.get(rank, few(F.shiftright(h, 5), (1 << (BITS - 5)) - 1).cast("int")), F.lit(0).cast("long"))
-        level = few(right(group, (few(F.shiftright(h, BITS), 31) * 2).cast("int")), 3)
-        return F.shiftleft(level * 32 + few(h, 31) - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return F.coalesce(F.shiftleft(level, 62), F.lit(0).cast("long")).bitwiseOR(g)
 
-    return F.sort_array(F.transform(F.array_distinct(hashes), key))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words(line if plain else spaced(line, True)), rough)), key))
 
 
-def parity(keys: Column, half: int) -> Column:
-    """One half of a map of 128 bits with the bit of each word flipped; sets of at most 64 words have a map of 64 in the first half."""
+def parity(keys: Column) -> list[Column]:
+    """Both halves of a map of 128 bits with the bit of each word flipped; sets of at most 64 words have a map of 64 in the first half."""
     bit = lambda on, k: F.call_function("shiftleft", on, k.bitwiseAND(F.lit(63)).cast("int"))
     flipped = lambda on: F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(bit(on(k), k)))
-    long = flipped(lambda k: (F.shiftright(k, 6) if half else F.shiftright(F.bitwise_not(k), 6)).bitwiseAND(F.lit(1)))
-    return F.when(F.size(keys) > MAP, long).otherwise(F.lit(0).cast("long") if half else flipped(lambda k: F.lit(1).cast("long")))
+    second = F.when(F.size(keys) > MAP, flipped(lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)))).otherwise(F.lit(0).cast("long"))
+    return [flipped(lambda k: F.lit(1).cast("long")).alias("m"), second.alias("m1")]
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(pos, line) of every line with a word; pos is (doc_id, text hash, line number)."""
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(common.WORD)).select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
+    """(pos, line) of every line with a word, with spaces only; pos is (doc_id, text hash, line number)."""
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(spaced(F.col("text"), False), "\n")).alias("line_no", "line"))
+    return rows.filter(F.trim("line") != "").select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
 
 
 class Side:
@@ -98,42 +115,41 @@ class Side:
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of each set's prefix, with n, the word's key and `short` (in the short prefix)."""
-    rows = sets.select("sid", "doc", "n", "open", "m0", "m1", F.posexplode("prefix").alias("i", "key"))
-    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
-    short = F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    return rows.select("key", "sid", "doc", "n", at.alias("at"), "m0", "m1", short.alias("short"))
-
-
-def needed(n: Column, m: Column, percent: int) -> Column:
-    """Words that two sets of these sizes must share."""
-    return F.ceil((n + m) * percent / (100 + percent))
+    """The rows of each set's prefix, with the length classes `own` and `next`, the word's key and `short` (in the short prefix)."""
+    step = lambda more: F.floor((F.log("n") / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
+    head = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("open").cast("long"))
+    least = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    # what is of the set is worked out once, before its words are rows
+    sets = common.stage(sets.select("sid", "doc", "m0", "m1", head.alias("head"), least.cast("int").alias("least"), step(0).alias("own"), step(1).alias("next"), "prefix"), "line-heads")
+    rows = sets.select("*", F.posexplode("prefix").alias("i", "key"))
+    at = F.col("head").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1))
+    return rows.select("key", "sid", "doc", at.alias("at"), "m0", "m1", "own", "next", (F.col("i") <= F.col("least")).alias("short"))
 
 
 def alike(an: Column, am0: Column, am1: Column, bn: Column, bm0: Column, bm1: Column, percent: int) -> Column:
-    """The length filter and the parity filter let two sets pass."""
-    m0, m1, most = am0.bitwiseXOR(bm0), am1.bitwiseXOR(bm1), an + bn - 2 * needed(an, bn, percent)
+    """The length filter and the parity filter let two sets pass. Sets that match differ by (100 - percent) / (100 + percent) of both their words at most."""
+    m0, m1, most = am0.bitwiseXOR(bm0), am1.bitwiseXOR(bm1), (an + bn) * (100 - percent)
     return (
-        (100 * bn >= percent * an) & (100 * an >= percent * bn)
-        & (F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
-        & ((an <= MAP) | (bn <= MAP) | (F.bit_count(m0) + F.bit_count(m1) <= most))
+        ((100 + percent) * F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
+        & (100 * bn >= percent * an) & (100 * an >= percent * bn)
+        & ((an <= MAP) | (bn <= MAP) | ((100 + percent) * (F.bit_count(m0) + F.bit_count(m1)) <= most))
     )
 
 
 def may_match(a: Side, b: Side, percent: int) -> Column:
-    """Two sets that share this word can have the overlap needed."""
-    return (a.w == b.w) & (F.least(a.n - a.i, b.n - b.i) >= needed(a.n, b.n, percent)) & alike(a.n, a.m0, a.m1, b.n, b.m0, b.m1, percent)
+    """Two sets that share this word can have the overlap needed, percent / (100 + percent) of both their words."""
+    return (a.w == b.w) & alike(a.n, a.m0, a.m1, b.n, b.m0, b.m1, percent) & ((100 + percent) * F.least(a.n - a.i, b.n - b.i) >= (a.n + b.n) * percent)
 
 
 def verified(docs: DataFrame, rank: Column, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sid of the later set of each pair (a, b) that is similar."""
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = common.stage(sets.select("sid", "first").join(asked, "sid"), "line-wanted")
+    wanted = common.stage(sets.select("sid", "first").join(common.small(asked, SENT), "sid"), "line-wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
         ids = F.broadcast(wanted.select(F.col("first.doc_id").alias("_id")).distinct())
         docs = docs.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    whole = exploded(docs).join(wanted, F.col("pos") == F.col("first")).select("sid", "first", keys(F.col("line"), rank).alias("keys"))
+    whole = exploded(docs).join(wanted, F.col("pos") == F.col("first")).select("sid", "first", keys(F.col("line"), rank, True).alias("keys"))
     whole = common.stage(whole.dropDuplicates(["sid"]), "line-whole")  # a repeated row has the same lines
     x, y = (whole.select(F.col("sid").alias(k), F.col("first").alias(f"{k}f"), F.col("keys").alias(f"{k}k")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("n_both", F.size(F.array_intersect("ak", "bk")))
@@ -160,15 +176,15 @@ def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFr
     # those left, as the later of a pair; the smaller set's short prefix meets the other's prefix
     closed = common.small(gone.withColumn("closed", F.lit(True)), SENT)
     rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()), percent)
-    step = lambda more: F.floor((F.log("n") / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
-    own, next_ = step(0), step(1)  # a larger set that may match is in the class of n or of 1.25 n
-    larger = rows.withColumn("w", F.hash("key", own))
-    smaller = rows.filter("short").withColumn("step", F.explode(F.array_distinct(F.array(own, next_)))).withColumn("w", F.hash("key", "step"))
+    # a larger set that may match is in the class of n or of 1.25 n
+    steps = F.when(F.col("own") == F.col("next"), F.array("own")).otherwise(F.array("own", "next"))
+    larger = rows.withColumn("w", F.hash("key", "own"))
+    smaller = rows.filter("short").withColumn("step", F.explode(steps)).withColumn("w", F.hash("key", "step"))
     order = (b.n < a.n) | ((b.n == a.n) & (b.sid < a.sid))
     later = (a.open & (b.doc <= a.doc)) | (b.open & (a.doc <= b.doc))
     found = None
     for k in range(PASSES):  # a share of the words at a time, so that the shuffled rows take less disk
-        mine = [side.filter(F.pmod("w", F.lit(PASSES)) == k).select(*Side.columns) for side in (larger, smaller)]
+        mine = [side.filter(F.pmod("key", F.lit(PASSES)) == k).select(*Side.columns) for side in (larger, smaller)]
         pairs = mine[0].alias("a").join(mine[1].alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
         pairs = common.stage(pairs.select(a.sid.alias("a"), b.sid.alias("b")).distinct(), "line-pairs")
         found = pairs if found is None else found.unionByName(pairs)
@@ -179,15 +195,14 @@ def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFr
 def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pos of the lines to remove."""
     rank = ranks(docs)
-    lines = exploded(docs).select("pos", keys(F.col("line"), rank).alias("keys"))
+    lines = exploded(docs).select("pos", keys(F.col("line"), rank, True).alias("keys"))
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
-    maps = [parity(F.col("keys"), half).alias(f"m{half}") for half in (0, 1)]
     most = size - F.ceil(size * percent / 100).cast("int") + 1
     after = F.sort_array(F.transform(F.slice("keys", most + 1, most), lambda k: F.xxhash64(k)))
-    lines = lines.select("pos", *ids, size.alias("n"), *maps, after.alias("after"), F.slice("keys", F.lit(1), most).alias("prefix"))
+    lines = lines.select("pos", *ids, size.alias("n"), *parity(F.col("keys")), after.alias("after"), F.slice("keys", F.lit(1), most).alias("prefix"))
     end = lambda *at: F.when(F.size("after") > 1, F.xxhash64(*[F.try_element_at("after", F.lit(k)) for k in at]))
-    lines = lines.select("pos", "s1", "s2", "n", "m0", "m1", end(1, 2).alias("e0"), end(-1, -2).alias("e1"), "prefix")
+    lines = lines.select("pos", "s1", "s2", "n", F.col("m").bitwiseXOR(F.col("m1")).alias("m0"), "m1", end(1, 2).alias("e0"), end(-1, -2).alias("e1"), "prefix")
     lines = common.stage(lines, "lines")
     sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "e0", "e1", "prefix")])
     sets = common.stage(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")

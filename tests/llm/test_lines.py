@@ -21,6 +21,22 @@ def test_rare_words_of_shared_buckets_come_first(spark):
     assert first.agg(F.sum("late")).head()[0] < 0.02 * 8 * len(rows)  # but for clashes of buckets
 
 
+def test_rare_words_come_first_in_a_large_vocabulary(spark):
+    """100,000 words of one line each come before 12,500 of the same length that are in 16 lines, but for clashes of buckets (before, of 17 %)."""
+    r = random.Random(6)
+    common = [f"c{x:06d}" for x in range(12_500)] * 16
+    r.shuffle(common)
+    rows = []
+    for k in range(12_500):
+        own = [f"u{8 * k + j:06d}" for j in range(8)]
+        rows.append((k, " ".join(own + common[16 * k : 16 * k + 16]), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(4)
+    rank = lines.ranks(docs.select("doc_id", "text"))
+    got = docs.select(lines.keys(F.col("text"), rank).alias("a"), lines.keys(F.col("own"), rank).alias("b"))
+    late = F.size(F.array_except("b", F.slice("a", 1, 8)))
+    assert got.agg(F.sum(late)).head()[0] < 0.1 * 8 * len(rows)
+
+
 def test_order_is_of_words_alone(spark):
     """Equal words are equal longs wherever they are, different ones differ; an empty table has an order too."""
     docs = spark.createDataFrame([(1, "b a a\tc ü " + "long" * 20), (2, "c b ü " + "long" * 20 + " a")], "doc_id long, text string")
