@@ -3,9 +3,8 @@
 A line (between line feeds) with at least one word is the set of its words. A line is removed if an earlier one, in the order
 of doc_id, text hash and line number, has a Jaccard similarity of at least 80 % with it, whether or not that one stays.
 
-1. Words are ordered by rarity: common words last, by the corpus counts of 2^18 hash buckets in four levels, which begin at shares of
-   all words, so that those of prefixes differ; within a level long words first, then by hash. A word becomes one long whose high bits
-   are level and length and whose low ones are its hash, so that sorting longs sorts by rarity.
+1. Words are ordered by rarity: common words last, by the corpus counts of 2^18 hash buckets in half powers of 2, then by hash. A word
+   becomes one long whose high bits are this level and whose low ones are its hash, so that sorting longs sorts by rarity.
 2. Lines with the same set are one set, at the position of the first; all others of them go. Its first
    n - ceil(0.8 n) + 1 words are its prefix. Of two sets that match, the smaller shares a word of its first
    n - ceil(8/9 n) + 1 with the prefix of the larger: its short prefix.
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 PERCENT = 80
-#: Bits of a word's hash that choose its bucket; shares of all words in rarer buckets where levels begin; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
-BITS, SHARES, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 18, (1 / 16, 1 / 8, 1 / 4), 8, 4, 2, 64, 2, 200_000
+#: Bits of a word's hash that choose its bucket; alike sets from whose number on two of each slot are asked first, and slots; powers of 1.25 that a length class spans; words up to which a set has a map of 64 bits, not 128; passes over the words; rows up to which a list is broadcast.
+BITS, DENSE, HEADS, CLASS, MAP, PASSES, SENT = 18, 8, 4, 2, 64, 2, 200_000
 
 
 def spaced(text: Column, breaks: bool) -> Column:
@@ -43,48 +42,35 @@ def spaced(text: Column, breaks: bool) -> Column:
     return F.replace(plain, F.lit("\n"), F.lit(" ")) if breaks else plain
 
 
-def words(text: Column) -> Column:
-    """Words of a text with spaces only, which Java splits at without a regular expression."""
-    return F.array_remove(F.split(text, " "), "")
-
-
-def rough(word: Column) -> Column:
-    """A word's key without its level: 31 less its length, in 5 bits, and 57 bits of its hash, the last BITS of which choose its bucket."""
-    short = F.lit(31) - F.least(F.length(word), F.lit(31))
-    return F.shiftleft(short.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 7))
+def bucket(word: Column) -> Column:
+    """The bucket in which a word is counted."""
+    return F.hash(word).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def ranks(docs: DataFrame) -> Column:
-    """The level of each bucket, 2 bits: 32 in each long of an array of fixed size. Levels begin where the words of all rarer buckets, by powers of 2
-    of their counts, pass the SHARES of all words: the rarest words of a line are chosen from the first of these."""
-    bucket = rough(F.col("w")).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")
-    counts = docs.select(F.explode(words(spaced(F.coalesce("text", F.lit("")), True))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    counts = common.stage(counts.withColumn("power", F.floor(F.log2("n")).cast("int")), "line-counts")
-    below, total, starts = 0, 0, {}
-    powers = sorted((r["power"], r["n"]) for r in counts.groupBy("power").agg(F.sum("n").alias("n")).collect())  # 64 rows at most
-    total = sum(n for _, n in powers)
-    for power, n in powers:
-        starts[power] = sum(below >= share * total for share in SHARES)
-        below += n
-    # as the sign bit is one of the two, levels 2 and 3 are written as 0 and 1
-    level = F.coalesce(*[F.when(F.col("power") == power, F.lit(k ^ 2)) for power, k in starts.items()], F.lit(2)).cast("long")
-    longs = 1 << (BITS - 5)
-    packed = counts.select((F.col("bucket") % longs).alias("at"), F.call_function("shiftleft", level, (F.floor(F.col("bucket") / longs) * 2).cast("int")).alias("bits"))
-    found = {r["at"]: r["bits"] for r in packed.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()}  # 2^(BITS - 5) rows at most
-    common.discard(counts)
-    return F.from_json(F.lit(str([found.get(k, 0) for k in range(longs)])), "array<long>")
+    """The level of each bucket, which grows with its count by half powers of 2, from -64, as an array of fixed size."""
+    spaces = F.split(spaced(F.col("text"), True), " ")
+    buckets = docs.select(F.explode(spaces).alias("w")).filter("w <> ''").select(bucket(F.col("w")).alias("bucket"))
+    # four buckets are counted in a row, so that a task's rows fit Spark's fast map
+    rows = 1 << (BITS - 2)
+    counts = [F.count_if(F.shiftright("bucket", BITS - 2) == k) for k in range(4)]
+    level = [F.when(n > 0, F.floor(2 * F.log2(n))).otherwise(0).cast("long") for n in counts]
+    bits = sum((F.shiftleft(x, 8 * k) for k, x in enumerate(level[1:], 1)), level[0])
+    found = {r["at"]: r["bits"] for r in buckets.groupBy(F.col("bucket").bitwiseAND(F.lit(rows - 1)).alias("at")).agg(bits.alias("bits")).collect()}  # 2^(BITS - 2) rows at most
+    # numbers of a byte are shared objects of the JVM, so that the array takes no more than its references
+    return F.from_json(F.lit(str([(found.get(k % rows, 0) >> 8 * (k // rows) & 255) - 64 for k in range(1 << BITS)])), "array<long>")
 
 
 def keys(line: Column, rank: Column, plain: bool = False) -> Column:
-    """The set of a line as longs, rarest first. plain: it has spaces only."""
+    """The set of a line's words as longs, rarest first. plain: it has single spaces between words and no other white space."""
 
-    def key(g: Column) -> Column:
-        bits = F.get(rank, g.bitwiseAND(F.lit((1 << (BITS - 5)) - 1)).cast("int"))
-        level = F.call_function("shiftright", bits, F.shiftrightunsigned(g, BITS - 6).bitwiseAND(F.lit(62)).cast("int"))
-        # never null, so that the array is of plain longs
-        return F.coalesce(F.shiftleft(level, 62), F.lit(0).cast("long")).bitwiseOR(g)
+    def key(w: Column) -> Column:
+        g = F.shiftleft(F.get(rank, bucket(w)), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+        return F.coalesce(g, F.lit(0).cast("long"))  # never null, so that the array is of plain longs
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words(line if plain else spaced(line, True)), rough)), key))
+    # one pass over the words; what stands around it is compiled
+    words = F.split(line, " ") if plain else F.array_remove(F.split(spaced(line, True), " "), "")
+    return F.sort_array(F.array_distinct(F.transform(words, key)))
 
 
 def parity(keys: Column) -> list[Column]:
@@ -96,9 +82,11 @@ def parity(keys: Column) -> list[Column]:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(pos, line) of every line with a word, with spaces only; pos is (doc_id, text hash, line number)."""
+    """(pos, line) of every line with a word, with single spaces between its words; pos is (doc_id, text hash, line number)."""
     rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(spaced(F.col("text"), False), "\n")).alias("line_no", "line"))
-    return rows.filter(F.trim("line") != "").select(F.struct("doc_id", "th", "line_no").alias("pos"), "line")
+    rows = rows.withColumn("line", F.trim("line")).filter("line <> ''")
+    single = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))
+    return rows.select(F.struct("doc_id", "th", "line_no").alias("pos"), single.alias("line"))
 
 
 class Side:
@@ -114,31 +102,36 @@ class Side:
         self.w, self.sid, self.doc, self.m0, self.m1 = (F.col(f"{name}.{c}") for c in ("w", "sid", "doc", "m0", "m1"))
 
 
-def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of each set's prefix, with the length classes `own` and `next`, the word's key and `short` (in the short prefix)."""
-    step = lambda more: F.floor((F.log("n") / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
+def classes(n: Column, percent: int) -> list[Column]:
+    """Of a set of n words: length class, the next one if a larger set that may match is in it, last place of the short prefix, and last place
+    from which a set of the next class has words enough for the overlap needed (-1: none)."""
+    step = lambda more: F.floor((F.log(n) / F.log(F.lit(100.0 / percent)) + more) / CLASS).cast("int")
+    least = n - F.ceil(n * 2 * percent / (100 + percent))
+    starts = F.pow(F.lit(100.0 / percent), step(1) * CLASS) * (1 - 1e-9)  # the least length of the next class, or less
+    far = F.when(step(1) == step(0), -1).otherwise(F.floor((100 * n - percent * starts) / (100 + percent) + 1e-9))
+    return [step(0).alias("own"), step(1).alias("next"), least.cast("int").alias("least"), far.cast("int").alias("far")]
+
+
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """The rows of each set's prefix, with the word's key and its place i."""
     head = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("open").cast("long"))
-    least = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
-    # what is of the set is worked out once, before its words are rows
-    sets = common.stage(sets.select("sid", "doc", "m0", "m1", head.alias("head"), least.cast("int").alias("least"), step(0).alias("own"), step(1).alias("next"), "prefix"), "line-heads")
-    rows = sets.select("*", F.posexplode("prefix").alias("i", "key"))
-    at = F.col("head").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1))
-    return rows.select("key", "sid", "doc", at.alias("at"), "m0", "m1", "own", "next", (F.col("i") <= F.col("least")).alias("short"))
+    rows = sets.select("sid", "doc", "m0", "m1", head.alias("head"), "own", "next", "least", "far", F.posexplode("prefix").alias("i", "key"))
+    return rows.withColumn("at", F.col("head").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)))
 
 
 def alike(an: Column, am0: Column, am1: Column, bn: Column, bm0: Column, bm1: Column, percent: int) -> Column:
     """The length filter and the parity filter let two sets pass. Sets that match differ by (100 - percent) / (100 + percent) of both their words at most."""
     m0, m1, most = am0.bitwiseXOR(bm0), am1.bitwiseXOR(bm1), (an + bn) * (100 - percent)
     return (
-        ((100 + percent) * F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
-        & (100 * bn >= percent * an) & (100 * an >= percent * bn)
+        (100 * bn >= percent * an) & (100 * an >= percent * bn)
+        & ((100 + percent) * F.bit_count(m0.bitwiseXOR(m1)) <= most)  # both halves together are a map of 64
         & ((an <= MAP) | (bn <= MAP) | ((100 + percent) * (F.bit_count(m0) + F.bit_count(m1)) <= most))
     )
 
 
 def may_match(a: Side, b: Side, percent: int) -> Column:
     """Two sets that share this word can have the overlap needed, percent / (100 + percent) of both their words."""
-    return (a.w == b.w) & alike(a.n, a.m0, a.m1, b.n, b.m0, b.m1, percent) & ((100 + percent) * F.least(a.n - a.i, b.n - b.i) >= (a.n + b.n) * percent)
+    return (a.w == b.w) & ((100 + percent) * F.least(a.n - a.i, b.n - b.i) >= (a.n + b.n) * percent) & alike(a.n, a.m0, a.m1, b.n, b.m0, b.m1, percent)
 
 
 def verified(docs: DataFrame, rank: Column, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,17 +168,17 @@ def near(docs: DataFrame, rank: Column, sets: DataFrame, percent: int) -> DataFr
     common.discard(likes)
     # those left, as the later of a pair; the smaller set's short prefix meets the other's prefix
     closed = common.small(gone.withColumn("closed", F.lit(True)), SENT)
-    rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()), percent)
-    # a larger set that may match is in the class of n or of 1.25 n
-    steps = F.when(F.col("own") == F.col("next"), F.array("own")).otherwise(F.array("own", "next"))
+    rows = prefix_rows(sets.join(closed, "sid", "left").withColumn("open", F.col("closed").isNull()))
+    # a larger set that may match is in the class of n or of 1.25 n, of which only the first places see the latter
+    steps = F.when(F.col("i") > F.col("far"), F.array("own")).otherwise(F.array("own", "next"))
     larger = rows.withColumn("w", F.hash("key", "own"))
-    smaller = rows.filter("short").withColumn("step", F.explode(steps)).withColumn("w", F.hash("key", "step"))
+    smaller = rows.filter("i <= least").withColumn("step", F.explode(steps)).withColumn("w", F.hash("key", "step"))
     order = (b.n < a.n) | ((b.n == a.n) & (b.sid < a.sid))
     later = (a.open & (b.doc <= a.doc)) | (b.open & (a.doc <= b.doc))
     found = None
     for k in range(PASSES):  # a share of the words at a time, so that the shuffled rows take less disk
         mine = [side.filter(F.pmod("key", F.lit(PASSES)) == k).select(*Side.columns) for side in (larger, smaller)]
-        pairs = mine[0].alias("a").join(mine[1].alias("b").hint("shuffle_hash"), may_match(a, b, percent) & order & later)
+        pairs = mine[0].alias("a").join(mine[1].alias("b").hint("shuffle_hash"), order & may_match(a, b, percent) & later)
         pairs = common.stage(pairs.select(a.sid.alias("a"), b.sid.alias("b")).distinct(), "line-pairs")
         found = pairs if found is None else found.unionByName(pairs)
         common.sweep(docs.sparkSession)
@@ -199,13 +192,13 @@ def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = F.size("keys")
     ids = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
     most = size - F.ceil(size * percent / 100).cast("int") + 1
-    after = F.sort_array(F.transform(F.slice("keys", most + 1, most), lambda k: F.xxhash64(k)))
+    after = F.sort_array(F.transform(F.slice("keys", most + 1, most), lambda k: F.shiftleft(k, 7)))
     lines = lines.select("pos", *ids, size.alias("n"), *parity(F.col("keys")), after.alias("after"), F.slice("keys", F.lit(1), most).alias("prefix"))
     end = lambda *at: F.when(F.size("after") > 1, F.xxhash64(*[F.try_element_at("after", F.lit(k)) for k in at]))
     lines = lines.select("pos", "s1", "s2", "n", F.col("m").bitwiseXOR(F.col("m1")).alias("m0"), "m1", end(1, 2).alias("e0"), end(-1, -2).alias("e1"), "prefix")
     lines = common.stage(lines, "lines")
     sets = lines.groupBy("s1", "s2").agg(F.min("pos").alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "e0", "e1", "prefix")])
-    sets = common.stage(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
+    sets = common.stage(sets.select("*", F.monotonically_increasing_id().alias("sid"), *classes(F.col("n"), percent)), "line-sets")
     whole, lines = lines, common.stage(lines.select("pos", "s1", "s2"), "line-ids")
     common.discard(whole)
     common.sweep(docs.sparkSession)
@@ -218,8 +211,8 @@ def later(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, th, gone): numbers of the lines to remove, of each document that has any."""
-    out = later(docs, percent).select("pos.*").distinct()
-    return common.stage(out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line_no")).alias("gone")), "lines-removed")
+    out = later(docs, percent).select("pos.*").groupBy("doc_id", "th")
+    return common.stage(out.agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "lines-removed")  # a set, as rows may be repeated
 
 
 def dedupe(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -239,7 +232,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (before), n_removed and the removed lines' numbers, between commas, of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = common.small(removed(docs).withColumnRenamed("doc_id", "_id"), SENT)
-    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
     rows = rows.join(out, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
