@@ -1,7 +1,9 @@
 """The stored BM25 index against the search that reads all postings, generations, and runs that own their frames."""
 
+import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,61 @@ def test_hits_are_shuffled_once_by_document(spark, corpus, tmp_path):
     dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
     assert any("query_id" in line and "doc_id" in line for line in dealt) and not any("chunk_no" in line for line in dealt)
     assert found.filter("query_id = 2").count() == 3
+
+
+def shuffled(spark, after=-1):
+    """The last stage so far, and the rows that stages after `after` have written to shuffles."""
+    context, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+
+def test_neither_postings_nor_hits_are_shuffled(spark, corpus, tmp_path):
+    """Rows of shuffles are chunks, blocks and what may be among the best; the store has three bytes of a posting, and some of a block and of a chunk."""
+    postings = retrieval.postings(retrieval.tokenized(corpus, ["doc_id", "chunk_no"]), ["doc_id", "chunk_no"]).count()
+    chunks, store = corpus.count(), str(tmp_path / "index")
+    last, _ = shuffled(spark)
+    lexical.write(corpus, store)
+    last, rows = shuffled(spark, last)
+    assert chunks <= rows < chunks + postings / 20
+    asked = spark.createDataFrame([(k, f"w{k} w{k + 1} w{k + 7}") for k in range(40)], "query_id long, text string")
+    assert lexical.search(spark, store, asked, 10).count() == 400
+    _, rows = shuffled(spark, last)
+    assert rows < postings / 10
+    blocks = f"{sinks.folder(spark, store)}/blocks"
+    assert sum(os.path.getsize(f"{blocks}/{f}") for f in os.listdir(blocks)) < 4 * postings
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_odd_keys_and_queries(spark, tmp_path, kind):
+    """Chunks of one key, of equal and of different lengths, keys that are null, copies that tie, and a query without an id."""
+    r = random.Random(5)
+    rows = [(d % 150, c, " ".join(r.choices(["a1", "b1", "c1", "d1", "e1"], [60, 20, 10, 5, 1], k=r.randint(1, 30)))) for d in range(200) for c in range(2)]
+    rows += [(None, 0, "a1 b1 e1"), (None, 0, "e1 d1 a1"), (None, 1, "c1"), (7, 0, "e1 e1")] + [(1000 + k, 0, "e1 d1 c1") for k in range(40)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, chunk string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    asked = spark.createDataFrame([(0, "e1 d1"), (1, "a1"), (None, "c1 e1 e1"), (3, "b1 c1 d1 e1"), (4, "none")], "query_id int, text string")
+    store = str(tmp_path / "odd")
+    lexical.write(chunks, store, block=4, shard=60)
+    got = lexical.search(spark, store, asked, 5).collect()
+
+    # as the SQL has it: postings of equal key and length are one
+    rows, k1, b = [(d if d is None or kind == "long" else str(d), c, t.split()) for d, c, t in rows], retrieval.K1, retrieval.B
+    tf = Counter((d, c, len(t), w) for d, c, t in rows for w in t)
+    df, mean = Counter(w for *_, w in tf), sum(len(t) for *_, t in rows) / len(rows)
+    idf = {w: math.log(len(rows) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    floor = retrieval.EPSILON * sum(idf.values()) / len(idf)
+    for query, text in asked.collect():
+        scores = Counter()
+        for (d, c, n, w), x in tf.items():
+            scores[d, c] += text.split().count(w) * (floor if idf.get(w, 0) < 0 else idf[w]) * x * (k1 + 1) / (x + k1 * (1 - b + b * n / mean))
+        best = {}
+        for (d, c), x in sorted(scores.items(), key=lambda y: (-round(y[1], 6), y[0][1])):
+            if round(x, 6) > 0:
+                best.setdefault(d, (c, round(x, 6)))
+        first = sorted(best, key=lambda d: (-best[d][1], d is not None, d))[:5]
+        found = sorted((x for x in got if x["query_id"] == query), key=lambda x: x["rank"])
+        assert [(x["doc_id"], x["chunk_no"], x["rank"]) for x in found] == [(d, best[d][0], k + 1) for k, d in enumerate(first)]
+        assert [x["score"] for x in found] == pytest.approx([best[d][1] for d in first], abs=2e-6)
+    assert len([x for x in got if x["query_id"] is None]) == 5
