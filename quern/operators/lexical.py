@@ -3,7 +3,7 @@
 A generation of the index has three tables. `corpus` has one row: number of chunks, mean length, floor of weights. `terms` has
 each term's inverse frequency. `blocks` has, for each shard of the documents, one row with the keys of its chunks and what their lengths add to a
 divisor (`places`; its term is null), and for each term its postings in falling order of impact (what a posting adds to a score per unit of
-query weight), cut into blocks, each with its greatest impact. A posting is the chunk's place in the shard and a count, two and one bytes as
+query weight), cut into blocks, whose first posting has its greatest impact. A posting is the chunk's place in the shard and a count, two and one bytes as
 a rule: the store, and what a search shuffles of it, stay below the size of the documents.
 
 A document lies in one shard whole, and a shard in one task, when it is written and when it is searched, so that neither postings nor hits
@@ -56,18 +56,17 @@ def write(chunks: DataFrame, store: str, key: tuple[str, str] = ("doc_id", "chun
         del rows
         pa.default_memory_pool().release_unused()  # workers stay idle beside later stages
 
-    blocks = dealt.mapInArrow(run, f"shard int, term string, block int, most double, n long, at binary, tf binary, places {places}")
+    blocks = dealt.mapInArrow(run, f"shard int, term string, block int, n long, at binary, tf binary, places {places}")
 
     def save(folder: str) -> None:
         blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
+        discard(tokens)  # before the terms of all shards meet
         df = spark.read.parquet(f"{folder}/blocks").filter("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
         df.select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{folder}/terms")
         floor = spark.read.parquet(f"{folder}/terms").agg((F.avg("idf") * R.EPSILON).alias("floor"))
         floor.select(F.lit(n).alias("chunks"), F.lit(mean).cast("double").alias("mean"), "floor").write.mode("overwrite").parquet(f"{folder}/corpus")
 
-    made = sinks.generation(spark, store, save)
-    discard(tokens)
-    return made
+    return sinks.generation(spark, store, save)
 
 
 def _changes(columns: list[pa.Array]) -> np.ndarray:
@@ -126,13 +125,13 @@ def _indexed(rows: pa.Table, key: tuple[str, str], mean: float, block: int) -> I
     number = np.arange(len(word)) - np.repeat(begin, np.diff(np.append(begin, len(word))))
     starts = np.flatnonzero(number % block == 0)
     yield _batch(shard, len(starts), {
-        "term": words.take(pa.array(word[starts])), "block": pa.array((number[starts] // block).astype(np.int32)), "most": pa.array(impact[starts]),
+        "term": words.take(pa.array(word[starts])), "block": pa.array((number[starts] // block).astype(np.int32)),
         "n": pa.array(np.diff(np.append(starts, len(word)))), "at": _binary(at, starts), "tf": _binary(tf, starts), "places": pa.nulls(len(starts), places.type),
     })
 
 
 def _batch(shard: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    none = {"term": pa.string(), "block": pa.int32(), "most": pa.float64(), "n": pa.int64(), "at": pa.binary(), "tf": pa.binary()}
+    none = {"term": pa.string(), "block": pa.int32(), "n": pa.int64(), "at": pa.binary(), "tf": pa.binary()}
     every = {"shard": pa.array(np.full(n, shard, np.int32))} | {c: columns.get(c, pa.nulls(n, kind)) for c, kind in none.items()} | {"places": columns["places"]}
     return pa.RecordBatch.from_pydict(every)
 
@@ -175,9 +174,10 @@ class _Shard:
             own = rows[at:to]
             ends = np.cumsum([r["n"] for r in own])
             place, tf = (_values([r[c] for r in own], int(ends[-1])) for c in ("at", "tf"))
+            impact = _impact(tf, norm[place])
             for q in own[0]["asked"]:
                 self.asked.setdefault(q["id"], []).append((len(self.lists), q["weight"]))
-            self.lists.append((own[0]["term"], np.array([r["most"] for r in own]), ends, self.slot[place], _impact(tf, norm[place])))
+            self.lists.append((own[0]["term"], impact[np.r_[0, ends[:-1]]], ends, self.slot[place], impact))  # a block's first posting is its greatest
             at = to
 
     def _scores(self, own: list[tuple[int, float]], to: list[int]) -> np.ndarray:
